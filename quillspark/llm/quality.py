@@ -121,5 +121,10 @@ def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that no rule rejects, with its own columns."""
-    return assess(docs, rules).where("kept").select(*docs.columns)
+    """The rows of ``docs`` that no rule rejects, with its own columns.
+
+    A filter is moved below what it is computed from, and so would compute the counts again for each of their uses; the
+    row's number, which no filter is moved across, keeps it where it is.
+    """
+    numbered = assess(docs, rules).withColumn("__row", F.monotonically_increasing_id())
+    return numbered.where("kept AND __row >= 0").select(*docs.columns)
