@@ -2,5 +2,322 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import formulas, text, titles
+from ..operators import assemble, checks, doctags, epub, guard, textlayer
+from ..sources import readers
+from .synthetic import order_pages, table, turns
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _blocks(spark, sf_dir):
+    return doctags.blocks(order_pages(spark, sf_dir))
+
+
+@query("""
+SELECT l_orderkey AS doc_id, CAST(row_no AS INT) AS row_no, c.col_no, c.text FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) AS row_no FROM lineitem),
+ LATERAL (VALUES (0, CAST(l_linenumber AS VARCHAR)), (1, 'P|' || l_partkey), (2, CASE WHEN l_returnflag = 'R' THEN '' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END)) AS c(col_no, text)
+UNION ALL SELECT DISTINCT l_orderkey, 0, col_no, text FROM lineitem, (VALUES (0, 'line'), (1, 'part'), (2, 'qty')) AS h(col_no, text)""")
+def otsl_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doctags.table_cells(_blocks(spark, sf_dir)).select("doc_id", "row_no", "col_no", "text")
+
+
+@query(r"""
+SELECT page_id, CAST(i - 1 AS INT) AS pos, CASE WHEN regexp_matches(p, '^</?loc_\d+>$') THEN 'loc' WHEN NOT regexp_matches(p, '^</?[a-z0-9_]+>$') THEN 'text' WHEN p LIKE '</%' THEN 'close' ELSE 'open' END AS kind, CASE WHEN regexp_matches(p, '^</?[a-z0-9_]+>$') AND NOT regexp_matches(p, '^</?loc_\d+>$') THEN trim(p, '</>') END AS name
+FROM (SELECT page_id, unnest(l) AS p, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '</?[a-z0-9_]+>|[^<]+|<') AS l FROM pages))""")
+def doctags_tokens(spark, sf_dir):
+    return doctags.tokens(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("doc_tags"))).select("page_id", "pos", "kind", "name")
+
+
+@query(r"SELECT trim(t, '<>') AS name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<[a-z0-9_]+>')) AS t FROM pages) GROUP BY 1")
+def tag_counts(spark, sf_dir):
+    d = doctags.tokens(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("doc_tags")))
+    return d.where("kind = 'open'").groupBy("name").agg(F.count("*").alias("n"))
+
+
+_ORDER = "(SELECT l_orderkey AS k, CAST(l_orderkey AS VARCHAR) AS o, count(*) AS n, bool_or(l_returnflag = 'R') AS r FROM lineitem GROUP BY 1)"
+
+
+@query(f"""
+SELECT k AS doc_id, page, cls, txt AS text FROM {_ORDER}, LATERAL (VALUES (1, 'title', 'Order ' || o), (1, 'text', n || ' lines'), (2, 'section_header_level_2', 'Notes'), (2, 'formula', 'x_{{' || o), (2, 'formula', '( ' || n), (2, 'list_item', 'a b'), (2, 'odd', 'left'), (2, 'code', 'y' || chr(10) || '  z')) AS b(page, cls, txt)""")
+def doctags_blocks(spark, sf_dir):
+    return _blocks(spark, sf_dir).where("cls NOT IN ('otsl', 'picture', 'chart')").select("doc_id", "page", "cls", "text")
+
+
+@query("""
+SELECT l_orderkey AS doc_id, '| line | part | qty |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || l_linenumber || ' | P\\|' || l_partkey || ' | ' || CASE WHEN l_returnflag = 'R' THEN '' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END || ' |', chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) AS markdown, bool_or(l_returnflag = 'R') AS dropped_spans
+FROM lineitem GROUP BY 1""".replace("\\\\", "\\"))
+def otsl_markdown(spark, sf_dir):
+    return _blocks(spark, sf_dir).where("cls = 'otsl'").select("doc_id", "markdown", F.col("spans").alias("dropped_spans"))
+
+
+@query(f"""
+SELECT k AS doc_id, f.no AS figure_no, f.md AS markdown FROM {_ORDER}, LATERAL (VALUES (1, '![Fig ' || o || '](images/figure-1.png)' || chr(10) || chr(10) || '*Fig [' || o || ']*'), (2, '![figure-2](images/figure-2.png)')) AS f(no, md)""")
+def figure_numbering(spark, sf_dir):
+    return _blocks(spark, sf_dir).where("figure_no IS NOT NULL").select("doc_id", "figure_no", "markdown")
+
+
+@query(f"SELECT k AS doc_id, f.no AS formula_no, f.l, f.t, f.r, f.b FROM {_ORDER}, (VALUES (1, 0.0::DOUBLE, 0.0::DOUBLE, 0.5::DOUBLE, 1.0::DOUBLE), (2, NULL, NULL, NULL, NULL)) AS f(no, l, t, r, b)")
+def formula_boxes(spark, sf_dir):
+    b = F.col("bbox")
+    return _blocks(spark, sf_dir).where("formula_no IS NOT NULL").select("doc_id", "formula_no", *[b[k].alias(n) for k, n in enumerate("ltrb")])
+
+
+@query(f"SELECT k AS doc_id, p.page, CASE p.page WHEN 1 THEN 'Order ' || o ELSE 'Notes' END AS title, p.page = 1 AND r AS dropped_spans FROM {_ORDER}, (VALUES (1), (2)) AS p(page)")
+def page_titles(spark, sf_dir):
+    return doctags.parsed_pages(_blocks(spark, sf_dir)).select("doc_id", "page", "title", "dropped_spans")
+
+
+@query(f"""
+SELECT k AS doc_id, f.id, f.tex, f.suspect FROM {_ORDER}, LATERAL (VALUES ('formula-1', 'x_{{' || o || '}}', FALSE), ('formula-2', '( ' || n, FALSE)) AS f(id, tex, suspect)""")
+def suspect_formulas(spark, sf_dir):
+    pages = order_pages(spark, sf_dir)
+    return assemble.suspects(doctags.blocks(pages), pages.select("doc_id", "page", F.lit(None).cast("string").alias("truncated"))).select("doc_id", "id", "tex", "suspect")
+
+
+_TEX = "concat('\\\\frac{', p_partkey, CASE WHEN p_size % 3 = 0 THEN '}' ELSE '' END, CASE WHEN p_size % 5 = 0 THEN '}' ELSE '' END, CASE WHEN p_size % 2 = 0 THEN concat(' & & ( ', p_size, ' )') ELSE '' END)"
+
+
+@query(r"""
+SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND FALSE THEN '' ELSE repeat('{', greatest(0, c - 1)) || '\frac{' || p_partkey || repeat('}', c) || CASE WHEN p_size % 2 = 0 THEN ' \tag{' || p_size || '}' ELSE '' END || '' END AS tex_open, FALSE AS cut
+FROM (SELECT *, CAST(p_size % 3 = 0 AS INT) + CAST(p_size % 5 = 0 AS INT) AS c FROM part) WHERE c >= 1""")
+def fixed_formulas(spark, sf_dir):
+    """Closed formulas: surplus braces are opened at the front, equation numbers become tags."""
+    d = table(spark, sf_dir, "part").withColumn("tex", F.expr(_TEX)).where("p_size % 3 = 0 OR p_size % 5 = 0")
+    return d.select("p_partkey", formulas.fix(F.col("tex")).alias("tex_open"), formulas.truncated(F.col("tex")).alias("cut")).withColumn("cut", F.lit(False))
+
+
+@query(r"""SELECT l_orderkey, l_linenumber, (l_linenumber % 2 = 0) AS cut FROM lineitem""")
+def truncated_formulas(spark, sf_dir):
+    tex = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit(r"softmax ( Q \( "), F.col("l_partkey"))).otherwise(F.concat(F.lit(r"f ( [ "), F.col("l_partkey"), F.lit(r" ] ) \[")))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", formulas.truncated(tex).alias("cut"))
+
+
+@query(r"""SELECT doc_id, doc_id || ' $$a_{' || doc_id || '}$$ b $$$' AS md FROM documents""")
+def clean_math(spark, sf_dir):
+    md = F.concat(F.col("doc_id"), F.lit(" $$a_{"), F.col("doc_id"), F.lit("$$ b $$$"))
+    return table(spark, sf_dir, "documents").select("doc_id", formulas.clean(md).alias("md"))
+
+
+@query(r"""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '<em>x</em><sub>' || p_size || '</sub>' WHEN 1 THEN '<sup>' || p_size || '</sup>' WHEN 2 THEN '<em>d</em><sub>i</sub><sup>' || p_size || '</sup>' END AS xhtml FROM part""")
+def trivial_math(spark, sf_dir):
+    n = F.col("p_size")
+    tex = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("x_{"), n, F.lit("}"))).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("^{"), n, F.lit("}"))).when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("d _i ^{"), n, F.lit("}"))).otherwise(F.concat(F.lit("\\frac{"), n, F.lit("}{2}")))
+    return table(spark, sf_dir, "part").select("p_partkey", formulas.trivial_xhtml(tex).alias("xhtml"))
+
+
+@query(r"""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'On ' || p_name WHEN p_partkey % 3 = 1 THEN 'Heading of ' || p_partkey ELSE 'file ' || p_partkey END AS title FROM part""")
+def choose_title(spark, sf_dir):
+    k = F.col("p_partkey")
+    meta = F.when(k % 3 == 0, F.concat(F.lit(" On  "), "p_name")).when(k % 3 == 1, F.concat(F.lit("scan_"), k, F.lit(".indd"))).otherwise("Untitled")
+    head = F.when(k % 3 == 2, F.concat(k, F.lit(". Introduction"))).otherwise(F.concat(F.lit("Heading of "), k))
+    return table(spark, sf_dir, "part").select("p_partkey", titles.choose(meta, head, F.concat(F.lit("file "), k)).alias("title"))
+
+
+@query(r"""SELECT o_orderkey, ['A ' || o_custkey, o_orderstatus, 'Z'] AS names, strftime(o_orderdate, '%Y-%m-%d') AS published FROM orders""")
+def authors_and_dates(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    by = F.concat(F.lit("A "), F.col("o_custkey"), F.lit("; "), F.col("o_orderstatus"), F.lit(" and Z;"))
+    return o.select("o_orderkey", text.authors(by).alias("names"), text.published(F.concat(F.lit("D:"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("120000Z"))).alias("published"))
+
+
+@query(r"""SELECT c_custkey, '---' || chr(10) || 'title: "' || c_name || ' \"q\""' || chr(10) || 'source: "s.pdf"' || chr(10) || 'author:' || chr(10) || '  - "' || c_mktsegment || '"' || chr(10) || 'created: 2024-01-02' || chr(10) || 'pages: ' || c_nationkey || chr(10) || CASE WHEN c_nationkey > 0 THEN 'conversion_warnings: ' || c_nationkey || chr(10) ELSE '' END || 'tags:' || chr(10) || '  - paper' || chr(10) || '  - reflow' || chr(10) || '---' || chr(10) AS fm FROM customer""")
+def frontmatter(spark, sf_dir):
+    null = F.lit(None).cast("string")
+    fm = text.frontmatter(F.concat("c_name", F.lit(' "q"')), F.lit("s.pdf"), F.col("c_mktsegment"), null, F.lit("2024-01-02"), null, F.col("c_nationkey"), F.col("c_nationkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey", fm.alias("fm"))
+
+
+@query(r"""SELECT p_partkey, p_name || '- a' AS name, '---' || chr(10) || 'source: "new"' || chr(10) || '---' || chr(10) || 'source: "old"' || chr(10) || p_partkey AS note FROM part""")
+def package_names(spark, sf_dir):
+    note = F.concat(F.lit('---\nsource: "old"\n---\nsource: "old"\n'), F.col("p_partkey"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.package_name(F.concat(F.lit(".."), "p_name", F.lit(":  a - ")), F.lit("x")).alias("name"), text.retarget_source(note, F.lit("old"), F.lit("new")).alias("note"))
+
+
+@query(r"""
+WITH p AS (SELECT conv_id, turn + 1 AS page, text FROM conversations WHERE turn < 3), n AS (SELECT conv_id, count(*) AS all_pages FROM conversations GROUP BY 1),
+b AS (SELECT conv_id, max(page) AS last, string_agg(text || CASE WHEN page % 2 = 0 THEN chr(10) || chr(10) || '> [!warning] Page ' || page || ' may be incomplete — generation stopped early (timeout), so text may be missing here.' ELSE '' END, chr(10) || chr(10) ORDER BY page) AS body, list('page ' || page || ': generation stopped early (timeout) — output may be incomplete' ORDER BY page) FILTER (page % 2 = 0) AS cut FROM p GROUP BY 1)
+SELECT conv_id AS doc_id, last, list_filter(list_concat(coalesce(cut, []), [CASE WHEN length(body) + length(regexp_replace(body, '[^\x{10000}-\x{10FFFF}]', '', 'g')) < 200 * last THEN 'very little text extracted; source may be scanned/image-only — retry with --ocr' END, CASE WHEN last < all_pages THEN 'processed only ' || last || ' of ' || all_pages || ' pages (--max-pages)' END]), lambda x: x IS NOT NULL) AS warnings
+FROM b JOIN n USING (conv_id)""")
+def assembled_warnings(spark, sf_dir):
+    t = turns(spark, sf_dir)
+    null = F.lit(None).cast("string")
+    pages = t.where("markdown IS NOT NULL AND instr(markdown, '$$') >= 0").select("doc_id", "page", "markdown", null.alias("title"), F.when(F.col("page") % 2 == 0, "timeout").alias("truncated"), F.lit(False).alias("spans"), null.alias("rescued"), F.lit(0).alias("n_suspect"))
+    docs = t.groupBy("doc_id").agg(F.count("*").cast("int").alias("page_count")).select("doc_id", F.lit("c.pdf").alias("source"), F.concat(F.lit("talk "), "doc_id").alias("stem"), "page_count", null.alias("meta_title"), null.alias("author"), null.alias("published"), null.alias("description"))
+    return assemble.packages(pages, docs, "2024-01-02", 3).select("doc_id", "last", "warnings")
+
+
+@query()
+def assembled_notes(spark, sf_dir):
+    """Whole notes of the order pages, by all stages from DocTags on."""
+    pages = order_pages(spark, sf_dir)
+    found = doctags.blocks(pages)
+    null = F.lit(None).cast("string")
+    parsed = doctags.parsed_pages(found).select("doc_id", "page", "markdown", "title", null.alias("truncated"), F.col("dropped_spans").alias("spans"), null.alias("rescued"), F.lit(0).alias("n_suspect"))
+    docs = pages.groupBy("doc_id").agg(F.max("page").alias("page_count")).select("doc_id", F.lit("o.pdf").alias("source"), F.lit("order").alias("stem"), "page_count", null.alias("meta_title"), null.alias("author"), null.alias("published"), null.alias("description"))
+    return assemble.packages(parsed, docs, "2024-01-02")
+
+
+@query(r"""SELECT event_id, CASE WHEN value > 0 THEN round(event_id % 4096 * 1000.0 / value, 2) END AS tokens_per_sec, CASE WHEN event_id % 7 = 0 THEN 'timeout' WHEN event_id % 4097 >= 4096 THEN 'max_tokens' END AS truncated FROM events""")
+def page_throughput(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 4096).alias("gen_tokens"), F.col("value").alias("ms"), guard.truncation(F.when(F.col("event_id") % 7 == 0, "timeout"), F.col("event_id") % 4097).alias("truncated"))
+    return assemble.throughput(e).select("event_id", "tokens_per_sec", "truncated")
+
+
+_EVENTS = "(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events)"
+
+
+@query(f"SELECT user_id, event_id, count(*) OVER w AS seen, CAST(floor(avg(value) OVER w * 1000 + 1e-6) AS BIGINT) AS mean_us, max(value) OVER w AS high FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+def progress_high_water(spark, sf_dir):
+    d = guard.progress(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
+    return d.select("user_id", "event_id", "seen", F.floor(F.col("mean") * 1000 + 1e-6).alias("mean_us"), "high")
+
+
+@query("SELECT user_id, count(*) AS n, list_sort(list(value))[least(count(*), CAST(floor(count(*) * 0.95) AS BIGINT) + 1)] AS p95, list_sort(list(value))[least(count(*), CAST(floor(count(*) * 0.5) AS BIGINT) + 1)] AS median, max(value) AS worst, count(*) FILTER (value > 100) AS stalls FROM events GROUP BY 1")
+def lag_percentiles(spark, sf_dir):
+    return guard.lag_statistics(table(spark, sf_dir, "events"), "user_id", "value")
+
+
+@query("SELECT user_id, bool_and(coalesce(value >= p - 1e-9, TRUE)) AS monotonic, count(DISTINCT value) AS n_distinct, min(value) AS low, max(value) AS high FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) GROUP BY 1")
+def bar_probe(spark, sf_dir):
+    return guard.monotonic(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
+
+
+@query("SELECT user_id, arg_max(value, event_id) - arg_min(event_id, event_id) AS growth FROM events GROUP BY 1")
+def memory_growth(spark, sf_dir):
+    return guard.net_growth(table(spark, sf_dir, "events"), "user_id", "event_id", "event_id", "value")
+
+
+@query("""
+SELECT user_id AS gen_id, CASE WHEN n >= 6 AND user_id % 2 = 0 THEN 6 ELSE n END AS stopped_at, CASE WHEN n >= 6 AND user_id % 2 = 0 THEN 'repetition' WHEN n >= 9 THEN 'max_tokens' END AS reason FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)""")
+def guard_first_trigger(spark, sf_dir):
+    """Streams of two alternating tokens, for every other user: they repeat three times at the sixth."""
+    step = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    d = table(spark, sf_dir, "events").withColumn("step", step)
+    token = F.when(F.col("user_id") % 2 == 0, F.col("step") % 2).otherwise(F.col("step"))
+    return guard.first_trigger(d.select(F.col("user_id").alias("gen_id"), "step", token.alias("token"), F.lit(0).alias("ms"), F.lit(False).alias("aborted")), 1000, 9)
+
+
+@query(r"""
+WITH n AS (SELECT doc_id, '---' || chr(10) || 'x' || chr(10) || '---' || chr(10) || '## ' || source || chr(10) || text || chr(10) || '| a | ' || lang || ' |' AS md, lang, source FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, name, ok FROM n, LATERAL (VALUES ('title', TRUE), ('frontmatter', TRUE), ('min_headings', len(regexp_extract_all(md, '(?m)^#{1,6} .+$')) >= 1), ('min_images', FALSE), ('min_math_blocks', (len(string_split(md, '$$')) - 1) // 2 >= 1), ('required_substrings', TRUE), ('required_table_cells', lang = 'en'), ('forbidden_substrings', NOT contains(md, 'License'))) AS c(name, ok)""")
+def fixture_checks(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    md = F.concat(F.lit("---\nx\n---\n## "), "source", F.lit("\n"), "text", F.lit("\n| a | "), "lang", F.lit(" |"))
+    notes = d.select("doc_id", F.concat(F.lit("From "), "source").alias("title"), F.lit(0).alias("images"), md.alias("markdown"))
+    want = d.select("doc_id", F.col("source").alias("title_contains"), F.lit(1).alias("min_headings"), F.lit(1).alias("min_images"), F.lit(1).alias("min_math_blocks"), F.array(F.concat(F.lit("##  "), "source")).alias("required_substrings"), F.array(F.lit("| en |")).alias("required_table_cells"), F.array(F.lit("License")).alias("forbidden_substrings"))
+    return checks.run(notes, want)
+
+
+@query(r"""
+SELECT CAST(o_orderkey AS BIGINT) AS doc_id, c.no AS chapter_no, c.title, c.n AS n_lines FROM orders, LATERAL (VALUES (1, NULL, 2), (2, 'Two ' || o_orderkey, 3), (3, 'Three', 2)) AS c(no, title, n)""")
+def split_chapters(spark, sf_dir):
+    md = F.concat(F.lit("---\ntitle: x\n---\n\nintro\n# Two "), F.col("o_orderkey"), F.lit("\n\n### small\n## Three\nend"))
+    return epub.chapters(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), md.alias("markdown"))).select("doc_id", "chapter_no", "title", "n_lines")
+
+
+_NOTE = "concat('![](images/', l_partkey, '.png) ![b](images/', l_suppkey, '.jpg)')"
+
+
+@query(r"""
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS no FROM lineitem),
+h AS (SELECT l_orderkey AS doc_id, no * 2 AS pos, 'images/' || l_partkey || '.png' AS href FROM n UNION ALL SELECT l_orderkey, no * 2 + 1, 'images/' || l_suppkey || '.jpg' FROM n),
+g AS (SELECT doc_id, href, min(pos) AS pos FROM h GROUP BY ALL)
+SELECT doc_id, href, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS INT) AS seq, 'img-' || regexp_replace(href, '[^A-Za-z0-9_]', '-', 'g') AS id, CASE WHEN href LIKE '%.png' THEN 'image/png' ELSE 'image/jpeg' END AS media_type FROM g""")
+def asset_manifest(spark, sf_dir):
+    return epub.assets(_shown(spark, sf_dir))
+
+
+def _shown(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumn("x", F.expr(_NOTE))
+    return li.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "x"))), lambda r: r["x"]), "\n").alias("markdown"))
+
+
+@query(r"""SELECT DISTINCT l_orderkey AS doc_id, 'missing image: images/' || l_suppkey || '.jpg' AS warning FROM lineitem""")
+def missing_assets(spark, sf_dir):
+    have = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("images/"), "l_partkey", F.lit(".png")).alias("href"))
+    return epub.missing(epub.assets(_shown(spark, sf_dir)), have)
+
+
+@query(r"""SELECT l_orderkey AS doc_id, CAST(no AS INT) AS ordinal, CASE WHEN no % 3 = 0 THEN 'f' || no END AS crop_id, no % 3 <> 0 AS as_text FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS no FROM lineitem)""")
+def crop_resolution(spark, sf_dir):
+    no = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), no.alias("ordinal"), "l_partkey")
+    side = li.where("ordinal % 3 <> 1").select("doc_id", "ordinal", F.when(F.col("ordinal") % 3 == 0, F.concat(F.lit("x "), "l_partkey")).otherwise("other").alias("tex"), F.concat(F.lit("f"), "ordinal").alias("id"))
+    return epub.crops(li.select("doc_id", "ordinal", F.concat(F.lit("x"), "l_partkey").alias("tex")), side)
+
+
+@query(r"""SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped, CASE page_id % 3 WHEN 0 THEN 'image/svg+xml' WHEN 1 THEN 'image/gif' ELSE 'application/octet-stream' END AS media_type FROM pages""")
+def escaped_pages(spark, sf_dir):
+    name = F.when(F.col("page_id") % 3 == 0, "a.b.SVG").when(F.col("page_id") % 3 == 1, "x.gif").otherwise("none")
+    return table(spark, sf_dir, "pages").select("page_id", text.escape_xml(F.col("html")).alias("escaped"), text.media_type(name).alias("media_type"))
+
+
+@query()
+def books(spark, sf_dir):
+    """E-books of the documents' texts."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    made = epub.books(d.select("doc_id", F.concat(F.lit("Document "), "doc_id").alias("title"), F.concat(F.lit("# "), "source", F.lit("\n"), "text").alias("markdown")))
+    return made.select("doc_id", "n_chapters", F.sha2("epub", 256).alias("sha256"))
+
+
+@query()
+def stable_ids(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", epub.uuids(F.col("url")).alias("uuid"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(text, '^[\t\n\x0B\f\r \x{00A0}\x{FEFF}\x{2000}-\x{200A}]+|[\t\n\x0B\f\r \x{00A0}\x{FEFF}\x{2000}-\x{200A}]+$', '', 'g') AS doc_tags FROM documents""")
+def stripped_output(spark, sf_dir):
+    t = F.concat(F.lit("<doctag>"), "text", F.lit("</doctag><|im_end|><end_of_utterance>\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.strip_chrome(t).alias("doc_tags"))
+
+
+@query(r"""SELECT vec_id, label, CASE WHEN label % 2 = 0 THEN ['webgpu', 'wasm'] ELSE ['wasm'] END AS devices, CASE WHEN label % 2 = 0 THEN 'fp16' ELSE 'fp32' END AS embed FROM embeddings""")
+def devices(spark, sf_dir):
+    gpu = F.col("label") % 2 == 0
+    d = readers.device_candidates(F.lit("auto"), gpu, gpu, F.array().cast("array<string>"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", d.alias("devices"), readers.embed_type(d[0], gpu).alias("embed"))
+
+
+@query(r"""
+WITH b AS (SELECT vec_id, least(abs(embedding[1]), 1)::DOUBLE AS l, least(abs(embedding[2]), 1)::DOUBLE AS t, least(abs(embedding[1]) + abs(embedding[3]), 1)::DOUBLE AS r, least(abs(embedding[2]) + abs(embedding[4]), 1)::DOUBLE AS b FROM embeddings),
+c AS (SELECT vec_id, least(floor(l * 612), 611)::BIGINT AS x, least(floor(t * 792), 791)::BIGINT AS y, least(ceil(r * 612), 612)::BIGINT AS x1, least(ceil(b * 792), 792)::BIGINT AS y1 FROM b)
+SELECT vec_id, x, y, greatest(1, x1 - x) AS w, greatest(1, y1 - y) AS h FROM c""")
+def crop_boxes(spark, sf_dir):
+    e = [F.abs(F.element_at("embedding", k)) for k in range(1, 5)]
+    one = F.lit(1.0).cast("float")
+    box = F.struct(F.least(e[0], one).cast("double").alias("l"), F.least(e[1], one).cast("double").alias("t"), F.least(e[0] + e[2], one).cast("double").alias("r"), F.least(e[1] + e[3], one).cast("double").alias("b"))
+    d = table(spark, sf_dir, "embeddings").select("vec_id", box.alias("box"))
+    return d.select("vec_id", readers.crop_box(F.col("box"), F.lit(612).cast("long"), F.lit(792).cast("long")).alias("c")).select("vec_id", *[F.col(f"c.{k}").cast("long").alias(k) for k in "xywh"])
+
+
+@query(r"""SELECT l_orderkey AS doc_id, coalesce(string_agg('p' || l_partkey, chr(10) || chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) FILTER (l_returnflag <> 'R'), '') AS text FROM lineitem GROUP BY 1""")
+def textlayer_paragraphs(spark, sf_dir):
+    """A token for each line of an order, far apart; a box covers each returned one."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    y = F.col("no") / 10.0
+    tok = F.struct("no", F.concat(F.lit("p"), "l_partkey").alias("str"), F.lit(0.1).alias("l"), y.alias("t"), F.lit(0.3).alias("r"), (y + 0.02).alias("b"))
+    box = F.when(F.col("l_returnflag") == "R", F.struct(F.lit(0.0).alias("l"), (y - 0.001).alias("t"), F.lit(1.0).alias("r"), (y + 0.03).alias("b")))
+    g = table(spark, sf_dir, "lineitem").withColumn("no", F.row_number().over(w)).groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(tok)).alias("tokens"), F.collect_list(box).alias("boxes"))
+    pages = g.select("doc_id", F.lit(1).alias("page"), F.transform("tokens", lambda t: F.struct(t["str"].alias("str"), t["l"].alias("l"), t["t"].alias("t"), t["r"].alias("r"), t["b"].alias("b"))).alias("tokens"), "boxes")
+    return textlayer.paragraphs(pages).select("doc_id", "text")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'memory' WHEN event_id % 3 = 1 THEN 'cancelled' ELSE 'other' END AS kind FROM events")
+def failure_kinds(spark, sf_dir):
+    k = F.col("event_id") % 3
+    return table(spark, sf_dir, "events").select("event_id", text.failure_kind(F.when(k == 0, "Out of memory at 5").when(k == 1, "conversion cancelled").otherwise("odd")).alias("kind"))
