@@ -26,7 +26,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Words in a class, id or role that say that an element is no article text.
 SIGNS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|popup|modal|newsletter|subscribe|comments?|disqus|respond|replies|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|related|share|sharing|social|search|login|pagination|pager|toolbar|skip|hidden|complementary|contentinfo)(?:$|[\s_-])", re.I)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>|<[!?][^>]*+>", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>|<[!?][^>]*+>|</?[a-zA-Z!?][^>]*+\Z", re.S)
 #: Frequent words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     "the of and to a in is that for it was on are as with be by at this from or an not but they his her which have had has were their there been if will would can who what when so no all we you he she i "
