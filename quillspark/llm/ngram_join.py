@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, utf8, written
+from .common import only, release, utf8, written
 from .graph import components
 from .words import LOWER, Block, blocks, mix, spread
 
@@ -193,7 +193,8 @@ def sets_of(docs: DataFrame, words: int = 5) -> DataFrame:
         for batch in batches:
             for b in blocks(batch.column(1)):
                 s, start = shingle_sets(b, words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.lo, b.hi - b.lo), pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(s.view(np.int64)))], names=["node", "shingles"])
+                rows = pa.RecordBatch.from_arrays([batch.column(0).slice(b.lo, b.hi - b.lo), pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(s.view(np.int64)))], names=["node", "shingles"])
+                yield rows.filter(pa.array(nodes_of(s, start) == rows.column(0).to_numpy()))  # where an id repeats, its other texts go
 
     return docs.mapInArrow(run, "node long, shingles array<long>")
 
@@ -205,33 +206,50 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(f"100 * common >= {percent} * (size(sa) + size(sb) - common)").select("a", "b")
 
 
+def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, words: int) -> DataFrame:
+    """``verified`` with the sets of just the nodes in ``pairs``, each from one text that has it."""
+    nodes = pairs.selectExpr("a AS node").unionByName(pairs.selectExpr("b AS node")).distinct()
+    wanted = written(nodes.join(classes, "node").selectExpr("node", "rep AS doc_id"), "wanted")
+    texts = docs.join(wanted, "doc_id").select("node", "text")
+    sets = written(sets_of(texts, words).dropDuplicates(["node"]), "sets")
+    return verified(pairs, sets, percent)
+
+
 def link_components(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (partners held against it that link) for ``docs(doc_id, text)``.
 
     A null or empty text has no shingles and is its own component; rows that repeat are copies; ids must not be null (rows
     with a null id are returned with a null component and link nothing). Other columns are not read.
     """
+    spark = docs.sparkSession
     d = only(docs, "doc_id", "text").select("doc_id", F.coalesce(utf8("text"), F.lit(b"")).alias("text"))
     digest = written(digests(d, words), "digests")
     classes = written(digest.where("node <> 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
     shared = written(shared_signatures(d.where("doc_id IS NOT NULL"), percent / 100, words), "shared")
-    pairs = written(shared.where("node <> pivot").selectExpr("pivot AS a", "node AS b").distinct(), "pairs")
-    # whole sets of the nodes that share a signature, from one text of each
-    wanted = shared.select("node").distinct().join(classes, "node").selectExpr("node", "rep AS doc_id")
-    sets = written(sets_of(d.join(wanted, "doc_id").dropDuplicates(["node"]).select("node", "text"), words), "sets")
-    links = written(verified(pairs, sets, percent), "links")
+    slack = shared.groupBy("node").agg(F.min("slack").alias("slack"), F.count_if("frequent").alias("n_frequent"))
+    slack = written(slack, "slack")
+    release(spark)
+    # first step: nodes that share half as many signatures with a pivot as linked ones must; who is missed here comes in the second
+    pairs = shared.where("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"), F.min("slack").alias("slack"))
+    pairs = written(pairs.where("2 * n >= slack + 1").select("a", "b"), "pairs")
+    links = written(_verify(pairs, d, classes, percent, words), "links")
+    release(spark)
     comps = written(components(links), "components")
     # second step: pairs across components
-    rows = shared.join(comps, "node", "left").select("signature", "node", "frequent", "slack", F.coalesce("component", "node").alias("component"))
-    loaded = shared.where("frequent").groupBy("node").agg(F.count("*").alias("n_frequent"), F.first("slack").alias("s")).where("n_frequent > s").select("node", F.lit(True).alias("loaded"))
-    rows = rows.join(loaded, "node", "left").where("NOT frequent OR loaded").select("signature", "node", "component")
+    rows = shared.join(slack.withColumnRenamed("slack", "least"), "node").join(comps, "node", "left")
+    rows = rows.where("NOT frequent OR n_frequent > least").select("signature", "node", "least", "n_frequent", F.coalesce("component", "node").alias("component"))
     rows = written(rows, "rows")
     mixed = written(rows.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("signature"), "mixed")
     left = written(rows.join(mixed, "signature"), "left")
-    x, y = left.selectExpr("signature", "node AS a", "component AS ca"), left.selectExpr("signature", "node AS b", "component AS cb")
-    across = x.join(y, "signature").where("a < b AND ca <> cb").select("a", "b").distinct()
-    across = written(across.join(pairs, ["a", "b"], "left_anti"), "across")
-    more = written(verified(across, sets, percent), "links")
+    x = left.selectExpr("signature", "node AS a", "component AS ca", "least AS la", "n_frequent AS fa")
+    y = left.selectExpr("signature", "node AS b", "component AS cb", "least AS lb", "n_frequent AS fb")
+    # of the least(la, lb) + 1 signatures that linked nodes share at least, no more are left out than the frequent ones of either
+    across = x.join(y, "signature").where("a < b AND ca <> cb").groupBy("a", "b").agg(F.count("*").alias("n"), F.first("la").alias("la"), F.first("lb").alias("lb"), F.first("fa").alias("fa"), F.first("fb").alias("fb"))
+    across = across.where("n >= CASE WHEN fa > la AND fb > lb THEN least(la, lb) + 1 ELSE least(la, lb) + 1 - least(fa, fb) END").select("a", "b")
+    across = written(across.join(pairs.selectExpr("least(a, b) AS a", "greatest(a, b) AS b"), ["a", "b"], "left_anti"), "across")
+    release(spark)
+    more = written(_verify(across, d, classes, percent, words), "links")
+    release(spark)
     all_links = links.unionByName(more)
     if more.limit(1).count():
         comps = written(components(all_links), "components")
