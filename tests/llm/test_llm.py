@@ -1,5 +1,6 @@
 """The ten operators on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns; and against plain versions."""
 
+import functools
 import hashlib
 import re
 import zlib
@@ -30,6 +31,7 @@ def docs(spark, texts=TEXTS, repeat=False):
     return spark.createDataFrame(rows + rows[3:5] * repeat, SCHEMA)
 
 
+@functools.cache
 def ids_of(path, text, end=True):
     from tokenizers import Tokenizer
 
