@@ -22,7 +22,9 @@ PARTS = regex.compile(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+")
 #: How a chunk begins: at a text's start, after one space, or after one line feed.
 BARE, SPACED, FED, ODDLY = 0, 1, 2, 3
 #: Entries that the small cache of parts holds before it is emptied: the bound on its memory.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000
+#: Bytes of text in a block, and bits of the slots for distinct chunks: an executor's workers each hold their own.
+BLOCK, STORE_BITS = 250_000, 22
 
 
 def byte_letters() -> list[str]:
@@ -52,7 +54,7 @@ class ByteBpe:
         specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
         self.parts: dict[str, list[int]] = {}
-        self.store = Store([self.dtype])
+        self.store = Store([self.dtype], STORE_BITS)
         self.feed = self._library("\n")
 
     def _library(self, text: str) -> list[int]:
@@ -129,7 +131,7 @@ class ByteBpe:
 
     def column(self, column: pa.Array):
         """Per block of a binary column: its first row, the ids of its texts, and how many each has."""
-        for b in blocks(column):
+        for b in blocks(column, BLOCK):
             yield b.lo, *self.block(b)
 
 

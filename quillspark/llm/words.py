@@ -106,7 +106,7 @@ class Store:
     """What ``make`` gives for each distinct key, by 64-bit hash.
 
     ``make`` gets the position of one occurrence of each new hash and returns an array per field for each of them. At
-    ``2**bits`` slots (half filled at most) the store is emptied and begins anew: the bound on a worker's memory.
+    ``2**bits`` slots (a quarter filled at most) the store is emptied and begins anew: the bound on a worker's memory.
     """
 
     PROBES = 16
@@ -145,13 +145,14 @@ class Store:
         found = self._find(h)
         if (miss := found < 0).any():
             new, at = np.unique(h[miss], return_index=True)
-            if self.n and self.n + len(new) > 1 << (self.bits - 1):
+            if self.n and self.n + len(new) > 1 << (self.bits - 2):
                 self.clear()
                 return self.lookup(h, make)
             self._insert(new, make(np.flatnonzero(miss)[at]))
             found[miss] = self._find(h[miss])
-            if (found < 0).any():  # more than one block can fill: a larger table
-                self.bits += 2
+            if (found < 0).any():
+                if self.n == len(new):  # more than one block can fill: a larger table
+                    self.bits += 2
                 self.clear()
                 return self.lookup(h, make)
         return found
