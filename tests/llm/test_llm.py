@@ -235,3 +235,15 @@ def test_plan_uses_every_piece():
         for x in lengths:
             used[x] += m
     assert (used == hist).all() and sum(m for _, m in packed) <= 1.01 * (hist * np.arange(301)).sum() / 300 + 1
+
+
+def test_store_stays_bounded():
+    from quillspark.llm.words import Store
+
+    store, rng = Store([np.dtype(np.uint64)], 12), np.random.default_rng(5)
+    for _ in range(200):
+        h = rng.integers(1, 2**63, 500, dtype=np.uint64)
+        h = np.concatenate([h, h[:100]])
+        found, lengths = store.gather(store.lookup(h, lambda at: [[h[a : a + 1] for a in at]]))  # noqa: B023
+        assert (found == h).all() and (lengths == 1).all()
+    assert store.bits == 12 and store.n <= 1 << 10
