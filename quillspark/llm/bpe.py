@@ -49,7 +49,7 @@ class ForcedBpe:
         self.tokens = [""] * self.tok.get_vocab_size(True)
         for token, i in self.tok.get_vocab(True).items():
             self.tokens[i] = token
-        self.store = Store([np.dtype("<u4"), np.dtype(np.uint8)], 21)
+        self.store = Store([np.dtype("<u4"), np.dtype(np.uint8)], 22)
 
     def inner(self, fragment: str) -> list[int]:
         """A fragment that doesn't end its word: merges by rank, lowest first, leftmost first."""
