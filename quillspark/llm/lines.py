@@ -1,9 +1,8 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-Equal lines are one line first. Signatures are minima over character shingles (of ``SHINGLE`` characters, those whose hash
-is a multiple of ``EVERY``, and the line's first): a fixed sample of all shingles, so minima agree as often as the sets
-overlap. Bands of minima give candidates, whole shingle sets verify them, and distributed union-find
-joins verified lines; of each component the first line, by document and place, stays.
+Equal lines are one line first. Signatures are minima over all character shingles of a line, the same that the
+verification counts, so minima agree as often as the sets overlap. Bands of minima give candidates, whole shingle sets
+verify them, and distributed union-find joins verified lines; of each component the first line, by document and place, stays.
 """
 
 from __future__ import annotations
@@ -14,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import WHITE_RE, only, release, written
 from .graph import components
 
-#: Characters in a shingle of the signature and of the verification; one shingle in EVERY (a power of two) is sampled.
-SHINGLE, VERIFY, EVERY = 8, 5, 8
+#: Characters in a shingle, of the signature as of the verification.
+SHINGLE = 5
 #: Minima in a band, and bands: 99.5 % of the pairs with a similarity of 0.8 meet in one, 99.99 % of those with 0.9.
 ROWS, BANDS = 4, 10
 #: Lines with fewer characters say too little and always stay.
@@ -37,7 +36,7 @@ def signatures(distinct: DataFrame) -> DataFrame:
     """Per line (h) its bands: hashes of ROWS minima each. ``distinct(h, line)`` must be partitioned by h, so that nothing is shuffled."""
     d = distinct.select("h", _utf32("line").alias("b"), F.length("line").alias("n"))
     d = d.select("h", "b", F.explode(F.expr(f"sequence(0, greatest(0, n - {SHINGLE}))")).alias("i"))
-    d = d.select("h", "i", F.expr(f"xxhash64(substring(b, 4 * i + 1, {4 * SHINGLE}))").alias("x")).where(f"i = 0 OR x & {EVERY - 1} = 0")
+    d = d.select("h", F.expr(f"xxhash64(substring(b, 4 * i + 1, {4 * SHINGLE}))").alias("x"))
     order = lambda k: F.xxhash64(F.lit(k), "x")
     mins = d.groupBy("h").agg(*[F.min(order(k)).alias(f"m{k}") for k in range(ROWS * BANDS)])
     return mins.select("h", F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
@@ -49,9 +48,9 @@ def _once(df: DataFrame, keep: tuple[str, ...], **made: Column) -> DataFrame:
 
 
 def _shingles(chars: str) -> Column:
-    """The set of shingles of VERIFY characters in an array of characters; of a shorter one, itself. Arrays are read in place, where binaries are copied for each shingle."""
-    parts = ", ".join(f"get({chars}, i + {k})" for k in range(VERIFY))
-    return F.expr(f"array_distinct(transform(sequence(0, greatest(0, size({chars}) - {VERIFY})), i -> xxhash64({parts})))")
+    """The set of shingles of SHINGLE characters in an array of characters; of a shorter one, itself. Arrays are read in place, where binaries are copied for each shingle."""
+    parts = ", ".join(f"get({chars}, i + {k})" for k in range(SHINGLE))
+    return F.expr(f"array_distinct(transform(sequence(0, greatest(0, size({chars}) - {SHINGLE})), i -> xxhash64({parts})))")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
