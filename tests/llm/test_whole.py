@@ -25,3 +25,8 @@ def test_lines_that_resemble_are_found(spark):
     d = spark.createDataFrame([(2 * k + i, t) for k, p in enumerate(pairs) for i, t in enumerate(p)], "doc_id long, text string")
     missed = {2 * k + 1 for k in range(len(pairs))} - {r.doc_id for r in lines.dropped(d).collect()}
     assert len(missed) <= 4
+
+
+def test_short_lines_take_part(spark):
+    d = spark.createDataFrame([(0, "ok\n \na line that stays where it is"), (1, "ok\nOK\n\n "), (2, "été 😀\nok"), (3, "été 😀")], "doc_id long, text string")
+    assert sorted(lines.dropped(d).collect()) == [(1, 0), (2, 1), (3, 0)]
