@@ -1,8 +1,9 @@
 """Main text of web pages by two passes over blocks.
 
-The first pass classifies blocks by where they stand, link density, stop-word density and length; the second gives the
-short ones in doubt the label of their nearest decided neighbours. Elements that hold no article text by their name, role
-or class are left out with all that is in them.
+The first pass classifies blocks by link density, stop-word density and length, on every page; the second gives those in
+doubt the label of their nearest decided neighbours. A main part that the page marks counts only where it holds most of
+the good text: what is outside then needs more to be good. Elements that hold no article text by their name, role or class
+are left out with all that is in them.
 """
 
 from __future__ import annotations
@@ -130,17 +131,39 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
     return out, marked
 
 
-def classify(b: Block, marked: bool, short: int = 70, low: float = 0.1, links: float = 0.5) -> int:
-    """The first pass. In a marked main part a block is good unless it consists of links; outside, none is."""
+def classify(b: Block, fits: bool, outside: bool = False, short: int = 70, low: float = 0.1, links: float = 0.5) -> int:
+    """The first pass. Stop words count where the page ``fits`` them; ``outside`` of its main part a block must be twice as long."""
     size = max(1, len(b.text) - b.text.count(" "))
     if b.linked > links * size and not b.heading:
         return BAD
+    if len(b.text) < short * (1 + outside) or b.heading:
+        return BAD if outside or b.linked and not b.heading and not b.main else DOUBT
+    if fits and density(b.text) < low:
+        return BAD if outside else DOUBT
+    return GOOD
+
+
+def density(text: str) -> float:
+    """The share of stop words among a text's words."""
+    words = [w.strip(".,;:!?\"'()[]*#$%&|").lower() for w in text.split()]
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def labels_of(found: list[Block], marked: bool) -> list[int]:
+    """The labels of a page's blocks after both passes."""
+    labels = [classify(b, True) for b in found]
+    counts = False
     if marked:
-        return GOOD if b.main else BAD
-    if len(b.text) < short or b.heading:
-        return BAD if b.linked and not b.heading else DOUBT
-    words = [w.strip(".,;:!?\"'()[]*#$%&|").lower() for w in b.text.split()]
-    return GOOD if sum(w in STOP_WORDS for w in words) >= low * len(words) else DOUBT
+        good = [(len(b.text), b.main) for b, label in zip(found, labels, strict=True) if label == GOOD]
+        # where nothing is good, or most of it outside, the mark says nothing
+        counts = 2 * sum(n for n, main in good if main) > sum(n for n, _ in good)
+        if counts:
+            labels = [classify(b, True, outside=not b.main) for b in found]
+    # a heading in doubt over links goes with them, unless the main part that counts holds it
+    for k in range(len(found) - 2, -1, -1):
+        if found[k].heading and labels[k] == DOUBT and labels[k + 1] == BAD and not (counts and found[k].main):
+            labels[k] = BAD
+    return settle(labels)
 
 
 def settle(labels: list[int]) -> list[int]:
@@ -166,7 +189,7 @@ def settle(labels: list[int]) -> list[int]:
 def main_text(page: str | None) -> str:
     """The article of a page, blocks joined by one space; of a null or empty page, nothing."""
     found, marked = blocks_of(page or "")
-    labels = settle([classify(b, marked) for b in found])
+    labels = labels_of(found, marked)
     return " ".join(b.text for b, label in zip(found, labels, strict=True) if label == GOOD)
 
 

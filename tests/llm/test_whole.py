@@ -2,7 +2,7 @@
 
 import random
 
-from quillspark.llm import lines
+from quillspark.llm import html_text, lines
 
 
 def resembling(seed, n, lengths):
@@ -30,3 +30,15 @@ def test_lines_that_resemble_are_found(spark):
 def test_short_lines_take_part(spark):
     d = spark.createDataFrame([(0, "ok\n \na line that stays where it is"), (1, "ok\nOK\n\n "), (2, "été 😀\nok"), (3, "été 😀")], "doc_id long, text string")
     assert sorted(lines.dropped(d).collect()) == [(1, 0), (2, 1), (3, 0)]
+
+
+PROSE = "The ship was on its way to the island when the storm came, and all that was left of it in the end was a part of the mast."
+
+
+def test_html_teasers_and_long_text_outside_of_the_mark():
+    teaser = "<article><h3>Other story</h3><a href=x>read the whole of it here</a></article>"
+    body = "".join(f"<p>{PROSE} {k}" for k in range(4))
+    assert html_text.main_text(f"<div>{body}</div>{teaser}") == " ".join(f"{PROSE} {k}" for k in range(4))
+    assert html_text.main_text(f"<article>{body}</article><div>{PROSE} {PROSE}</div><div>imprint</div>") == " ".join([*(f"{PROSE} {k}" for k in range(4)), PROSE, PROSE])
+    list_of_links = "<ul>" + "<li><a href=x>some other page</a>" * 5 + "</ul>"
+    assert html_text.main_text(f"<div>{list_of_links}{body}</div>") == " ".join(f"{PROSE} {k}" for k in range(4))
