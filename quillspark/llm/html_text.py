@@ -25,7 +25,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that belong to a line of text.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Words in a class, id or role that say that an element is no article text.
-SIGNS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|popup|modal|newsletter|subscribe|comments?|disqus|respond|replies|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|related|share|sharing|social|search|login|pagination|pager|toolbar|skip|hidden|complementary|contentinfo)(?:$|[\s_-])", re.I)
+SIGNS = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|popup|modal|newsletter|subscribe|comments?|disqus|respond|replies|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|related|share|sharing|social|search|login|pagination|pager|toolbar|skip|hidden|complementary|contentinfo)", re.I)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>|<[!?][^>]*+>|</?[a-zA-Z!?][^>]*+\Z", re.S)
 #: Frequent words of English, German, French and Spanish.
@@ -42,14 +42,16 @@ GOOD, BAD, DOUBT = 1, -1, 0
 class Block:
     """A run of text between block-level tags."""
 
-    __slots__ = ("text", "linked", "main", "heading")
+    __slots__ = ("text", "linked", "main", "heading", "suspects")
 
-    def __init__(self, text: str, linked: int, main: bool, heading: bool):
-        self.text, self.linked, self.main, self.heading = text, linked, main, heading
+    def __init__(self, text: str, linked: int, main: bool, heading: bool, suspects: tuple[int, ...] = ()):
+        self.text, self.linked, self.main, self.heading, self.suspects = text, linked, main, heading, suspects
 
 
-def _signs(attributes: str) -> bool:
-    return any(SIGNS.search(next(filter(None, m), "")) for m in ATTRIBUTE.findall(attributes))
+def _signs(attributes: str) -> tuple[bool, bool]:
+    """Whether a name in class, id or role is a sign, and whether a part of a compound one is."""
+    names = [x for m in ATTRIBUTE.findall(attributes) for x in next(filter(None, m), "").split()]
+    return any(SIGNS.fullmatch(x) for x in names), any(SIGNS.fullmatch(part) for x in names for part in re.split("[_-]", x))
 
 
 def blocks_of(page: str) -> tuple[list[Block], bool]:
@@ -60,6 +62,8 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
     text: list[str] = []
     linked = 0
     links = mains = 0
+    suspects: list[tuple[int, int]] = []  # elements with a sign in a part of a name: depth and number
+    n_suspects = 0
     marked = False
     heading = False
 
@@ -68,7 +72,7 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
         if text:
             whole = " ".join(entities.unescape("".join(text)).split())
             if whole:
-                out.append(Block(whole, linked, mains > 0, heading))
+                out.append(Block(whole, linked, mains > 0, heading, tuple(k for _, k in suspects)))
             text.clear()
         linked = 0
 
@@ -76,6 +80,8 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
         nonlocal links, mains
         links -= name == "a"
         mains -= name in ("article", "main")
+        while suspects and suspects[-1][0] >= len(stack):
+            suspects.pop()
 
     at, n = 0, len(page)
     while at < n:
@@ -103,6 +109,8 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
             if name in stack:
                 while True:
                     top = stack.pop()
+                    if suspects and suspects[-1][0] >= len(stack) and skip_at is None:
+                        flush()
                     leave(top)
                     if skip_at is not None and len(stack) <= skip_at:
                         skip_at = None
@@ -117,11 +125,16 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
             continue
         if name in ("p", "li", "option", "dt", "dd", "tr", "td", "th") and stack and stack[-1] == name:
             leave(stack.pop())  # an end tag that is left out
-        if skip_at is None and (name in SKIPPED or attributes and name not in ("html", "body", "article", "main") and _signs(attributes)):
+        sign, part = _signs(attributes) if attributes and skip_at is None and name not in ("html", "body", "article", "main") else (False, False)
+        if skip_at is None and (name in SKIPPED or sign):
             flush()
             skip_at = len(stack)
         elif skip_at is None and name == "article" and attributes and re.search(r"comment|reply", attributes, re.I):
             skip_at = len(stack)
+        elif part:
+            flush()
+            suspects.append((len(stack), n_suspects))
+            n_suspects += 1
         stack.append(name)
         links += name == "a"
         mains += name in ("article", "main")
@@ -136,13 +149,18 @@ def classify(b: Block, fits: bool, outside: bool = False, short: int = 70, low:
     size = max(1, len(b.text) - b.text.count(" "))
     if b.linked > links * size and not b.heading:
         return BAD
-    if len(b.text) < short * (1 + outside) or b.heading:
+    if length(b.text) < short * (1 + outside) or b.heading:
         return BAD if outside or b.linked and not b.heading and not b.main else DOUBT
     if fits and density(b.text) < low:
         return BAD if outside else DOUBT
     return GOOD
 
 
+def length(text: str) -> int:
+    """Characters, East Asian ones twice, since they say as much as two letters."""
+    return len(text) if text.isascii() else len(text) + sum(c >= "\u2e80" for c in text)
+
+
 def density(text: str) -> float:
     """The share of stop words among a text's words."""
     words = [w.strip(".,;:!?\"'()[]*#$%&|").lower() for w in text.split()]
@@ -150,20 +168,43 @@ def density(text: str) -> float:
 
 
 def labels_of(found: list[Block], marked: bool) -> list[int]:
-    """The labels of a page's blocks after both passes."""
-    labels = [classify(b, True) for b in found]
+    """The labels of a page's blocks after both passes.
+
+    What is in an element with a sign in a part of a compound name is bad unless that element holds most of the page's text
+    that isn't bad: then it is a wrapper.
+    """
+    labels = [classify(b, False) for b in found]
+    sizes: dict[int, int] = {}
+    total = 0
+    for b, label in zip(found, labels, strict=True):
+        if label != BAD:
+            total += len(b.text)
+            for k in b.suspects:
+                sizes[k] = sizes.get(k, 0) + len(b.text)
+    if any(b.suspects for b in found):
+        inside = [all(2 * sizes.get(k, 0) > total for k in b.suspects) for b in found]
+        rest = iter(labels_of([_free(b) for b, x in zip(found, inside, strict=True) if x], marked))
+        return [next(rest) if x else BAD for x in inside]
+    # stop words say nothing about a page in a language that isn't listed
+    fits = density(" ".join(b.text for b, label in zip(found, labels, strict=True) if label == GOOD)) >= 0.1
+    labels = [classify(b, fits) for b in found]
     counts = False
     if marked:
         good = [(len(b.text), b.main) for b, label in zip(found, labels, strict=True) if label == GOOD]
         # where nothing is good, or most of it outside, the mark says nothing
         counts = 2 * sum(n for n, main in good if main) > sum(n for n, _ in good)
         if counts:
-            labels = [classify(b, True, outside=not b.main) for b in found]
+            labels = [classify(b, fits, outside=not b.main) for b in found]
     # a heading in doubt over links goes with them, unless the main part that counts holds it
     for k in range(len(found) - 2, -1, -1):
         if found[k].heading and labels[k] == DOUBT and labels[k + 1] == BAD and not (counts and found[k].main):
             labels[k] = BAD
-    return settle(labels)
+    # where nothing is good, links alone decide about nothing but themselves
+    return settle(labels) if GOOD in labels else [GOOD if x == DOUBT else x for x in labels]
+
+
+def _free(b: Block) -> Block:
+    return Block(b.text, b.linked, b.main, b.heading)
 
 
 def settle(labels: list[int]) -> list[int]:

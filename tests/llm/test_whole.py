@@ -42,3 +42,15 @@ def test_html_teasers_and_long_text_outside_of_the_mark():
     assert html_text.main_text(f"<article>{body}</article><div>{PROSE} {PROSE}</div><div>imprint</div>") == " ".join([*(f"{PROSE} {k}" for k in range(4)), PROSE, PROSE])
     list_of_links = "<ul>" + "<li><a href=x>some other page</a>" * 5 + "</ul>"
     assert html_text.main_text(f"<div>{list_of_links}{body}</div>") == " ".join(f"{PROSE} {k}" for k in range(4))
+
+
+def test_html_other_languages_and_compound_names():
+    russian = "Корабль шёл к острову, когда началась буря, и от него осталась только часть мачты, которую потом нашли на берегу рыбаки."
+    chinese = "这艘船在驶往岛屿的途中遇到了暴风雨，最后只剩下一截桅杆，后来被渔民在岸边找到并带回了村子里保存起来。"
+    menu = "<div>" + "<div><a href=x>page</a></div>" * 6 + "</div>"
+    for text in (russian, chinese):
+        assert html_text.main_text(f"{menu}<div><p>{text}</p><p>{text}</p></div>") == f"{text} {text}"
+    assert html_text.main_text(f"{menu}<p>short one</p>") == "short one"
+    for name in ("content with-sidebar", "no-sidebar", "post_no-comments"):
+        assert html_text.main_text(f'<div class="{name}"><p>{PROSE}</p><p>{PROSE}</p></div>') == f"{PROSE} {PROSE}"
+    assert html_text.main_text(f'<div class="no-sidebar"><p>{PROSE}<p>{PROSE}<div class=comment-list><p>{PROSE}</div></div><div id=site-footer>imprint') == f"{PROSE} {PROSE}"
