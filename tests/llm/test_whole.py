@@ -2,7 +2,7 @@
 
 import random
 
-from quillspark.llm import html_text, lines
+from quillspark.llm import html_text, licenses, lines
 
 
 def resembling(seed, n, lengths):
@@ -54,3 +54,11 @@ def test_html_other_languages_and_compound_names():
     for name in ("content with-sidebar", "no-sidebar", "post_no-comments"):
         assert html_text.main_text(f'<div class="{name}"><p>{PROSE}</p><p>{PROSE}</p></div>') == f"{PROSE} {PROSE}"
     assert html_text.main_text(f'<div class="no-sidebar"><p>{PROSE}<p>{PROSE}<div class=comment-list><p>{PROSE}</div></div><div id=site-footer>imprint') == f"{PROSE} {PROSE}"
+
+
+def test_license_headers(spark):
+    mpl = "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/.\n\nint main() { return 0; }"
+    gpl = "/*\n    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.\n\n    This program is distributed in the hope that it will be useful,\n    but WITHOUT ANY WARRANTY; without even the implied warranty of\n    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n    GNU General Public License for more details.\n*/\nint x;"
+    rows = {"a.c": mpl, "b.c": gpl, "c.py": "# SPDX-License-Identifier: Apache-2.0\nimport os", "d.c": "/* Copyright (c) 2020 Foo Inc. All rights reserved. */\nint y;", "COPYING": "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "e/LICENSE": "MIT License\n\nCopyright (c) 2020 Foo\n\n" + licenses._MIT, "f.c": "int main() { return 0; }"}
+    got = {r.path: r.own_license for r in licenses.scan(spark.createDataFrame([*rows.items()], "path string, text string")).collect()}
+    assert got == {"a.c": "MPL-2.0", "b.c": "GPL-3.0", "c.py": "Apache-2.0", "d.c": "proprietary", "COPYING": "GPL-3.0", "e/LICENSE": "MIT", "f.c": None}
