@@ -216,7 +216,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int,
 
 
 def link_components(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links (partners held against it that link) for ``docs(doc_id, text)``.
+    """doc_id, n_shingles and component_id for ``docs(doc_id, text)``.
 
     A null or empty text has no shingles and is its own component; rows that repeat are copies; ids must not be null (rows
     with a null id are returned with a null component and link nothing). Other columns are not read.
@@ -250,19 +250,35 @@ def link_components(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
     release(spark)
     more = written(_verify(across, d, classes, percent, words), "links")
     release(spark)
-    all_links = links.unionByName(more)
     if more.limit(1).count():
-        comps = written(components(all_links), "components")
+        comps = written(components(links.unionByName(more)), "components")
     # nodes are hashes: a component is named by its smallest document
     named = classes.join(comps, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     named = written(named, "named")
     least = written(named.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
     final = written(named.join(least, "component").select("node", "component_id"), "final")
-    counts = all_links.unionByName(all_links.selectExpr("b AS a", "a AS b")).groupBy("a").agg(F.count("*").alias("n_links")).withColumnRenamed("a", "node")
-    final = written(final.join(counts, "node", "left"), "final")
     out = digest.join(final, "node", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+def count_links(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
+    """doc_id and n_links, the number of other documents that it links to, for every different id of ``docs(doc_id, text)``.
+
+    ``link_components`` needs just enough links to join a component; here every pair of different sets that share a
+    signature is verified, which grows with the square of a group of near copies as the links themselves do. Ids must not repeat.
+    """
+    d = only(docs, "doc_id", "text").where("doc_id IS NOT NULL").select("doc_id", F.coalesce(utf8("text"), F.lit(b"")).alias("text"))
+    digest = written(digests(d, words), "digests")
+    classes = written(digest.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies")), "classes")
+    shared = written(shared_signatures(d, percent / 100, words).select("signature", "node"), "shared")
+    pairs = shared.withColumnRenamed("node", "a").join(shared.withColumnRenamed("node", "b"), "signature").where("a < b").select("a", "b").distinct()
+    links = written(_verify(written(pairs, "pairs"), d, classes, percent, words), "links")
+    release(docs.sparkSession)
+    both = links.unionByName(links.selectExpr("b AS a", "a AS b"))
+    others = both.join(classes.selectExpr("node AS b", "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
+    found = classes.join(others, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return digest.select("doc_id", "node").distinct().join(found, "node", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:

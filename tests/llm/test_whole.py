@@ -2,7 +2,7 @@
 
 import random
 
-from quillspark.llm import html_text, licenses, lines
+from quillspark.llm import html_text, licenses, lines, ngram_join
 
 
 def resembling(seed, n, lengths):
@@ -62,3 +62,13 @@ def test_license_headers(spark):
     rows = {"a.c": mpl, "b.c": gpl, "c.py": "# SPDX-License-Identifier: Apache-2.0\nimport os", "d.c": "/* Copyright (c) 2020 Foo Inc. All rights reserved. */\nint y;", "COPYING": "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "e/LICENSE": "MIT License\n\nCopyright (c) 2020 Foo\n\n" + licenses._MIT, "f.c": "int main() { return 0; }"}
     got = {r.path: r.own_license for r in licenses.scan(spark.createDataFrame([*rows.items()], "path string, text string")).collect()}
     assert got == {"a.c": "MPL-2.0", "b.c": "GPL-3.0", "c.py": "Apache-2.0", "d.c": "proprietary", "COPYING": "GPL-3.0", "e/LICENSE": "MIT", "f.c": None}
+
+
+def test_every_link_is_counted(spark):
+    r = random.Random(9)
+    base = [f"w{r.randint(0, 10**6)}" for _ in range(150)]
+    texts = [" ".join([*base, f"tail{k}", "z"]) for k in range(80)] + [" ".join(base[:130])] * 2 + ["", "other words", None]
+    sets = [{*zip(*[t.split()[k:] for k in range(5)], strict=False)} or {tuple(t.split())} - {()} for t in (t or "" for t in texts)]
+    want = [sum(i != j and bool(x) and 100 * len(x & y) >= 80 * len(x | y) for j, y in enumerate(sets)) for i, x in enumerate(sets)]
+    d = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.n_links for r in ngram_join.count_links(d).collect()} == dict(enumerate(want)) and want[0] == 81
