@@ -143,8 +143,9 @@ def shared_signatures(docs: DataFrame, similarity: float, words: int = 5) -> Dat
                 k, n, s = (np.concatenate([a, b]) for a, b in zip(carry, (k, n, s), strict=True))
             if not len(k):
                 continue
-            # the last row waits for the next batch, so that every row knows both neighbours
+            # the last row waits for the next batch, so that every row knows both neighbours; the carried one's first is handled
             alone = np.ones(len(k), bool)
+            alone[0] = k[0] != key
             same = k[1:] == k[:-1]
             alone[1:] &= ~same
             alone[:-1] &= ~same

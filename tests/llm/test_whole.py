@@ -72,3 +72,19 @@ def test_every_link_is_counted(spark):
     want = [sum(i != j and bool(x) and 100 * len(x & y) >= 80 * len(x | y) for j, y in enumerate(sets)) for i, x in enumerate(sets)]
     d = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
     assert {r.doc_id: r.n_links for r in ngram_join.count_links(d).collect()} == dict(enumerate(want)) and want[0] == 81
+
+
+def test_groups_across_batches_stay_whole(spark):
+    r = random.Random(4)
+    base = [[f"w{r.randint(0, 10**6)}" for _ in range(60)] for _ in range(6)]
+    d = spark.createDataFrame([(2 * k + i, " ".join([*b, f"tail{i}"])) for k, b in enumerate(base) for i in range(2)], "doc_id long, text string")
+    found = []
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (10_000, 2, 3):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            found.append(sorted((x.signature, x.node) for x in ngram_join.shared_signatures(d, 0.8).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    print("groups of", [len(x) for x in found])
+    assert found[0] and found[1] == found[0] and found[2] == found[0]
