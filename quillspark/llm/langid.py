@@ -125,17 +125,23 @@ class Filters:
 def learn(labelled: DataFrame, max_rows: int = 20_000, least: float = 2e-5, near_best: float = 0.3) -> Filters:
     """Filters from ``labelled(doc_id, text, lang)``.
 
-    The classifier is fitted on about ``max_rows`` rows, those with the smallest hash of text; a language keeps the n-grams
+    The classifier is fitted on about ``max_rows`` different texts: all of them if there are no more, else of each language
+    an equal part of ``max_rows``, those with the smallest hash, or all that it has. A language keeps the n-grams
     that are ``least`` of its own and at least ``near_best`` times as frequent as where they are most frequent. The driver
     gets 1 / ``least`` n-grams of a language at most. Languages come by falling number of rows, so ties go to the commoner.
     """
     d = only(labelled, "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in d.groupBy("lang").count().collect()}
+    d = d.withColumn("h", F.xxhash64("text"))
+    found = d.groupBy("lang", "h").agg(F.count("*").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).collect()
+    sizes, texts = {r["lang"]: r["n"] for r in found}, {r["lang"]: r["texts"] for r in found}
     languages = sorted(sizes, key=lambda x: (-sizes[x], x))
     if not languages:
         return Filters.build([], {})
-    part = min(1.0, max_rows / sum(sizes.values()))
-    d = d.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(part * 1_000_000)) if part < 1 else d
+    if sum(texts.values()) > max_rows:
+        # hashes are spread evenly over 64 bits: 64 languages at most, a bound for each
+        bounds = [(x, min(2**63 - 1, -(2**63) + int(max_rows / len(texts) / n * 2**64))) for x, n in texts.items()]
+        d = d.join(F.broadcast(labelled.sparkSession.createDataFrame(bounds, "lang string, bound long")), "lang").where("h <= bound")
+    d = d.dropDuplicates(["lang", "h"])
 
     def count(batches):
         for batch in batches:

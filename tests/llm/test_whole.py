@@ -2,7 +2,7 @@
 
 import random
 
-from quillspark.llm import html_text, licenses, lines, ngram_join
+from quillspark.llm import html_text, langid, licenses, lines, ngram_join
 
 
 def resembling(seed, n, lengths):
@@ -88,3 +88,13 @@ def test_groups_across_batches_stay_whole(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     print("groups of", [len(x) for x in found])
     assert found[0] and found[1] == found[0] and found[2] == found[0]
+
+
+def test_rare_languages_are_learned(spark):
+    r = random.Random(6)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(5))
+    rows = [(k, " ".join(word("abcdefg") for _ in range(20)), "aa") for k in range(3000)] + [(5000 + k, "same text " * 9, "aa") for k in range(2000)]
+    rare = [(9000 + k, " ".join(word("nopqrst") for _ in range(20)), "bb") for k in range(20)]
+    d = spark.createDataFrame(rows + rare, "doc_id long, text string, lang string")
+    got = langid.predict(spark.createDataFrame(rare, d.schema), langid.learn(d, max_rows=60)).collect()
+    assert all(x.lang_pred == "bb" and x.score > 0.5 for x in got)
