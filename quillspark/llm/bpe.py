@@ -74,7 +74,7 @@ class ForcedBpe:
 
     def chunk(self, chunk: str) -> list[int]:
         """A run without ASCII white space."""
-        if self.special and "<|" in chunk and len(parts := self.special.split(chunk)) > 1:
+        if self.special and len(parts := self.special.split(chunk)) > 1:
             return [i for p in parts if p for i in ([self.tok.token_to_id(p)] if self.special.fullmatch(p) else self.chunk(p))]
         text = chunk.lower() if chunk.isascii() else self.tok.normalizer.normalize_str(chunk)
         if text.isascii() and text.isalpha():
@@ -94,7 +94,7 @@ class ForcedBpe:
             ids = [self.chunk(raw[s:e].decode("utf-8", "replace")) for s, e in zip(b.starts[at].tolist(), b.ends[at].tolist(), strict=True)]
             return [[np.array(x, "<u4") for x in ids], [np.frombuffer((self.decode(x) + " ").encode() if x else b"", np.uint8) for x in ids]]
 
-        entries = self.store.lookup(b.hashes, make)
+        entries = self.store.lookup(b.hashes, make, [b.low, b.high, b.sizes.astype(np.uint64)])
         out = []
         for field in (0, 1):
             values, lengths = self.store.gather(entries, field)

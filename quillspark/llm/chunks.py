@@ -15,8 +15,8 @@ import regex
 
 from .words import Block, Store, blocks, mix
 
-#: Beginnings of white space beyond ASCII (and separators that Python takes for it): texts with one are encoded by CAREFUL cuts.
-ODD = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\x1c", b"\x1d", b"\x1e", b"\x1f"]
+#: White space beyond ASCII (and separators that Python takes for it): texts with one are encoded by CAREFUL cuts.
+ODD = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]")
 CAREFUL = re.compile(r"(?<=\S)(?= )")
 PARTS = regex.compile(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+")
 #: How a chunk begins: at a text's start, after one space, or after one line feed.
@@ -108,16 +108,16 @@ class ByteBpe:
         ends_at[text_of_head] = b.ends[b.first[1:][text_of_head] - 1]
         odd[text_of_head] |= ends_at[text_of_head] != b.offsets[1:][text_of_head]
         raw = data.tobytes()
-        if any(x in raw for x in ODD):
-            for i in range(texts):
-                odd[i] |= any(x in raw[b.offsets[i] : b.offsets[i + 1]] for x in ODD)
+        found = np.array([m.start() for m in ODD.finditer(raw)], np.int64)
+        odd[np.searchsorted(b.offsets, found, "right") - 1] = True
         keep = ~np.repeat(odd, np.diff(b.first))
         starts, ends, how = starts[keep], b.ends[keep], how[keep]
 
         def make(at: np.ndarray) -> list[list[np.ndarray]]:
             return [[np.array(self.chunk(raw[s:e].decode("utf-8", "replace"), k), self.dtype) for s, e, k in zip(starts[at].tolist(), ends[at].tolist(), how[at].tolist(), strict=True)]]
 
-        entries = self.store.lookup(mix(b.hashes[keep] + how.astype(np.uint64)), make)
+        kind = b.sizes[keep].astype(np.uint64) * np.uint64(4) + how.astype(np.uint64)
+        entries = self.store.lookup(mix(b.hashes[keep] + how.astype(np.uint64)), make, [b.low[keep], b.high[keep], kind])
         ids, lengths = self.store.gather(entries)
         sums = np.concatenate([[0], np.cumsum(lengths)])
         first = np.concatenate([[0], np.cumsum(np.where(odd, 0, np.diff(b.first)))])

@@ -2,13 +2,14 @@
 
 Pattern packing: only the histogram of piece lengths (``capacity`` numbers at most, whatever the corpus) reaches the
 driver. Patterns of few pieces that fill a sequence are enumerated, repeat counts are fitted to the histogram by
-non-negative least squares, rounded down, and what they leave is packed by best fit, again on the histogram. Pieces then
+non-negative least squares, rounded, and what they leave is packed by best fit, again on the histogram. Pieces then
 find their place by their rank among the pieces of their length, so no task ever holds all pieces of a length.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,20 +30,24 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """Rows of up to four lengths (0: none) that fill a sequence, or fill it best with the last one."""
-    have = np.zeros(capacity + 1, bool)
-    have[lengths] = True
-    below = np.maximum.accumulate(np.where(have, np.arange(capacity + 1), 0))  # the largest length that fits
-    rows = [np.stack([lengths, *[np.zeros_like(lengths)] * 3], 1)]
-    a = lengths
-    b = below[capacity - a]
-    rows.append(np.stack([a, b, below[capacity - a - b], np.zeros_like(a)], 1))
-    for share in (2, 3, 4, 6):
-        b = below[(capacity - a) // share]
-        c = below[capacity - a - b]
-        rows.append(np.stack([a, b, c, below[capacity - a - b - c]], 1))
+    """Rows of two to four lengths (0: none) that fill a sequence but for one part in 256 at most, longest first.
+
+    For each length the others are spread over what may stand beside it; the last is the largest that fits.
+    """
+    have = np.zeros(capacity + 1, np.int64)
+    have[lengths] = lengths
+    below = np.maximum.accumulate(have)  # the largest length that fits
+    a, none = lengths, np.zeros_like(lengths)
+    rows = [np.stack([a, below[capacity - a], none, none], 1)]
+    for part in range(1, 24):
+        b = below[(capacity - a) * part // 24]
+        rest = capacity - a - b
+        rows.append(np.stack([a, b, below[rest], none], 1))
+        for share in (2, 4):
+            c = below[rest // share]
+            rows.append(np.stack([a, b, c, below[rest - c]], 1))
     found = np.sort(np.concatenate(rows), 1)[:, ::-1]
-    return np.unique(found, axis=0)
+    return np.unique(found[found.sum(1) >= capacity - capacity // 256], axis=0)
 
 
 def fit(pats: np.ndarray, hist: np.ndarray, rounds: int = 300) -> np.ndarray:
@@ -79,39 +84,80 @@ def fit(pats: np.ndarray, hist: np.ndarray, rounds: int = 300) -> np.ndarray:
     return c
 
 
+class Bins:
+    """Open sequences by the room they have left: kinds (lengths, longest first) and how many there are of each."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.by_room: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+        self.open = np.zeros(capacity + 1, np.int64)
+
+    def put(self, lengths: tuple[int, ...], m: int) -> None:
+        room = self.capacity - sum(lengths)
+        self.by_room.setdefault(room, []).append((lengths, m))
+        self.open[room] += m
+
+    def take(self, room: int, m: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        """``m`` of the sequences with this room."""
+        self.open[room] -= m
+        kinds = self.by_room[room]
+        while m:
+            lengths, n = kinds.pop()
+            if n > m:
+                kinds.append((lengths, n - m))
+            yield lengths, min(m, n)
+            m -= min(m, n)
+
+    def best_fit(self, left: np.ndarray) -> None:
+        """Packs the pieces of a histogram, longest first, each into the open sequence with the least room that holds it."""
+        for x in np.flatnonzero(left)[::-1].tolist():
+            n = int(left[x])
+            while n:
+                rooms = np.flatnonzero(self.open[x:])
+                if not len(rooms):
+                    per = self.capacity // x
+                    self.put((x,) * min(per, n), max(1, n // per))
+                    n -= min(per, n) * max(1, n // per)
+                    continue
+                room = x + int(rooms[0])
+                per = min(n, room // x)  # what one has room for, best fit gives it before it opens the next
+                m = min(int(self.open[room]), n // per)
+                for lengths, k in list(self.take(room, m)):
+                    self.put(lengths + (x,) * per, k)
+                n -= per * m
+
+    def rows(self) -> list[tuple[tuple[int, ...], int]]:
+        return [(lengths, m) for _, kinds in sorted(self.by_room.items()) for lengths, m in kinds if m]
+
+
 def plan(hist: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths, longest first) and how many sequences get each; every piece of the histogram is used once."""
-    left = hist.astype(np.int64).copy()
-    left[0] = 0
-    out: list[tuple[tuple[int, ...], int]] = []
-    lengths = np.flatnonzero(left)
-    if len(lengths):
-        pats = patterns(lengths, capacity)
-        counts = np.floor(fit(pats, left) + 1e-6).astype(np.int64)
-        order = np.argsort(-pats.sum(1) * 10_000 - pats[:, 0], kind="stable")
-        for p in order[(counts[order] > 0) & (pats[order].sum(1) >= capacity - capacity // 256)]:
-            kinds, need = np.unique(pats[p][pats[p] > 0], return_counts=True)
-            m = int(min(counts[p], (left[kinds] // need).min()))
-            if m > 0:
-                left[kinds] -= m * need
-                out.append((tuple(int(x) for x in pats[p] if x), m))
-    while (lengths := np.flatnonzero(left)).size:  # best fit on what is left: each turn uses up a length
-        room, chosen, used = capacity, [], {}
-        while True:
-            fits = lengths[: np.searchsorted(lengths, room, "right")]
-            while len(fits) and left[fits[-1]] <= used.get(int(fits[-1]), 0):
-                fits = fits[:-1]
-            if not len(fits):
-                break
-            x = int(fits[-1])
-            chosen.append(x)
-            used[x] = used.get(x, 0) + 1
-            room -= x
-        m = int(min(left[x] // k for x, k in used.items()))
-        for x, k in used.items():
-            left[x] -= m * k
-        out.append((tuple(chosen), m))
-    return out
+    """Kinds of sequence (lengths, longest first) and how many there are of each; every piece of the histogram is used once.
+
+    The fitted counts are rounded down, to the nearest, and up, as far as the pieces go; best fit packs the rest, into what
+    patterns leave as into new sequences. Of the three, and of best fit alone, the plan with the fewest sequences is taken.
+    """
+    hist = hist.astype(np.int64).copy()
+    hist[0] = 0
+    lengths = np.flatnonzero(hist)
+    if not len(lengths):
+        return []
+    pats = patterns(lengths, capacity)
+    fitted = fit(pats, hist) if len(pats) else np.zeros(0)
+    order = np.argsort(-pats.sum(1) * 10_000 - pats[:, 0], kind="stable")
+    found = []
+    for more in (1e-6, 0.5, 1 - 1e-6, None):
+        left, bins = hist.copy(), Bins(capacity)
+        if more is not None:
+            counts = np.floor(fitted + more).astype(np.int64)
+            for p in order[counts[order] > 0]:
+                kinds, need = np.unique(pats[p][pats[p] > 0], return_counts=True)
+                m = int(min(counts[p], (left[kinds] // need).min()))
+                if m > 0:
+                    left[kinds] -= m * need
+                    bins.put(tuple(int(x) for x in pats[p] if x), m)
+        bins.best_fit(left)
+        found.append(bins.rows())
+    return min(found, key=lambda rows: sum(m for _, m in rows))
 
 
 def slots(packed: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

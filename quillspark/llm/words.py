@@ -1,7 +1,9 @@
 """Words of many texts at once, in numpy, over Arrow's own buffers.
 
-A block is a run of rows; its words (runs of bytes outside ``[\\x20\\x09-\\x0D]``) get 64-bit hashes from prefix sums, with
-no Python object per word. ``Store`` keeps what was computed for a distinct word and looks words up by hash.
+A block is a run of rows; its words (runs of bytes outside ``[\\x20\\x09-\\x0D]``) get an identity of three numbers, with no
+Python object per word: two words have the same only if they are equal, or both longer than 16 bytes and of one 128-bit
+digest. A 64-bit hash is mixed from the identity. ``Store`` keeps what was computed for a distinct word, looks words up
+by hash and compares identities.
 """
 
 from __future__ import annotations
@@ -10,33 +12,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK_BYTES = 1_000_000
-_SEED = np.random.Generator(np.random.PCG64(20240229))
-_LETTER = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
 #: Bytes that part words: fixed values.
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: A-Z to a-z, other bytes unchanged.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1), modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.ones(1, np.uint64)
-        step = np.uint64(base)
-        with np.errstate(over="ignore"):
-            while len(have) < n:
-                have = np.concatenate([have, have * step])
-                step = step * step
-        _powers[base] = have
-    return have[:n]
+#: For 0..8 bytes, the mask that keeps as many of a little-endian number of eight.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -71,14 +57,29 @@ class Block:
             after |= edge[1:]
         self.starts = np.flatnonzero(before & ~space)
         self.ends = np.flatnonzero(after & ~space) + 1
+        self.sizes = self.ends - self.starts
+        self.low, self.high = self._identity(data)
         with np.errstate(over="ignore"):
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_LETTER[data] * powers(_BASE, n), out=sums[1:])
-            h = (sums[self.ends] - sums[self.starts]) * powers(_INVERSE, n + 1)[self.starts]
-            self.hashes = mix(h + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+            h = mix(self.low + self.sizes.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+            self.hashes = mix(h ^ (self.high * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x165667B19E3779F9)))
         self.first = np.searchsorted(self.starts, self.offsets)
 
 
+    def _identity(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two numbers a word: its 16 bytes, or the digest of a longer one."""
+        padded = np.concatenate([data, np.zeros(16, np.uint8)])
+        eight = np.ndarray((len(data) + 9,), "<u8", padded, strides=(1,))
+        low = eight[self.starts] & _MASK[np.minimum(self.sizes, 8)]
+        high = np.zeros(len(low), np.uint64)
+        if len(at := np.flatnonzero(self.sizes > 8)):
+            high[at] = eight[self.starts[at] + 8] & _MASK[np.minimum(self.sizes[at] - 8, 8)]
+        if len(at := np.flatnonzero(self.sizes > 16)):
+            raw = memoryview(np.ascontiguousarray(data))
+            digests = b"".join([xxhash.xxh3_128_digest(raw[s:e]) for s, e in zip(self.starts[at].tolist(), self.ends[at].tolist(), strict=True)])
+            low[at], high[at] = np.frombuffer(digests, "<u8").reshape(-1, 2).T
+        return low, high
+
+
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     """A binary column (nulls as empty texts) in blocks of about ``limit`` bytes and whole rows."""
     if column.null_count:
@@ -103,9 +104,9 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Store:
-    """What ``make`` gives for each distinct key, by 64-bit hash.
+    """What ``make`` gives for each distinct key, by 64-bit hash and identity (three numbers).
 
-    ``make`` gets the position of one occurrence of each new hash and returns an array per field for each of them. At
+    ``make`` gets the position of one occurrence of each new key and returns an array per field for each of them. At
     ``2**bits`` slots (a quarter filled at most) the store is emptied and begins anew: the bound on a worker's memory.
     """
 
@@ -122,55 +123,63 @@ class Store:
         self.used = [0] * len(self.dtypes)
         self.start = [np.zeros(1 << 16, np.int64) for _ in self.dtypes]
         self.length = [np.zeros(1 << 16, np.int64) for _ in self.dtypes]
+        self.identity = [np.zeros(1 << 16, np.uint64) for _ in range(3)]
 
     def _place(self, h: np.ndarray, p: int) -> np.ndarray:
         return ((h >> np.uint64(64 - self.bits)).astype(np.int64) + p * (2 * p + 1)) & ((1 << self.bits) - 1)
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
+    def _find(self, h: np.ndarray, identity: list[np.ndarray]) -> np.ndarray:
         out = np.full(len(h), -1, np.int64)
         left = np.arange(len(h))
         for p in range(self.PROBES):
             at = self._place(h[left], p)
             k = self.keys[at]
+            slot = self.slots[at]
             hit = k == h[left]
-            out[left[hit]] = self.slots[at[hit]]
+            for own, x in zip(self.identity, identity, strict=True):
+                hit &= own[slot] == x[left]
+            out[left[hit]] = slot[hit]
             left = left[~hit & (k != 0)]
             if not len(left):
                 break
         return out
 
-    def lookup(self, h: np.ndarray, make: Callable[[np.ndarray], list[list[np.ndarray]]]) -> np.ndarray:
-        """The entry of each hash; new ones are made."""
+    def lookup(self, h: np.ndarray, make: Callable[[np.ndarray], list[list[np.ndarray]]], identity: list[np.ndarray] | None = None) -> np.ndarray:
+        """The entry of each key; new ones are made. Without identities the hash is one."""
         h = np.where(h == 0, np.uint64(1), h)
-        found = self._find(h)
-        if (miss := found < 0).any():
+        identity = identity or [h, h, h]
+        found = self._find(h, identity)
+        while len(miss := np.flatnonzero(found < 0)):
+            # of keys with one hash that differ, one comes in a turn
             new, at = np.unique(h[miss], return_index=True)
             if self.n and self.n + len(new) > 1 << (self.bits - 2):
                 self.clear()
-                return self.lookup(h, make)
-            self._insert(new, make(np.flatnonzero(miss)[at]))
-            found[miss] = self._find(h[miss])
-            if (found < 0).any():
+                return self.lookup(h, make, identity)
+            at = miss[at]
+            self._insert(new, [x[at] for x in identity], make(at))
+            found[miss] = self._find(h[miss], [x[miss] for x in identity])
+            if (found[at] < 0).any():  # no place left within the probes
                 if self.n == len(new):  # more than one block can fill: a larger table
                     self.bits += 2
                 self.clear()
-                return self.lookup(h, make)
+                return self.lookup(h, make, identity)
         return found
 
-    def _insert(self, new: np.ndarray, made: list[list[np.ndarray]]) -> None:
+    def _insert(self, new: np.ndarray, identity: list[np.ndarray], made: list[list[np.ndarray]]) -> None:
         entry = np.arange(self.n, self.n + len(new), dtype=np.int32)
+        grown = lambda x, n: x if n <= len(x) else np.concatenate([x, np.zeros(max(len(x), n - len(x)), x.dtype)])
         for f, values in enumerate(made):
             sizes = np.fromiter(map(len, values), np.int64, len(values))
             flat = np.concatenate(values) if len(values) else np.zeros(0, self.dtypes[f])
-            while self.used[f] + len(flat) > len(self.flat[f]):
-                self.flat[f] = np.concatenate([self.flat[f], np.zeros_like(self.flat[f])])
-            while self.n + len(new) > len(self.start[f]):
-                self.start[f] = np.concatenate([self.start[f], np.zeros_like(self.start[f])])
-                self.length[f] = np.concatenate([self.length[f], np.zeros_like(self.length[f])])
+            self.flat[f] = grown(self.flat[f], self.used[f] + len(flat))
+            self.start[f], self.length[f] = grown(self.start[f], self.n + len(new)), grown(self.length[f], self.n + len(new))
             self.flat[f][self.used[f] : self.used[f] + len(flat)] = flat
             self.start[f][self.n : self.n + len(new)] = self.used[f] + np.cumsum(sizes) - sizes
             self.length[f][self.n : self.n + len(new)] = sizes
             self.used[f] += len(flat)
+        self.identity = [grown(x, self.n + len(new)) for x in self.identity]
+        for own, x in zip(self.identity, identity, strict=True):
+            own[self.n : self.n + len(new)] = x
         self.n += len(new)
         left = np.arange(len(new))
         for p in range(self.PROBES):

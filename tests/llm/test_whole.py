@@ -2,7 +2,15 @@
 
 import random
 
-from quillspark.llm import html_text, langid, licenses, lines, ngram_join
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from quillspark.llm import html_text, langid, licenses, lines, ngram_join, packing
+from quillspark.llm.bpe import forced_bpe
+from quillspark.llm.chunks import byte_bpe
+from quillspark.llm.queries import tokenizer_path
+from quillspark.llm.words import Store, blocks
 
 
 def resembling(seed, n, lengths):
@@ -98,3 +106,55 @@ def test_rare_languages_are_learned(spark):
     d = spark.createDataFrame(rows + rare, "doc_id long, text string, lang string")
     got = langid.predict(spark.createDataFrame(rare, d.schema), langid.learn(d, max_rows=60)).collect()
     assert all(x.lang_pred == "bb" and x.score > 0.5 for x in got)
+
+
+def thue_morse(n, letters="ab"):
+    """Two words of ``n`` letters that collide under any polynomial hash modulo a power of two."""
+    bits = [k.bit_count() & 1 for k in range(n)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)
+
+
+def test_words_that_collide_are_told_apart(spark):
+    from tokenizers import Tokenizer
+
+    texts = [*thue_morse(1024), *thue_morse(4096), "it\u2019s \u201cquoted\u201d \u2013 and\u2026", "x\u2003y\u2028z \u202f1", "\u00e9" * 9, "seventeen-letters", "sixteen-letters!", ""]
+    column = pa.array([t.encode() for t in texts])
+    for path, run in (("byte_bpe_50k.json", lambda b: byte_bpe(tokenizer_path("byte_bpe_50k.json")).block(b)), ("word_bpe_49k.json", lambda b: (lambda x: (x[0], np.diff(x[1])))(forced_bpe(tokenizer_path("word_bpe_49k.json")).block(b)[0]))):
+        tok = Tokenizer.from_file(tokenizer_path(path))
+        ids, n = run(next(blocks(column)))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n))[:-1]] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    d = spark.createDataFrame([*enumerate(texts[:4])], "doc_id long, text string")
+    assert all(r.component_id == r.doc_id for r in ngram_join.link_components(d).collect())
+
+
+def test_equal_hashes_are_told_apart():
+    store = Store([np.dtype(np.uint64)], 12)
+    h, words = np.full(6, 7, np.uint64), np.array([1, 2, 3, 1, 2, 3], np.uint64)
+    for _ in range(2):
+        found, _ = store.gather(store.lookup(h, lambda at: [[words[a : a + 1] for a in at]], [words, words, words]))
+        assert (found == words).all()
+
+
+@pytest.mark.parametrize(("name", "capacity"), [("even", 300), ("wide", 2048), ("lognormal", 2048), ("middle", 2048)])
+def test_plan_is_no_worse_than_best_fit(name, capacity):
+    r = np.random.default_rng(5)
+    pieces = {"even": lambda: r.integers(1, 301, 20_000), "wide": lambda: r.integers(1, 2049, 20_000), "lognormal": lambda: np.clip(r.lognormal(6, 1, 20_000), 1, 2048).astype(int), "middle": lambda: r.integers(500, 1201, 20_000)}[name]()
+    hist = np.bincount(pieces, minlength=capacity + 1)
+    bins = packing.Bins(capacity)
+    bins.best_fit(hist)
+    got = sum(m for _, m in packing.plan(hist, capacity))
+    assert got <= sum(m for _, m in bins.rows()) and got <= 1.01 * pieces.sum() / capacity + 1
+
+
+def test_best_fit_is_best_fit():
+    r = np.random.default_rng(8)
+    pieces = np.concatenate([r.integers(1, 100, 400), r.integers(20, 40, 300)])
+    rooms = []
+    for x in np.sort(pieces)[::-1].tolist():
+        fits = [(room, k) for k, room in enumerate(rooms) if room >= x]
+        if not fits:
+            rooms.append(100)
+        rooms[min(fits)[1] if fits else -1] -= x
+    bins = packing.Bins(100)
+    bins.best_fit(np.bincount(pieces, minlength=101))
+    assert sorted(100 - sum(p) for p, m in bins.rows() for _ in range(m)) == sorted(rooms)
