@@ -1,26 +1,42 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-Equal lines are one line first. Signatures are minima over all character shingles of a line, the same that the
-verification counts, so minima agree as often as the sets overlap. Bands of minima give candidates, whole shingle sets
-verify them, and distributed union-find joins verified lines; of each component the first line, by document and place, stays.
+Equal lines are one line first. A line is the set of its character shingles; minima of a signature are taken over those of
+them whose hash is in a line's share: all of a short line, and of a longer one as many as leave about SAMPLE, by bits of the
+hash, so that lines of one length choose alike. Bands of minima give candidates, a sketch of all minima tells which of them
+are likely to be similar, whole shingle sets verify those, and distributed union-find joins verified lines; of each
+component the first line, by document and place, stays.
+
+A band that many lines share isn't expanded into pairs: its lines are held against one of them first, and then against one
+of another component. After that only those pairs of different components are verified whose sketches agree and whose
+parity sketches differ by no more bits than the sets of similar lines may differ by elements.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import random
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE_RE, only, release, written
+from .common import WHITE_RE, drop_written, only, release, written
 from .graph import components
 
 #: Characters in a shingle, of the signature as of the verification.
 SHINGLE = 5
 #: Minima in a band, and bands: 99.5 % of the pairs with a similarity of 0.8 meet in one, 99.99 % of those with 0.9.
 ROWS, BANDS = 4, 10
-
-
-def _utf32(line: str) -> Column:
-    return F.expr(f"encode({line}, 'UTF-32')")
+#: Shingles that a signature is made of, at least, where a line has as many.
+SAMPLE = 48
+#: Minima, of ROWS * BANDS, that may differ: 99.8 % of the pairs with a similarity of 0.8 differ in no more.
+DIFFER = 16
+#: The same for lines that are held against a pivot: they are likely to be similar, and what is missed here comes afterwards.
+LIKELY = 9
+#: A signature of a sample in which fewer different shingles are minima is made again of all of the line's.
+FEW = 12
+#: Minima are those of a hash turned by some bits and crossed with a number: of one order each. Low bits choose the sample.
+_RANDOM = random.Random(20240229)
+ORDERS = [(turn, _RANDOM.randrange(-(2**63), 2**63)) for turn in range(0, 42, 6) for _ in range(6)][: ROWS * BANDS]
+NIBBLES = 0x1111111111111111
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -30,80 +46,182 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return d.where(F.col("line").rlike(f"[^{WHITE_RE[1:-1]}]")).withColumn("h", F.xxhash64("line"))
 
 
-def signatures(distinct: DataFrame) -> DataFrame:
-    """Per line (h) its bands: hashes of ROWS minima each. ``distinct(h, line)`` must be partitioned by h, so that nothing is shuffled."""
-    d = distinct.select("h", _utf32("line").alias("b"), F.length("line").alias("n"))
-    d = d.select("h", "b", F.explode(F.expr(f"sequence(0, greatest(0, n - {SHINGLE}))")).alias("i"))
-    d = d.select("h", F.expr(f"xxhash64(substring(b, 4 * i + 1, {4 * SHINGLE}))").alias("x"))
-    order = lambda k: F.xxhash64(F.lit(k), "x")
-    mins = d.groupBy("h").agg(*[F.min(order(k)).alias(f"m{k}") for k in range(ROWS * BANDS)])
-    return mins.select("h", F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
+def _turned(x: str, bits: int) -> str:
+    return f"(shiftleft({x}, {bits}) | shiftrightunsigned({x}, {64 - bits}))" if bits else x
 
 
-def _once(df: DataFrame, keep: tuple[str, ...], **made: Column) -> DataFrame:
-    """``keep`` and the new columns, each computed once a row: an optimizer copies no expression across an explode."""
-    return df.select(*keep, F.explode(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))).alias("__x")).select(*keep, *[f"__x.{n}" for n in made])
+def _share(n: str) -> str:
+    """How many low bits of a hash must be zero for a line of ``n`` shingles."""
+    return f"greatest(0, cast(floor(log2({n} / {SAMPLE}D)) AS int))"
 
 
-def _shingles(chars: str) -> Column:
-    """The set of shingles of SHINGLE characters in an array of characters; of a shorter one, itself. Arrays are read in place, where binaries are copied for each shingle."""
-    parts = ", ".join(f"get({chars}, i + {k})" for k in range(SHINGLE))
-    return F.expr(f"array_distinct(transform(sequence(0, greatest(0, size({chars}) - {SHINGLE})), i -> xxhash64({parts})))")
+def signatures(distinct: DataFrame, whole: bool = False) -> DataFrame:
+    """(h, share, bands, sketch, few) per line of ``distinct(h, line)``, which must be partitioned by h, so that nothing is shuffled.
+
+    A line near the end of its share has a signature in the next one too, where its longer partners are. ``bands`` are
+    hashes of ROWS minima each, ``sketch`` holds four bits of each minimum. ``whole`` makes them of all shingles.
+    """
+    n = f"greatest(1, length(line) - {SHINGLE - 1})"
+    d = distinct.selectExpr("h", "encode(line, 'UTF-32') AS b", f"{n} AS n")
+    d = d.selectExpr("h", "b", "n", *([f"{_share('n')} AS low", f"{_share('n * 1.25D')} AS high"] if not whole else ["0 AS low", "0 AS high"]))
+    d = d.select("h", "b", "low", "high", F.explode(F.expr("sequence(0, n - 1)")).alias("i"))
+    d = d.selectExpr("h", "low", "high", "i", f"xxhash64(substring(b, 4 * i + 1, {4 * SHINGLE})) AS x").where("i = 0 OR x & (shiftleft(1L, low) - 1) = 0")
+    # the first shingle stands for a line of which none is in the share
+    d = d.select("h", F.expr("CASE WHEN x & (shiftleft(1L, low) - 1) = 0 THEN x END AS x"), F.explode(F.expr("CASE WHEN high > low AND x & (shiftleft(1L, high) - 1) = 0 THEN array(low, high) ELSE array(low) END")).alias("share"))
+    mins = d.groupBy("h", "share").agg(*[F.min(F.expr(f"{_turned('x', turn)} ^ {number}L")).alias(f"m{k}") for k, (turn, number) in enumerate(ORDERS)])
+    bands = F.array(*[F.xxhash64(F.lit(b), "share", *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
+    mixed = lambda k: f"shiftleft(xxhash64(m{k}) & 15, {4 * (k % 16)})"
+    sketch = F.array(*[F.expr(" | ".join(mixed(k) for k in range(w, min(w + 16, len(ORDERS))))) for w in range(0, len(ORDERS), 16)])
+    picked = F.array_distinct(F.array(*[F.expr(_turned(f"(m{k} ^ {number}L)", 64 - turn) if turn else f"m{k} ^ {number}L") for k, (turn, number) in enumerate(ORDERS)]))
+    return mins.select("h", "share", bands.alias("bands"), sketch.alias("sketch"), (F.col("share") > 0).__and__(F.size(picked) < FEW).alias("few"))
+
+
+def agree(x: str, y: str, differ: int = DIFFER) -> str:
+    """SQL: two sketches differ in ``differ`` minima at most."""
+    word = lambda w: f"({x}[{w}] ^ {y}[{w}])"
+    some = lambda w: f"bit_count(({word(w)} | shiftrightunsigned({word(w)}, 1) | shiftrightunsigned({word(w)}, 2) | shiftrightunsigned({word(w)}, 3)) & {NIBBLES}L)"
+    return " + ".join(some(w) for w in range(-(-len(ORDERS) // 16))) + f" <= {differ}"
+
+
+def _shingles(line: str) -> Column:
+    """Every shingle of SHINGLE code points of a line; of a shorter one, itself. They may repeat."""
+    return F.expr(f"CASE WHEN length({line}) < {SHINGLE} THEN array({line}) ELSE regexp_extract_all({line}, '(?s)(?![\\\\x{{DC00}}-\\\\x{{DFFF}}])(?=(.{{{SHINGLE}}}))', 1) END")
+
+
+def _once(df: DataFrame, *keep: str, **made: Column) -> DataFrame:
+    """``keep`` and the new columns, each computed once a row: an optimizer copies no expression across an explode."""
+    return df.select(*keep, F.explode(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))).alias("__x")).select(*keep, *[f"__x.{n}" for n in made])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs(a, b)`` whose lines in ``texts(h, line)`` are similar enough. Lines are joined, and their sets made here: a set is 20 times its line."""
-    a, b = texts.selectExpr("h AS a", "line AS la"), texts.selectExpr("h AS b", "line AS lb")
-    both = pairs.join(a, "a").join(b, "b")
-    both = _once(both, ("a", "b"), ca=F.split("la", ""), cb=F.split("lb", ""))
-    both = _once(both, ("a", "b"), sa=_shingles("ca"), sb=_shingles("cb"))
-    both = _once(both, ("a", "b"), total=F.size("sa") + F.size("sb"), common=F.size(F.array_intersect("sa", "sb")))
+    """The ``pairs(a, b)`` whose lines in ``texts(h, line)`` are similar enough, by whole shingle sets. Lines are joined, and their sets made here: a set is 20 times its line."""
+    both = pairs.join(texts.selectExpr("h AS a", "line AS la"), "a").join(texts.selectExpr("h AS b", "line AS lb"), "b")
+    both = _once(both, "a", "b", sa=_shingles("la"), sb=_shingles("lb"))
+    both = _once(both, "a", "b", common=F.size(F.array_intersect("sa", "sb")), total=F.size(F.array_distinct("sa")) + F.size(F.array_distinct("sb")))
     return both.where(f"100 * common >= {percent} * (total - common)").select("a", "b")
 
 
-def dropped(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, line_no) of every line of ``docs(doc_id, text)`` that equals or resembles an earlier one.
+def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h, line) of the lines ``wanted(h)``."""
+    return written(lines.join(written(wanted.distinct(), "wanted"), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")), "texts")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("h"))
+
+
+def _width(share: str) -> str:
+    """64-bit words of a parity sketch: about four bits for each shingle that similar lines of a share may differ by, 4 to 64 words."""
+    return f"cast(greatest(4, least(64, shiftleft(1, least({share}, 6) + 1))) AS int)"
 
-    "Earlier" is by id, then by place: each component keeps its first line. Rows with a null id or text have no lines here;
-    rows that share an id are told apart by place only, so a line at a place that one of them keeps is kept in both.
+
+def parities(texts: DataFrame) -> DataFrame:
+    """(h, size, parity) of ``texts(h, line)``: the size of the shingle set, and a bit for the parity of the shingles dealt to it.
+
+    Two sets differ by as many shingles, at least, as their sketches do by bits.
     """
+    d = texts.withColumn("width", F.expr(_width(_share(f"greatest(1, length(line) - {SHINGLE - 1}) * 1.25D"))))
+    d = _once(d, "h", "width", s=F.array_distinct(_shingles("line"))).select("h", "width", F.size("s").alias("size"), F.explode("s").alias("x")).withColumn("x", F.xxhash64("x"))
+    d = d.groupBy("h", "width", "size", F.expr("cast(shiftrightunsigned(x, 6) & (width - 1) AS int)").alias("word")).agg(F.bit_xor(F.expr("shiftleft(1L, cast(x & 63 AS int))")).alias("bits"))
+    d = d.groupBy("h", "width", "size").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    return d.select("h", "size", F.expr("transform(sequence(0, width - 1), k -> coalesce(words[k], 0L))").alias("parity"))
+
+
+def _near(percent: int) -> str:
+    """SQL: the sizes and parity sketches of a and b let them be similar enough."""
+    differ = "aggregate(zip_with(parity_a, parity_b, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)"
+    return f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b) AND {differ} <= (size_a + size_b) * {100 - percent} div {100 + percent}"
+
+
+def _fold(width: str) -> str:
+    return f"CASE WHEN size(parity) > {width} THEN transform(sequence(0, {width} - 1), k -> aggregate(sequence(0, size(parity) div {width} - 1), 0L, (b, j) -> b ^ parity[cast(k + j * {width} AS int)])) ELSE parity END"
+
+
+#: Lines of a band that are held against each other by their sketches of minima alone; those of a larger one by parities too.
+SMALL = 48
+
+
+def linked(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """(a, b): links of lines, by hash, that join every component of similar lines."""
     spark = docs.sparkSession
     lines = lines_of(docs)
     # equal lines meet once per task before the shuffle; what follows stays in the partitions that this makes
-    classes = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("line").alias("line"))
-    bands = written(signatures(classes), "bands")
-    release(spark)
-    keyed = bands.select("h", F.explode("bands").alias("key"))
-    pivots = written(keyed.groupBy("key").agg(F.min("h").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot"), "pivots")
+    made = written(signatures(lines.groupBy("h").agg(F.first("line").alias("line"))), "signatures")
     release(spark)
-    shared = written(keyed.join(pivots, "key"), "shared")
+    few = made.where("few").select("h").distinct()
+    again = written(signatures(lines.join(few, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")), whole=True), "signatures")
+    made = made.unionByName(again)
+    by_key = Window.partitionBy("key").orderBy("h")
+    keyed = made.select("h", "share", F.explode("bands").alias("key"))
+    shared = keyed.select("key", "h", "share", F.lag("h").over(by_key).alias("before"), F.lead("h").over(by_key).alias("after")).where("before IS NOT NULL OR after IS NOT NULL").select("key", "h", "share")
+    shared = written(shared, "shared")
     release(spark)
-    pairs = written(shared.where("h <> pivot").selectExpr("pivot AS a", "h AS b").distinct(), "pairs")
-    wanted = written(shared.select("h").distinct(), "wanted")
-    texts = lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
-    texts = written(texts, "texts")
+    degree = shared.groupBy("h").agg(F.count("*").alias("degree"))
+    rows = written(shared.join(degree, "h").join(made.select("h", "share", "sketch"), ["h", "share"]).withColumn("c", F.col("h")), "rows")
+    for x in (shared, made, again):
+        drop_written(x)
+    tested = links = None
+    # each turn holds the lines of a band against one of them, the pivot: the line of another component than the last one's that shares the most bands
+    for turn in range(2):
+        pivots = rows if tested is None else rows.join(used, "key").where("c <> last")  # noqa: F821
+        pivots = written(pivots.groupBy("key").agg(F.max(F.struct("degree", "h", "c", "sketch")).alias("p")).selectExpr("key", "p.h AS pivot", "p.c AS other", "p.sketch AS its"), "pivots")
+        pairs = rows.join(pivots, "key").where("h <> pivot" + " AND c <> other" * turn).where(agree("sketch", "its", LIKELY)).selectExpr("least(h, pivot) AS a", "greatest(h, pivot) AS b").distinct()
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        new = written(_verified(pairs, _texts(lines, _ends(pairs)), percent), "links")
+        tested, links = (pairs, new) if tested is None else (tested.unionByName(pairs), links.unionByName(new))
+        comps = written(components(links), "components")
+        release(spark)
+        named = rows.drop("c").join(comps.withColumnRenamed("node", "h"), "h", "left").withColumn("c", F.coalesce("component", "h")).drop("component")
+        mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
+        rows = written(named.drop("n").join(mixed, "key"), "rows")
+        if not turn:
+            used = pivots.select("key", "pivot").join(comps.withColumnRenamed("node", "pivot"), "pivot", "left").select("key", F.coalesce("component", "pivot").alias("last"))
+    many = parities(_texts(lines, rows.where(f"n > {SMALL}").select("h")))
+    left = rows.join(many, "h", "left").withColumn("parity", F.expr(_fold(_width("share"))))
+    left = written(left, "left")
+    x, y = (left.selectExpr("key", *[f"{n} AS {n}_{k}" for n in ("h", "c", "sketch", "size", "parity")]) for k in "ab")
+    across = x.join(y, "key").where(f"h_a < h_b AND c_a <> c_b AND {agree('sketch_a', 'sketch_b')} AND (size_a IS NULL OR size_b IS NULL OR {_near(percent)})")
+    across = written(across.selectExpr("h_a AS a", "h_b AS b").distinct().join(tested, ["a", "b"], "left_anti"), "across")
     release(spark)
-    links = written(_verified(pairs, texts, percent), "links")
-    comps = written(components(links), "components")
-    rows = written(shared.join(comps.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("component", "h").alias("component")), "rows")
-    mixed = written(rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"), "mixed")
-    left = written(rows.join(mixed, "key"), "left")
-    x, y = left.selectExpr("key", "h AS a", "component AS ca"), left.selectExpr("key", "h AS b", "component AS cb")
-    across = written(x.join(y, "key").where("a < b AND ca <> cb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "across")
-    more = written(_verified(across, texts, percent), "links")
-    if more.limit(1).count():
-        comps = written(components(links.unionByName(more)), "components")
+    texts = _texts(lines, _ends(across))
+    marks = written(parities(texts), "parities")
+    x, y = (marks.selectExpr(f"h AS {k}", f"size AS size_{k}", f"parity AS parity_{k}") for k in "ab")
+    width = "least(size(parity_a), size(parity_b))"
+    near = across.join(x, "a").join(y, "b").withColumn("width", F.expr(width))
+    for k in "ab":
+        near = near.withColumn(f"parity_{k}", F.expr(_fold("width").replace("parity", f"parity_{k}")))
+    near = written(near.where(_near(percent)).select("a", "b"), "near")
+    more = written(_verified(near, texts, percent), "links")
     release(spark)
+    for x in (rows, left):
+        drop_written(x)
+    return links.unionByName(more)
+
+
+def dropped(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """(doc_id, line_no) of every line of ``docs(doc_id, text)`` that equals or resembles an earlier one."""
+    return _dropped(docs, percent).select("doc_id", "line_no")
+
+
+def _dropped(docs: DataFrame, percent: int) -> DataFrame:
+    """``dropped`` with each line's hash h.
+
+    "Earlier" is by id, then by place: each component keeps its first line. Rows with a null id or text have no lines here.
+    Where an id repeats, its rows' lines are told apart by place and hash: equal ones at one place stay or go together.
+    """
+    spark = docs.sparkSession
+    lines = lines_of(docs)
+    comps = written(components(linked(docs, percent)), "components")
     # each line's component, and the component's first line
     places = lines.select("h", "doc_id", "line_no")
     firsts = written(places.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n")), "firsts")
     named = firsts.join(comps.withColumnRenamed("node", "h"), "h", "left").select("h", "at", "n", F.coalesce("component", "h").alias("component"))
     named = written(named, "named")
-    best = written(named.groupBy("component").agg(F.min("at").alias("first"), F.sum("n").alias("n")).where("n > 1"), "best")
+    best = written(named.groupBy("component").agg(F.min(F.struct("at", "h")).alias("first"), F.sum("n").alias("n")).where("n > 1"), "best")
     repeated = written(named.select("h", "component").join(best.select("component", "first"), "component").select("h", "first"), "repeated")
     release(spark)
-    hit = places.join(repeated, "h").where("NOT (doc_id = first.doc_id AND line_no = first.line_no)")
-    return hit.select("doc_id", "line_no")
+    hit = places.join(repeated, "h").where("NOT (h = first.h AND doc_id = first.at.doc_id AND line_no = first.at.line_no)")
+    return hit.select("doc_id", "line_no", "h")
 
 
 def drop_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -112,11 +230,16 @@ def drop_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     Null texts stay null, an empty table stays empty; a text all of whose lines go becomes empty. ``n_chars``, where there
     is such a column, is brought up to date.
     """
-    gone = written(dropped(docs, percent).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone")), "gone")
+    gone = _dropped(docs, percent).groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "h")).alias(GONE))
+    gone = written(gone.withColumnRenamed("doc_id", GONE + "id"), "gone")
     release(docs.sparkSession)
-    out = docs.join(gone, "doc_id", "left")
-    kept = F.expr("CASE WHEN __gone IS NULL THEN text ELSE array_join(filter(split(text, '\\n'), (x, i) -> NOT array_contains(__gone, i)), '\\n') END")
-    out = out.withColumn("text", kept)
+    out = docs.join(gone, F.col("doc_id") == F.col(GONE + "id"), "left")
+    kept = F.expr(f"CASE WHEN {GONE} IS NULL THEN text ELSE array_join(filter(split(text, '\\n'), (x, i) -> NOT array_contains({GONE}, struct(i AS line_no, xxhash64(x) AS h))), '\n') END")
+    made = {"text": kept}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        made["n_chars"] = F.when(F.col(GONE).isNull(), F.col("n_chars")).otherwise(F.length(kept).cast(docs.schema["n_chars"].dataType))
+    return out.select(*[made.get(c, docs[c]).alias(c) for c in docs.columns])
+
+
+#: A name that no column of a table has.
+GONE = "__gone_6d1f0c"

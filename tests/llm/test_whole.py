@@ -158,3 +158,44 @@ def test_best_fit_is_best_fit():
     bins = packing.Bins(100)
     bins.best_fit(np.bincount(pieces, minlength=101))
     assert sorted(100 - sum(p) for p, m in bins.rows() for _ in range(m)) == sorted(rooms)
+
+
+def test_lines_of_an_id_that_repeats(spark):
+    x, y = "first line that is found nowhere else at all", "another line, found in two of the documents"
+    d = spark.createDataFrame([(1, y), (5, x), (5, y), (7, x + "\n" + x)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in lines.drop_lines(d).collect())
+    assert got == [(1, y), (5, ""), (5, x), (7, "")]
+
+
+def test_lines_against_brute_force(spark):
+    """Components of lines of every length, chains, long runs of one letter and ties at the threshold."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8)))
+    texts = []
+    for n in [3, 5, 9, 14, 30, 60, 120, 400]:
+        for _ in range(6):
+            base = [word() for _ in range(n)]
+            texts.append(" ".join(base))
+            for _ in range(3):
+                now = list(base)
+                for _ in range(max(1, n // 25)):
+                    now[r.randrange(n)] = word()
+                texts.append(" ".join(now))
+    texts += ["-" * 10, "-" * 500, "-" * 4000, "ok", "OK", "\U0001f600\U0001f601\U0001f602\U0001f603\U0001f604 ab", "abcdefghi", "abcdefghij"]
+    texts += [" ".join(f"w{k}x{j}" for k in range(40)) for j in (1, 2)]
+    sets = [{t[i : i + 5] for i in range(max(1, len(t) - 4))} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {(k, 0) for k in range(len(texts)) if find(k) != k}
+    got = {tuple(x) for x in lines.dropped(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    assert not got - want and len(got) >= 0.97 * len(want) and len(want) > 60
