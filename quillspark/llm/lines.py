@@ -31,7 +31,7 @@ SAMPLE = 48
 DIFFER = 16
 #: The same for lines that are held against a pivot: they are likely to be similar, and what is missed here comes afterwards.
 LIKELY = 9
-#: A signature of a sample in which fewer different shingles are minima is made again of all of the line's.
+#: A signature of a sample that has fewer different shingles, as a bitmap of 64 counts them, is made again of all of the line's.
 FEW = 12
 #: Minima are those of a hash turned by some bits and crossed with a number: of one order each. Low bits choose the sample.
 _RANDOM = random.Random(20240229)
@@ -55,25 +55,33 @@ def _share(n: str) -> str:
     return f"greatest(0, cast(floor(log2({n} / {SAMPLE}D)) AS int))"
 
 
-def signatures(distinct: DataFrame, whole: bool = False) -> DataFrame:
-    """(h, share, bands, sketch, few) per line of ``distinct(h, line)``, which must be partitioned by h, so that nothing is shuffled.
+def _once(df: DataFrame, *keep: str, **made: Column) -> DataFrame:
+    """``keep`` and the new columns, each computed once a row: an optimizer copies no expression across an explode."""
+    return df.select(*keep, F.explode(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))).alias("__x")).select(*keep, *[f"__x.{n}" for n in made])
+
+
+def signatures(distinct: DataFrame, *keep: str, whole: bool = False) -> DataFrame:
+    """(h, share, bands, sketch, few, and what to ``keep``) per line of ``distinct(h, line)``, which must be partitioned by h, so that nothing is shuffled.
 
     A line near the end of its share has a signature in the next one too, where its longer partners are. ``bands`` are
     hashes of ROWS minima each, ``sketch`` holds four bits of each minimum. ``whole`` makes them of all shingles.
     """
     n = f"greatest(1, length(line) - {SHINGLE - 1})"
-    d = distinct.selectExpr("h", "encode(line, 'UTF-32') AS b", f"{n} AS n")
-    d = d.selectExpr("h", "b", "n", *([f"{_share('n')} AS low", f"{_share('n * 1.25D')} AS high"] if not whole else ["0 AS low", "0 AS high"]))
-    d = d.select("h", "b", "low", "high", F.explode(F.expr("sequence(0, n - 1)")).alias("i"))
-    d = d.selectExpr("h", "low", "high", "i", f"xxhash64(substring(b, 4 * i + 1, {4 * SHINGLE})) AS x").where("i = 0 OR x & (shiftleft(1L, low) - 1) = 0")
+    d = distinct.selectExpr("h", *keep, "encode(line, 'UTF-32') AS b", f"greatest(1, length(line) - {SHINGLE - 1}) AS n")
+    d = d.selectExpr("h", *keep, "b", "n", *([f"{_share('n')} AS low", f"{_share('n * 1.25D')} AS high"] if not whole else ["0 AS low", "0 AS high"]))
+    d = d.select("h", *keep, "b", "low", "high", F.explode(F.expr("sequence(0, n - 1)")).alias("i"))
+    d = d.selectExpr("h", *keep, "low", "high", "i", f"xxhash64(substring(b, 4 * i + 1, {4 * SHINGLE})) AS x").where("i = 0 OR x & (shiftleft(1L, low) - 1) = 0")
     # the first shingle stands for a line of which none is in the share
-    d = d.select("h", F.expr("CASE WHEN x & (shiftleft(1L, low) - 1) = 0 THEN x END AS x"), F.explode(F.expr("CASE WHEN high > low AND x & (shiftleft(1L, high) - 1) = 0 THEN array(low, high) ELSE array(low) END")).alias("share"))
-    mins = d.groupBy("h", "share").agg(*[F.min(F.expr(f"{_turned('x', turn)} ^ {number}L")).alias(f"m{k}") for k, (turn, number) in enumerate(ORDERS)])
-    bands = F.array(*[F.xxhash64(F.lit(b), "share", *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
-    mixed = lambda k: f"shiftleft(xxhash64(m{k}) & 15, {4 * (k % 16)})"
-    sketch = F.array(*[F.expr(" | ".join(mixed(k) for k in range(w, min(w + 16, len(ORDERS))))) for w in range(0, len(ORDERS), 16)])
-    picked = F.array_distinct(F.array(*[F.expr(_turned(f"(m{k} ^ {number}L)", 64 - turn) if turn else f"m{k} ^ {number}L") for k, (turn, number) in enumerate(ORDERS)]))
-    return mins.select("h", "share", bands.alias("bands"), sketch.alias("sketch"), (F.col("share") > 0).__and__(F.size(picked) < FEW).alias("few"))
+    d = d.select("h", *keep, F.expr("CASE WHEN x & (shiftleft(1L, low) - 1) = 0 THEN x END AS x"), F.explode(F.expr("CASE WHEN high > low AND x & (shiftleft(1L, high) - 1) = 0 THEN array(low, high) ELSE array(low) END")).alias("share"))
+    mins = [F.min(F.expr(f"{_turned('x', turn)} ^ {number}L")).alias(f"m{k}") for k, (turn, number) in enumerate(ORDERS)]
+    mins = d.groupBy("h", "share", *keep).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(x, 58) AS int))")).alias("seen"), *mins)
+    # one array first: a projection of all that follows over 40 columns is too much code for the compiler
+    mins = _once(mins, "h", "share", "seen", *keep, m=F.array(*[f"m{k}" for k in range(len(ORDERS))]))
+    parts = ", ".join(f"m[{ROWS} * b + {r}]" for r in range(ROWS))
+    bands = F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, share, {parts}))")
+    sketch = F.expr(f"transform(sequence(0, {-(-len(ORDERS) // 16) - 1}), w -> aggregate(slice(m, 16 * w + 1, 16), 0L, (s, x) -> shiftleft(s, 4) | (xxhash64(x) & 15)))")
+    few = F.expr(f"share > 0 AND coalesce(bit_count(seen), 0) < {FEW}")
+    return mins.select("h", "share", *keep, bands.alias("bands"), sketch.alias("sketch"), few.alias("few"))
 
 
 def agree(x: str, y: str, differ: int = DIFFER) -> str:
@@ -88,11 +96,6 @@ def _shingles(line: str) -> Column:
     return F.expr(f"CASE WHEN length({line}) < {SHINGLE} THEN array({line}) ELSE regexp_extract_all({line}, '(?s)(?![\\\\x{{DC00}}-\\\\x{{DFFF}}])(?=(.{{{SHINGLE}}}))', 1) END")
 
 
-def _once(df: DataFrame, *keep: str, **made: Column) -> DataFrame:
-    """``keep`` and the new columns, each computed once a row: an optimizer copies no expression across an explode."""
-    return df.select(*keep, F.explode(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))).alias("__x")).select(*keep, *[f"__x.{n}" for n in made])
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The ``pairs(a, b)`` whose lines in ``texts(h, line)`` are similar enough, by whole shingle sets. Lines are joined, and their sets made here: a set is 20 times its line."""
     both = pairs.join(texts.selectExpr("h AS a", "line AS la"), "a").join(texts.selectExpr("h AS b", "line AS lb"), "b")
@@ -102,8 +105,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, line) of the lines ``wanted(h)``."""
-    return written(lines.join(written(wanted.distinct(), "wanted"), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")), "texts")
+    """(h, line) of the lines ``wanted(h)``. A bitmap of 2**22 bits keeps most of the others out of the shuffle."""
+    wanted = written(wanted.distinct(), "wanted")
+    bits = wanted.groupBy(F.expr("h & 65535").alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 16) & 63 AS int))")).alias("bits"))
+    bitmap = wanted.sparkSession.range(65536).join(bits, "id", "left").agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("b")).select(F.col("b.bits")).scalar()
+    some = lines.where(F.get(bitmap, F.expr("cast(h & 65535 AS int)")).bitwiseAND(F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 16) & 63 AS int))")) != 0)
+    return written(some.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")), "texts")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -141,16 +148,18 @@ def _fold(width: str) -> str:
 SMALL = 48
 
 
-def linked(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(a, b): links of lines, by hash, that join every component of similar lines."""
+def linked(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(a, b): links of lines, by hash, that join every component of similar lines; and (h, doc_id, line_no, n) of each different line, its first place and how many it has."""
     spark = docs.sparkSession
     lines = lines_of(docs)
     # equal lines meet once per task before the shuffle; what follows stays in the partitions that this makes
-    made = written(signatures(lines.groupBy("h").agg(F.first("line").alias("line"))), "signatures")
+    classes = lines.groupBy("h").agg(F.first("line").alias("line"), F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n_rows")).select("h", "line", "at.doc_id", "at.line_no", "n_rows")
+    made = written(signatures(classes, "doc_id", "line_no", "n_rows"), "signatures")
     release(spark)
-    few = made.where("few").select("h").distinct()
-    again = written(signatures(lines.join(few, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")), whole=True), "signatures")
-    made = made.unionByName(again)
+    firsts = written(made.groupBy("h").agg(F.first("doc_id").alias("doc_id"), F.first("line_no").alias("line_no"), F.first("n_rows").alias("n")), "firsts")
+    again = _texts(lines, made.where("few").select("h"))
+    again = written(signatures(again.groupBy("h").agg(F.first("line").alias("line")), whole=True), "signatures")
+    table, made = made, made.drop("doc_id", "line_no", "n_rows").unionByName(again)
     by_key = Window.partitionBy("key").orderBy("h")
     keyed = made.select("h", "share", F.explode("bands").alias("key"))
     shared = keyed.select("key", "h", "share", F.lag("h").over(by_key).alias("before"), F.lead("h").over(by_key).alias("after")).where("before IS NOT NULL OR after IS NOT NULL").select("key", "h", "share")
@@ -158,8 +167,9 @@ def linked(docs: DataFrame, percent: int = 80) -> DataFrame:
     release(spark)
     degree = shared.groupBy("h").agg(F.count("*").alias("degree"))
     rows = written(shared.join(degree, "h").join(made.select("h", "share", "sketch"), ["h", "share"]).withColumn("c", F.col("h")), "rows")
-    for x in (shared, made, again):
+    for x in (shared, table, again):
         drop_written(x)
+    texts = _texts(lines, rows.select("h"))
     tested = links = None
     # each turn holds the lines of a band against one of them, the pivot: the line of another component than the last one's that shares the most bands
     for turn in range(2):
@@ -167,7 +177,7 @@ def linked(docs: DataFrame, percent: int = 80) -> DataFrame:
         pivots = written(pivots.groupBy("key").agg(F.max(F.struct("degree", "h", "c", "sketch")).alias("p")).selectExpr("key", "p.h AS pivot", "p.c AS other", "p.sketch AS its"), "pivots")
         pairs = rows.join(pivots, "key").where("h <> pivot" + " AND c <> other" * turn).where(agree("sketch", "its", LIKELY)).selectExpr("least(h, pivot) AS a", "greatest(h, pivot) AS b").distinct()
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        new = written(_verified(pairs, _texts(lines, _ends(pairs)), percent), "links")
+        new = written(_verified(pairs, texts, percent), "links")
         tested, links = (pairs, new) if tested is None else (tested.unionByName(pairs), links.unionByName(new))
         comps = written(components(links), "components")
         release(spark)
@@ -176,15 +186,14 @@ def linked(docs: DataFrame, percent: int = 80) -> DataFrame:
         rows = written(named.drop("n").join(mixed, "key"), "rows")
         if not turn:
             used = pivots.select("key", "pivot").join(comps.withColumnRenamed("node", "pivot"), "pivot", "left").select("key", F.coalesce("component", "pivot").alias("last"))
-    many = parities(_texts(lines, rows.where(f"n > {SMALL}").select("h")))
+    many = parities(texts.join(rows.where(f"n > {SMALL}").select("h").distinct(), "h", "left_semi"))
     left = rows.join(many, "h", "left").withColumn("parity", F.expr(_fold(_width("share"))))
     left = written(left, "left")
     x, y = (left.selectExpr("key", *[f"{n} AS {n}_{k}" for n in ("h", "c", "sketch", "size", "parity")]) for k in "ab")
     across = x.join(y, "key").where(f"h_a < h_b AND c_a <> c_b AND {agree('sketch_a', 'sketch_b')} AND (size_a IS NULL OR size_b IS NULL OR {_near(percent)})")
     across = written(across.selectExpr("h_a AS a", "h_b AS b").distinct().join(tested, ["a", "b"], "left_anti"), "across")
     release(spark)
-    texts = _texts(lines, _ends(across))
-    marks = written(parities(texts), "parities")
+    marks = written(parities(texts.join(_ends(across).distinct(), "h", "left_semi")), "parities")
     x, y = (marks.selectExpr(f"h AS {k}", f"size AS size_{k}", f"parity AS parity_{k}") for k in "ab")
     width = "least(size(parity_a), size(parity_b))"
     near = across.join(x, "a").join(y, "b").withColumn("width", F.expr(width))
@@ -193,9 +202,9 @@ def linked(docs: DataFrame, percent: int = 80) -> DataFrame:
     near = written(near.where(_near(percent)).select("a", "b"), "near")
     more = written(_verified(near, texts, percent), "links")
     release(spark)
-    for x in (rows, left):
+    for x in (rows, left, texts):
         drop_written(x)
-    return links.unionByName(more)
+    return links.unionByName(more), firsts
 
 
 def dropped(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -211,16 +220,16 @@ def _dropped(docs: DataFrame, percent: int) -> DataFrame:
     """
     spark = docs.sparkSession
     lines = lines_of(docs)
-    comps = written(components(linked(docs, percent)), "components")
+    links, firsts = linked(docs, percent)
+    comps = written(components(links), "components")
     # each line's component, and the component's first line
-    places = lines.select("h", "doc_id", "line_no")
-    firsts = written(places.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n")), "firsts")
+    firsts = firsts.select("h", F.struct("doc_id", "line_no").alias("at"), "n")
     named = firsts.join(comps.withColumnRenamed("node", "h"), "h", "left").select("h", "at", "n", F.coalesce("component", "h").alias("component"))
     named = written(named, "named")
     best = written(named.groupBy("component").agg(F.min(F.struct("at", "h")).alias("first"), F.sum("n").alias("n")).where("n > 1"), "best")
     repeated = written(named.select("h", "component").join(best.select("component", "first"), "component").select("h", "first"), "repeated")
     release(spark)
-    hit = places.join(repeated, "h").where("NOT (h = first.h AND doc_id = first.at.doc_id AND line_no = first.at.line_no)")
+    hit = lines.select("h", "doc_id", "line_no").join(repeated, "h").where("NOT (h = first.h AND doc_id = first.at.doc_id AND line_no = first.at.line_no)")
     return hit.select("doc_id", "line_no", "h")
 
 
