@@ -42,6 +42,7 @@ def clean(md: Column) -> Column:
 
 def trivial_xhtml(tex: Column) -> Column:
     """Maths that needs no renderer, as sub- and superscripts; null for all else."""
+    # fixed patterns: a script alone, a base with one or two scripts, a short name
     script = rf"^{WS}*([_^])\{{?([^{{}}$\\]{{1,12}})\}}?{WS}*$"
     tag = lambda mark, x: F.when(mark == "^", F.concat(F.lit("<sup>"), escape_xml(x), F.lit("</sup>"))).otherwise(F.concat(F.lit("<sub>"), escape_xml(x), F.lit("</sub>")))
     one = r"([_^])(?:\{([^{}$\\]{1,16})\}|([A-Za-z0-9]))"

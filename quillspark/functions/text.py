@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: White space as the reference's regular expressions have it: fixed values.
 WS = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
+#: A note's tags unless a caller names others.
+TAGS = ("paper", "converted")
+
 
 def strip(x: Column) -> Column:
     """Without white space at both ends."""
@@ -50,12 +53,12 @@ def authors(x: Column) -> Column:
     return F.filter(F.transform(F.split(x, ";|, and | and "), strip), lambda a: a != "")
 
 
-def frontmatter(title, source, author, published_on, created, description, pages, warnings) -> Column:
+def frontmatter(title, source, author, published_on, created, description, pages, warnings, tags: tuple[str, ...] = TAGS) -> Column:
     """The YAML block at a note's head; what is null or empty is left out."""
     line = lambda key, x: F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit(key + ": "), x))
     quoted = lambda key, x: F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit(key + ": "), json_string(x)))
     names = F.concat(F.lit("author:\n"), F.array_join(F.transform(authors(author), lambda a: F.concat(F.lit("  - "), json_string(a))), "\n"))
-    parts = [F.lit("---"), F.concat(F.lit("title: "), json_string(title)), F.concat(F.lit("source: "), json_string(source)), F.when(F.coalesce(author, F.lit("")) != "", names), line("published", published_on), F.concat(F.lit("created: "), created), quoted("description", description), F.concat(F.lit("pages: "), pages.cast("string")), F.when(warnings > 0, F.concat(F.lit("conversion_warnings: "), warnings.cast("string"))), F.lit("tags:\n  - paper\n  - reflow\n---\n")]
+    parts = [F.lit("---"), F.concat(F.lit("title: "), json_string(title)), F.concat(F.lit("source: "), json_string(source)), F.when(F.coalesce(author, F.lit("")) != "", names), line("published", published_on), F.concat(F.lit("created: "), created), quoted("description", description), F.concat(F.lit("pages: "), pages.cast("string")), F.when(warnings > 0, F.concat(F.lit("conversion_warnings: "), warnings.cast("string"))), F.lit("tags:\n" + "".join(f"  - {x}\n" for x in tags) + "---\n")]
     return F.array_join(F.array_compact(F.array(*parts)), "\n")
 
 
@@ -68,7 +71,7 @@ def package_name(title: Column, fallback: Column) -> Column:
         x = F.regexp_replace(F.regexp_replace(F.substring(x, 1, 100), r"^\.+", ""), r"[\s-]+$", "")
         return F.nullif(x, F.lit(""))
 
-    return F.coalesce(clean(title), clean(fallback), F.lit("document"))
+    return F.coalesce(clean(title), clean(fallback), F.lit("Untitled"))
 
 
 def retarget_source(md: Column, old: Column, new: Column) -> Column:
@@ -91,7 +94,48 @@ def media_type(name: Column) -> Column:
     return F.when(ext == ".png", "image/png").when(ext.isin(".jpg", ".jpeg"), "image/jpeg").when(ext == ".gif", "image/gif").when(ext == ".svg", "image/svg+xml").otherwise("application/octet-stream")
 
 
-def failure_kind(message: Column) -> Column:
-    """A rough class of an error message."""
-    m = F.lower(F.coalesce(message, F.lit("")))
-    return F.when(m.rlike("cancel|abort"), "cancelled").when(m.rlike("out of memory|oom|bad_alloc|allocation"), "memory").when(m.rlike("network|fetch|timeout|timed out"), "network").when(m.rlike("webgpu|device|adapter"), "device").otherwise("other")
+#: What an error message of exhausted memory says, and what the reader is told: fixed values.
+OUT_OF_MEMORY = r"(?i)bad_alloc|out of memory|ERROR_CODE: 6\b"
+CPU_MEMORY = "The CPU backend ran out of memory on this page. WebAssembly is capped at 4 GB, and pages that split into many tiles exceed it — this document needs a GPU. Other documents may still convert on the CPU."
+
+
+def slow_device(device: Column) -> Column:
+    """Whether a device takes minutes a page; null is no device and isn't."""
+    return F.coalesce(device.isin("wasm", "cpu"), F.lit(False))
+
+
+def explain_failure(message: Column, device: Column, host: str = "the application") -> Column:
+    """What a reader is told about an error; a null message is an empty one."""
+    m = F.coalesce(message, F.lit(""))
+    memory = m.rlike(OUT_OF_MEMORY)
+    advice = F.concat(F.lit("Conversion ran out of memory ("), m, F.lit(f"). Try a shorter document, or restart {host} to free memory."))
+    return F.when(memory & slow_device(device), CPU_MEMORY).when(memory, advice).otherwise(F.concat(F.lit("Conversion failed: "), m))
+
+
+def slow_reason(probe_reason: Column, platform: Column, host: str = "the application") -> Column:
+    """Why a machine ended up on its CPU, from what the probe of its GPU said (null: nothing); Linux gets a hint."""
+    base = F.coalesce(probe_reason, F.lit("No compatible GPU was found."))
+    hint = f" On Linux, Chromium still hides WebGPU behind a flag — launching {host} with --enable-features=Vulkan --enable-unsafe-webgpu may enable it."
+    return F.when(platform == "linux", F.concat(base, F.lit(hint))).otherwise(base)
+
+
+def front_fields(md: Column) -> Column:
+    """An array of (key, value, items) of the front matter that ``frontmatter`` writes; empty without one.
+
+    ``value`` is null for a list, whose ``items`` are the lines below it; one pair of quotes around either is taken off.
+    """
+    block = F.regexp_extract(md, r"(?s)\A---\n(.*?)\n---", 1)
+    kind = "array<struct<key:string,value:string,items:array<string>>>"
+    bare = lambda x: F.regexp_replace(x, r'\A"(.*)"\z', "$1")
+    pair, item = r"^([A-Za-z_][A-Za-z0-9_-]*):[ \t]*(.*)$", r"^\s+-\s+(.*)$"
+
+    def step(found, line):
+        value = F.regexp_extract(line, pair, 2)
+        row = F.struct(F.regexp_extract(line, pair, 1).alias("key"), F.when(value != "", bare(value)).alias("value"), F.array().cast("array<string>").alias("items"))
+        last = F.element_at(found, -1)
+        longer = F.struct(last["key"].alias("key"), last["value"].alias("value"), F.array_append(last["items"], bare(strip(F.regexp_extract(line, item, 1)))).alias("items"))
+        more = F.concat(F.slice(found, 1, F.size(found) - 1), F.array(longer))
+        listed = line.rlike(item) & (F.size(found) > 0)
+        return F.when(listed & F.coalesce(F.get(found, F.size(found) - 1)["value"].isNull(), F.lit(False)), more).when(line.rlike(pair), F.concat(found, F.array(row))).otherwise(found)
+
+    return F.aggregate(F.split(block, "\n"), F.array().cast(kind), step)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, presence, utf16_length
+from .text import WS, presence, strip, utf16_length
 
 #: Headings of sections, not of documents: fixed values.
 SECTIONS = (
@@ -39,3 +39,9 @@ def from_heading(x: Column) -> Column:
 
 def choose(metadata: Column, heading: Column, fallback: Column) -> Column:
     return F.coalesce(from_metadata(metadata), from_heading(heading), presence(fallback), fallback)
+
+
+def from_items(items: Column, fallback: Column) -> Column:
+    """The first title among a document's ``items`` (array of label and text), else its first section header, else the fallback; blank ones don't count."""
+    first = lambda label: F.get(F.filter(F.transform(F.filter(items, lambda x: x["label"] == label), lambda x: strip(x["text"])), lambda t: t != ""), F.lit(0))
+    return F.coalesce(first("title"), first("section_header"), fallback)

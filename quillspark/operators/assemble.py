@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formulas, titles
-from ..functions.text import frontmatter, strip, utf16_length
+from ..functions.text import TAGS, frontmatter, strip, utf16_length
 
-#: Characters a page below which a source looks scanned, and below which a text layer is no rescue.
+#: Fixed values, as are the sentences of ``page_marker``, ``image_only``, ``banner`` and ``packages``: characters a page below which a source looks scanned, and below which a text layer is no rescue.
 IMAGE_ONLY, MIN_RESCUE = 200, 200
 RESCUED = "no text was recognized on this page; the text above comes from the PDF's own text layer, so it has no headings, tables or equations"
 
@@ -40,6 +40,25 @@ def suspects(blocks: DataFrame, generations: DataFrame) -> DataFrame:
     return f.select("doc_id", "page", "block_no", F.concat(F.lit("formula-"), "formula_no").alias("id"), tex.alias("tex"), suspect.alias("suspect"))
 
 
+def annotate(md: Column, found: Column) -> Column:
+    """Markdown with the notice below each suspect formula; the nth ``$$...$$`` is the nth of ``found`` (id, suspect), null: none."""
+    pattern = r"(?s)\$\$.+?\$\$"
+    between, maths = F.split(md, pattern, -1), F.regexp_extract_all(md, F.lit(pattern), F.lit(0))
+
+    def part(text, k):
+        own = F.get(found, k)
+        block = F.when(F.coalesce(own["suspect"], F.lit(False)), F.concat(F.get(maths, k), F.lit("\n\n"), fallback(own["id"]))).otherwise(F.get(maths, k))
+        return F.concat(text, F.coalesce(block, F.lit("")))
+
+    return F.when(found.isNull(), md).otherwise(F.array_join(F.transform(between, part), ""))
+
+
+def document_metrics(pages: DataFrame) -> DataFrame:
+    """Sums over ``pages(doc_id, page, gen_tokens, prompt_tokens, ms)``: pages, tokens, time and tokens a second (null without time)."""
+    d = pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum("gen_tokens").alias("gen_tokens"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("ms").alias("ms"))
+    return d.withColumn("tokens_per_sec", F.when(F.col("ms") > 0, F.round(F.col("gen_tokens") * 1000.0 / F.col("ms"), 2)))
+
+
 def page_marker(page: Column, rescued: Column, truncated: Column, spans: Column) -> Column:
     """The notice at a page's end; null if nothing is wrong."""
     issues = F.array_compact(F.array(F.when(rescued, F.lit(RESCUED)), F.when(truncated.isNotNull(), F.concat(F.lit("generation stopped early ("), truncated, F.lit("), so text may be missing here"))), F.when(spans, F.lit("a table here had merged cells that render blank"))))
@@ -62,15 +81,18 @@ def _ordered(value: Column, when: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("page", value.alias("v"))))), lambda x: x["v"])
 
 
-def packages(pages: DataFrame, documents: DataFrame, created: str, max_pages: int | None = None) -> DataFrame:
+def packages(pages: DataFrame, documents: DataFrame, created: str, max_pages: int | None = None, tags: tuple[str, ...] = TAGS) -> DataFrame:
     """A note per document: title, warnings and Markdown with front matter and banner.
 
     ``pages(doc_id, page, markdown, title, truncated, spans, rescued, n_suspect)``: ``rescued`` is the text layer's text or
-    null, used where a page has no prose and it has 200 characters. ``documents(doc_id, source, stem, page_count, meta_title,
+    null, used where a page has no prose and it has 200 characters. Where there is a column ``formulas`` (array of id and
+    suspect, in order), each suspect formula gets its notice. ``documents(doc_id, source, stem, page_count, meta_title,
     author, published, description)``. A document without pages gives no note; null Markdown is empty.
     """
     p = within_limit(pages, max_pages)
     md = F.coalesce("markdown", F.lit(""))
+    if "formulas" in p.columns:
+        p = p.withColumn("markdown", annotate(md, F.col("formulas"))).withColumn("n_suspect", F.coalesce(F.size(F.filter("formulas", lambda f: f["suspect"])), F.lit(0)))
     saved = ~has_prose(md) & (utf16_length(F.coalesce("rescued", F.lit(""))) >= MIN_RESCUE)
     p = p.select("doc_id", "page", md.alias("markdown"), "title", "truncated", F.coalesce("spans", F.lit(False)).alias("spans"), F.coalesce("n_suspect", F.lit(0)).alias("n_suspect"), "rescued", saved.alias("saved"))
     marker = page_marker(F.col("page"), F.col("saved"), F.col("truncated"), F.col("spans"))
@@ -91,5 +113,5 @@ def packages(pages: DataFrame, documents: DataFrame, created: str, max_pages: in
     limit = F.when(F.col("last") < F.col("page_count"), F.concat(F.lit("processed only "), F.col("last").cast("string"), F.lit(" of "), F.col("page_count").cast("string"), F.lit(" pages (--max-pages)")))
     d = d.withColumn("warnings", F.array_compact(F.concat(F.col("cut"), F.array(image_only(utf16_length(F.col("body")), F.col("last")), spans, rescue, suspect, limit))))
     d = d.withColumn("title", titles.choose(F.col("meta_title"), F.col("heading"), F.col("stem")))
-    fm = frontmatter(F.col("title"), F.col("source"), F.col("author"), F.col("published"), F.lit(created), F.col("description"), F.col("last"), F.size("warnings"))
+    fm = frontmatter(F.col("title"), F.col("source"), F.col("author"), F.col("published"), F.lit(created), F.col("description"), F.col("last"), F.size("warnings"), tags)
     return d.select("doc_id", "title", "last", "warnings", F.concat(fm, F.lit("\n"), banner(F.col("warnings")), F.col("body")).alias("markdown"), utf16_length(F.col("body")).alias("body_chars"))

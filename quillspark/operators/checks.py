@@ -43,3 +43,27 @@ def run(notes: DataFrame, expectations: DataFrame) -> DataFrame:
 
 def passed(checks: DataFrame) -> DataFrame:
     return checks.groupBy("doc_id").agg(F.bool_and("ok").alias("passed"), F.count_if(~F.col("ok")).alias("n_failed"))
+
+
+def contract(notes: DataFrame) -> DataFrame:
+    """(doc_id, name, ok): the checks of a figure-rich paper's package, ``notes(doc_id, markdown, stem, meta)``; meta as ``sidecars`` reads it."""
+    md, meta = F.col("markdown"), F.col("meta")
+    file = lambda x: F.regexp_extract(x, r"[^/\\\\]*$", 0)
+    named = {
+        "folder": file(meta["out_dir"]) == F.col("stem"),
+        "file": file(meta["md_path"]) == F.concat("stem", F.lit(".md")),
+        "frontmatter": md.startswith("---\n") & F.contains(F.get(F.split(md, "---", 3), F.lit(1)), F.lit("title:")),
+        "size": F.length(md) > 5000,
+        "headings": F.size(F.split(md, "## ", -1)) > 3,
+        "counts": (meta["pages"] > 0) & (meta["wall_ms"] > 0),
+        "images": meta["images"] >= 1,
+        "maths": F.contains(md, F.lit("$$")),
+    }
+    return notes.select("doc_id", F.inline(F.array(*[F.struct(F.lit(k).alias("name"), F.coalesce(v, F.lit(False)).alias("ok")) for k, v in named.items()])))
+
+
+def smoke(notes: DataFrame) -> DataFrame:
+    """(doc_id, name, ok): the checks that hold for any PDF, of ``notes(doc_id, markdown, warnings)``."""
+    md = F.col("markdown")
+    named = {"no_warnings": F.size("warnings") == 0, "frontmatter": md.startswith("---\n"), "size": F.length(md) > 2000, "headings": headings(md) > 0, "no_glyphs": ~F.contains(md, F.lit("GLYPH"))}
+    return notes.select("doc_id", F.inline(F.array(*[F.struct(F.lit(k).alias("name"), F.coalesce(v, F.lit(False)).alias("ok")) for k, v in named.items()])))

@@ -37,14 +37,39 @@ def progress(events: DataFrame, key: str, order: list[str], value: str) -> DataF
     return events.withColumn("seen", F.count("*").over(w)).withColumn("mean", F.avg(value).over(w)).withColumn("high", F.max(value).over(w))
 
 
-def nth_quantile(value: str, q: float) -> Column:
-    """The element at floor(q * n) of the sorted values: not interpolated."""
-    s = F.array_sort(F.collect_list(value))
-    return F.element_at(s, F.least(F.size(s), F.floor(F.size(s) * q).cast("int") + 1))
+def lag_statistics(events: DataFrame, key: str, value: str, stall: float = 100.0) -> DataFrame:
+    """Count, 95th percentile, median, maximum and stalls of each key. A quantile is the element at floor(q * n) of the sorted values: not interpolated.
 
+    Equal values are counted first, so a key's rows are never gathered; a value covers the places below its running count.
+    """
+    counts = events.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    d = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(key)))
+    at = lambda q: F.min(F.when(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.col("n") * q)), F.col(value)))
+    return d.groupBy(key).agg(F.max("n").alias("n"), at(0.95).alias("p95"), at(0.5).alias("median"), F.max(value).alias("worst"), F.sum(F.when(F.col(value) > stall, F.col("c")).otherwise(0)).alias("stalls"))
 
-def lag_statistics(events: DataFrame, key: str, value: str, stall: float = 100.0) -> DataFrame:
-    return events.groupBy(key).agg(F.count("*").alias("n"), nth_quantile(value, 0.95).alias("p95"), nth_quantile(value, 0.5).alias("median"), F.max(value).alias("worst"), F.count_if(F.col(value) > stall).alias("stalls"))
+
+def creep(ratio: Column) -> Column:
+    """The share of a page that counts as done after ``ratio`` of its expected time: four fifths at that time, then ever slower."""
+    return F.when(ratio <= 1, 0.8 * ratio).otherwise(1 - 0.2 * F.exp(1 - ratio))
+
+
+#: Fixed value: milliseconds that a first page is expected to take.
+FIRST_PAGE_MS = 60_000.0
+
+
+def bar(samples: DataFrame) -> DataFrame:
+    """``samples(doc_id, at_ms, pages_done, spent_ms, page_started_ms, page_count)`` with ``fraction`` and ``left_s``.
+
+    ``spent_ms`` is the time of the pages that are done. The fraction never falls; ``left_s``, the rounded seconds to go, is
+    null before the first page is done.
+    """
+    average = F.when(F.col("pages_done") > 0, F.col("spent_ms") / F.col("pages_done")).otherwise(F.lit(FIRST_PAGE_MS))
+    within = F.when(F.col("page_started_ms").isNull(), 0.0).otherwise(creep((F.col("at_ms") - F.col("page_started_ms")) / average))
+    now = F.when(F.col("page_count") > 0, F.least(F.lit(1.0), (F.col("pages_done") + within) / F.col("page_count"))).otherwise(0.0)
+    w = Window.partitionBy("doc_id").orderBy("at_ms").rowsBetween(Window.unboundedPreceding, 0)
+    left = F.when(F.col("pages_done") > 0, F.floor(F.col("spent_ms") / F.col("pages_done") / 1000 * (F.col("page_count") - F.col("pages_done")) + 0.5).cast("long"))
+    return samples.withColumn("fraction", F.max(now).over(w)).withColumn("left_s", left)
 
 
 def monotonic(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:

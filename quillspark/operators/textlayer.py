@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.text import WS
+
 #: Share of a line's height within which centres are one line, that parts words, that parts paragraphs.
 SAME_LINE, WORD_GAP, PARAGRAPH_GAP = 0.55, 0.22, 0.75
+#: Fixed value: a token is this high at least.
+LEAST_HEIGHT = 0.001
+SPACE = re.compile(WS + "+")
 
 
 def outside(tokens: Column, boxes: Column) -> Column:
@@ -18,18 +25,19 @@ def outside(tokens: Column, boxes: Column) -> Column:
 
 
 def group_lines(tokens) -> list[dict]:
+    """Lines with their extent and the height of their tallest token, by which centres and gaps are measured."""
     out: list[dict] = []
     for t in tokens if tokens is not None else ():
-        if not (t["str"] or "").strip():
+        if not SPACE.sub("", t["str"] or ""):
             continue
-        h, mid = t["b"] - t["t"], (t["t"] + t["b"]) / 2
+        h, mid = max(t["b"] - t["t"], LEAST_HEIGHT), (t["t"] + t["b"]) / 2
         line = out[-1] if out else None
-        if line and abs(mid - (line["top"] + line["bottom"]) / 2) <= SAME_LINE * max(h, line["bottom"] - line["top"]):
+        if line and abs(mid - (line["top"] + line["bottom"]) / 2) <= SAME_LINE * max(h, line["height"]):
             gap = t["r"] > line["right"] and t["l"] - line["right"] > WORD_GAP * h
             line["text"] += " " * gap + t["str"]
-            line["top"], line["bottom"], line["right"] = min(line["top"], t["t"]), max(line["bottom"], t["b"]), max(line["right"], t["r"])
+            line["top"], line["bottom"], line["right"], line["height"] = min(line["top"], t["t"]), max(line["bottom"], t["b"]), max(line["right"], t["r"]), max(line["height"], h)
         else:
-            out.append({"text": t["str"], "top": t["t"], "bottom": t["b"], "right": t["r"]})
+            out.append({"text": t["str"], "top": t["t"], "bottom": t["b"], "right": t["r"], "height": h})
     return out
 
 
@@ -38,12 +46,12 @@ def paragraph_text(tokens) -> str:
     parts: list[str] = []
     below = None
     for line in group_lines(tokens):
-        if below is None or line["top"] - below > PARAGRAPH_GAP * (line["bottom"] - line["top"]):
+        if below is None or line["top"] - below > PARAGRAPH_GAP * line["height"]:
             parts.append(line["text"])
         else:
             parts[-1] += " " + line["text"]
         below = line["bottom"]
-    return "\n\n".join(x for x in (" ".join(p.split()) for p in parts) if x)
+    return "\n\n".join(x for x in (SPACE.sub(" ", p).strip(" ") for p in parts) if x)
 
 
 def paragraphs(pages: DataFrame) -> DataFrame:

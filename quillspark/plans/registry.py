@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import formulas, text, titles
-from ..operators import assemble, checks, doctags, epub, guard, textlayer
+from ..operators import assemble, checks, doctags, epub, guard, packages, textlayer
 from ..sources import readers
 from .synthetic import order_pages, table, turns
 
@@ -83,22 +83,49 @@ def page_titles(spark, sf_dir):
 
 
 @query(f"""
-SELECT k AS doc_id, f.id, f.tex, f.suspect FROM {_ORDER}, LATERAL (VALUES ('formula-1', 'x_{{' || o || '}}', FALSE), ('formula-2', '( ' || n, FALSE)) AS f(id, tex, suspect)""")
+SELECT k AS doc_id, f.id, f.tex, f.suspect FROM {_ORDER}, LATERAL (VALUES ('formula-1', '( ' || n, TRUE), ('formula-2', '( z', FALSE), ('formula-3', 'y_{{' || o || '}}', n % 2 = 0)) AS f(id, tex, suspect)""")
 def suspect_formulas(spark, sf_dir):
-    pages = order_pages(spark, sf_dir)
-    return assemble.suspects(doctags.blocks(pages), pages.select("doc_id", "page", F.lit(None).cast("string").alias("truncated"))).select("doc_id", "id", "tex", "suspect")
+    """The first is cut off, the second has no box, the third ends a page that was cut off for an even number of lines."""
+    pages = _formula_pages(spark, sf_dir)
+    return assemble.suspects(doctags.blocks(pages), pages.select("doc_id", "page", "truncated")).select("doc_id", "id", "tex", "suspect")
+
+
+def _formula_pages(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.count("*").alias("n"))
+    box = "<loc_0><loc_0><loc_250><loc_500>"
+    tags = F.concat(F.lit(f"<formula>{box}( "), "n", F.lit(f"</formula><formula>( z</formula><formula>{box}y_{{"), "doc_id", F.lit("</formula>"))
+    return d.select("doc_id", F.lit(1).alias("page"), tags.alias("doc_tags"), F.when(F.col("n") % 2 == 0, "timeout").alias("truncated"))
+
+
+_NOTICE = "chr(10) || chr(10) || '> [!warning]- This formula may be incomplete — show the original from the PDF' || chr(10) || '> ![formula-' || {0} || '](images/formula-' || {0} || '.png)'"
+
+
+@query(f"""
+SELECT l_orderkey AS doc_id, 'a $$x' || l_linenumber || '$$' || CASE WHEN l_returnflag = 'R' THEN {_NOTICE.format(1)} ELSE '' END || ' b $$y$$' || CASE WHEN l_linenumber % 2 = 0 THEN {_NOTICE.format(2)} ELSE '' END || ' $$ end' AS md FROM lineitem""")
+def annotated_formulas(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    found = F.array(F.struct(F.lit("formula-1").alias("id"), (F.col("l_returnflag") == "R").alias("suspect")), F.struct(F.lit("formula-2").alias("id"), (F.col("l_linenumber") % 2 == 0).alias("suspect")))
+    md = F.concat(F.lit("a $$x"), "l_linenumber", F.lit("$$ b $$y$$ $$ end"))
+    return li.select(F.col("l_orderkey").alias("doc_id"), assemble.annotate(md, found).alias("md"))
 
 
-_TEX = "concat('\\\\frac{', p_partkey, CASE WHEN p_size % 3 = 0 THEN '}' ELSE '' END, CASE WHEN p_size % 5 = 0 THEN '}' ELSE '' END, CASE WHEN p_size % 2 = 0 THEN concat(' & & ( ', p_size, ' )') ELSE '' END)"
+@query("SELECT l_orderkey AS doc_id, count(*) AS pages, CAST(sum(l_partkey) AS BIGINT) AS gen_tokens, CAST(sum(l_suppkey) AS BIGINT) AS prompt_tokens, CAST(sum(l_linenumber - 1) AS BIGINT) AS ms, CASE WHEN sum(l_linenumber - 1) > 0 THEN round(sum(l_partkey) * 1000.0 / sum(l_linenumber - 1), 2) END AS tokens_per_sec FROM lineitem GROUP BY 1")
+def document_metrics(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return assemble.document_metrics(li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"), F.col("l_partkey").cast("long").alias("gen_tokens"), F.col("l_suppkey").cast("long").alias("prompt_tokens"), (F.col("l_linenumber") - 1).cast("long").alias("ms")))
+
+
+_TEX = "concat(CASE WHEN p_size % 7 = 0 THEN '[ ' ELSE '' END, '\\\\frac{', p_partkey, CASE WHEN p_size % 3 = 0 THEN '}' ELSE '' END, CASE WHEN p_size % 5 = 0 THEN '}' ELSE '' END, CASE WHEN p_size % 2 = 0 THEN concat(' & & ( ', p_size, ' )') ELSE '' END)"
 
 
 @query(r"""
-SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND FALSE THEN '' ELSE repeat('{', greatest(0, c - 1)) || '\frac{' || p_partkey || repeat('}', c) || CASE WHEN p_size % 2 = 0 THEN ' \tag{' || p_size || '}' ELSE '' END || '' END AS tex_open, FALSE AS cut
-FROM (SELECT *, CAST(p_size % 3 = 0 AS INT) + CAST(p_size % 5 = 0 AS INT) AS c FROM part) WHERE c >= 1""")
+SELECT p_partkey, CASE WHEN c = 0 AND p_size % 2 = 0 THEN '\begin{aligned}' || o || '\frac{' || p_partkey || ' & & ( ' || p_size || ' )}\end{aligned}' WHEN c = 0 THEN o || '\frac{' || p_partkey || '}'
+  ELSE repeat('{', c - 1) || o || '\frac{' || p_partkey || repeat('}', c) || CASE WHEN p_size % 2 = 0 THEN ' \tag{' || p_size || '}' ELSE '' END END AS tex, o <> '' AS cut
+FROM (SELECT *, CAST(p_size % 3 = 0 AS INT) + CAST(p_size % 5 = 0 AS INT) AS c, CASE WHEN p_size % 7 = 0 THEN '[ ' ELSE '' END AS o FROM part)""")
 def fixed_formulas(spark, sf_dir):
-    """Closed formulas: surplus braces are opened at the front, equation numbers become tags."""
-    d = table(spark, sf_dir, "part").withColumn("tex", F.expr(_TEX)).where("p_size % 3 = 0 OR p_size % 5 = 0")
-    return d.select("p_partkey", formulas.fix(F.col("tex")).alias("tex_open"), formulas.truncated(F.col("tex")).alias("cut")).withColumn("cut", F.lit(False))
+    """Braces are closed at the end or opened at the front, equation numbers become tags, other alignment marks get an environment."""
+    d = table(spark, sf_dir, "part").withColumn("tex", F.expr(_TEX))
+    return d.select("p_partkey", formulas.fix(F.col("tex")).alias("tex"), formulas.truncated(F.col("tex")).alias("cut"))
 
 
 @query(r"""SELECT l_orderkey, l_linenumber, (l_linenumber % 2 = 0) AS cut FROM lineitem""")
@@ -135,17 +162,19 @@ def authors_and_dates(spark, sf_dir):
     return o.select("o_orderkey", text.authors(by).alias("names"), text.published(F.concat(F.lit("D:"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("120000Z"))).alias("published"))
 
 
-@query(r"""SELECT c_custkey, '---' || chr(10) || 'title: "' || c_name || ' \"q\""' || chr(10) || 'source: "s.pdf"' || chr(10) || 'author:' || chr(10) || '  - "' || c_mktsegment || '"' || chr(10) || 'created: 2024-01-02' || chr(10) || 'pages: ' || c_nationkey || chr(10) || CASE WHEN c_nationkey > 0 THEN 'conversion_warnings: ' || c_nationkey || chr(10) ELSE '' END || 'tags:' || chr(10) || '  - paper' || chr(10) || '  - reflow' || chr(10) || '---' || chr(10) AS fm FROM customer""")
+@query(r"""SELECT c_custkey, '---' || chr(10) || 'title: "' || c_name || ' \"q\""' || chr(10) || 'source: "s.pdf"' || chr(10) || 'author:' || chr(10) || '  - "' || c_mktsegment || '"' || chr(10) || 'created: 2024-01-02' || chr(10) || 'pages: ' || c_nationkey || chr(10) || CASE WHEN c_nationkey > 0 THEN 'conversion_warnings: ' || c_nationkey || chr(10) ELSE '' END || 'tags:' || chr(10) || '  - paper' || chr(10) || '  - converted' || chr(10) || '---' || chr(10) AS fm FROM customer""")
 def frontmatter(spark, sf_dir):
     null = F.lit(None).cast("string")
     fm = text.frontmatter(F.concat("c_name", F.lit(' "q"')), F.lit("s.pdf"), F.col("c_mktsegment"), null, F.lit("2024-01-02"), null, F.col("c_nationkey"), F.col("c_nationkey"))
     return table(spark, sf_dir, "customer").select("c_custkey", fm.alias("fm"))
 
 
-@query(r"""SELECT p_partkey, p_name || '- a' AS name, '---' || chr(10) || 'source: "new"' || chr(10) || '---' || chr(10) || 'source: "old"' || chr(10) || p_partkey AS note FROM part""")
+@query(r"""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'Untitled' WHEN p_partkey % 5 = 1 THEN 'file ' || p_partkey ELSE p_name || '- a' END AS name, '---' || chr(10) || 'source: "new"' || chr(10) || '---' || chr(10) || 'source: "old"' || chr(10) || p_partkey AS note FROM part""")
 def package_names(spark, sf_dir):
     note = F.concat(F.lit('---\nsource: "old"\n---\nsource: "old"\n'), F.col("p_partkey"))
-    return table(spark, sf_dir, "part").select("p_partkey", text.package_name(F.concat(F.lit(".."), "p_name", F.lit(":  a - ")), F.lit("x")).alias("name"), text.retarget_source(note, F.lit("old"), F.lit("new")).alias("note"))
+    k = F.col("p_partkey") % 5
+    title = F.when(k < 2, "..# - ").otherwise(F.concat(F.lit(".."), "p_name", F.lit(":  a - ")))
+    return table(spark, sf_dir, "part").select("p_partkey", text.package_name(title, F.when(k == 0, "[#]").otherwise(F.concat(F.lit("file "), "p_partkey"))).alias("name"), text.retarget_source(note, F.lit("old"), F.lit("new")).alias("note"))
 
 
 @query(r"""
@@ -156,12 +185,19 @@ FROM b JOIN n USING (conv_id)""")
 def assembled_warnings(spark, sf_dir):
     t = turns(spark, sf_dir)
     null = F.lit(None).cast("string")
-    pages = t.where("markdown IS NOT NULL AND instr(markdown, '$$') >= 0").select("doc_id", "page", "markdown", null.alias("title"), F.when(F.col("page") % 2 == 0, "timeout").alias("truncated"), F.lit(False).alias("spans"), null.alias("rescued"), F.lit(0).alias("n_suspect"))
+    pages = t.where("markdown IS NOT NULL").select("doc_id", "page", "markdown", null.alias("title"), F.when(F.col("page") % 2 == 0, "timeout").alias("truncated"), F.lit(False).alias("spans"), null.alias("rescued"), F.lit(0).alias("n_suspect"))
     docs = t.groupBy("doc_id").agg(F.count("*").cast("int").alias("page_count")).select("doc_id", F.lit("c.pdf").alias("source"), F.concat(F.lit("talk "), "doc_id").alias("stem"), "page_count", null.alias("meta_title"), null.alias("author"), null.alias("published"), null.alias("description"))
     return assemble.packages(pages, docs, "2024-01-02", 3).select("doc_id", "last", "warnings")
 
 
-@query()
+@query(r"""
+WITH l AS (SELECT l_orderkey AS k, count(*) AS n, bool_or(l_returnflag = 'R') AS r, string_agg('| ' || l_linenumber || ' | P\|' || l_partkey || ' | ' || CASE WHEN l_returnflag = 'R' THEN '' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END || ' |', '~' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) AS t FROM lineitem GROUP BY 1),
+b AS (SELECT k, r, replace('# Order ' || k || '~~' || n || ' lines~~| line | part | qty |~| --- | --- | --- |~' || t || '~~~' || CASE WHEN r THEN '> [!warning] Page 1 may be incomplete — a table here had merged cells that render blank.~~' ELSE '' END || '### Notes~~$$x_{' || k || '}$$~~![Fig ' || k || '](images/figure-1.png)~~*Fig [' || k || ']*~~![figure-2](images/figure-2.png)~~$$( ' || n || '$$~~- a b~~left~~```~y~  z~```~', '~', chr(10)) AS body FROM l),
+w AS (SELECT *, list_concat(CASE WHEN length(body) < 400 THEN ['very little text extracted; source may be scanned/image-only — retry with --ocr'] ELSE [] END, CASE WHEN r THEN ['table on page 1 contained merged cells rendered blank — verify against source'] ELSE [] END) AS warnings FROM b)
+SELECT k AS doc_id, 'Order ' || k AS title, 2 AS last, warnings, length(body) AS body_chars,
+       replace('---~title: "Order ' || k || '"~source: "o.pdf"~created: 2024-01-02~pages: 2~' || CASE WHEN len(warnings) > 0 THEN 'conversion_warnings: ' || len(warnings) || '~' ELSE '' END || 'tags:~  - paper~  - converted~---~~'
+         || CASE WHEN len(warnings) > 0 THEN '> [!warning]+ Conversion warnings (' || len(warnings) || ')~> This note was converted from a PDF and parts of it may be incomplete.~> Check the source PDF where flagged below.~> - ' || array_to_string(warnings, '~> - ') || '~~' ELSE '' END, '~', chr(10)) || body AS markdown
+FROM w""")
 def assembled_notes(spark, sf_dir):
     """Whole notes of the order pages, by all stages from DocTags on."""
     pages = order_pages(spark, sf_dir)
@@ -213,16 +249,30 @@ def guard_first_trigger(spark, sf_dir):
 
 
 @query(r"""
-WITH n AS (SELECT doc_id, '---' || chr(10) || 'x' || chr(10) || '---' || chr(10) || '## ' || source || chr(10) || text || chr(10) || '| a | ' || lang || ' |' AS md, lang, source FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, name, ok FROM n, LATERAL (VALUES ('title', TRUE), ('frontmatter', TRUE), ('min_headings', len(regexp_extract_all(md, '(?m)^#{1,6} .+$')) >= 1), ('min_images', FALSE), ('min_math_blocks', (len(string_split(md, '$$')) - 1) // 2 >= 1), ('required_substrings', TRUE), ('required_table_cells', lang = 'en'), ('forbidden_substrings', NOT contains(md, 'License'))) AS c(name, ok)""")
+WITH n AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN '---' || chr(10) || 'x' || chr(10) || '---' || chr(10) ELSE '' END || '## ' || source || chr(10) || text || chr(10) || '| a | ' || lang || ' |' AS md FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, name, coalesce(ok, FALSE) AS ok FROM n, LATERAL (VALUES ('title', contains('From ' || source, lang)), ('frontmatter', CASE WHEN md IS NOT NULL THEN doc_id % 2 = 0 END), ('min_headings', len(regexp_extract_all(md, '(?m)^#{1,6} .+$')) >= 2), ('min_images', doc_id % 3 >= 1), ('min_math_blocks', (len(string_split(md, '$$')) - 1) // 2 >= 1), ('required_substrings', contains(md, 'the')), ('required_table_cells', lang = 'en'), ('forbidden_substrings', NOT contains(md, 'License'))) AS c(name, ok)""")
 def fixture_checks(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    md = F.concat(F.lit("---\nx\n---\n## "), "source", F.lit("\n"), "text", F.lit("\n| a | "), "lang", F.lit(" |"))
-    notes = d.select("doc_id", F.concat(F.lit("From "), "source").alias("title"), F.lit(0).alias("images"), md.alias("markdown"))
-    want = d.select("doc_id", F.col("source").alias("title_contains"), F.lit(1).alias("min_headings"), F.lit(1).alias("min_images"), F.lit(1).alias("min_math_blocks"), F.array(F.concat(F.lit("##  "), "source")).alias("required_substrings"), F.array(F.lit("| en |")).alias("required_table_cells"), F.array(F.lit("License")).alias("forbidden_substrings"))
+    md = F.concat(F.when(F.col("doc_id") % 2 == 0, "---\nx\n---\n").otherwise(""), F.lit("## "), "source", F.lit("\n"), "text", F.lit("\n| a | "), "lang", F.lit(" |"))
+    notes = d.select("doc_id", F.concat(F.lit("From "), "source").alias("title"), (F.col("doc_id") % 3).alias("images"), md.alias("markdown"))
+    want = d.select("doc_id", F.col("lang").alias("title_contains"), F.lit(2).alias("min_headings"), F.lit(1).alias("min_images"), F.lit(1).alias("min_math_blocks"), F.array(F.concat(F.lit("##  "), "source"), F.lit("the")).alias("required_substrings"), F.array(F.lit("| en |")).alias("required_table_cells"), F.array(F.lit("License")).alias("forbidden_substrings"))
     return checks.run(notes, want)
 
 
+@query(r"""
+WITH n AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '---' || chr(10) || 'title: x' || chr(10) || '---' || chr(10) ELSE '' END || '## a' || chr(10) || text AS md, source, doc_id % 3 AS k FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, name, coalesce(ok, FALSE) AS ok FROM n, LATERAL (VALUES ('folder', k > 0), ('file', source = 'web'), ('frontmatter', doc_id % 2 = 0), ('size', length(md) > 5000), ('headings', len(string_split(md, '## ')) > 3), ('counts', k > 1), ('images', k >= 1), ('maths', contains(md, '$$')), ('no_warnings', k = 0), ('long', length(md) > 2000), ('any_heading', TRUE), ('no_glyphs', NOT contains(md, 'GLYPH'))) AS c(name, ok)""")
+def package_checks(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    k = F.col("doc_id") % 3
+    md = F.concat(F.when(F.col("doc_id") % 2 == 0, "---\ntitle: x\n---\n").otherwise(""), F.lit("## a\n"), "text")
+    side = F.struct(F.when(k > 0, "out/p").otherwise("out/q").alias("out_dir"), F.when(F.col("source") == "web", "out/p/p.md").otherwise("p.txt").alias("md_path"), k.alias("pages"), (k - 1).alias("wall_ms"), k.alias("images"))
+    notes = d.select("doc_id", md.alias("markdown"), F.lit("p").alias("stem"), side.alias("meta"), F.when(k == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("w"))).alias("warnings"))
+    names = {"frontmatter": None, "size": "long", "headings": "any_heading"}
+    rest = checks.smoke(notes).withColumn("name", F.when(F.col("name") == "size", names["size"]).when(F.col("name") == "headings", names["headings"]).otherwise(F.col("name"))).where("name <> 'frontmatter'")
+    return checks.contract(notes).unionByName(rest)
+
+
 @query(r"""
 SELECT CAST(o_orderkey AS BIGINT) AS doc_id, c.no AS chapter_no, c.title, c.n AS n_lines FROM orders, LATERAL (VALUES (1, NULL, 2), (2, 'Two ' || o_orderkey, 3), (3, 'Three', 2)) AS c(no, title, n)""")
 def split_chapters(spark, sf_dir):
@@ -286,11 +336,19 @@ def stripped_output(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.strip_chrome(t).alias("doc_tags"))
 
 
-@query(r"""SELECT vec_id, label, CASE WHEN label % 2 = 0 THEN ['webgpu', 'wasm'] ELSE ['wasm'] END AS devices, CASE WHEN label % 2 = 0 THEN 'fp16' ELSE 'fp32' END AS embed FROM embeddings""")
+@query(r"""
+WITH p AS (SELECT vec_id, ['auto', 'webgpu', 'webnn', 'wasm'][CAST(label % 4 + 1 AS INT)] AS wanted, vec_id % 2 = 0 AS gpu, vec_id % 3 AS k FROM embeddings)
+SELECT vec_id, list_concat(CASE WHEN wanted = 'webnn' AND k = 0 THEN ['webnn-npu', 'webnn-gpu'] WHEN wanted = 'webnn' AND k = 1 THEN ['webnn-gpu'] ELSE [] END, CASE WHEN gpu AND wanted <> 'wasm' THEN ['webgpu'] ELSE [] END, ['wasm']) AS devices,
+       CASE WHEN gpu AND (wanted IN ('auto', 'webgpu') OR wanted = 'webnn' AND k = 2) THEN 'fp16' ELSE 'fp32' END AS embed, NOT (gpu AND wanted <> 'wasm') AND NOT (wanted = 'webnn' AND k < 2) AS slow,
+       CASE WHEN k = 0 THEN 'no adapter' ELSE 'No compatible GPU was found.' END || CASE WHEN gpu THEN ' On Linux, Chromium still hides WebGPU behind a flag — launching the application with --enable-features=Vulkan --enable-unsafe-webgpu may enable it.' ELSE '' END AS reason FROM p""")
 def devices(spark, sf_dir):
-    gpu = F.col("label") % 2 == 0
-    d = readers.device_candidates(F.lit("auto"), gpu, gpu, F.array().cast("array<string>"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", d.alias("devices"), readers.embed_type(d[0], gpu).alias("embed"))
+    """Every preference, with and without a GPU and neural devices."""
+    gpu, k = F.col("vec_id") % 2 == 0, F.col("vec_id") % 3
+    wanted = F.element_at(F.array(*map(F.lit, ("auto", "webgpu", "webnn", "wasm"))), (F.col("label") % 4 + 1).cast("int"))
+    neural = F.when(k == 0, F.array(F.lit("gpu"), F.lit("npu"))).when(k == 1, F.array(F.lit("gpu"))).otherwise(F.array().cast("array<string>"))
+    d = table(spark, sf_dir, "embeddings").select("vec_id", gpu.alias("gpu"), k.alias("k"), readers.device_candidates(wanted, gpu, neural).alias("devices"))
+    first = F.col("devices")[0]
+    return d.select("vec_id", "devices", readers.embed_type(first, F.col("gpu")).alias("embed"), text.slow_device(first).alias("slow"), text.slow_reason(F.when(F.col("k") == 0, "no adapter"), F.when(F.col("gpu"), "linux").otherwise("mac")).alias("reason"))
 
 
 @query(r"""
@@ -305,19 +363,89 @@ def crop_boxes(spark, sf_dir):
     return d.select("vec_id", readers.crop_box(F.col("box"), F.lit(612).cast("long"), F.lit(792).cast("long")).alias("c")).select("vec_id", *[F.col(f"c.{k}").cast("long").alias(k) for k in "xywh"])
 
 
-@query(r"""SELECT l_orderkey AS doc_id, coalesce(string_agg('p' || l_partkey, chr(10) || chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) FILTER (l_returnflag <> 'R'), '') AS text FROM lineitem GROUP BY 1""")
+@query(r"""
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) AS no FROM lineitem),
+p AS (SELECT l_orderkey, (no - 1) // 4 AS g, string_agg('p' || l_partkey, ' ' ORDER BY no) AS x FROM n WHERE l_returnflag <> 'R' GROUP BY ALL)
+SELECT l_orderkey AS doc_id, coalesce(x, '') AS text FROM (SELECT DISTINCT l_orderkey FROM lineitem) LEFT JOIN (SELECT l_orderkey, string_agg(x, chr(10) || chr(10) ORDER BY g) AS x FROM p GROUP BY 1) USING (l_orderkey)""")
 def textlayer_paragraphs(spark, sf_dir):
-    """A token for each line of an order, far apart; a box covers each returned one."""
+    """Two tokens on a line, two lines in a paragraph; a box covers each returned one. Positions come from PDF text items."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
-    y = F.col("no") / 10.0
-    tok = F.struct("no", F.concat(F.lit("p"), "l_partkey").alias("str"), F.lit(0.1).alias("l"), y.alias("t"), F.lit(0.3).alias("r"), (y + 0.02).alias("b"))
-    box = F.when(F.col("l_returnflag") == "R", F.struct(F.lit(0.0).alias("l"), (y - 0.001).alias("t"), F.lit(1.0).alias("r"), (y + 0.03).alias("b")))
-    g = table(spark, sf_dir, "lineitem").withColumn("no", F.row_number().over(w)).groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(tok)).alias("tokens"), F.collect_list(box).alias("boxes"))
-    pages = g.select("doc_id", F.lit(1).alias("page"), F.transform("tokens", lambda t: F.struct(t["str"].alias("str"), t["l"].alias("l"), t["t"].alias("t"), t["r"].alias("r"), t["b"].alias("b"))).alias("tokens"), "boxes")
-    return textlayer.paragraphs(pages).select("doc_id", "text")
-
-
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'memory' WHEN event_id % 3 = 1 THEN 'cancelled' ELSE 'other' END AS kind FROM events")
-def failure_kinds(spark, sf_dir):
-    k = F.col("event_id") % 3
-    return table(spark, sf_dir, "events").select("event_id", text.failure_kind(F.when(k == 0, "Out of memory at 5").when(k == 1, "conversion cancelled").otherwise("odd")).alias("kind"))
+    k = F.col("no") - 1
+    top, left = F.floor(k / 4) * 60.0 + F.floor(k % 4 / 2) * 15.0, k % 2 * 250.0
+    item = F.struct(F.concat(F.lit("p"), "l_partkey").alias("str"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(1.0), left, 792.0 - top - 12.0).alias("transform"), F.lit(100.0).alias("width"), F.lit(12.0).alias("height"))
+    box = F.when(F.col("l_returnflag") == "R", F.struct((left / 612 - 0.001).alias("l"), (top / 792 - 0.001).alias("t"), ((left + 100) / 612 + 0.001).alias("r"), ((top + 12) / 792 + 0.001).alias("b")))
+    d = table(spark, sf_dir, "lineitem").withColumn("no", F.row_number().over(w)).withColumn("token", readers.text_token(item, F.lit(612.0), F.lit(792.0)))
+    g = d.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "token"))), lambda t: t["token"]).alias("tokens"), F.collect_list(box).alias("boxes"))
+    return textlayer.paragraphs(g.withColumn("page", F.lit(1))).select("doc_id", "text")
+
+
+@query("SELECT l_orderkey, l_linenumber, floor((l_partkey % 600 / 612.0) * 1e6 + 0.5) AS l, floor((1 - l_suppkey % 700 / 792.0 - 12 / 792.0) * 1e6 + 0.5) AS t, floor(((l_partkey % 600 + 30) / 612.0) * 1e6 + 0.5) AS r FROM lineitem WHERE l_returnflag <> 'R'")
+def text_tokens(spark, sf_dir):
+    item = F.struct(F.when(F.col("l_returnflag") != "R", "x").otherwise("").alias("str"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(1.0), (F.col("l_partkey") % 600).cast("double"), (F.col("l_suppkey") % 700).cast("double")).alias("transform"), F.lit(30.0).alias("width"), F.lit(12.0).alias("height"))
+    d = table(spark, sf_dir, "lineitem").withColumn("x", readers.text_token(item, F.lit(612.0), F.lit(792.0))).where("x IS NOT NULL")
+    return d.select("l_orderkey", "l_linenumber", *[F.floor(F.col(f"x.{k}") * 1e6 + 0.5).cast("double").alias(k) for k in "ltr"])
+
+
+@query(r"""
+SELECT event_id, CAST(floor(max(f) OVER (PARTITION BY user_id ORDER BY event_id) * 1e6 + 0.5) AS BIGINT) AS millionths, CASE WHEN event_id % 5 > 0 THEN CAST(floor(event_id % 5 * 30000.0 / (event_id % 5) / 1000 * (6 - event_id % 5) + 0.5) AS BIGINT) END AS left_s
+FROM (SELECT event_id, user_id, least(1.0, (event_id % 5 + CASE WHEN event_id % 7 = 0 THEN 0.0 WHEN q <= 1 THEN 0.8 * q ELSE 1 - 0.2 * exp(1 - q) END) / 6) AS f
+      FROM (SELECT event_id, user_id, (event_id % 11) * 9000.0 / CASE WHEN event_id % 5 > 0 THEN 30000.0 ELSE 60000.0 END AS q FROM events))""")
+def progress_bar(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    done = F.col("event_id") % 5
+    d = e.select("event_id", F.col("user_id").alias("doc_id"), F.col("event_id").cast("double").alias("at_ms"), done.alias("pages_done"), (done * 30000.0).alias("spent_ms"), F.when(F.col("event_id") % 7 != 0, F.col("event_id") - F.col("event_id") % 11 * 9000.0).alias("page_started_ms"), F.lit(6).alias("page_count"))
+    return guard.bar(d).select("event_id", F.floor(F.col("fraction") * 1e6 + 0.5).alias("millionths"), "left_s")
+
+
+@query(r"""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'T ' || p_partkey WHEN 1 THEN 'S' ELSE p_name END AS title FROM part""")
+def item_titles(spark, sf_dir):
+    item = lambda label, x: F.struct(F.lit(label).alias("label"), x.alias("text"))
+    k = F.col("p_partkey") % 3
+    items = F.array(item("text", F.lit("x")), item("section_header", F.when(k < 2, " S ").otherwise(" ")), item("title", F.lit(" ")), item("title", F.when(k == 0, F.concat(F.lit(" T "), "p_partkey")).otherwise("")))
+    return table(spark, sf_dir, "part").select("p_partkey", titles.from_items(items, F.col("p_name")).alias("title"))
+
+
+@query(r"""SELECT c_custkey, f.key, f.value, f.items FROM customer, LATERAL (VALUES ('title', c_name, NULL), ('author', NULL, ['A ' || c_custkey, c_mktsegment]), ('pages', CAST(c_nationkey AS VARCHAR), NULL), ('tags', NULL, ['paper', 'converted'])) AS f(key, value, items)""")
+def front_fields(spark, sf_dir):
+    null = F.lit(None).cast("string")
+    by = F.concat(F.lit("A "), F.col("c_custkey").cast("string"), F.lit("; "), "c_mktsegment")
+    md = F.concat(text.frontmatter(F.col("c_name"), F.lit("s"), by, null, F.lit("2024-01-02"), null, F.col("c_nationkey"), F.lit(0)), F.lit("\nkey: not one of them\n"))
+    d = table(spark, sf_dir, "customer").select("c_custkey", F.inline(text.front_fields(md))).where("key NOT IN ('source', 'created')")
+    return d.select("c_custkey", "key", "value", F.when(F.size("items") > 0, F.col("items")).alias("items"))
+
+
+@query(r"""
+WITH n AS (SELECT l_orderkey AS k, count(*) AS n, bool_or(l_returnflag = 'R') AS r FROM lineitem GROUP BY 1)
+SELECT 'out/' || k || x.name AS path, x.size FROM n, LATERAL (VALUES ('/n.md', length('# ' || k)), ('/images/f1.png', CASE WHEN r THEN 3 END)) AS x(name, size) WHERE x.size IS NOT NULL
+UNION ALL SELECT 'meta of ' || k || ': ' || n || ' pages, ' || length('# ' || k) || ' characters, ' || CASE WHEN r THEN 'f1 true' ELSE 'none' END, 0 FROM n""")
+def package_files(spark, sf_dir):
+    """The files of a package, but for the sidecar's size, and what its sidecar says."""
+    d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.count("*").alias("pages"), F.bool_or(F.col("l_returnflag") == "R").alias("r"))
+    found = F.when(F.col("r"), F.array(F.struct(F.lit("f1").alias("id"), F.lit("x").alias("tex"), F.lit(1).alias("page"), F.lit(True).alias("suspect")))).otherwise(F.array().cast("array<struct<id:string,tex:string,page:int,suspect:boolean>>"))
+    notes = d.select("doc_id", F.lit("s.pdf").alias("source"), F.lit("T").alias("title"), F.concat(F.lit("out/"), "doc_id").alias("out_dir"), F.lit("n").alias("stem"), F.concat(F.lit("# "), "doc_id").alias("markdown"), "pages", F.lit(0).alias("images"), F.array().cast("array<string>").alias("warnings"), found.alias("formulas"))
+    notes = packages.meta(notes, "e", "1", "m")
+    images = d.select("doc_id", F.lit("f1").alias("id"), F.when(F.col("r"), F.lit(b"png")).alias("png"))
+    rows = packages.files(notes, images).where("path NOT LIKE '%/meta.json'").select("path", F.octet_length("content").cast("long").alias("size"))
+    side = F.from_json("meta", readers.META)
+    said = notes.select("doc_id", side.alias("m")).select(F.concat(F.lit("meta of "), "doc_id", F.lit(": "), "m.pages", F.lit(" pages, "), "m.markdown_chars", F.lit(" characters, "), F.when(F.col("m.formulas").isNull(), "none").otherwise(F.concat(F.col("m.formulas")[0]["id"], F.lit(" "), F.col("m.formulas")[0]["suspect"].cast("string")))).alias("path"), F.lit(0).cast("long").alias("size"))
+    return rows.unionByName(said)
+
+
+@query(r"""
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'in/p' || o_orderkey ELSE 'out/' || CASE WHEN o_orderkey % 3 = 1 THEN 'Title ' || o_custkey ELSE 'file' END END AS folder, CASE WHEN o_orderkey % 3 = 0 THEN 'p' || o_orderkey WHEN o_orderkey % 3 = 1 THEN 'Title ' || o_custkey ELSE 'file' END AS stem FROM orders""")
+def package_destinations(spark, sf_dir):
+    """A third of the sources lie in a package; of the others' folders, those that lack the sidecar or the note are none."""
+    o = table(spark, sf_dir, "orders")
+    at = F.concat(F.lit("in/p"), "o_orderkey")
+    k = F.col("o_orderkey") % 3
+    listing = o.select(F.explode(F.array(F.when(k != 1, F.concat(at, F.lit("/meta.json"))), F.when(k != 2, F.concat(at, F.lit("/p"), "o_orderkey", F.lit(".md"))))).alias("path")).where("path IS NOT NULL")
+    sources = o.select("o_orderkey", F.concat(at, F.lit("/file.pdf")).alias("path"), F.when(k == 1, F.concat(F.lit(" Title  "), "o_custkey")).otherwise("..").alias("title"))
+    return packages.destinations(sources, listing, "out").select("o_orderkey", "folder", "stem")
+
+
+@query(r"""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'The CPU backend ran out of memory on this page. WebAssembly is capped at 4 GB, and pages that split into many tiles exceed it — this document needs a GPU. Other documents may still convert on the CPU.'
+  WHEN event_id % 4 = 1 THEN 'Conversion ran out of memory (failed, ERROR_CODE: 6, x). Try a shorter document, or restart the application to free memory.' WHEN event_id % 4 = 2 THEN 'Conversion failed: failed, ERROR_CODE: 61' ELSE 'Conversion failed: ' END AS message FROM events""")
+def failure_messages(spark, sf_dir):
+    k = F.col("event_id") % 4
+    message = F.when(k == 0, "std::bad_alloc").when(k == 1, "failed, ERROR_CODE: 6, x").when(k == 2, "failed, ERROR_CODE: 61")
+    return table(spark, sf_dir, "events").select("event_id", text.explain_failure(message, F.when(k == 0, "wasm").when(k == 1, "webgpu").when(k == 2, "cpu")).alias("message"))

@@ -66,10 +66,26 @@ def crop_box(box: Column, width: Column, height: Column) -> Column:
     return F.struct(x0.alias("x"), y0.alias("y"), F.greatest(F.lit(1), x1 - x0).alias("w"), F.greatest(F.lit(1), y1 - y0).alias("h"))
 
 
-def device_candidates(preference: Column, webgpu: Column, f16: Column, webnn: Column) -> Column:
-    """Devices to try, in order: the preferred one, or by what the probe found; the CPU comes last."""
-    auto = F.concat(F.when(webgpu, F.array(F.lit("webgpu"))).otherwise(F.array().cast("array<string>")), webnn, F.array(F.lit("wasm")))
-    return F.when(preference == "auto", auto).otherwise(F.array_distinct(F.array(preference, F.lit("wasm"))))
+def device_candidates(preference: Column, webgpu: Column, webnn: Column) -> Column:
+    """Devices to try, in order, by preference and by what the probe found; ``webnn`` lists its usable kinds.
+
+    The CPU comes last. Neural devices come only where they are asked for, the NPU before the GPU.
+    """
+    some = lambda ok, name: F.when(ok, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+    neural = F.concat(*[some((preference == "webnn") & F.coalesce(F.array_contains(webnn, k), F.lit(False)), f"webnn-{k}") for k in ("npu", "gpu")])
+    return F.concat(neural, some(webgpu & (preference != "wasm"), "webgpu"), F.array(F.lit("wasm")))
+
+
+def text_token(item: Column, width: Column, height: Column) -> Column:
+    """A positioned token from a PDF text item (str, transform, width, height) and its unscaled page's size.
+
+    PDF space begins at the bottom; the box is in fractions of the page, from its top. Null for an item without text.
+    """
+    e, f = F.coalesce(F.get(item["transform"], F.lit(4)), F.lit(0.0)), F.coalesce(F.get(item["transform"], F.lit(5)), F.lit(0.0))
+    x, h = e / width, F.coalesce(item["height"], F.lit(0.0)) / height
+    top = 1 - f / height - h
+    box = F.struct(item["str"].alias("str"), x.alias("l"), top.alias("t"), (x + F.coalesce(item["width"], F.lit(0.0)) / width).alias("r"), (top + h).alias("b"))
+    return F.when(F.coalesce(item["str"], F.lit("")) != "", box)
 
 
 def embed_type(device: Column, f16: Column) -> Column:
