@@ -16,10 +16,14 @@ WHITE_RE = r"[\x20\x09-\x0D]"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), a temporary folder is made and kept in the session.
+    Where the session names none and runs on one machine, as in tests, a temporary folder is made and kept in the session;
+    on a cluster, whose machines don't see each other's folders, that is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

@@ -77,7 +77,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class Filters:
-    """The learned filters: languages by bit, the slots, and each language's false-positive rate."""
+    """The learned filters: languages by bit, the slots (a row for each 64 languages), and each language's false-positive rate."""
 
     languages: list[str]
     slots: np.ndarray
@@ -86,25 +86,23 @@ class Filters:
 
     @classmethod
     def build(cls, languages: list[str], members: dict[str, np.ndarray], bits: int = 18, probes: int = 3) -> Filters:
-        if len(languages) > 64:
-            raise ValueError("a slot has bits for 64 languages")
-        out = cls(languages, np.zeros(1 << bits, np.uint64), np.zeros(len(languages)), probes)
+        out = cls(languages, np.zeros((max(1, -(-len(languages) // 64)), 1 << bits), np.uint64), np.zeros(len(languages)), probes)
         for k, lang in enumerate(languages):
             for p in range(probes):
                 at = np.unique(out._at(members[lang], p))
-                out.slots[at] |= np.uint64(1 << k)
+                out.slots[k // 64, at] |= np.uint64(1 << k % 64)
         for k in range(len(languages)):
-            out.wrong[k] = float(((out.slots >> np.uint64(k)) & np.uint64(1)).mean()) ** probes
+            out.wrong[k] = float(((out.slots[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean()) ** probes
         return out
 
     def _at(self, h: np.ndarray, p: int) -> np.ndarray:
-        return ((h >> np.uint64(20 * p)) & np.uint64(len(self.slots) - 1)).astype(np.int64)
+        return ((h >> np.uint64(20 * p)) & np.uint64(self.slots.shape[1] - 1)).astype(np.int64)
 
     def masks(self, h: np.ndarray) -> np.ndarray:
-        """For each n-gram the languages that contain it."""
-        out = self.slots[self._at(h, 0)]
+        """For each n-gram the languages that contain it, a row for each 64 of them."""
+        out = self.slots[:, self._at(h, 0)]
         for p in range(1, self.probes):
-            out = out & self.slots[self._at(h, p)]
+            out = out & self.slots[:, self._at(h, p)]
         return out
 
     def decide(self, h: np.ndarray, start: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -112,7 +110,7 @@ class Filters:
         masks, total = self.masks(h), np.diff(start)
         share = np.zeros((len(self.languages), len(total)))
         for k in range(len(self.languages)):
-            sums = np.concatenate([[0], np.cumsum((masks >> np.uint64(k)) & np.uint64(1))]).astype(np.int64)
+            sums = np.concatenate([[0], np.cumsum((masks[k // 64] >> np.uint64(k % 64)) & np.uint64(1))]).astype(np.int64)
             hits = np.diff(sums[start])
             share[k] = np.clip((hits - total * self.wrong[k]) / (1 - self.wrong[k]), 0, None) / np.maximum(total, 1)
         if not len(self.languages):
@@ -138,8 +136,8 @@ def learn(labelled: DataFrame, max_rows: int = 20_000, least: float = 2e-5, near
     if not languages:
         return Filters.build([], {})
     if sum(texts.values()) > max_rows:
-        # hashes are spread evenly over 64 bits: 64 languages at most, a bound for each
-        bounds = [(x, min(2**63 - 1, -(2**63) + int(max_rows / len(texts) / n * 2**64))) for x, n in texts.items()]
+        # hashes are spread evenly over 64 bits: a bound for each language
+        bounds = [(x, min(2**63 - 1, -(2**63) + 2**64 * max_rows // (len(texts) * n))) for x, n in texts.items()]
         d = d.join(F.broadcast(labelled.sparkSession.createDataFrame(bounds, "lang string, bound long")), "lang").where("h <= bound")
     d = d.dropDuplicates(["lang", "h"])
 

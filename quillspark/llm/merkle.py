@@ -2,7 +2,7 @@
 
 Leaves are clauses (up to and with their punctuation), a paragraph is a line, and a section ends after a paragraph whose
 digest says so, so an edit moves no boundary but its own. Equal roots mean equal texts; where roots differ, only the
-branches that differ need be followed to find the edits. A fingerprint is the root and the leaves' short digests.
+branches that differ are followed to find the edits. A fingerprint is the tree written out with short digests.
 """
 
 from __future__ import annotations
@@ -36,7 +36,9 @@ class Tree:
 
     @property
     def fingerprint(self) -> str:
-        return self.root.hex() + ":" + b"".join(x[:4] for s in self.leaves for p in s for x in p).hex()
+        """The root, and for each section its digest and its paragraphs, each the digests of its leaves."""
+        below = (s.hex()[:8] + ",".join([b"".join([x[:4] for x in p]).hex() for p in ps]) for s, ps in zip(self.sections, self.leaves, strict=True))
+        return self.root.hex() + ":" + "/".join(below)
 
 
 def _node(kind: bytes, below: list[bytes]) -> bytes:
@@ -61,13 +63,40 @@ def tree(text: str) -> Tree:
     return Tree(_node(b"root", sections), sections, paragraphs, leaves)
 
 
+def _unmatched(a: list[str], b: list[str], name) -> tuple[list[str], list[str]]:
+    """The branches of either side that the other hasn't, by their names; a branch that repeats is matched as often as both have it."""
+    left = Counter(map(name, b))
+    mine = []
+    for x in a:
+        if left[name(x)] > 0:
+            left[name(x)] -= 1
+        else:
+            mine.append(x)
+    own = Counter(map(name, mine))
+    rest, theirs = Counter(map(name, b)) - (Counter(map(name, a)) - own), []
+    for x in b:
+        if rest[name(x)] > 0:
+            rest[name(x)] -= 1
+            theirs.append(x)
+    return mine, theirs
+
+
 def likeness(a: str, b: str) -> float:
-    """Of two fingerprints: 1 where the roots agree, else the share of leaves that they have in common (Dice)."""
+    """Of two fingerprints: 1 where the roots agree, else the share of leaves that they have in common (Dice).
+
+    Only branches that differ are followed: sections of one digest are alike, of the others the paragraphs are compared,
+    and of paragraphs that differ the leaves.
+    """
     if a[:32] == b[:32]:
         return 1.0
-    x, y = (Counter(f[k : k + 8] for k in range(33, len(f), 8)) for f in (a, b))
-    n = x.total() + y.total()
-    return 2 * sum(min(c, y[k]) for k, c in x.items() if k in y) / n if n else 0.0
+    total = a.count("/") + a.count(",") + 2, b.count("/") + b.count(",") + 2
+    leaves = lambda f, marks: (len(f) - 33 - (marks - 2) - 8 * (f.count("/") + 1)) // 8
+    n = leaves(a, total[0]) + leaves(b, total[1])
+    x, y = _unmatched(a[33:].split("/"), b[33:].split("/"), lambda s: s[:8])
+    x, y = _unmatched([p for s in x for p in s[8:].split(",")], [p for s in y for p in s[8:].split(",")], lambda p: p)
+    x, y = (Counter(p[k : k + 8] for p in side for k in range(0, len(p), 8)) for side in (x, y))
+    differ = (x - y).total() + (y - x).total()
+    return (n - differ) / n if n else 0.0
 
 
 def differing(a: Tree, b: Tree) -> list[tuple[int, int]]:

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillspark.llm import html_text, langid, licenses, lines, ngram_join, packing
+from quillspark.llm import html_text, langid, licenses, lines, merkle, ngram_join, packing, quality
 from quillspark.llm.bpe import forced_bpe
 from quillspark.llm.chunks import byte_bpe
 from quillspark.llm.queries import tokenizer_path
@@ -199,3 +199,63 @@ def test_lines_against_brute_force(spark):
     want = {(k, 0) for k in range(len(texts)) if find(k) != k}
     got = {tuple(x) for x in lines.dropped(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
     assert not got - want and len(got) >= 0.97 * len(want) and len(want) > 60
+
+
+def test_short_circuit_keeps_what_no_rule_rejects(spark):
+    from pyspark.sql import functions as F
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "1 2 " * 60), (-4, "ABC " * 70), (-5, "a b c d e f g " * 30)], "doc_id long, text string")
+    d = d.unionByName(odd, allowMissingColumns=True).withColumn("n_words", F.lit("clash")).withColumn("__by", F.lit(1))
+    want = sorted(r.doc_id for r in quality.assess(d.drop("n_words")).select("doc_id", "kept").collect() if r.kept)
+    got = quality.keep_good(d)
+    assert got.columns == d.columns and sorted(r.doc_id for r in got.collect()) == want and {r.n_words for r in got.collect()} == {"clash"}
+    assert quality.keep_good(d.limit(0)).count() == 0
+
+
+def test_likeness_through_the_tree_counts_every_common_leaf():
+    from collections import Counter
+
+    r = random.Random(5)
+    line = lambda: " ".join(f"clause {r.randint(0, 60)}," for _ in range(r.randint(0, 5)))
+    for _ in range(60):
+        a = [line() for _ in range(r.randint(1, 40))]
+        b = [x for x in a if r.random() < 0.8] + [line() for _ in range(r.randint(0, 6))]
+        x, y = "\n".join(a), "\n".join(b)
+        own, other = (Counter(merkle.CLAUSE.findall(t.replace("\n", "\n"))) for t in (x, y))
+        n = own.total() + other.total()
+        want = 1.0 if x == y else 2 * (own & other).total() / n if n else 0.0
+        assert abs(merkle.likeness(merkle.tree(x).fingerprint, merkle.tree(y).fingerprint) - want) < 1e-9
+
+
+def test_more_than_64_languages(spark):
+    r = random.Random(7)
+    letters = [chr(0x4E00 + k) for k in range(700)]
+    rows = [(100 * k + j, "".join(r.choice(letters[10 * k : 10 * k + 10]) for _ in range(40)), f"l{k:02d}") for k in range(70) for j in range(4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.predict(d, langid.learn(d)).collect()
+    assert sum(x.lang_pred == x.lang for x in got) == len(rows)
+
+
+def test_language_counts_against_exact_sets(spark):
+    """What the filters count, less their false positives, is close to exact n-gram sets of the same texts."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text IS NOT NULL")
+    model = langid.learn(d, least=0, near_best=0)
+    rows = [(x.text, x.lang) for x in d.select("text", "lang").collect()]
+    sets = {}
+
+    def grams(text):
+        s = " " + "".join(c.lower() if c.isalpha() else " " for c in text) + " "
+        s = " ".join(s.split())
+        s = f" {s} " if s else ""
+        return [s[i : i + 4].ljust(4) for i in range(len(s)) if s[i : i + 4].strip()]
+
+    for text, lang in rows:
+        if lang is not None:
+            sets.setdefault(lang, set()).update(grams(text))
+    got = {x.text: x for x in langid.predict(d.select("text"), model).collect()}
+    for text, _ in rows[:60]:
+        g = grams(text)
+        share = {k: sum(x in s for x in g) / max(1, len(g)) for k, s in sets.items()}
+        if g and got[text].lang_pred != "und":
+            assert got[text].score >= max(share.values()) - 0.05 and share[got[text].lang_pred] >= max(share.values()) - 0.05
