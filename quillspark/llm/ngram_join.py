@@ -30,6 +30,8 @@ from .words import LOWER, Block, blocks, mix, spread
 
 #: Dealings of a set's elements to parts before each element becomes a part.
 LAST = 8
+#: Bytes of text whose sets a task holds at once.
+BLOCK = 500_000
 #: Nodes that a task remembers, so as to emit a copy once.
 SEEN = 200_000
 _STEPS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407]
@@ -133,7 +135,7 @@ def digests(docs: DataFrame, words: int = 5) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for b in blocks(batch.column(1)):
+            for b in blocks(batch.column(1), BLOCK):
                 s, start = shingle_sets(b, words)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.lo, b.hi - b.lo), pa.array(np.diff(start)), pa.array(nodes_of(s, start))], names=["doc_id", "n_shingles", "node"])
 
@@ -146,7 +148,7 @@ def shared_signatures(docs: DataFrame, percent: int, words: int = 5) -> DataFram
     def emit(batches):
         seen: set[int] = set()  # copies in a task are emitted once
         for batch in batches:
-            for b in blocks(batch.column(0)):
+            for b in blocks(batch.column(0), BLOCK):
                 s, start = shingle_sets(b, words)
                 nodes = nodes_of(s, start)
                 names, first = np.unique(nodes, return_index=True)
@@ -204,7 +206,7 @@ def sets_of(docs: DataFrame, percent: int, words: int = 5) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for b in blocks(batch.column(1)):
+            for b in blocks(batch.column(1), BLOCK):
                 s, start = shingle_sets(b, words)
                 lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.view(np.int64))) for x, at in ((s, start), sketches(s, start, percent))]
                 rows = pa.RecordBatch.from_arrays([batch.column(0).slice(b.lo, b.hi - b.lo), *lists], names=["node", "shingles", "sketch"])
