@@ -121,22 +121,40 @@ def headers_of(path: Column, text: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(runs, marked, F.array(first), whole), lambda x: x.rlike("[A-Za-z0-9]")))
 
 
+def _blocks(files: DataFrame) -> DataFrame:
+    """(id, path, block) of ``files(path, text)``; equal blocks of equal paths have one id."""
+    return files.select("path", F.explode(headers_of(F.col("path"), F.col("text"))).alias("block")).select(F.xxhash64("path", "block").alias("id"), "path", "block")
+
+
+def _words(blocks: DataFrame) -> DataFrame:
+    """(id, path, lines, word, tf, first) for each different word of each of ``_blocks``, counted without a shuffle: equal words of the sorted text are one match."""
+    text = F.concat(F.array_join(F.sort_array(F.regexp_extract_all(F.lower("block"), F.lit(WORD), F.lit(0))), " "), F.lit(" "))
+    runs = F.regexp_extract_all(text, F.lit(rf"({WORD} )\1*"), F.lit(0))
+    # once a block: what stands beside an explode is computed again for each word
+    made = F.struct("id", "path", (F.size(F.regexp_extract_all("block", F.lit(r"[A-Za-z0-9][^\n]*"), F.lit(0))) > 1).alias("lines"), runs.alias("runs"))
+    words = blocks.select(F.explode(F.array(made)).alias("x")).select("x.id", "x.path", "x.lines", F.posexplode("x.runs").alias("i", "run"))
+    return words.select("id", "path", "lines", F.substring_index("run", " ", 1).alias("word"), (F.length("run") / F.instr("run", " ")).alias("tf"), (F.col("i") == 0).alias("first"))
+
+
 def header_notices(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(path, license, score, lines): for each file of ``files(path, text)`` the likeliest licence of a header or of the whole."""
     spark = files.sparkSession
     rows, weights, other = whole_templates()
     vectors = F.broadcast(spark.createDataFrame(rows, "template int, license string, word string, tw double"))  # fixed: some thousand rows
-    idf = F.broadcast(spark.createDataFrame(weights, "word string, idf double"))
-    blocks = files.where("path IS NOT NULL AND text IS NOT NULL").select("path", F.explode(headers_of(F.col("path"), F.col("text"))).alias("block"))
-    # equal blocks of equal paths add up to one vector of the same direction
-    # once a block: what stands beside an explode is computed again for each word
-    made = F.struct(F.xxhash64("path", "block").alias("id"), F.col("block").rlike(r"[A-Za-z0-9][^\n]*\n[^A-Za-z0-9]*[A-Za-z0-9]").alias("lines"), F.expr(f"regexp_extract_all(lower(block), '{WORD}', 0)").alias("words"))
-    blocks = blocks.select("path", F.explode(F.array(made)).alias("x")).select("path", "x.id", "x.lines", F.explode("x.words").alias("word"))
-    tf = blocks.groupBy("path", "id", "lines", "word").agg(F.count("*").alias("tf")).join(idf, "word", "left")
-    weighted = written(tf.select("path", "id", "lines", "word", (F.col("tf") * F.coalesce("idf", F.lit(other))).alias("w")), "headers")
-    norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighted.join(vectors, "word").groupBy("path", "id", "lines", "template", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    scored = dots.join(norms, "id").select("path", "lines", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
+    most = {}
+    for _, _, word, weight in rows:
+        most[word] = max(weight, most.get(word, 0.0))
+    idf = F.broadcast(spark.createDataFrame([(w, x, most[w]) for w, x in weights], "word string, idf double, most double"))
+    files = files.where("path IS NOT NULL AND text IS NOT NULL").select("path", "text")
+    # no template's product with a block exceeds the sum of its words' weights times the largest that any template gives each
+    w = F.col("tf") * F.coalesce("idf", F.lit(other))
+    bounds = _words(_blocks(files)).join(idf, "word", "left").groupBy("id").agg(F.first("path").alias("path"), F.first("lines").alias("lines"), F.sum(F.col("first").cast("long")).alias("copies"), F.sum(w * w).alias("square"), F.sum(w * F.coalesce("most", F.lit(0.0))).alias("bound"))
+    # equal blocks of one path are one block: sums are divided by their number
+    bounds = bounds.select("id", "path", "lines", "copies", F.sqrt(F.col("square") / F.col("copies")).alias("norm"), (F.col("bound") / F.col("copies")).alias("bound"))
+    able = written(bounds.where(F.col("bound") >= (threshold - 1e-5) * F.col("norm")).select("id", "path", "lines", "copies", "norm"), "headers")
+    again = _blocks(files.join(able.select("path").distinct(), "path", "left_semi")).join(able.select("id"), "id", "left_semi")
+    dots = _words(again).join(vectors, "word").join(idf.select("word", "idf"), "word").groupBy("id", "template", "license").agg(F.sum(F.col("tf") * F.col("idf") * F.col("tw")).alias("dot"))
+    scored = dots.join(able, "id").select("path", "lines", "license", F.round(F.col("dot") / F.col("copies") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
     best = scored.groupBy("path").agg(F.min(F.struct((~F.col("lines")).alias("one"), (-F.col("score")).alias("minus"), "license")).alias("b"))
     return best.select("path", F.col("b.license").alias("license"), (-F.col("b.minus")).alias("score"), (~F.col("b.one")).alias("lines"))
 

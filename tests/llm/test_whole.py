@@ -259,3 +259,28 @@ def test_language_counts_against_exact_sets(spark):
         share = {k: sum(x in s for x in g) / max(1, len(g)) for k, s in sets.items()}
         if g and got[text].lang_pred != "und":
             assert got[text].score >= max(share.values()) - 0.05 and share[got[text].lang_pred] >= max(share.values()) - 0.05
+
+
+def test_headers_equal_plain_cosines(spark):
+    import re
+    from collections import Counter
+    from math import sqrt
+
+    rows, weights, other = licenses.whole_templates()
+    weights = dict(weights)
+    texts = [t for _, t in licenses.HEADERS[:16]] + [licenses._MIT + " extra word" * k for k in (5, 20, 60, 200)] + ["the of and to " * 4000, "no notice at all", "a\n" * 300]
+    files = [(f"{k}/LICENSE", t) for k, t in enumerate(texts)] + [("0/LICENSE", texts[0])] * 2 + [("x", None), (None, texts[0]), ("y", "")]
+    templates = {}
+    for k, lic, word, weight in rows:
+        templates.setdefault((k, lic), {})[word] = weight
+    want = {}
+    for path, t in files:
+        if path and t:
+            w = {x: n * weights.get(x, other) for x, n in Counter(re.findall("[a-z0-9]+", t.lower())).items()}
+            norm = sqrt(sum(x * x for x in w.values()))
+            scores = [(sum(w.get(x, 0) * y for x, y in v.items()) / norm, lic) for (_, lic), v in templates.items()]
+            if max(scores)[0] >= licenses.THRESHOLD:
+                want[path] = round(max(scores)[0], 5)
+    got = {r.path: round(r.score, 5) for r in licenses.header_notices(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got.keys() == want.keys() and len(got) < len(texts)
+    assert all(abs(got[p] - want[p]) < 2e-5 for p in want)
