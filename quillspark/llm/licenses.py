@@ -146,12 +146,15 @@ def header_notices(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         most[word] = max(weight, most.get(word, 0.0))
     idf = F.broadcast(spark.createDataFrame([(w, x, most[w]) for w, x in weights], "word string, idf double, most double"))
     files = files.where("path IS NOT NULL AND text IS NOT NULL").select("path", "text")
-    # no template's product with a block exceeds the sum of its words' weights times the largest that any template gives each
+    # no cosine exceeds the share of the norm that known words have, and no template's product with a block the sum of its words' weights times the largest that any template gives each
     w = F.col("tf") * F.coalesce("idf", F.lit(other))
-    bounds = _words(_blocks(files)).join(idf, "word", "left").groupBy("id").agg(F.first("path").alias("path"), F.first("lines").alias("lines"), F.sum(F.col("first").cast("long")).alias("copies"), F.sum(w * w).alias("square"), F.sum(w * F.coalesce("most", F.lit(0.0))).alias("bound"))
+    known = F.col("idf").isNotNull()
+    sums = [F.sum(x).alias(n) for n, x in (("copies", F.col("first").cast("long")), ("square", w * w), ("known", F.when(known, w * w).otherwise(0.0)), ("bound", F.when(known, w * F.col("most")).otherwise(0.0)))]
+    # numbers only: an aggregate of a string would sort all words
+    bounds = _words(_blocks(files)).join(idf, "word", "left").groupBy("id", "path", "lines").agg(*sums)
     # equal blocks of one path are one block: sums are divided by their number
-    bounds = bounds.select("id", "path", "lines", "copies", F.sqrt(F.col("square") / F.col("copies")).alias("norm"), (F.col("bound") / F.col("copies")).alias("bound"))
-    able = written(bounds.where(F.col("bound") >= (threshold - 1e-5) * F.col("norm")).select("id", "path", "lines", "copies", "norm"), "headers")
+    bounds = bounds.select("id", "path", "lines", "copies", F.sqrt(F.col("square") / F.col("copies")).alias("norm"), F.sqrt(F.col("known") / F.col("copies")).alias("known"), (F.col("bound") / F.col("copies")).alias("bound"))
+    able = written(bounds.where(F.least("bound", "known") >= (threshold - 1e-5) * F.col("norm")).select("id", "path", "lines", "copies", "norm"), "headers")
     again = _blocks(files.join(able.select("path").distinct(), "path", "left_semi")).join(able.select("id"), "id", "left_semi")
     dots = _words(again).join(vectors, "word").join(idf.select("word", "idf"), "word").groupBy("id", "template", "license").agg(F.sum(F.col("tf") * F.col("idf") * F.col("tw")).alias("dot"))
     scored = dots.join(able, "id").select("path", "lines", "license", F.round(F.col("dot") / F.col("copies") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
