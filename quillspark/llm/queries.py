@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, langid, licenses, lines, merkle, ngram_join, packing, quality, token_files
+from . import bpe, html_text, langid, licenses, lines, merkle, ngram_join, packing, positional, quality, token_files
 from .common import table
 
 
@@ -70,7 +70,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_license_scan, op4_language_id, op5_token_files, op6_ngram_join, op7_fingerprints, op8_bpe, op9_html_text, op10_packing)}
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positional.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_license_scan, op4_language_id, op5_token_files, op6_ngram_join, op7_fingerprints, op8_bpe, op9_html_text, op10_packing, op12_decontamination)}
 
 ORACLE = {
     "op1_quality_rules": r"""
@@ -124,3 +128,15 @@ near AS (SELECT path, dir, h.license AS inherited FROM (SELECT DISTINCT path FRO
 SELECT f.doc_id, f.path, own.license AS own_license, own.score AS own_score, CASE WHEN own.license IS NULL THEN near.dir END AS inherited_from, coalesce(own.license, near.inherited) AS license
 FROM f LEFT JOIN own USING (path) LEFT JOIN near USING (path)"""
 )
+
+ORACLE["op12_decontamination"] = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 8, 2)), lambda k: array_to_string(w[k:k + 9], ' '))) AS g FROM i WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM win),
+place AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n)),
+hit AS (SELECT doc_id, item_id, n, k FROM place JOIN win USING (n, g)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN ids USING (doc_id)"""
