@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, langid, licenses, lines, merkle, ngram_join, packing, positional, quality, token_files
+from . import bpe, html_text, langid, licenses, lines, merkle, ngram_join, packing, positional, quality, token_files, trie
 from .common import table
 
 
@@ -74,7 +74,11 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_license_scan, op4_language_id, op5_token_files, op6_ngram_join, op7_fingerprints, op8_bpe, op9_html_text, op10_packing, op12_decontamination)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_license_scan, op4_language_id, op5_token_files, op6_ngram_join, op7_fingerprints, op8_bpe, op9_html_text, op10_packing, op12_decontamination, op13_prefix_trie)}
 
 ORACLE = {
     "op1_quality_rules": r"""
@@ -140,3 +144,20 @@ covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnes
 ids AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN ids USING (doc_id)"""
+
+ORACLE["op13_prefix_trie"] = r"""
+WITH t AS (SELECT conv_id, struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(x ORDER BY i) AS xs,
+             xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda z: [ascii(z)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                             lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384::BIGINT * (a & 1)) END), 4294967295::BIGINT) % 4 AS h
+      FROM t GROUP BY conv_id),
+r AS (SELECT c.conv_id, list_concat(coalesce(list_slice(b.xs, 1, c.h), []), list_slice(c.xs, c.h + 1, len(c.xs))) AS xs FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 20),
+p AS (SELECT conv_id, d, list_slice(xs, 1, d) AS k, d = len(xs) AS ends FROM (SELECT conv_id, xs, unnest(range(0, len(xs) + 1)) AS d FROM r)),
+n AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM p GROUP BY k, d),
+v AS (SELECT *, (n_convs - 1) * CASE WHEN d = 0 THEN 0 ELSE len(list_filter(regexp_split_to_array(k[d].t, '[\x20\x09-\x0D]+'), lambda z: z <> '')) END AS saved FROM n),
+ch AS (SELECT list_slice(k, 1, d - 1) AS k, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+l AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN ch USING (k, d)),
+up AS (SELECT list_slice(k, 1, e) AS k, e AS d, n_children, saved FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM l)),
+s AS (SELECT k, d, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM up GROUP BY k, d)
+SELECT l.conv_id, CAST(l.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, l.n_convs, l.n_children, n_leaves, saved_tokens, l.ends_sha256
+FROM l JOIN s USING (k, d) LEFT JOIN n q ON l.d > 0 AND q.d = l.d - 1 AND q.k = list_slice(l.k, 1, l.d - 1)"""
