@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, langid, licenses, lines, merkle, ngram_join, packing, positional, quality, token_files, trie
+from . import bpe, html_text, langid, licenses, lines, merkle, ngram_join, packing, pivots, positional, quality, token_files, trie
 from .common import table
 
 
@@ -70,6 +70,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", shifted.alias("label"), "embedding")
+    return pivots.mine(pivots.clean(rows), "vec_id % 50 = 0")
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -78,7 +84,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_license_scan, op4_language_id, op5_token_files, op6_ngram_join, op7_fingerprints, op8_bpe, op9_html_text, op10_packing, op12_decontamination, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_license_scan, op4_language_id, op5_token_files, op6_ngram_join, op7_fingerprints, op8_bpe, op9_html_text, op10_packing, op11_hard_negatives, op12_decontamination, op13_prefix_trie)}
 
 ORACLE = {
     "op1_quality_rules": r"""
@@ -161,3 +167,11 @@ up AS (SELECT list_slice(k, 1, e) AS k, e AS d, n_children, saved FROM (SELECT *
 s AS (SELECT k, d, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM up GROUP BY k, d)
 SELECT l.conv_id, CAST(l.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, l.n_convs, l.n_children, n_leaves, saved_tokens, l.ends_sha256
 FROM l JOIN s USING (k, d) LEFT JOIN n q ON l.d > 0 AND q.d = l.d - 1 AND q.k = list_slice(l.k, 1, l.d - 1)"""
+
+ORACLE["op11_hard_negatives"] = r"""
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, x.vec_id AS id, a.label = x.label AS same, CAST(list_inner_product(a.v, x.v) AS BIGINT) AS score FROM r a JOIN r x ON a.vec_id % 50 = 0 AND a.vec_id <> x.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3"""
