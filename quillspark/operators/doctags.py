@@ -1,18 +1,18 @@
 """DocTags pages to tokens, blocks, tables, figures and formulas.
 
-Tokens come from one regular expression, in the JVM. Where a block ends depends on the tags before, so that step alone
-runs in an Arrow UDF over whole pages; numbering, titles and Markdown are windows and columns over its blocks.
+Tokens come from one regular expression; ``segments`` cuts pages into blocks; numbering, titles and Markdown are windows and
+columns over the blocks. All of it runs in the JVM. ``page_blocks`` reads one page without Spark; tests compare with it.
 """
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, collapse, strip
+from .segments import segment
 
 #: The grid of location tags: fixed value.
 GRID = 500
@@ -22,7 +22,6 @@ DROPPED = ("page_header", "page_footer", "page_break")
 CELLS = ("fcel", "ecel", "ched", "rhed", "crhed", "lcel", "ucel", "xcel")
 SPANS = ("lcel", "ucel", "xcel")
 PIECE = r"</?[a-z0-9_]+>|[^<]+|<"
-BLOCK = "array<struct<block_no:int,cls:string,bbox:array<double>,raw:string,caption:string,grid:array<array<string>>,spans:boolean>>"
 _space = re.compile(WS)
 _tag = re.compile(r"<(/?)([a-z0-9_]+)>")
 
@@ -138,11 +137,9 @@ def page_blocks(source: str | None) -> list[dict]:
     return _Page(source or "").blocks()
 
 
-def _segment(pages: Column) -> Column:
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(page_blocks)
-
-    return F.pandas_udf(run, BLOCK)(pages)
+def segmented(pages: DataFrame) -> DataFrame:
+    """The blocks of each page of ``pages`` (doc_tags and other columns): block_no, cls, bbox, raw, caption, grid, spans."""
+    return segment(pages, "doc_tags", WRAPPERS, DROPPED, CELLS, SPANS, GRID)
 
 
 def hashes(cls: Column) -> Column:
@@ -166,7 +163,7 @@ def blocks(pages: DataFrame) -> DataFrame:
     Numbers run over all pages of a document. Blocks without text, tables without rows and captions that a figure has taken
     give no row; a figure always does.
     """
-    d = pages.select("doc_id", "page", F.explode(_segment(F.col("doc_tags"))).alias("b")).select("doc_id", "page", "b.*")
+    d = segmented(pages.select("doc_id", "page", "doc_tags"))
     d = d.withColumn("text", F.when(F.col("cls") == "code", strip(F.col("raw"))).when(F.col("cls") != "otsl", collapse(F.col("raw"))))
     figure = F.col("cls").isin("picture", "chart")
     d = d.where(figure | (F.coalesce("text", F.lit("")) != "") | (F.size("grid") > 0))

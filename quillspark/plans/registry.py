@@ -97,6 +97,17 @@ def _formula_pages(spark, sf_dir):
     return d.select("doc_id", F.lit(1).alias("page"), tags.alias("doc_tags"), F.when(F.col("n") % 2 == 0, "timeout").alias("truncated"))
 
 
+@query("""
+SELECT p_partkey AS doc_id, b.no - 1 AS block_no, b.cls, b.raw, b.caption FROM part, LATERAL (VALUES (1, 'list_item', 'a' || p_partkey || 'b', NULL, -1), (2, 'picture', '', CASE WHEN p_size % 2 = 0 THEN 'see ' || p_size END, -1), (3, 'caption', 'see ' || p_size, NULL, 1), (3 + p_size % 2, 'text', 'ab', NULL, -1), (4 + p_size % 2, 'formula', 'cut ' || p_size, NULL, -1)) AS b(no, cls, raw, caption, odd) WHERE odd < 0 OR p_size % 2 = 1""")
+def nested_blocks(spark, sf_dir):
+    """Blocks that hold blocks of their own name, tags that cross, a caption with and without text before it, and a block that never ends."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    between = F.when(F.col("p_size") % 2 == 0, " \n").otherwise("and ")
+    tags = F.concat(F.lit("<list_item>a<list_item>"), key, F.lit("</list_item>b</list_item><picture></picture>"), between, F.lit("<caption>see <caption> "), size, F.lit("</caption></caption><text>a<formula>b</text>c</formula></text><formula><loc_1>cut "), size)
+    d = doctags.segmented(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), tags.alias("doc_tags")))
+    return d.select("doc_id", "block_no", "cls", F.when(F.col("cls") == "caption", text.collapse(F.col("raw"))).otherwise(F.col("raw")).alias("raw"), "caption")
+
+
 _NOTICE = "chr(10) || chr(10) || '> [!warning]- This formula may be incomplete — show the original from the PDF' || chr(10) || '> ![formula-' || {0} || '](images/formula-' || {0} || '.png)'"
 
 
