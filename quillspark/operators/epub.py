@@ -1,16 +1,16 @@
-"""Notes to e-books: front matter, chapters, assets, formula crops, and the container's bytes."""
+"""Notes to e-books: front matter, chapters, assets, formula crops, statistics, and the container's bytes."""
 
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, escape_xml, media_type
+from ..functions.text import WS, front_fields, media_type
+from . import xhtml
 
 IMAGE = r"!\[[^\]]*\]\(([^)\s]+)\)"
 
@@ -50,106 +50,167 @@ def missing(wanted: DataFrame, files: DataFrame) -> DataFrame:
     return wanted.join(files, ["doc_id", "href"], "left_anti").select("doc_id", F.concat(F.lit("missing image: "), "href").alias("warning"))
 
 
+def same_tex(a: Column, b: Column) -> Column:
+    """Whether two formulas are equal but for white space."""
+    return F.regexp_replace(a, f"{WS}+", "") == F.regexp_replace(b, f"{WS}+", "")
+
+
 def crops(displayed: DataFrame, sidecar: DataFrame) -> DataFrame:
     """Displayed formulas (doc_id, ordinal, tex) with the id of the crop that shows the same formula, or null."""
-    same = F.regexp_replace("tex", f"{WS}+", "") == F.regexp_replace("sidecar_tex", f"{WS}+", "")
+    same = same_tex(F.col("tex"), F.col("sidecar_tex"))
     d = displayed.join(sidecar.selectExpr("doc_id", "ordinal", "tex AS sidecar_tex", "id AS crop"), ["doc_id", "ordinal"], "left")
     return d.select("doc_id", "ordinal", F.when(same, F.col("crop")).alias("crop_id"), (~F.coalesce(same, F.lit(False))).alias("as_text"))
 
 
-def stable_uuid(seed: str) -> str:
-    """A UUID that only depends on ``seed``: two multiplicative hashes over its UTF-16 units (fixed multipliers and starts)."""
-    units = memoryview(seed.encode("utf-16-le", "surrogatepass")).cast("H")
-    full = 0xFFFFFFFF
-    a, b = (0x9E3779B9 ^ len(units)) & full, 0x85EBCA6B
-    for u in units:
-        a, b = (a ^ u) * 2654435761 & full, (b ^ u) * 1597334677 & full
-    x = f"{a:08x}{b:08x}{a ^ b:08x}{(a + b) & full:08x}"
-    return f"{x[:8]}-{x[8:12]}-4{x[13:16]}-a{x[17:20]}-{x[20:]}"
+def _times(x: Column, by: int) -> Column:
+    """``x * by`` modulo 2**32, of 32-bit numbers held in 64 bits."""
+    high = F.shiftleft((F.shiftright(x, 16) * by).bitwiseAND(0xFFFF), 16)
+    return (high + x.bitwiseAND(0xFFFF) * by).bitwiseAND(0xFFFFFFFF)
 
 
 def uuids(seeds: Column) -> Column:
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda s: stable_uuid(s or ""))
-
-    return F.pandas_udf(run, "string")(seeds)
-
-
-def _inline(text: str) -> str:
-    text = text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-    for mark, tag in ((r"\*\*(.+?)\*\*", "strong"), (r"(?<![\w*])\*([^*]+)\*(?![\w*])", "em"), (r"`([^`]+)`", "code")):
-        text = re.sub(mark, rf"<{tag}>\1</{tag}>", text)
-    text = re.sub(r"!\[([^\]]*)\]\(([^)\s]+)\)", r'<img src="\2" alt="\1"/>', text)
-    return re.sub(r"\[([^\]]+)\]\(([^)\s]+)\)", r'<a href="\2">\1</a>', text)
-
-
-def xhtml(body: str) -> str:
-    """A chapter's Markdown as XHTML blocks: headings, lists, quotes, code, tables and paragraphs."""
-    out, lines, k = [], body.split("\n"), 0
-    while k < len(lines):
-        line = lines[k]
-        group = [line]
-        kinds = (("```", None), ("|", "table"), ("> ", "quote"), ("- ", "list"))
-        kind = next((n for start, n in kinds if line.startswith(start)), "text")
-        if line.startswith("```"):
-            end = next((j for j in range(k + 1, len(lines)) if lines[j].startswith("```")), len(lines))
-            out.append("<pre><code>" + "\n".join(lines[k + 1 : end]).replace("&", "&amp;").replace("<", "&lt;") + "</code></pre>")
-            k = end + 1
-            continue
-        if m := re.match(r"(#{1,6})\s+(.*)", line):
-            out.append(f"<h{len(m[1])}>{_inline(m[2])}</h{len(m[1])}>")
-            k += 1
-            continue
-        start = {"table": "|", "quote": ">", "list": "- "}.get(kind)
-        k += 1
-        while k < len(lines) and lines[k].strip() and (lines[k].startswith(start) if start else not re.match(r"#|```|\||>|- ", lines[k])):
-            group.append(lines[k])
-            k += 1
-        if not line.strip():
-            continue
-        if kind == "table":
-            rows = [[c.strip() for c in r.strip().strip("|").split("|")] for r in group if not re.fullmatch(r"[|\s:-]+", r)]
-            out.append("<table>" + "".join("<tr>" + "".join(f"<{'td' if i else 'th'}>{_inline(c)}</{'td' if i else 'th'}>" for c in r) + "</tr>" for i, r in enumerate(rows)) + "</table>")
-        elif kind == "quote":
-            out.append(f"<blockquote>{xhtml(chr(10).join(g[1:].removeprefix(' ') for g in group))}</blockquote>")
-        elif kind == "list":
-            out.append("<ul>" + "".join(f"<li>{_inline(g[2:])}</li>" for g in group) + "</ul>")
-        else:
-            out.append(f"<p>{_inline(' '.join(g.strip() for g in group))}</p>")
-    return "\n".join(out)
-
-
-def container(title: str, parts: list[tuple[str, str]]) -> bytes:
-    """The e-book's bytes; the same for the same input: times are fixed, the first entry is stored."""
-    buffer = io.BytesIO()
+    """A UUID that only depends on the seed: two multiplicative hashes over its UTF-16 units (fixed multipliers and starts).
+
+    A null seed is an empty one.
+    """
+    code = F.hex(F.encode(F.coalesce(seeds, F.lit("")), "UTF-16BE"))
+    n = (F.char_length(code) / 4).cast("int")
+    units = F.transform(F.regexp_extract_all(code, F.lit(".{4}"), F.lit(0)), lambda u: F.conv(u, 16, 10).cast("long"))
+    start = F.struct(F.lit(0x9E3779B9).cast("long").bitwiseXOR(n.cast("long")).alias("a"), F.lit(0x85EBCA6B).cast("long").alias("b"))
+    step = lambda h, u: F.struct(_times(h["a"].bitwiseXOR(u), 2654435761).alias("a"), _times(h["b"].bitwiseXOR(u), 1597334677).alias("b"))
+    digits = lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")
+
+    def text(h: Column) -> Column:
+        a, b = h["a"], h["b"]
+        x = F.concat(digits(a), digits(b), digits(a.bitwiseXOR(b)), digits((a + b).bitwiseAND(0xFFFFFFFF)))
+        return F.regexp_replace(x, "^(.{8})(.{4}).(.{3}).(.{3})(.{12})$", "$1-$2-4$3-a$4-$5")
+
+    return F.aggregate(units, start, step, text)
+
+
+def _escaped(x: str) -> str:
+    return x.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
+
+
+#: How pages look where readers' own defaults don't do.
+STYLE = """body { line-height: 1.5; margin: 0 5%; }
+h1, h2, h3, figure, .math-display { page-break-inside: avoid; }
+h1, h2, h3 { page-break-after: avoid; }
+figure, .math-display { margin: 1em 0; text-align: center; }
+img { max-width: 100%; }
+table { border-collapse: collapse; font-size: 85%; }
+td, th { border: 1px solid #888; padding: 2px 6px; }
+.callout { border-left: 3px solid #888; padding-left: 1em; }
+.callout-title { font-weight: bold; }
+.tex { font-size: 90%; }
+"""
+
+
+def container(title: str, parts: list[tuple[str, str]], uuid: str = "", creators: list[str] | None = None, source: str | None = None, files: list[tuple[str, str, str, bytes]] | None = None) -> bytes:
+    """The e-book's bytes; the same for the same input: times are fixed, the first entry is stored.
+
+    ``parts`` are chapters' titles and XHTML, ``files`` the ids, paths, media types and bytes of images.
+    """
+    buffer, names = io.BytesIO(), [f"ch{k:03d}.xhtml" for k in range(1, len(parts) + 1)]
+    page = '<?xml version="1.0" encoding="utf-8"?>\n<!DOCTYPE html>\n<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops" lang="en" xml:lang="en"><head><meta charset="utf-8"/><title>{}</title><link rel="stylesheet" type="text/css" href="style.css"/></head><body>\n{}\n</body></html>\n'
     with zipfile.ZipFile(buffer, "w") as z:
 
-        def put(name: str, data: str, how: int = zipfile.ZIP_DEFLATED) -> None:
+        def put(name: str, data: str | bytes, how: int = zipfile.ZIP_DEFLATED) -> None:
             info = zipfile.ZipInfo(name, (2000, 1, 1, 0, 0, 0))
             info.compress_type = how
             z.writestr(info, data)
 
         put("mimetype", "application/epub+zip", zipfile.ZIP_STORED)
-        put("META-INF/container.xml", '<?xml version="1.0"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>')
-        safe = _inline(title)
-        for k, (name, html) in enumerate(parts, 1):
-            put(f"OEBPS/chapter-{k}.xhtml", f'<?xml version="1.0" encoding="utf-8"?><html xmlns="http://www.w3.org/1999/xhtml"><head><title>{_inline(name)}</title></head><body>{html}</body></html>')
-        items = "".join(f'<item id="c{k}" href="chapter-{k}.xhtml" media-type="application/xhtml+xml"/>' for k in range(1, len(parts) + 1))
-        spine = "".join(f'<itemref idref="c{k}"/>' for k in range(1, len(parts) + 1))
-        put("OEBPS/nav.xhtml", '<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><body><nav epub:type="toc"><ol>' + "".join(f'<li><a href="chapter-{k}.xhtml">{_inline(n)}</a></li>' for k, (n, _) in enumerate(parts, 1)) + "</ol></nav></body></html>")
-        put("OEBPS/content.opf", f'<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="id">urn:uuid:{stable_uuid(title)}</dc:identifier><dc:title>{safe}</dc:title><dc:language>en</dc:language><meta property="dcterms:modified">2000-01-01T00:00:00Z</meta></metadata><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>{items}</manifest><spine>{spine}</spine></package>')
+        put("META-INF/container.xml", '<?xml version="1.0"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/package.opf" media-type="application/oebps-package+xml"/></rootfiles></container>')
+        for name, (head, html) in zip(names, parts, strict=True):
+            put(f"OEBPS/{name}", page.format(_escaped(head), html))
+        put("OEBPS/style.css", STYLE)
+        for _, href, _, data in files or ():
+            put(f"OEBPS/{href}", data)
+        put("OEBPS/nav.xhtml", page.format(_escaped(title), '<nav epub:type="toc" id="toc"><h1>Contents</h1><ol>' + "".join(f'<li><a href="{n}">{_escaped(head)}</a></li>' for n, (head, _) in zip(names, parts, strict=True)) + "</ol></nav>"))
+        items = "".join(f'<item id="ch{k}" href="{n}" media-type="application/xhtml+xml"/>' for k, n in enumerate(names)) + "".join(f'<item id="{i}" href="{_escaped(href)}" media-type="{kind}"/>' for i, href, kind, _ in files or ())
+        about = "".join(f"<dc:creator>{_escaped(c)}</dc:creator>" for c in creators or ()) + (f"<dc:source>{_escaped(source)}</dc:source>" if source else "")
+        spine = "".join(f'<itemref idref="ch{k}"/>' for k in range(len(names)))
+        put("OEBPS/package.opf", f'<?xml version="1.0" encoding="utf-8"?>\n<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="bookid" xml:lang="en"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="bookid">urn:uuid:{uuid}</dc:identifier><dc:title>{_escaped(title)}</dc:title><dc:language>en</dc:language>{about}<meta property="dcterms:modified">2026-01-01T00:00:00Z</meta></metadata><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="css" href="style.css" media-type="text/css"/>{items}</manifest><spine>{spine}</spine></package>')
     return buffer.getvalue()
 
 
-def books(notes: DataFrame) -> DataFrame:
-    """(doc_id, n_chapters, epub) of ``notes(doc_id, title, markdown)``. One row per document, so a task holds one book at a time."""
-    c = chapters(notes).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chapter_no", "title", "body"))).alias("parts"))
-
-    @F.pandas_udf("binary")
-    def pack(title: pd.Series, parts: pd.Series) -> pd.Series:
-        return pd.Series([container(t or "", [(p["title"] or t or "", xhtml(p["body"])) for p in ps]) for t, ps in zip(title, parts, strict=True)])
+class Book:
+    """The tables of which e-books of ``notes(doc_id, title, markdown)`` are made; ``title`` is used where a note has none.
 
-    return notes.select("doc_id", "title").join(c, "doc_id").select("doc_id", F.size("parts").alias("n_chapters"), pack("title", "parts").alias("epub"))
+    ``sidecar(doc_id, ordinal, tex, id)`` are the crops of displayed formulas. All tables are lazy:
 
+    * ``html``: doc_id, chapter_no, title, html
+    * ``formulas``: doc_id, ordinal, path, tex, crop_id (null: shown as text)
+    * ``inline``: doc_id, index, tex, xhtml of the different inline formulas
+    * ``assets``: doc_id, seq, href, id, media_type, crop of what is shown, images first, then crops
+    """
 
-__all__ = ["assets", "body_of", "books", "chapters", "crops", "escape_xml", "missing", "stable_uuid", "uuids", "xhtml"]
+    def __init__(self, notes: DataFrame, sidecar: DataFrame | None = None):
+        self.notes = notes.select("doc_id", "title", "markdown")
+        self.chapters = chapters(self.notes)
+        bodies = self.chapters.select("doc_id", F.array("chapter_no").alias("path"), "body")
+        b = xhtml.blocks(bodies, sidecar.select("doc_id").distinct() if sidecar is not None else None)
+        if sidecar is not None:
+            # a crop is taken if it shows the formula that has its place
+            side = sidecar.select("doc_id", "ordinal", F.col("tex").alias("sidecar_tex"), F.col("id").alias("crop"))
+            b = b.join(side, ["doc_id", "ordinal"], "left").withColumn("crop_id", F.when(same_tex(F.col("source"), F.col("sidecar_tex")), F.col("crop")))
+        else:
+            b = b.withColumn("crop_id", F.lit(None).cast("string"))
+        self.formulas = xhtml.displayed(b).select("doc_id", "ordinal", "path", "tex", "crop_id")
+        self.inline = xhtml.inlined(b)
+        rendered = xhtml.rendered(b)
+        # a chapter of blank lines and dropped callouts has no blocks
+        self.html = self.chapters.select("doc_id", "chapter_no", "title").join(rendered, ["doc_id", "chapter_no"], "left").withColumn("html", F.coalesce("html", F.lit("")))
+        pictures = xhtml.shown(b).select("doc_id", F.lit(0).alias("k"), "seq", "href")
+        cropped = self.formulas.where("crop_id IS NOT NULL").select("doc_id", F.lit(1).alias("k"), F.col("ordinal").alias("seq"), F.concat(F.lit("images/"), "crop_id", F.lit(".png")).alias("href"))
+        each = pictures.unionByName(cropped).groupBy("doc_id", "href").agg(F.min(F.struct("k", "seq")).alias("at"))
+        name = F.concat(F.when(F.col("at.k") == 0, "img-").otherwise("math-"), F.regexp_replace("href", r"\W", "-"))
+        self.assets = each.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")).alias("seq"), "href", name.alias("id"), media_type(F.col("href")).alias("media_type"), (F.col("at.k") == 1).alias("crop"))
+
+    def stats(self, files: DataFrame) -> DataFrame:
+        """A row for each note: n_chapters, n_images, formulas_as_crop, formulas_as_text, inline_as_text, warnings.
+
+        ``files(doc_id, href)`` are the files that exist. Of images those count that exist and show no formula; of inline formulas the different
+        ones that need no renderer.
+        """
+        count = lambda x: F.count(F.when(x, 1))
+        there = files.select("doc_id", "href").distinct().withColumn("there", F.lit(True))
+        a = self.assets.join(there, ["doc_id", "href"], "left").withColumn("there", F.coalesce("there", F.lit(False)))
+        a = a.groupBy("doc_id").agg(count(F.col("there") & ~F.col("crop")).alias("n_images"), F.array_sort(F.collect_list(F.when(~F.col("there"), F.struct("seq", "href")))).alias("gone"))
+        f = self.formulas.groupBy("doc_id").agg(F.count("crop_id").alias("formulas_as_crop"), count(F.col("crop_id").isNull()).alias("formulas_as_text"))
+        i = self.inline.groupBy("doc_id").agg(F.count("xhtml").alias("inline_as_text"))
+        c = self.chapters.groupBy("doc_id").agg(F.count("*").alias("n_chapters"))
+        d = self.notes.select("doc_id")
+        for part in (c, a, f, i):
+            d = d.join(part, "doc_id", "left")
+        numbers = ["n_chapters", "n_images", "formulas_as_crop", "formulas_as_text", "inline_as_text"]
+        d = d.na.fill(0, numbers)
+        # fixed sentence
+        said = F.when(F.col("formulas_as_text") > 0, F.concat("formulas_as_text", F.when(F.col("formulas_as_text") > 1, " equations").otherwise(" equation"), F.lit(" could not be rendered and were exported as LaTeX source — no formula image was available. Converted papers get one by re-converting the PDF.")))
+        gone = F.transform(F.coalesce("gone", F.array().cast("array<struct<seq:int,href:string>>")), lambda x: F.concat(F.lit("missing image: "), x["href"]))
+        return d.select("doc_id", *numbers, F.concat(F.array_compact(F.array(said)), gone).alias("warnings"))
+
+    def epubs(self, files: DataFrame) -> DataFrame:
+        """(doc_id, epub) of each note; ``files(doc_id, href, content)`` are the images' bytes.
+
+        One row per document, so a task holds one book at a time. Only the container's bytes are made in Python.
+        """
+        fields = self.notes.select("doc_id", F.col("title").alias("fallback"), front_fields(F.col("markdown")).alias("f"))
+        value = lambda key: F.try_element_at(F.filter("f", lambda x: x["key"] == key), F.lit(-1))
+        title = F.coalesce(F.nullif(value("title")["value"], F.lit("")), F.col("fallback"), F.lit(""))
+        names = F.when(value("author")["value"].isNotNull(), F.array(value("author")["value"])).otherwise(value("author")["items"])
+        about = fields.select("doc_id", title.alias("title"), F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda x: x.rlike(f"[^{WS[1:-1]}]")).alias("creators"), value("source")["value"].alias("source"))
+        about = about.withColumn("uuid", uuids(F.concat("title", F.coalesce("source", F.lit("")))))
+        parts = self.html.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chapter_no", "title", "html"))).alias("parts"))
+        held = self.assets.join(files.select("doc_id", "href", "content"), ["doc_id", "href"]).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "id", "href", "media_type", "content"))).alias("files"))
+
+        @F.pandas_udf("binary")
+        def pack(title: pd.Series, uuid: pd.Series, creators: pd.Series, source: pd.Series, parts: pd.Series, files: pd.Series) -> pd.Series:
+            out = []
+            for t, u, c, s, ps, fs in zip(title, uuid, creators, source, parts, files, strict=True):
+                out.append(container(t, [(p["title"] or t, p["html"]) for p in (ps if ps is not None else ())], u, list(c), s, [(f["id"], f["href"], f["media_type"], f["content"]) for f in (fs if fs is not None else ())]))
+            return pd.Series(out)
+
+        d = about.join(parts, "doc_id", "left").join(held, "doc_id", "left")
+        return d.select("doc_id", pack("title", "uuid", "creators", "source", "parts", "files").alias("epub"))

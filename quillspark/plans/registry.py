@@ -328,15 +328,14 @@ def escaped_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.escape_xml(F.col("html")).alias("escaped"), text.media_type(name).alias("media_type"))
 
 
-@query()
-def books(spark, sf_dir):
-    """E-books of the documents' texts."""
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    made = epub.books(d.select("doc_id", F.concat(F.lit("Document "), "doc_id").alias("title"), F.concat(F.lit("# "), "source", F.lit("\n"), "text").alias("markdown")))
-    return made.select("doc_id", "n_chapters", F.sha2("epub", 256).alias("sha256"))
+_IMUL = "((((({0}) >> 16) * {1}) & 65535) * 65536 + (({0}) & 65535) * {1}) & 4294967295"
 
 
-@query()
+@query(rf"""
+WITH u AS (SELECT page_id, CAST(flatten(list_transform(string_split(url, ''), lambda c: CASE WHEN unicode(c) > 65535 THEN [55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)] ELSE [unicode(c)] END)) AS BIGINT[]) AS u FROM pages),
+h AS (SELECT page_id, list_reduce(list_concat([xor(2654435769::BIGINT, len(u))], u), lambda h, c: {_IMUL.format("xor(h, c)", 2654435761)}) AS a, list_reduce(list_concat([2246822507::BIGINT], u), lambda h, c: {_IMUL.format("xor(h, c)", 1597334677)}) AS b FROM u),
+x AS (SELECT page_id, lower(lpad(to_hex(a), 8, '0') || lpad(to_hex(b), 8, '0') || lpad(to_hex(xor(a, b)), 8, '0') || lpad(to_hex((a + b) & 4294967295), 8, '0')) AS x FROM h)
+SELECT page_id, x[1:8] || '-' || x[9:12] || '-4' || x[14:16] || '-a' || x[18:20] || '-' || x[21:32] AS uuid FROM x""")
 def stable_ids(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", epub.uuids(F.col("url")).alias("uuid"))
 
@@ -460,3 +459,6 @@ def failure_messages(spark, sf_dir):
     k = F.col("event_id") % 4
     message = F.when(k == 0, "std::bad_alloc").when(k == 1, "failed, ERROR_CODE: 6, x").when(k == 2, "failed, ERROR_CODE: 61")
     return table(spark, sf_dir, "events").select("event_id", text.explain_failure(message, F.when(k == 0, "wasm").when(k == 1, "webgpu").when(k == 2, "cpu")).alias("message"))
+
+
+from . import books  # noqa: E402, F401 - adds its queries

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,3 +92,37 @@ def text_token(item: Column, width: Column, height: Column) -> Column:
 
 def embed_type(device: Column, f16: Column) -> Column:
     return F.when((device == "webgpu") & f16, "fp16").otherwise("fp32")
+
+
+def asset_names(spark: SparkSession, root: str) -> DataFrame:
+    """(path, name, length) of every file below ``root``; ``name`` is relative to it. No file's content is read."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
+    top = str(hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop)).rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select("path", F.substr("path", F.lit(len(top) + 1)).alias("name"), "length").where(F.col("path").startswith(top))
+
+
+def asset_bytes(spark: SparkSession, root: str, wanted: DataFrame, per_read: int = 10_000) -> DataFrame:
+    """(doc_id, href, content) of the files of ``wanted(doc_id, folder, href)`` that exist below ``root``.
+
+    Two scans: the first lists names and joins them with what is wanted, the second reads only the files that are. Their paths go
+    through the driver, as those of any scan of files do, ``per_read`` at a time. A href that leaves its folder finds nothing.
+    """
+    name = F.when(F.coalesce("folder", F.lit("")) == "", F.col("href")).otherwise(F.concat("folder", F.lit("/"), "href"))
+    named = wanted.select("doc_id", "href", name.alias("name")).where(~F.col("href").rlike(r"(^|/)\.\.(/|$)"))
+    found = named.join(asset_names(spark, root), "name").select("doc_id", "href", "path")
+    parts, batch = [], []
+    read = lambda paths: spark.read.format("binaryFile").load([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths]).select("path", "content")
+    for row in found.select("path").distinct().toLocalIterator():
+        batch.append(row.path)
+        if len(batch) == per_read:
+            parts.append(read(batch))
+            batch = []
+    if batch:
+        parts.append(read(batch))
+    if not parts:
+        return found.select("doc_id", "href", F.lit(None).cast("binary").alias("content")).where(F.lit(False))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return found.join(out, "path").select("doc_id", "href", "content")
