@@ -462,3 +462,5 @@ def failure_messages(spark, sf_dir):
 
 
 from . import books  # noqa: E402, F401 - adds its queries
+
+from . import streams  # noqa: E402, F401 - adds its queries
