@@ -8,6 +8,7 @@ distinct chunk once, and concatenated. Decoding looks every id up again.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 import re
@@ -21,6 +22,8 @@ from .chunks import byte_letters
 from .common import only, utf8
 from .words import Block, Store, blocks
 
+#: Letters up to which a fragment's pairs are simply looked through again after each merge.
+SHORT = 24
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -53,14 +56,38 @@ class ForcedBpe:
 
     def inner(self, fragment: str) -> list[int]:
         """A fragment that doesn't end its word: merges by rank, lowest first, leftmost first."""
-        parts = list(fragment)
-        while len(parts) > 1:
+        parts: list[str] = list(fragment) if len(fragment) <= SHORT else self._merged(fragment)
+        while 1 < len(parts) <= SHORT:
             rank, k = min((self.ranks.get(p, 1 << 60), k) for k, p in enumerate(zip(parts[:-1], parts[1:], strict=True)))
             if rank == 1 << 60:
                 break
             parts[k : k + 2] = ["".join(parts[k : k + 2])]
         return [self.vocab[p] for p in parts if p in self.vocab]
 
+    def _merged(self, fragment: str) -> list[str]:
+        """The same for a long fragment: pairs wait in a heap, what is left of the fragment is a chain of places."""
+        parts: list[str | None] = list(fragment)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap = [(r, k, p) for k, p in enumerate(zip(parts[:-1], parts[1:], strict=True)) if (r := self.ranks.get(p)) is not None]
+        heapq.heapify(heap)
+
+        def offer(k: int) -> None:
+            if 0 <= k and after[k] < len(parts) and (r := self.ranks.get(pair := (parts[k], parts[after[k]]))) is not None:
+                heapq.heappush(heap, (r, k, pair))
+
+        while heap:
+            _, k, pair = heapq.heappop(heap)
+            nxt = after[k]
+            if parts[k] != pair[0] or nxt >= len(parts) or parts[nxt] != pair[1]:
+                continue  # one of the two has become part of another
+            parts[k], parts[nxt] = pair[0] + pair[1], None
+            after[k] = after[nxt]
+            if after[k] < len(parts):
+                before[after[k]] = k
+            offer(k)
+            offer(before[k])
+        return [p for p in parts if p is not None]
+
     def word(self, word: str) -> list[int]:
         """A pre-token, as byte letters: cut at forced boundaries."""
         b = [self.byte_of[c] for c in word]
@@ -115,7 +142,8 @@ def forced_bpe(path: str) -> ForcedBpe:
 def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every row of ``docs(doc_id, text)``.
 
-    A null or empty text, or one of white space only, has no ids; rows that repeat stay; other columns are not read.
+    A null or empty text, or one of white space only, has no ids; rows that repeat stay; other columns are not read. A word of
+    any length takes time in proportion to it, but for a logarithm.
     """
 
     def encode(batches):
