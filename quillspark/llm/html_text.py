@@ -2,14 +2,16 @@
 
 The first pass classifies blocks by link density, stop-word density and length, on every page; the second gives those in
 doubt the label of their nearest decided neighbours. A main part that the page marks counts only where it holds most of
-the good text: what is outside then needs more to be good. Elements that hold no article text by their name, role or class
-are left out with all that is in them.
+the good text: what is outside then needs more to be good. Elements that hold no article text by their name are left out with
+all that is in them. Names in a class, id or role are only signs: what they mark is bad unless, for a whole name, nothing else
+on the page could be the article or, for a part of a compound name, it holds most of the text that isn't bad.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,10 +44,20 @@ GOOD, BAD, DOUBT = 1, -1, 0
 class Block:
     """A run of text between block-level tags."""
 
-    __slots__ = ("text", "linked", "main", "heading", "suspects")
+    __slots__ = ("text", "linked", "main", "heading", "suspect")
 
-    def __init__(self, text: str, linked: int, main: bool, heading: bool, suspects: tuple[int, ...] = ()):
-        self.text, self.linked, self.main, self.heading, self.suspects = text, linked, main, heading, suspects
+    def __init__(self, text: str, linked: int, main: bool, heading: bool, suspect: "Suspect | None" = None):
+        self.text, self.linked, self.main, self.heading, self.suspect = text, linked, main, heading, suspect
+
+
+class Suspect:
+    """An element with a sign: the next one around it, and whether the sign is a whole name (of it or of one around it)."""
+
+    __slots__ = ("around", "depth", "whole", "size", "kept")
+
+    def __init__(self, around: "Suspect | None", depth: int, whole: bool):
+        self.around, self.depth, self.size, self.kept = around, depth, 0, True
+        self.whole = whole or around is not None and around.whole
 
 
 def _signs(attributes: str) -> tuple[bool, bool]:
@@ -54,17 +66,17 @@ def _signs(attributes: str) -> tuple[bool, bool]:
     return any(SIGNS.fullmatch(x) for x in names), any(SIGNS.fullmatch(part) for x in names for part in re.split("[_-]", x))
 
 
-def blocks_of(page: str) -> tuple[list[Block], bool]:
-    """The blocks of a page outside of skipped elements, and whether the page marks its main part."""
+def blocks_of(page: str) -> tuple[list[Block], list[Suspect]]:
+    """The blocks of a page outside of skipped elements, and its elements with signs, outer ones first."""
     out: list[Block] = []
     stack: list[str] = []
     skip_at = None  # depth at which a skipped element began
     text: list[str] = []
     linked = 0
     links = mains = 0
-    suspects: list[tuple[int, int]] = []  # elements with a sign in a part of a name: depth and number
-    n_suspects = 0
-    marked = False
+    opened: Counter[str] = Counter()  # of the stack
+    suspects: list[Suspect] = []
+    suspect: Suspect | None = None
     heading = False
 
     def flush():
@@ -72,16 +84,17 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
         if text:
             whole = " ".join(entities.unescape("".join(text)).split())
             if whole:
-                out.append(Block(whole, linked, mains > 0, heading, tuple(k for _, k in suspects)))
+                out.append(Block(whole, linked, mains > 0, heading, suspect))
             text.clear()
         linked = 0
 
     def leave(name: str) -> None:
-        nonlocal links, mains
+        nonlocal links, mains, suspect
+        opened[name] -= 1
         links -= name == "a"
         mains -= name in ("article", "main")
-        while suspects and suspects[-1][0] >= len(stack):
-            suspects.pop()
+        while suspect and suspect.depth >= len(stack):
+            suspect = suspect.around
 
     at, n = 0, len(page)
     while at < n:
@@ -106,10 +119,10 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
                 flush()
                 heading = False
         if closing:
-            if name in stack:
+            if opened[name]:
                 while True:
                     top = stack.pop()
-                    if suspects and suspects[-1][0] >= len(stack) and skip_at is None:
+                    if suspect and suspect.depth >= len(stack) and skip_at is None:
                         flush()
                     leave(top)
                     if skip_at is not None and len(stack) <= skip_at:
@@ -126,22 +139,22 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
         if name in ("p", "li", "option", "dt", "dd", "tr", "td", "th") and stack and stack[-1] == name:
             leave(stack.pop())  # an end tag that is left out
         sign, part = _signs(attributes) if attributes and skip_at is None and name not in ("html", "body", "article", "main") else (False, False)
-        if skip_at is None and (name in SKIPPED or sign):
+        if skip_at is None and name in SKIPPED:
             flush()
             skip_at = len(stack)
         elif skip_at is None and name == "article" and attributes and re.search(r"comment|reply", attributes, re.I):
             skip_at = len(stack)
-        elif part:
+        elif sign or part:
             flush()
-            suspects.append((len(stack), n_suspects))
-            n_suspects += 1
+            suspect = Suspect(suspect, len(stack), sign)
+            suspects.append(suspect)
         stack.append(name)
+        opened[name] += 1
         links += name == "a"
         mains += name in ("article", "main")
-        marked |= name in ("article", "main") and skip_at is None
         heading |= name in HEADING
     flush()
-    return out, marked
+    return out, suspects
 
 
 def classify(b: Block, fits: bool, outside: bool = False, short: int = 70, low: float = 0.1, links: float = 0.5) -> int:
@@ -167,24 +180,32 @@ def density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / max(1, len(words))
 
 
-def labels_of(found: list[Block], marked: bool) -> list[int]:
+def labels_of(found: list[Block], suspects: list[Suspect]) -> list[int]:
     """The labels of a page's blocks after both passes.
 
-    What is in an element with a sign in a part of a compound name is bad unless that element holds most of the page's text
-    that isn't bad: then it is a wrapper.
+    Whole signs rule out what they mark if the page has anything else that isn't bad. The other signs, and all where it hasn't, rule
+    out what doesn't hold most of the text that isn't bad: what does is a wrapper.
     """
-    labels = [classify(b, False) for b in found]
-    sizes: dict[int, int] = {}
-    total = 0
-    for b, label in zip(found, labels, strict=True):
-        if label != BAD:
-            total += len(b.text)
-            for k in b.suspects:
-                sizes[k] = sizes.get(k, 0) + len(b.text)
-    if any(b.suspects for b in found):
-        inside = [all(2 * sizes.get(k, 0) > total for k in b.suspects) for b in found]
-        rest = iter(labels_of([_free(b) for b, x in zip(found, inside, strict=True) if x], marked))
+    if suspects:
+        able = [classify(b, False) != BAD for b in found]
+        plain = any(x and not (b.suspect and b.suspect.whole) for b, x in zip(found, able, strict=True))
+        free = [not (plain and b.suspect and b.suspect.whole) for b in found]
+        total = 0
+        for b, x, y in zip(found, able, free, strict=True):
+            if x and y:
+                total += len(b.text)
+                if b.suspect:
+                    b.suspect.size += len(b.text)
+        for s in reversed(suspects):
+            if s.around:
+                s.around.size += s.size
+        for s in suspects:
+            s.kept = 2 * s.size > total and (s.around is None or s.around.kept)
+        inside = [y and (b.suspect is None or b.suspect.kept) for b, y in zip(found, free, strict=True)]
+        rest = iter(labels_of([b for b, x in zip(found, inside, strict=True) if x], []))
         return [next(rest) if x else BAD for x in inside]
+    marked = any(b.main for b in found)
+    labels = [classify(b, False) for b in found]
     # stop words say nothing about a page in a language that isn't listed
     fits = density(" ".join(b.text for b, label in zip(found, labels, strict=True) if label == GOOD)) >= 0.1
     labels = [classify(b, fits) for b in found]
@@ -203,10 +224,6 @@ def labels_of(found: list[Block], marked: bool) -> list[int]:
     return settle(labels) if GOOD in labels else [GOOD if x == DOUBT else x for x in labels]
 
 
-def _free(b: Block) -> Block:
-    return Block(b.text, b.linked, b.main, b.heading)
-
-
 def settle(labels: list[int]) -> list[int]:
     """The second pass: a block in doubt gets the label of its nearest decided neighbours; good wins a tie, or where none is decided."""
     n = len(labels)
@@ -229,8 +246,8 @@ def settle(labels: list[int]) -> list[int]:
 
 def main_text(page: str | None) -> str:
     """The article of a page, blocks joined by one space; of a null or empty page, nothing."""
-    found, marked = blocks_of(page or "")
-    labels = labels_of(found, marked)
+    found, suspects = blocks_of(page or "")
+    labels = labels_of(found, suspects)
     return " ".join(b.text for b, label in zip(found, labels, strict=True) if label == GOOD)
 
 

@@ -16,3 +16,22 @@ def test_long_words_before_a_forced_cut():
     found = [b.chunk(t) for t in texts]
     assert time.perf_counter() - began < 10
     assert found == [b.tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+PROSE = "The ship was on its way to the island when the storm came, and all that was left of it in the end was a part of the mast."
+
+
+def test_deep_nests_of_elements_with_signs():
+    began = time.perf_counter()
+    html_text.main_text("<div class='x-ad'>y" * 20_000 + "</div>" * 20_000)
+    html_text.main_text("<div class='ad'>" * 20_000 + PROSE)
+    html_text.main_text("<div>" * 20_000 + "</b>" * 20_000 + "</div>" * 20_000)
+    assert time.perf_counter() - began < 5
+
+
+def test_a_whole_sign_rules_out_only_beside_other_text():
+    alone = [f"<div class='content header'><p>{PROSE}</p></div>", f"<div class='page search'><p>{PROSE}</p><div class=sidebar>a list of links</div></div>", f"<section class='social'><p>{PROSE}</p></section>", f"<blockquote class='related'>{PROSE}</blockquote>"]
+    assert [html_text.main_text(h) for h in alone] == [PROSE] * 4
+    comments = f"<div id=comments><p>{PROSE} one</p><p>{PROSE} two</p><p>{PROSE} three</p></div>"
+    assert html_text.main_text(f"<article><p>{PROSE}</p></article>{comments}") == PROSE
+    assert html_text.main_text(f"<div><p>{PROSE}</p>{comments}</div>") == PROSE
