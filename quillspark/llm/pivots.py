@@ -128,7 +128,9 @@ def pivot_table(rows: DataFrame, space: Space, anchors: bool, size: int) -> Data
 
     d = rows.mapInArrow(measured, "vec_id long, label long, v binary, dist array<double>, cell int, near double")
     order = ("label", "cell", "near", "vec_id")
-    d = d.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    # no more ranges than there are blocks to fill
+    n = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, -(-rows.count() // size)))
+    d = d.repartitionByRange(n, *order).sortWithinPartitions(*order)
     at = F.monotonically_increasing_id()
     block = F.shiftleft(F.shiftright(at, 33), 33) + F.floor(at.bitwiseAND(F.lit((1 << 33) - 1)) / size)
     return written(d.drop("near").withColumn("block", block), "pivots")
