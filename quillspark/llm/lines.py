@@ -239,16 +239,20 @@ def drop_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     Null texts stay null, an empty table stays empty; a text all of whose lines go becomes empty. ``n_chars``, where there
     is such a column, is brought up to date.
     """
-    gone = _dropped(docs, percent).groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "h")).alias(GONE))
-    gone = written(gone.withColumnRenamed("doc_id", GONE + "id"), "gone")
+    # removed places by runs of RUN lines, so that a line is only looked for among those of its own run
+    gone = _dropped(docs, percent).groupBy("doc_id", F.expr(f"line_no div {RUN}").cast("int").alias("run")).agg(F.collect_set(F.struct("line_no", "h")).alias("at"))
+    gone = gone.groupBy(F.col("doc_id").alias(GONE + "id")).agg(F.map_from_entries(F.collect_list(F.struct("run", "at"))).alias("runs"))
+    gone = written(gone.select(GONE + "id", F.expr("transform(sequence(0, array_max(map_keys(runs))), k -> runs[k])").alias(GONE)), "gone")
     release(docs.sparkSession)
     out = docs.join(gone, F.col("doc_id") == F.col(GONE + "id"), "left")
-    kept = F.expr(f"CASE WHEN {GONE} IS NULL THEN text ELSE array_join(filter(split(text, '\\n'), (x, i) -> NOT array_contains({GONE}, struct(i AS line_no, xxhash64(x) AS h))), '\n') END")
+    kept = F.expr(f"CASE WHEN {GONE} IS NULL THEN text ELSE array_join(filter(split(text, '\\n'), (x, i) -> NOT coalesce(array_contains(get({GONE}, i div {RUN}), struct(i AS line_no, xxhash64(x) AS h)), false)), '\n') END")
     made = {"text": kept}
     if "n_chars" in docs.columns:
         made["n_chars"] = F.when(F.col(GONE).isNull(), F.col("n_chars")).otherwise(F.length(kept).cast(docs.schema["n_chars"].dataType))
     return out.select(*[made.get(c, docs[c]).alias(c) for c in docs.columns])
 
 
+#: Lines in a run of places.
+RUN = 128
 #: A name that no column of a table has.
 GONE = "__gone_6d1f0c"

@@ -35,3 +35,15 @@ def test_a_whole_sign_rules_out_only_beside_other_text():
     comments = f"<div id=comments><p>{PROSE} one</p><p>{PROSE} two</p><p>{PROSE} three</p></div>"
     assert html_text.main_text(f"<article><p>{PROSE}</p></article>{comments}") == PROSE
     assert html_text.main_text(f"<div><p>{PROSE}</p>{comments}</div>") == PROSE
+
+
+def test_a_document_that_loses_very_many_lines(spark):
+    from quillspark.llm import lines
+
+    r = random.Random(6)
+    text = "\n".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(30)) + "." for _ in range(40_000))
+    d = spark.createDataFrame([(1, text), (2, "kept\n" + text + "\nkept too"), (3, None)], "doc_id long, text string")
+    began = time.perf_counter()
+    found = {r.doc_id: r.text for r in lines.drop_lines(d.select("doc_id", "text"), 100).collect()}
+    assert found == {1: text, 2: "kept\nkept too", 3: None}
+    assert time.perf_counter() - began < 120
