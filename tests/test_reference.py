@@ -102,16 +102,6 @@ def test_guard(spark):
         assert one(spark, guard.short_cycle(F.array(*[F.lit(x) for x in a]))) is want
 
 
-def test_textlayer():
-    t = lambda s, l, y: {"str": s, "l": l, "t": y, "r": l + 0.1, "b": y + 0.02}
-    assert textlayer.paragraph_text([t("a", 0, 0.1), t("b", 0.2, 0.1), t("c", 0, 0.125), t("d", 0, 0.3)]) == "a b c\n\nd"
-    assert textlayer.paragraph_text(None) == ""
-    tall = lambda s, l, top, end: {"str": s, "l": l, "t": top, "r": l + 0.05, "b": end}
-    # the tallest token decides, not the extent that a shifted one makes
-    assert textlayer.paragraph_text([tall("a", 0, 0.10, 0.12), tall("b", 0.05, 0.11, 0.13), tall("c", 0.1, 0.119, 0.139)]) == "ab c"
-    assert textlayer.paragraph_text([tall("a\u00a0", 0, 0.1, 0.1), tall("b", 0.2, 0.1, 0.1)]) == "a b"
-
-
 def test_epub():
     assert epub.container("t", [("a", "<p>b</p>")]) == epub.container("t", [("a", "<p>b</p>")])
 
