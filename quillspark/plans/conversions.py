@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import assemble, packages
+from ..sources import rasters
 from ..streaming import runs
 from .registry import query
 from .synthetic import table, turns
@@ -57,3 +58,39 @@ def source_moves(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", k.alias("k"), F.concat(F.lit("out/"), "o_orderkey").alias("own"))
     sources = o.select("o_orderkey", F.when(F.col("k") == 0, F.concat("own", F.lit("/a.pdf"))).otherwise(F.concat(F.lit("in/"), "o_orderkey", F.lit("/a.pdf"))).alias("path"), F.when(F.col("k") == 3, "shared").otherwise(F.col("own")).alias("folder"))
     return packages.moves(sources, o.where("k = 2").select(F.concat("own", F.lit("/a.pdf")).alias("path"))).select("o_orderkey", "target", "warning")
+
+
+def _rasters(spark, sf_dir):
+    """Pages of 8 x 6 pixels in the grey of the part's size; of the second rendering the first ``p_partkey % 9`` pixels are brighter by 20 and all have another alpha."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page"), F.lpad(F.hex("p_size"), 2, "0").alias("v"), F.lpad(F.hex(F.col("p_size") + 20), 2, "0").alias("w"), (F.col("p_partkey") % 9).cast("int").alias("k"), (F.col("p_partkey") % 7).alias("seven"), (F.col("p_partkey") % 5).alias("five"))
+    grey = lambda x, alpha: F.concat(x, x, x, F.lit(alpha))
+    one = p.select("doc_id", "page", F.lit(8).alias("width"), F.lit(6).alias("height"), F.unhex(F.repeat(grey("v", "FF"), F.lit(48))).alias("rgba"))
+    two = p.where("seven <> 0").select("doc_id", "page", F.when(F.col("five") == 0, 6).otherwise(8).alias("width"), F.when(F.col("five") == 0, 8).otherwise(6).alias("height"), F.unhex(F.concat(F.repeat(grey("w", "00"), F.col("k")), F.repeat(grey("v", "00"), F.lit(48) - F.col("k")))).alias("rgba"))
+    return rasters.bands(one, 4), rasters.bands(two, 4)
+
+
+@query("""
+SELECT p_partkey AS doc_id, 1 AS page, CASE WHEN e IS NULL THEN '8x6' END AS size, CASE WHEN e IS NULL THEN 48 END AS pixels, CASE WHEN e IS NULL THEN round(100.0 * (p_partkey % 9) / 48, 3) END AS differing_pct, CASE WHEN e IS NULL THEN round(20.0 * (p_partkey % 9) / 48, 3) END AS mean_abs_luma,
+ CASE WHEN e IS NULL THEN CASE WHEN p_partkey % 9 > 0 THEN 20 ELSE 0 END END AS max_abs_luma, e AS error
+FROM (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'missing render' WHEN p_partkey % 5 = 0 THEN 'size 8x6 vs 6x8' END AS e FROM part)""")
+def raster_differences(spark, sf_dir):
+    return rasters.differences(*_rasters(spark, sf_dir))
+
+
+@query("""
+SELECT p_partkey AS doc_id, 'figure-' || b.n AS id, b.w AS width, b.h AS height, b.w * b.h * 4 + b.h AS bytes FROM part, LATERAL (VALUES (1, 8, 6), (2, 3, 2), (3, 1, 1), (4, 1 + p_partkey % 4, 3)) AS b(n, w, h)""")
+def crop_images(spark, sf_dir):
+    """Crops across bands: the whole page, a box rounded outwards, one outside of the page, and one that grows with the part."""
+    one, _ = _rasters(spark, sf_dir)
+    box = lambda l, t, r, b: F.struct(*[F.lit(x).cast("double").alias(k) if not hasattr(x, "alias") else x.alias(k) for k, x in zip("ltrb", (l, t, r, b), strict=True)])
+    named = F.array(*[F.struct(F.lit(f"figure-{n}").alias("id"), b.alias("box")) for n, b in enumerate((box(0, 0, 1, 1), box(0.2, 0.4, 0.45, 0.6), box(1.2, 1.2, 1.4, 1.3), box(0, 0.5, (F.col("p_partkey") % 4 + 1) / 8.0, 1)), 1)])
+    boxes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page"), F.inline(named))
+    number = lambda k: F.conv(F.hex(F.substring("png", k, 4)), 16, 10).cast("int")
+
+    @F.pandas_udf("long")
+    def unpacked(x):
+        import zlib
+
+        return x.map(lambda v: len(zlib.decompress(bytes(v)[41:-16])))
+
+    return rasters.crops(one, boxes).select("doc_id", "id", number(17).alias("width"), number(21).alias("height"), unpacked("png").alias("bytes"))
