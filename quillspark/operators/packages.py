@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 import pyarrow as pa
@@ -119,9 +120,19 @@ def commit(rows: DataFrame, root: str) -> DataFrame:
     one by one, the sidecar last, and files that the new one lacks stay. Each step can be done again: a lost task leaves no half
     package, and what is already in its place is left there. Runs when called; the staging folder goes at the end.
     """
-    spark = rows.sparkSession
     staging = f".staging-{uuid.uuid4().hex}"
     listed, done = f"{root}/{staging}/list", f"{root}/{staging}/done"
+    try:
+        return _commit(rows, root, staging, listed, done)
+    finally:
+        # also of a run that failed or was cancelled; tasks that still end may leave a file, which nothing reads
+        system, base = _system(root)
+        with contextlib.suppress(OSError):
+            system.delete_dir(f"{base}/{staging}")
+
+
+def _commit(rows: DataFrame, root: str, staging: str, listed: str, done: str) -> DataFrame:
+    spark = rows.sparkSession
     stage(rows, root, staging).write.parquet(listed)
     files = F.transform(F.array_sort(F.collect_list(F.struct((F.col("name") == "meta.json").alias("last"), "name", "staged", "size"))), lambda x: F.struct(x["name"].alias("name"), x["staged"].alias("staged"), x["size"].alias("size")))
     wanted = spark.read.parquet(listed).groupBy("folder").agg(files.alias("files"))
@@ -158,8 +169,6 @@ def commit(rows: DataFrame, root: str) -> DataFrame:
     # the summary has a row for each package; it outlives the staging folder as a table of its own
     kept = f"{root}/.committed-{uuid.uuid4().hex}"
     out.write.parquet(kept)
-    system, base = _system(root)
-    system.delete_dir(f"{base}/{staging}")
     return spark.read.schema(schema).parquet(kept)
 
 

@@ -463,4 +463,4 @@ def failure_messages(spark, sf_dir):
 
 from . import books  # noqa: E402, F401 - adds its queries
 
-from . import conversions, streams  # noqa: E402, F401 - add their queries
+from . import branches, conversions, streams  # noqa: E402, F401 - add their queries

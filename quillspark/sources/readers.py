@@ -55,6 +55,34 @@ def infer(pages: DataFrame, load: Callable[[], Callable[[dict], dict]], max_page
     return pages.mapInPandas(run, GENERATION)
 
 
+def first_working(candidates: list[str], load: Callable[[str], Callable[[dict], dict]], name: str) -> tuple[Callable[[dict], dict] | None, str | None, list[str]]:
+    """The model on the first device it loads on, that device, and what the ones before said; without any, what is said of all."""
+    failures: list[str] = []
+    for device in candidates:
+        try:
+            return load(device), device, failures
+        except Exception as e:  # noqa: BLE001 - whatever a backend throws when it starts
+            failures.append(f"{device}: {str(e)[:200]}")
+    # fixed sentence
+    return None, None, [f"no usable compute backend for {name}. Tried {len(candidates)}: {' | '.join(failures)}"]
+
+
+def infer_on(pages: DataFrame, candidates: list[str], load: Callable[[str], Callable[[dict], dict]], name: str = "the model") -> DataFrame:
+    """``infer`` on the first of ``candidates`` that works in a task, with columns device, fell_back and failures.
+
+    Only loading falls through: a page that fails later is an error, as half a document on another device would have other numerics.
+    Where no device works, the pages come without DocTags and say so in ``failures``.
+    """
+    def run(batches):
+        model, device, failures = first_working(candidates, load, name)
+        for batch in batches:
+            rows = [(model(r) if model else {"doc_id": r["doc_id"], "page": r["page"]}) | {"device": device, "fell_back": bool(failures) and model is not None, "failures": failures} for r in batch.to_dict("records")]
+            d = pd.DataFrame(rows, columns=[*[c.split()[0] for c in GENERATION.split(", ")], "device", "fell_back", "failures"])
+            yield d.astype(object).where(d.notna(), None)
+
+    return pages.mapInPandas(run, GENERATION + ", device string, fell_back boolean, failures array<string>")
+
+
 def replay(pages: DataFrame) -> DataFrame:
     """The backend that replays stored DocTags."""
     return pages.select("doc_id", "page", "doc_tags", "truncated", "gen_tokens", "prompt_tokens", "ms")

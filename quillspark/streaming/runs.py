@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +26,21 @@ def finished(stream: DataFrame, name: str) -> DataFrame:
     query = stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+
+
+@contextmanager
+def cancellable(spark: SparkSession, tag: str) -> Iterator[None]:
+    """Jobs that this thread starts within can be ended by ``cancel`` with the same tag, from any thread; their tasks are interrupted."""
+    context = spark.sparkContext
+    context.addJobTag(tag)
+    context.setInterruptOnCancel(True)
+    try:
+        yield
+    finally:
+        context.removeJobTag(tag)
+        context.setInterruptOnCancel(False)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    """Ends the jobs of ``tag`` that run. What they had staged is never committed."""
+    spark.sparkContext.cancelJobsWithTag(tag)

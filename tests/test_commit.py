@@ -49,3 +49,47 @@ def test_moves(spark):
         ("x/d.pdf", "o/d", "o/d/d.pdf", None),
         ("y/d.pdf", "o/d", None, "Left d.pdf where it was — o/d already holds a file of that name."),
     ]
+
+
+def test_a_cancelled_run_leaves_no_package(spark, tmp_path):
+    import threading
+    import time
+
+    from pyspark.sql import functions as F
+
+    from quillspark.streaming import runs
+
+    @F.udf("binary")
+    def slow(x):
+        time.sleep(30)
+        return x
+
+    root, said = str(tmp_path), []
+
+    def work():
+        with runs.cancellable(spark, "convert"):
+            try:
+                packages.commit(rows(spark, ("o/a/a.md", b"1"), ("o/a/meta.json", b"{}")).withColumn("content", slow("content")), root)
+            except Exception as e:  # noqa: BLE001
+                said.append(str(e))
+
+    t = threading.Thread(target=work)
+    t.start()
+    began = time.perf_counter()
+    while t.is_alive() and time.perf_counter() - began < 25:
+        time.sleep(0.5)
+        runs.cancel(spark, "convert")
+    t.join(1)
+    assert said and time.perf_counter() - began < 25
+    assert tree(root) == {}
+
+
+def test_devices(spark):
+    from quillspark.sources import readers
+
+    def load(device):
+        raise ValueError(f"{device} is busy")
+
+    pages = spark.createDataFrame([("d", 1), ("d", 2)], "doc_id string, page int")
+    got = readers.infer_on(pages, ["a", "b"], load, "m").collect()
+    assert {(r.page, r.device, r.doc_tags, tuple(r.failures)) for r in got} == {(k, None, None, ("no usable compute backend for m. Tried 2: a: a is busy | b: b is busy",)) for k in (1, 2)}
