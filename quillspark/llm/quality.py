@@ -2,11 +2,13 @@
 
 Each rule is a predicate that rejects. Its cost (seconds, from the raw text on) and selectivity (share rejected) are measured
 on a sample; rules then run in the order of rejection per cost, and a row stops at the first that rejects it. The verdict
-doesn't depend on the order, only the time does. ``assess`` returns all counts of every row and so saves nothing.
+doesn't depend on the order, only the time does. ``assess`` returns the counts of words, symbols, lines and repeats of every row; what
+other rules need is computed within the cascade, for rows that no rule before has rejected.
 """
 
 from __future__ import annotations
 
+import re
 import time
 from dataclasses import dataclass
 
@@ -126,14 +128,28 @@ def order_by_yield(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows
     return sorted(out, key=lambda x: -x[2] / x[1])
 
 
-def cascade(counted: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Adds ``rejected_by``: the first rule, in the given order, that rejects; null for a row that is kept."""
+#: The counts that only rules need, as SQL over the text.
+LAZY = {"n_capitals": r"length(regexp_replace(coalesce(text, ''), '[^\\p{Lu}]', ''))", "letters": r"(coalesce(text, '') RLIKE '\\p{L}')"}
+
+
+def cascade(counted: DataFrame, rules: list[Rule], lazy: dict[str, str] | None = None) -> DataFrame:
+    """Adds ``rejected_by``: the first rule, in the given order, that rejects; null for a row that is kept.
+
+    A count of ``lazy`` is put into its rule's own branch, which a row reaches only if no earlier rule rejects it.
+    """
     if not rules:
         return counted.withColumn("rejected_by", F.lit(None).cast("string"))
+
+    def rejects(r: Rule) -> Column:
+        sql = r.rejects
+        for name, by in (lazy or {}).items():
+            sql = re.sub(rf"\b{name}\b", lambda _, by=by: by, sql)
+        return F.expr(sql)
+
     first, *rest = rules
-    case = F.when(F.expr(first.rejects), F.lit(first.name))
+    case = F.when(rejects(first), F.lit(first.name))
     for r in rest:
-        case = case.when(F.expr(r.rejects), F.lit(r.name))
+        case = case.when(rejects(r), F.lit(r.name))
     return counted.withColumn("rejected_by", case)
 
 
@@ -143,9 +159,9 @@ def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
     Null or empty texts fail the base; ids may be null, rows may repeat, an empty table gives an empty result. Columns of
     ``docs`` that have a name which is added here are replaced.
     """
-    counted = counts(docs.drop("base_failed", "rejected_by", "kept"), groups=tuple(GROUPS))
+    counted = counts(docs.drop("base_failed", "rejected_by", "kept"))
     ordered = [r for r, _, _ in order_by_yield(docs, rules, sample_rows)]
-    return cascade(counted, ordered).drop("n_capitals", "letters").withColumn("base_failed", failed(BASE)).withColumn("kept", F.col("rejected_by").isNull())
+    return cascade(counted, ordered, LAZY).withColumn("base_failed", failed(BASE)).withColumn("kept", F.col("rejected_by").isNull())
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> DataFrame:

@@ -284,3 +284,16 @@ def test_headers_equal_plain_cosines(spark):
     got = {r.path: round(r.score, 5) for r in licenses.header_notices(spark.createDataFrame(files, "path string, text string")).collect()}
     assert got.keys() == want.keys() and len(got) < len(texts)
     assert all(abs(got[p] - want[p]) < 2e-5 for p in want)
+
+
+def test_rules_after_a_rejection_are_not_evaluated(spark):
+    d = spark.createDataFrame([(1, "few words"), (2, "the ship and its mast " * 30 + "Zz"), (3, "X" * 3 + " WORD" * 60), (4, None)], "doc_id long, text string")
+    counted = quality.counts(d)
+    rules = [quality.BASE[0], quality.Rule("boom", "n_capitals > 1000 OR raise_error('reached') IS NOT NULL", ("words", "capitals"))]
+    # a row that the first rule rejects never reaches the second
+    few = quality.cascade(counted.where("n_words < 50"), rules, quality.LAZY).collect()
+    assert {r.rejected_by for r in few} == {"few_words"}
+    with pytest.raises(Exception, match="reached"):
+        quality.cascade(counted, rules, quality.LAZY).collect()
+    got = {r.doc_id: r.rejected_by for r in quality.assess(d, quality.RULES[:1] + quality.RULES[5:]).collect()}
+    assert got.pop(4) in ("few_words", "no_letters") and got == {1: "few_words", 2: None, 3: "capitals"}
