@@ -120,7 +120,7 @@ def slow_reason(probe_reason: Column, platform: Column, host: str = "the applica
 
 
 def front_fields(md: Column) -> Column:
-    """An array of (key, value, items) of the front matter that ``frontmatter`` writes; empty without one.
+    """An array of (key, value, items) of the front matter that ``frontmatter`` writes; empty without one. Of a repeated key the last counts.
 
     ``value`` is null for a list, whose ``items`` are the lines below it; one pair of quotes around either is taken off.
     """
@@ -138,4 +138,5 @@ def front_fields(md: Column) -> Column:
         listed = line.rlike(item) & (F.size(found) > 0)
         return F.when(listed & F.coalesce(F.get(found, F.size(found) - 1)["value"].isNull(), F.lit(False)), more).when(line.rlike(pair), F.concat(found, F.array(row))).otherwise(found)
 
-    return F.aggregate(F.split(block, "\n"), F.array().cast(kind), step)
+    later = lambda found, x, i: F.exists(F.slice(found, i + 2, F.size(found)), lambda y: y["key"] == x["key"])
+    return F.aggregate(F.split(block, "\n"), F.array().cast(kind), step, lambda found: F.filter(found, lambda x, i: ~later(found, x, i)))

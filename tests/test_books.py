@@ -149,3 +149,11 @@ def test_assets_are_read_only_where_wanted(spark, tmp_path):
     names = readers.asset_names(spark, str(tmp_path))
     assert "content" not in names._jdf.queryExecution().executedPlan().toString()
     assert readers.asset_bytes(spark, str(tmp_path), wanted.where("href LIKE '%gone%'")).collect() == []
+
+
+def test_of_repeated_keys_the_last_counts(spark):
+    from quillspark.functions.text import front_fields
+
+    d = spark.createDataFrame([('---\na: 1\nb:\n  - x\na: "2"\nb:\n  - y\n  - z\n---\ntext',), ("no",), (None,)], "md string")
+    got = [[(f.key, f.value, list(f["items"])) for f in r.f] if r.f is not None else None for r in d.select(front_fields(F.col("md")).alias("f")).collect()]
+    assert got[0] == [("a", "2", []), ("b", None, ["y", "z"])] and got[1] == []
