@@ -92,8 +92,8 @@ def agree(x: str, y: str, differ: int = DIFFER) -> str:
 
 
 def _shingles(line: str) -> Column:
-    """Every shingle of SHINGLE code points of a line; of a shorter one, itself. They may repeat."""
-    return F.expr(f"CASE WHEN length({line}) < {SHINGLE} THEN array({line}) ELSE regexp_extract_all({line}, '(?s)(?![\\\\x{{DC00}}-\\\\x{{DFFF}}])(?=(.{{{SHINGLE}}}))', 1) END")
+    """The hash of every shingle of SHINGLE code points of a line; of a shorter one, of itself. They may repeat."""
+    return F.expr(f"transform(array(encode({line}, 'UTF-32')), b -> transform(sequence(0, greatest(0, cast(octet_length(b) div 4 AS int) - {SHINGLE})), i -> xxhash64(substring(b, 4 * i + 1, {4 * SHINGLE}))))[0]")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -144,10 +144,6 @@ def _fold(width: str) -> str:
     return f"CASE WHEN size(parity) > {width} THEN transform(sequence(0, {width} - 1), k -> aggregate(sequence(0, size(parity) div {width} - 1), 0L, (b, j) -> b ^ parity[cast(k + j * {width} AS int)])) ELSE parity END"
 
 
-#: Lines of a band that are held against each other by their sketches of minima alone; those of a larger one by parities too.
-SMALL = 48
-
-
 def linked(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(a, b): links of lines, by hash, that join every component of similar lines; and (h, doc_id, line_no, n) of each different line, its first place and how many it has."""
     spark = docs.sparkSession
@@ -182,24 +178,15 @@ def linked(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
         comps = written(components(links), "components")
         release(spark)
         named = rows.drop("c").join(comps.withColumnRenamed("node", "h"), "h", "left").withColumn("c", F.coalesce("component", "h")).drop("component")
-        mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
-        rows = written(named.drop("n").join(mixed, "key"), "rows")
+        mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+        rows = written(named.join(mixed, "key"), "rows")
         if not turn:
             used = pivots.select("key", "pivot").join(comps.withColumnRenamed("node", "pivot"), "pivot", "left").select("key", F.coalesce("component", "pivot").alias("last"))
-    many = parities(texts.join(rows.where(f"n > {SMALL}").select("h").distinct(), "h", "left_semi"))
-    left = rows.join(many, "h", "left").withColumn("parity", F.expr(_fold(_width("share"))))
-    left = written(left, "left")
+    left = written(rows.join(parities(texts.join(rows.select("h").distinct(), "h", "left_semi")), "h").withColumn("parity", F.expr(_fold(_width("share")))), "left")
     x, y = (left.selectExpr("key", *[f"{n} AS {n}_{k}" for n in ("h", "c", "sketch", "size", "parity")]) for k in "ab")
-    across = x.join(y, "key").where(f"h_a < h_b AND c_a <> c_b AND {agree('sketch_a', 'sketch_b')} AND (size_a IS NULL OR size_b IS NULL OR {_near(percent)})")
-    across = written(across.selectExpr("h_a AS a", "h_b AS b").distinct().join(tested, ["a", "b"], "left_anti"), "across")
+    near = x.join(y, "key").where(f"h_a < h_b AND c_a <> c_b AND {agree('sketch_a', 'sketch_b')} AND {_near(percent)}")
+    near = written(near.selectExpr("h_a AS a", "h_b AS b").distinct().join(tested, ["a", "b"], "left_anti"), "near")
     release(spark)
-    marks = written(parities(texts.join(_ends(across).distinct(), "h", "left_semi")), "parities")
-    x, y = (marks.selectExpr(f"h AS {k}", f"size AS size_{k}", f"parity AS parity_{k}") for k in "ab")
-    width = "least(size(parity_a), size(parity_b))"
-    near = across.join(x, "a").join(y, "b").withColumn("width", F.expr(width))
-    for k in "ab":
-        near = near.withColumn(f"parity_{k}", F.expr(_fold("width").replace("parity", f"parity_{k}")))
-    near = written(near.where(_near(percent)).select("a", "b"), "near")
     more = written(_verified(near, texts, percent), "links")
     release(spark)
     for x in (rows, left, texts):
