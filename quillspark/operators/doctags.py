@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, collapse, strip
-from .segments import segment
+from .segments import FIGURES, segment
 
 #: The grid of location tags: fixed value.
 GRID = 500
@@ -157,18 +157,23 @@ def table_markdown(grid: Column) -> Column:
     return F.when(F.size(grid) > 0, F.array_join(F.concat(F.slice(rows, 1, 1), F.array(rule), F.slice(rows, 2, F.size(rows))), "\n"))
 
 
-def blocks(pages: DataFrame) -> DataFrame:
+def blocks(pages: DataFrame, classes: tuple[str, ...] | None = None) -> DataFrame:
     """Blocks of ``pages(doc_id, page, doc_tags)`` with text, running figure and formula numbers and Markdown.
 
     Numbers run over all pages of a document. Blocks without text, tables without rows and captions that a figure has taken
-    give no row; a figure always does.
+    give no row; a figure always does. Of ``classes`` (none: all) only those blocks are given, numbered as all are; pictures
+    and charts share their numbers, so they come together. Blocks that nothing numbers aren't shuffled or sorted.
     """
     d = segmented(pages.select("doc_id", "page", "doc_tags"))
+    if classes is not None:
+        d = d.where(F.col("cls").isin(*classes, *(FIGURES if set(FIGURES) & set(classes) else ())))
     d = d.withColumn("text", F.when(F.col("cls") == "code", strip(F.col("raw"))).when(F.col("cls") != "otsl", collapse(F.col("raw"))))
     figure = F.col("cls").isin("picture", "chart")
     d = d.where(figure | (F.coalesce("text", F.lit("")) != "") | (F.size("grid") > 0))
     w = Window.partitionBy("doc_id").orderBy("page", "block_no").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("figure_no", F.when(figure, F.sum(figure.cast("int")).over(w))).withColumn("formula_no", F.when(F.col("cls") == "formula", F.sum((F.col("cls") == "formula").cast("int")).over(w)))
+    for name, counted, of in (("figure_no", figure, FIGURES), ("formula_no", F.col("cls") == "formula", ("formula",))):
+        some = classes is None or set(of) & set(classes)
+        d = d.withColumn(name, F.when(counted, F.sum(counted.cast("int")).over(w)) if some else F.lit(None).cast("long"))
     fig = F.concat(F.lit("figure-"), F.col("figure_no"))
     picture = F.concat(F.lit("!["), F.coalesce(F.translate("caption", "[]", ""), fig), F.lit("](images/"), fig, F.lit(".png)"), F.coalesce(F.concat(F.lit("\n\n*"), F.col("caption"), F.lit("*")), F.lit("")))
     md = F.when(hashes(F.col("cls")).isNotNull(), F.concat(hashes(F.col("cls")), F.lit(" "), F.col("text")))

@@ -24,8 +24,8 @@ def query(oracle: str | None = None):
     return add
 
 
-def _blocks(spark, sf_dir):
-    return doctags.blocks(order_pages(spark, sf_dir))
+def _blocks(spark, sf_dir, *classes):
+    return doctags.blocks(order_pages(spark, sf_dir), classes or None)
 
 
 @query("""
@@ -33,7 +33,7 @@ SELECT l_orderkey AS doc_id, CAST(row_no AS INT) AS row_no, c.col_no, c.text FRO
  LATERAL (VALUES (0, CAST(l_linenumber AS VARCHAR)), (1, 'P|' || l_partkey), (2, CASE WHEN l_returnflag = 'R' THEN '' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END)) AS c(col_no, text)
 UNION ALL SELECT DISTINCT l_orderkey, 0, col_no, text FROM lineitem, (VALUES (0, 'line'), (1, 'part'), (2, 'qty')) AS h(col_no, text)""")
 def otsl_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doctags.table_cells(_blocks(spark, sf_dir)).select("doc_id", "row_no", "col_no", "text")
+    return doctags.table_cells(_blocks(spark, sf_dir, "otsl")).select("doc_id", "row_no", "col_no", "text")
 
 
 @query(r"""
@@ -62,19 +62,19 @@ def doctags_blocks(spark, sf_dir):
 SELECT l_orderkey AS doc_id, '| line | part | qty |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || l_linenumber || ' | P\\|' || l_partkey || ' | ' || CASE WHEN l_returnflag = 'R' THEN '' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END || ' |', chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) AS markdown, bool_or(l_returnflag = 'R') AS dropped_spans
 FROM lineitem GROUP BY 1""".replace("\\\\", "\\"))
 def otsl_markdown(spark, sf_dir):
-    return _blocks(spark, sf_dir).where("cls = 'otsl'").select("doc_id", "markdown", F.col("spans").alias("dropped_spans"))
+    return _blocks(spark, sf_dir, "otsl").select("doc_id", "markdown", F.col("spans").alias("dropped_spans"))
 
 
 @query(f"""
 SELECT k AS doc_id, f.no AS figure_no, f.md AS markdown FROM {_ORDER}, LATERAL (VALUES (1, '![Fig ' || o || '](images/figure-1.png)' || chr(10) || chr(10) || '*Fig [' || o || ']*'), (2, '![figure-2](images/figure-2.png)')) AS f(no, md)""")
 def figure_numbering(spark, sf_dir):
-    return _blocks(spark, sf_dir).where("figure_no IS NOT NULL").select("doc_id", "figure_no", "markdown")
+    return _blocks(spark, sf_dir, "picture", "chart").select("doc_id", "figure_no", "markdown")
 
 
 @query(f"SELECT k AS doc_id, f.no AS formula_no, f.l, f.t, f.r, f.b FROM {_ORDER}, (VALUES (1, 0.0::DOUBLE, 0.0::DOUBLE, 0.5::DOUBLE, 1.0::DOUBLE), (2, NULL, NULL, NULL, NULL)) AS f(no, l, t, r, b)")
 def formula_boxes(spark, sf_dir):
     b = F.col("bbox")
-    return _blocks(spark, sf_dir).where("formula_no IS NOT NULL").select("doc_id", "formula_no", *[b[k].alias(n) for k, n in enumerate("ltrb")])
+    return _blocks(spark, sf_dir, "formula").select("doc_id", "formula_no", *[b[k].alias(n) for k, n in enumerate("ltrb")])
 
 
 @query(f"SELECT k AS doc_id, p.page, CASE p.page WHEN 1 THEN 'Order ' || o ELSE 'Notes' END AS title, p.page = 1 AND r AS dropped_spans FROM {_ORDER}, (VALUES (1), (2)) AS p(page)")
@@ -87,7 +87,7 @@ SELECT k AS doc_id, f.id, f.tex, f.suspect FROM {_ORDER}, LATERAL (VALUES ('form
 def suspect_formulas(spark, sf_dir):
     """The first is cut off, the second has no box, the third ends a page that was cut off for an even number of lines."""
     pages = _formula_pages(spark, sf_dir)
-    return assemble.suspects(doctags.blocks(pages), pages.select("doc_id", "page", "truncated")).select("doc_id", "id", "tex", "suspect")
+    return assemble.suspects(doctags.blocks(pages, ("formula",)), pages.select("doc_id", "page", "truncated")).select("doc_id", "id", "tex", "suspect")
 
 
 def _formula_pages(spark, sf_dir):
