@@ -24,25 +24,26 @@ def body_of(md: Column) -> Column:
 
 
 def chapters(notes: DataFrame) -> DataFrame:
-    """(doc_id, chapter_no, title, n_lines, body) of ``notes(doc_id, markdown)``: one at each heading of the first two levels."""
-    d = notes.select("doc_id", F.posexplode(F.split(body_of(F.col("markdown")), "\n", -1)).alias("pos", "line"))
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    head = F.col("line").rlike(rf"^#{{1,2}}{WS}+")
-    filled = F.col("line").rlike(f"[^{WS[1:-1]}]")
-    before = F.coalesce(F.max(filled.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    d = d.withColumn("head", head).withColumn("filled", filled).withColumn("new", (head & (before == 1)).cast("int"))
-    d = d.withColumn("no", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    title = F.regexp_extract("line", rf"^#{{1,2}}{WS}+(.*)$", 1)
-    g = d.groupBy("doc_id", "no").agg(F.min_by(F.when(F.col("head"), title), F.when(F.col("head"), F.col("pos"))).alias("title"), F.count("*").alias("n_lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("body"), F.bool_or("filled").alias("keep"))
-    return g.where("keep").select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("no")).alias("chapter_no"), "title", "n_lines", "body")
+    """(doc_id, chapter_no, title, n_lines, body) of ``notes(doc_id, markdown)``: one at each heading of the first two levels.
+
+    A note is one row and is cut in it, so nothing is shuffled.
+    """
+    blank = WS.replace(r"\n", "")
+    filled = lambda x: x.rlike(f"[^{WS[1:-1]}]")
+    part = lambda body, line: F.struct(body.alias("body"), F.substring_index(line, "\n", 1).alias("line"))
+    # a line break goes where a chapter ends; blank lines before the first heading are part of its chapter
+    d = notes.select("doc_id", F.split(body_of(F.col("markdown")), rf"\n(?=#{{1,2}}{blank})", -1).alias("p"))
+    one, two = F.get("p", F.lit(0)), F.get("p", F.lit(1))
+    p = F.when((F.size("p") > 1) & ~filled(one), F.concat(F.array(part(F.concat(one, F.lit("\n"), two), two)), F.transform(F.slice("p", 3, F.size("p")), lambda x: part(x, x)))).otherwise(F.transform("p", lambda x: part(x, x)))
+    d = d.select("doc_id", F.posexplode(F.filter(p, lambda x: filled(x["body"]))).alias("no", "c"))
+    title = F.when(F.col("c.line").rlike(rf"^#{{1,2}}{WS}+"), F.regexp_extract("c.line", rf"^#{{1,2}}{WS}+(.*)$", 1))
+    return d.select("doc_id", (F.col("no") + 1).alias("chapter_no"), title.alias("title"), F.size(F.split("c.body", "\n", -1)).cast("long").alias("n_lines"), F.col("c.body").alias("body"))
 
 
 def assets(notes: DataFrame) -> DataFrame:
-    """(doc_id, href, seq, id, media_type): the images a note shows, each once, by first use."""
-    d = notes.select("doc_id", F.posexplode(F.regexp_extract_all("markdown", F.lit(IMAGE), F.lit(1))).alias("pos", "href"))
-    g = d.groupBy("doc_id", "href").agg(F.min("pos").alias("pos"))
-    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
-    return g.select("doc_id", "href", seq.alias("seq"), F.concat(F.lit("img-"), F.regexp_replace("href", r"\W", "-")).alias("id"), media_type(F.col("href")).alias("media_type"))
+    """(doc_id, href, seq, id, media_type): the images a note shows, each once, by first use. A note is one row, so nothing is shuffled."""
+    d = notes.select("doc_id", F.posexplode(F.array_distinct(F.regexp_extract_all("markdown", F.lit(IMAGE), F.lit(1)))).alias("pos", "href"))
+    return d.select("doc_id", "href", (F.col("pos") + 1).alias("seq"), F.concat(F.lit("img-"), F.regexp_replace("href", r"\W", "-")).alias("id"), media_type(F.col("href")).alias("media_type"))
 
 
 def missing(wanted: DataFrame, files: DataFrame) -> DataFrame:
@@ -135,6 +136,21 @@ def container(title: str, parts: list[tuple[str, str]], uuid: str = "", creators
     return buffer.getvalue()
 
 
+#: Characters of notes in a partition.
+PART = 2**21
+
+
+def _dealt(notes: DataFrame) -> tuple[DataFrame, int]:
+    """``notes`` dealt out once by doc_id, in parts of about PART characters, and how deep their quotes are.
+
+    All that follows is by document, so it stays in these parts: lines, blocks and rows aren't shuffled, and what a task sorts
+    doesn't grow with the input. One job measures the notes.
+    """
+    size, deepest = notes.agg(F.sum(F.char_length("markdown")), F.max(xhtml.depth(F.col("markdown")))).first()
+    parts = max(int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size or 0) // PART)
+    return notes.repartition(parts, "doc_id"), deepest or 0
+
+
 class Book:
     """The tables of which e-books of ``notes(doc_id, title, markdown)`` are made; ``title`` is used where a note has none.
 
@@ -147,21 +163,24 @@ class Book:
     """
 
     def __init__(self, notes: DataFrame, sidecar: DataFrame | None = None):
-        self.notes = notes.select("doc_id", "title", "markdown")
+        self.notes, deepest = _dealt(notes.select("doc_id", "title", "markdown"))
         self.chapters = chapters(self.notes)
         bodies = self.chapters.select("doc_id", F.array("chapter_no").alias("path"), "body")
-        b = xhtml.blocks(bodies, sidecar.select("doc_id").distinct() if sidecar is not None else None)
         if sidecar is not None:
+            # one row for each document, so that joins by doc_id leave its blocks where they are
+            sides = sidecar.groupBy("doc_id").agg(F.collect_list(F.struct("ordinal", F.col("tex").alias("sidecar_tex"), F.col("id").alias("crop"))).alias("sides"))
+            b = xhtml.blocks(bodies, sides.select("doc_id"), deepest)
             # a crop is taken if it shows the formula that has its place
-            side = sidecar.select("doc_id", "ordinal", F.col("tex").alias("sidecar_tex"), F.col("id").alias("crop"))
-            b = b.join(side, ["doc_id", "ordinal"], "left").withColumn("crop_id", F.when(same_tex(F.col("source"), F.col("sidecar_tex")), F.col("crop")))
+            b = b.join(sides, "doc_id", "left").withColumn("side", F.explode_outer(F.filter("sides", lambda x: x["ordinal"] == F.col("ordinal")))).drop("sides")
+            b = b.withColumn("crop_id", F.when(same_tex(F.col("source"), F.col("side.sidecar_tex")), F.col("side.crop"))).drop("side")
         else:
-            b = b.withColumn("crop_id", F.lit(None).cast("string"))
+            b = xhtml.blocks(bodies, None, deepest).withColumn("crop_id", F.lit(None).cast("string"))
         self.formulas = xhtml.displayed(b).select("doc_id", "ordinal", "path", "tex", "crop_id")
         self.inline = xhtml.inlined(b)
-        rendered = xhtml.rendered(b)
         # a chapter of blank lines and dropped callouts has no blocks
-        self.html = self.chapters.select("doc_id", "chapter_no", "title").join(rendered, ["doc_id", "chapter_no"], "left").withColumn("html", F.coalesce("html", F.lit("")))
+        heads = self.chapters.select("doc_id", "chapter_no", "title", F.lit("").alias("html"))
+        said = xhtml.rendered(b).select("doc_id", "chapter_no", F.lit(None).cast("string").alias("title"), "html")
+        self.html = heads.unionByName(said).groupBy("doc_id", "chapter_no").agg(F.max("title").alias("title"), F.max("html").alias("html"))
         pictures = xhtml.shown(b).select("doc_id", F.lit(0).alias("k"), "seq", "href")
         cropped = self.formulas.where("crop_id IS NOT NULL").select("doc_id", F.lit(1).alias("k"), F.col("ordinal").alias("seq"), F.concat(F.lit("images/"), "crop_id", F.lit(".png")).alias("href"))
         each = pictures.unionByName(cropped).groupBy("doc_id", "href").agg(F.min(F.struct("k", "seq")).alias("at"))

@@ -92,13 +92,15 @@ def _pieces(bodies: DataFrame) -> DataFrame:
     kind = F.when(p.rlike(f"^{BLANK}*\\z"), "blank").when(p.rlike(f"^{BLANK}*```"), "code").when(p.rlike(rf"^{BLANK}*\$\$"), "math").when(p.rlike(HEADING), "heading").when(p.rlike(f"^{IMAGE}{WS}*\\z"), "figure")
     kind = kind.when(p.rlike(rf"^{WS}*\|"), "table").when(p.startswith(">"), "quote").when(p.rlike(BULLET), "list").otherwise("text")
     unit = Window.partitionBy("doc_id", "path").orderBy("n")
-    d = d.withColumn("kind", kind).withColumn("next", F.lead("piece").over(unit))
+    sofar = unit.rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("kind", kind).withColumn("next", F.lead("piece").over(unit)).withColumn("was", F.lag("kind").over(unit))
     # lines of bars are a table from the first on whose next line is a rule; those before it are text
-    d = d.withColumn("run", F.col("n") - F.row_number().over(Window.partitionBy("doc_id", "path", "kind").orderBy("n")))
-    head = F.min(F.when((F.col("kind") == "table") & F.col("next").rlike(RULE), F.col("n"))).over(Window.partitionBy("doc_id", "path", "kind", "run"))
-    d = d.withColumn("kind", F.when((F.col("kind") == "table") & ~F.coalesce(F.col("n") >= head, F.lit(False)), "text").otherwise(F.col("kind")))
+    run = F.max(F.when(F.coalesce(F.col("was") != F.col("kind"), F.lit(True)), F.col("n"))).over(sofar)
+    head = F.max(F.when((F.col("kind") == "table") & F.col("next").rlike(RULE), F.col("n"))).over(sofar)
+    d = d.withColumn("run", run).withColumn("head", head)
+    d = d.withColumn("kind", F.when((F.col("kind") == "table") & ~F.coalesce(F.col("head") >= F.col("run"), F.lit(False)), "text").otherwise(F.col("kind")))
     fresh = F.col("kind").isin("code", "math", "heading", "figure") | F.coalesce(F.lag("kind").over(unit) != F.col("kind"), F.lit(True))
-    return d.withColumn("block", F.sum(fresh.cast("int")).over(unit.rowsBetween(Window.unboundedPreceding, 0)))
+    return d.withColumn("block", F.sum(fresh.cast("int")).over(sofar))
 
 
 def _cells(line: Column) -> Column:
@@ -145,17 +147,22 @@ def _callouts(b: DataFrame, cropped: DataFrame | None) -> DataFrame:
     return b.where(~F.coalesce(F.col("callout").isNotNull() & F.col("__cropped") & F.col("source").rlike(CROP), F.lit(False))).drop("__d", "__cropped")
 
 
-def blocks(bodies: DataFrame, cropped: DataFrame | None = None) -> DataFrame:
+def depth(text: Column) -> Column:
+    """The most quote marks that a line of a text begins with."""
+    return F.array_max(F.transform(F.split(text, "\n", -1), lambda x: F.char_length(F.regexp_replace(F.regexp_extract(x, f"^((?:>{WS}?)*)", 1), f"{WS}", ""))))
+
+
+def blocks(bodies: DataFrame, cropped: DataFrame | None = None, deepest: int | None = None) -> DataFrame:
     """All blocks of ``bodies(doc_id, path, body)`` and of their quotes: doc_id, path, kind, first, rows, source, callout, ordinal.
 
     ``cropped(doc_id)`` are the documents that have crops of formulas; callouts at the first level that show one are left out there.
-    One job finds the deepest quote, which tells how many levels there are. ``ordinal`` numbers a document's displayed formulas.
+    ``deepest`` is how many levels of quotes there may be; where it isn't given, one job finds it. ``ordinal`` numbers a document's displayed formulas.
     """
-    marks = F.array_max(F.transform(F.split("body", "\n", -1), lambda x: F.char_length(F.regexp_replace(F.regexp_extract(x, f"^((?:>{WS}?)*)", 1), f"{WS}", ""))))
-    deepest = bodies.agg(F.max(marks)).first()[0] or 0
+    if deepest is None:
+        deepest = bodies.agg(F.max(depth(F.col("body")))).first()[0] or 0
     out = None
-    for depth in range(deepest + 1):
-        b = _callouts(_blocks(bodies), None if depth else cropped)
+    for level in range(deepest + 1):
+        b = _callouts(_blocks(bodies), None if level else cropped)
         out = b if out is None else out.unionByName(b)
         bodies = b.where("kind = 'quote'").select("doc_id", "path", F.col("source").alias("body"))
     order = Window.partitionBy("doc_id").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
