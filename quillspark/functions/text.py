@@ -12,6 +12,11 @@ WS = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFE
 TAGS = ("paper", "converted")
 
 
+def let(x: Column, made) -> Column:
+    """``made(x)`` with ``x`` computed once, however often it occurs there."""
+    return F.get(F.transform(F.array(x), made), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(x, f"^{WS}+|{WS}+$", "")
@@ -19,7 +24,8 @@ def strip(x: Column) -> Column:
 
 def collapse(x: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(x, f"{WS}+", " "))
+    # visible ASCII is passed over by one comparison
+    return F.trim(F.regexp_replace(x, f"(?![!-~]){WS}+", " "))
 
 
 def presence(x: Column) -> Column:

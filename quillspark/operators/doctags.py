@@ -11,8 +11,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, collapse, strip
-from .segments import FIGURES, segment
+from ..functions.text import WS, collapse, let, strip
+from .segments import FIGURES, once, segment
 
 #: The grid of location tags: fixed value.
 GRID = 500
@@ -144,17 +144,18 @@ def segmented(pages: DataFrame) -> DataFrame:
 
 def hashes(cls: Column) -> Column:
     """The marks of a heading's level; null for other blocks."""
-    level = F.regexp_extract(cls, r"^section_header_level_(\d+)$", 1)
+    # few classes are looked at by the regular expression
+    level = F.when(cls.startswith("section_header_level_"), F.regexp_extract(cls, r"^section_header_level_(\d+)$", 1)).otherwise("")
     return F.when(cls == "title", "#").when(cls == "section_header", "##").when(level != "", F.repeat(F.lit("#"), F.least(F.coalesce(F.try_to_number(level, F.lit("999")).cast("int"), F.lit(6)) + 1, F.lit(6))))
 
 
 def table_markdown(grid: Column) -> Column:
     """A grid as a Markdown table: first row as head, short rows filled up, pipes escaped."""
-    width = F.array_max(F.transform(grid, F.size))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), lambda c: F.replace(c, F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
-    rows = F.transform(grid, line)
-    return F.when(F.size(grid) > 0, F.array_join(F.concat(F.slice(rows, 1, 1), F.array(rule), F.slice(rows, 2, F.size(rows))), "\n"))
+    cell = lambda c: F.replace(c, F.lit("|"), F.lit("\\|"))
+    line = lambda r, width: F.concat(F.lit("| "), F.array_join(F.transform(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), cell), " | "), F.lit(" |"))
+    rule = lambda width: F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
+    lines = lambda width: F.transform(grid, lambda r, i: F.when(i == 0, F.concat(line(r, width), F.lit("\n"), rule(width))).otherwise(line(r, width)))
+    return F.when(F.size(grid) > 0, F.array_join(let(F.array_max(F.transform(grid, F.size)), lines), "\n"))
 
 
 def blocks(pages: DataFrame, classes: tuple[str, ...] | None = None) -> DataFrame:
@@ -167,9 +168,9 @@ def blocks(pages: DataFrame, classes: tuple[str, ...] | None = None) -> DataFram
     d = segmented(pages.select("doc_id", "page", "doc_tags"))
     if classes is not None:
         d = d.where(F.col("cls").isin(*classes, *(FIGURES if set(FIGURES) & set(classes) else ())))
-    d = d.withColumn("text", F.when(F.col("cls") == "code", strip(F.col("raw"))).when(F.col("cls") != "otsl", collapse(F.col("raw"))))
+    d = once(d, text=F.when(F.col("cls") == "code", strip(F.col("raw"))).when(F.col("cls") != "otsl", collapse(F.col("raw"))))
     figure = F.col("cls").isin("picture", "chart")
-    d = d.where(figure | (F.coalesce("text", F.lit("")) != "") | (F.size("grid") > 0))
+    d = d.where(figure | (F.coalesce("text", F.lit("")) != "") | F.col("cells")).drop("cells")
     w = Window.partitionBy("doc_id").orderBy("page", "block_no").rowsBetween(Window.unboundedPreceding, 0)
     for name, counted, of in (("figure_no", figure, FIGURES), ("formula_no", F.col("cls") == "formula", ("formula",))):
         some = classes is None or set(of) & set(classes)

@@ -1,18 +1,20 @@
 """Where the blocks of a DocTags page begin and end, in the JVM.
 
 A block goes from an opening tag to the tag that closes it, or to the page's end. Unless a block holds a tag of its own
-name, its end is the first closing tag of that name: such pages are cut by one regular expression, in their row. The
-others are dealt out by page, and windows match their brackets: a tag's partner has its name and its level, the running depth
+name, its end is the first closing tag of that name: such pages are cut by one regular expression, in their row. One that
+walks over the page without backtracking tells which they are. The others are dealt out by page, and windows match their brackets: a tag's partner has its name and its level, the running depth
 of that name alone, so that tags which are never closed (cells, line breaks) don't matter. A fold over a page's opening
 tags then takes each that lies behind the end of the last one taken, so tags that cross are read in order as well.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, collapse
+from ..functions.text import WS, collapse, let
 
 TAG = "</?[a-z0-9_]+>"
 LOC = "</?loc_[0-9]+>"
@@ -28,23 +30,41 @@ def _after(tag: Column, piece: Column) -> Column:
     return F.substr(piece, F.char_length(tag) + 1)
 
 
+def once(df: DataFrame, **made: Column) -> DataFrame:
+    """``df`` with the new columns, each computed once a row: filters and projections above copy no expression across an explode."""
+    return df.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))).alias("__x")).select(*df.columns, *[f"__x.{n}" for n in made])
+
+
+def _opening(wrappers: tuple[str, ...]) -> tuple[str, str, str]:
+    """Regular expressions: not a block's tag, a block's opening tag (its name is the first group), and what follows to its next tag of that name."""
+    no = f"loc_[0-9]+>|(?:{'|'.join(wrappers)})>"
+    return f"(?!(?!{no})[a-z0-9_]+>)", f"<(?!{no})([a-z0-9_]+)>", r"[^<]*+(?:<(?!/?\1>)[^<]*+)*+"
+
+
+def _nested(source: Column, wrappers: tuple[str, ...]) -> Column:
+    """Whether a block holds a tag of its own name, closed or not."""
+    other, opening, body = _opening(wrappers)
+    return source.rlike(rf"(?s)\A(?:[^<]++|<{other}|{opening}{body}</\1>)*+{opening}{body.replace('1', '2')}<\2>")
+
+
 def _cut(source: Column, wrappers: tuple[str, ...]) -> Column:
-    """The blocks of a page, each with a figure's caption; null if one may hold a tag of its own name."""
+    """The blocks of a page that isn't nested, each with a figure's caption."""
     figures = "|".join(f"</{f}>" for f in FIGURES)
-    block = rf"(?s)<(?!loc_[0-9]+>|(?:{'|'.join(wrappers)})>)([a-z0-9_]+)>(?:.*?</\1>|.*)(?:(?<={figures}){WS}*<caption>(?:.*?</caption>|.*))?"
-    found = F.regexp_extract_all(source, F.lit(block), F.lit(0))
-    own = rf"(?s)^<([a-z0-9_]+)>.*?<\1>|^<(?:{'|'.join(FIGURES)})>.*<caption>.*<caption>"
-    return F.when(~F.exists(found, lambda m: m.rlike(own)), found)
+    _, opening, body = _opening(wrappers)
+    caption = body.replace(r"\1", "caption")
+    return F.regexp_extract_all(source, F.lit(rf"(?s){opening}{body}(?:</\1>(?:(?<={figures}){WS}*+<caption>{caption}(?:</caption>)?+)?+)?+"), F.lit(0))
 
 
 def _opened(d: DataFrame, dropped: tuple[str, ...]) -> DataFrame:
     """Of blocks as ``_cut`` gives them (``b``): block_no, name, body and the caption's source."""
-    d = d.select(*[c for c in d.columns if c != "b"], F.posexplode(F.filter("b", lambda m: ~m.rlike(f"^<(?:{'|'.join(dropped)})>"))).alias("block_no", "m"))
-    d = d.withColumn("name", F.regexp_extract("m", "^<([a-z0-9_]+)>", 1)).withColumn("close", F.concat(F.lit("</"), "name", F.lit(">")))
-    d = d.withColumn("m", F.substr("m", F.char_length("name") + 3)).withColumn("at", F.call_function("locate", F.col("close"), F.col("m")))
-    body = F.when(F.col("at") > 0, F.substr("m", F.lit(1), F.col("at") - 1)).otherwise(F.col("m"))
-    caption = F.when(F.col("name").isin(*FIGURES) & (F.col("at") > 0), F.substr("m", F.col("at") + F.char_length("close")))
-    return d.withColumn("body", body).withColumn("caption", caption).drop("m", "at", "close")
+    some = lambda m: reduce(Column.__or__, [m.startswith(f"<{x}>") for x in dropped])
+    d = d.select(*[c for c in d.columns if c != "b"], F.posexplode(F.filter("b", lambda m: ~some(m))).alias("block_no", "m"))
+    d = once(d, name=F.substr(F.substring_index("m", ">", 1), F.lit(2)))
+    d = once(d, at=F.call_function("locate", F.concat(F.lit("</"), "name", F.lit(">")), F.col("m")))
+    start = F.char_length("name") + 3
+    body = F.when(F.col("at") > 0, F.substr("m", start, F.col("at") - start)).otherwise(F.substr("m", start))
+    caption = F.when(F.col("name").isin(*FIGURES) & (F.col("at") > 0), F.substr("m", F.col("at") + start))
+    return d.withColumn("body", body).withColumn("caption", caption).drop("m", "at")
 
 
 def _matched(pages: DataFrame, source: str, rest: list[str], wrappers: tuple[str, ...]) -> DataFrame:
@@ -85,29 +105,31 @@ def _grid(body: Column, cells: tuple[str, ...], spans: tuple[str, ...]) -> Colum
     """The rows of a table that have cells; a cell's text is the first between its tag and the next, locations apart."""
     cell = f"^<(?:{'|'.join(cells)})>"
 
-    def value(piece: Column) -> Column:
-        text = F.regexp_replace(piece, cell, "")
-        first = F.coalesce(F.get(F.filter(F.split(text, LOC, -1), lambda x: x != ""), F.lit(0)), F.lit(""))
-        return F.when(piece.rlike(f"^<(?:{'|'.join(spans)})>"), "").otherwise(collapse(F.when(F.contains(text, F.lit("loc_")), first).otherwise(text)))
+    def text(x: Column) -> Column:
+        first = F.coalesce(F.get(F.filter(F.split(x, LOC, -1), lambda y: y != ""), F.lit(0)), F.lit(""))
+        return F.when(F.contains(x, F.lit("loc_")), first).otherwise(x)
 
+    blank = lambda piece: reduce(Column.__or__, [piece.startswith(f"<{s}>") for s in spans])
+    value = lambda piece: F.when(blank(piece), "").otherwise(collapse(let(F.regexp_replace(piece, cell, ""), text)))
     row = lambda line: F.transform(F.filter(F.split(line, CUT, -1), lambda x: x.rlike(cell)), value)
     return F.filter(F.transform(F.split(body, "<nl>", -1), row), lambda r: F.size(r) > 0)
 
 
 def segment(pages: DataFrame, source: str, wrappers: tuple[str, ...], dropped: tuple[str, ...], cells: tuple[str, ...], spans: tuple[str, ...], grid: int) -> DataFrame:
-    """The other columns of ``pages`` and the fields of a block: block_no, cls, bbox, raw, caption, grid, spans.
+    """The other columns of ``pages`` and the fields of a block: block_no, cls, bbox, raw, caption, grid, spans, and whether it is a table with cells.
 
     A null or empty page has no blocks; repeated pages each have theirs.
     """
     rest = [c for c in pages.columns if c != source]
-    cut = _cut(F.col(source), wrappers)
-    plain = _opened(pages.select(*rest, cut.alias("b")), dropped)
-    nested = _matched(pages.where(cut.isNull() & F.col(source).isNotNull()), source, rest, wrappers)
+    some = _nested(F.col(source), wrappers)
+    plain = _opened(once(pages.where(~some), b=_cut(F.col(source), wrappers)).select(*rest, "b"), dropped)
+    nested = _matched(pages.where(some), source, rest, wrappers)
     nested = nested.select(*rest, F.posexplode(F.filter("b", lambda x: ~x["name"].isin(*dropped))).alias("block_no", "b")).select(*rest, "block_no", "b.*")
     d = plain.unionByName(nested)
-    text = lambda x: F.regexp_replace(x, TAG, "")
+    d = once(d.select(*rest, "block_no", "name", F.col("body").alias("__body"), "caption"), body=F.col("__body"))
+    text = lambda x: F.when(F.contains(F.col(x), F.lit("<")), F.regexp_replace(x, TAG, "")).otherwise(F.col(x))
     places = [F.regexp_extract("body", "^" + "</?loc_([0-9]+)>" * 4, k + 1) for k in range(4)]
     box = F.when(F.col("body").rlike("^" + LOC * 4), F.array(*[x.try_cast("double") / grid for x in places]))
     table = F.col("name") == "otsl"
     span = F.col("body").rlike(f"<(?:{'|'.join(spans)})>")
-    return d.select(*rest, "block_no", F.col("name").alias("cls"), box.alias("bbox"), text("body").alias("raw"), F.nullif(collapse(text("caption")), F.lit("")).alias("caption"), F.when(table, _grid(F.col("body"), cells, spans)).alias("grid"), (table & span).alias("spans"))
+    return d.select(*rest, "block_no", F.col("name").alias("cls"), box.alias("bbox"), text("body").alias("raw"), F.nullif(collapse(text("caption")), F.lit("")).alias("caption"), F.when(table, _grid(F.col("body"), cells, spans)).alias("grid"), (table & span).alias("spans"), (table & F.col("body").rlike(f"<(?:{'|'.join(cells)})>")).alias("cells"))
