@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, escape_xml, strip
+from .text import WS, escape_xml, let, strip
 
 
 def fix(tex: Column) -> Column:
     """Balanced braces, an equation number as a tag, and an aligned environment where there are alignment marks."""
-    t = strip(tex)
-    more = F.regexp_count(t, F.lit(r"(?<!\\)\{")) - F.regexp_count(t, F.lit(r"(?<!\\)\}"))
-    t = F.concat(F.repeat(F.lit("{"), F.greatest(-more, F.lit(0))), t, F.repeat(F.lit("}"), F.greatest(more, F.lit(0))))
-    t = F.regexp_replace(t, rf"&{WS}*&{WS}*\({WS}*(\d+){WS}*\){WS}*\z", r"\\tag{$1}")
-    marks = (F.instr(t, "\\\\") > 0) | t.rlike(r"(?<!\\)&")
-    return F.when(marks & (F.instr(t, "\\begin") == 0), F.concat(F.lit("\\begin{aligned}"), t, F.lit("\\end{aligned}"))).otherwise(t)
+    marked = lambda t: ((F.instr(t, "\\\\") > 0) | t.rlike(r"(?<!\\)&")) & (F.instr(t, "\\begin") == 0)
+    aligned = lambda t: F.when(marked(t), F.concat(F.lit("\\begin{aligned}"), t, F.lit("\\end{aligned}"))).otherwise(t)
+    tagged = lambda t: F.regexp_replace(t, rf"&{WS}*&{WS}*\({WS}*(\d+){WS}*\){WS}*\z", r"\\tag{$1}")
+
+    def balanced(t: Column) -> Column:
+        more = F.regexp_count(t, F.lit(r"(?<!\\)\{")) - F.regexp_count(t, F.lit(r"(?<!\\)\}"))
+        return let(more, lambda m: F.concat(F.repeat(F.lit("{"), F.greatest(-m, F.lit(0))), t, F.repeat(F.lit("}"), F.greatest(m, F.lit(0)))))
+
+    return let(let(strip(tex), lambda t: tagged(balanced(t))), aligned)
 
 
 def truncated(tex: Column) -> Column:
@@ -31,9 +34,8 @@ def clean(md: Column) -> Column:
     The text is cut at ``$$``; parts at odd places are formulas, an unpaired last one isn't. An empty part can't be a
     formula, so texts with four dollars in a row are cut at the pattern itself.
     """
-    plain = F.split(md, r"\$\$", -1)
-    last = F.size(plain) - 1
-    fixed = F.array_join(F.transform(plain, lambda x, i: F.when((i % 2 == 1) & (i < last), fix(x)).otherwise(x)), "$$")
+    some = lambda plain: F.transform(plain, lambda x, i: F.when((i % 2 == 1) & (i < F.size(plain) - 1), fix(x)).otherwise(x))
+    fixed = F.array_join(let(F.split(md, r"\$\$", -1), some), "$$")
     # marks that no text has fence each formula that the lazy pattern finds
     fenced = F.regexp_replace(md, r"(?s)\$\$(.+?)\$\$", "\uE000$1\uE001")
     odd = F.transform(F.split(fenced, "(?=\uE000)|(?<=\uE001)", -1), lambda x: F.when(x.startswith("\uE000") & x.endswith("\uE001"), F.concat(F.lit("$$"), fix(F.substr(x, F.lit(2), F.length(x) - 2)), F.lit("$$"))).otherwise(x))
