@@ -19,7 +19,7 @@ def let(x: Column, made) -> Column:
 
 def strip(x: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(x, f"^{WS}+|{WS}+$", "")
+    return F.regexp_replace(x, f"(?![!-~])(?:^{WS}+|{WS}+$)", "")
 
 
 def collapse(x: Column) -> Column:

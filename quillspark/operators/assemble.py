@@ -99,7 +99,7 @@ def packages(pages: DataFrame, documents: DataFrame, created: str, max_pages: in
     part = F.array_join(F.array_compact(F.array("markdown", F.when(F.col("saved"), F.col("rescued")), marker)), "\n\n")
     numbers = lambda cond: F.array_join(F.array_sort(F.collect_list(F.when(F.col(cond), F.col("page")))), ", ")
     g = p.groupBy("doc_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", part.alias("part")))), lambda x: x["part"]), "\n\n").alias("raw"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", part.alias("part")))), lambda x: x["part"]), "\n\n").alias("raw"),
         F.max(F.when(F.col("page") == 1, F.col("title"))).alias("heading"),
         F.max("page").alias("last"),
         _ordered(F.concat(F.lit("page "), F.col("page").cast("string"), F.lit(": generation stopped early ("), F.col("truncated"), F.lit(") — output may be incomplete")), F.col("truncated").isNotNull()).alias("cut"),

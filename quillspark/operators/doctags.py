@@ -187,7 +187,7 @@ def parsed_pages(found: DataFrame) -> DataFrame:
     """(doc_id, page, markdown, title, dropped_spans) of each page that has blocks."""
     heading = F.when(hashes(F.col("cls")).isNotNull(), F.col("text"))
     return found.groupBy("doc_id", "page").agg(
-        F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "markdown"))), lambda x: x["markdown"]), "\n\n"), F.lit("\n")).alias("markdown"),
+        F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block_no", "markdown"))), lambda x: x["markdown"]), "\n\n"), F.lit("\n")).alias("markdown"),
         F.min_by(heading, F.when(heading.isNotNull(), F.col("block_no"))).alias("title"),
         F.bool_or("spans").alias("dropped_spans"),
     )

@@ -79,7 +79,7 @@ def _matched(pages: DataFrame, source: str, rest: list[str], wrappers: tuple[str
     # after a tag of some level the next of that name and level can only close it
     d = d.withColumn("end", F.lead("pos").over(Window.partitionBy("__p", "name", "level").orderBy("pos")))
     opens = (F.col("name") != "") & ~F.col("shut") & ~F.col("name").isin(*wrappers)
-    in_order = lambda x: F.array_sort(F.collect_list(x))
+    in_order = lambda x: F.sort_array(F.collect_list(x))
     d = d.groupBy("__p").agg(*[F.first(c).alias(c) for c in rest], F.transform(in_order(F.struct("pos", "piece")), lambda x: x["piece"]).alias("p"), in_order(F.when(opens, F.struct("pos", "end", "name"))).alias("opens"))
 
     step = lambda acc, o: F.when(o["pos"] > acc["reached"], F.struct(F.coalesce(o["end"], F.size("p")).alias("reached"), F.concat(acc["tops"], F.array(F.struct(o["pos"].alias("pos"), F.coalesce(o["end"], F.size("p")).alias("end"), o["name"].alias("name")))).alias("tops"))).otherwise(acc)

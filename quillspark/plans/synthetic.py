@@ -18,7 +18,7 @@ def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     li = table(spark, sf_dir, "lineitem")
     row = F.concat(F.lit("<fcel>"), F.col("l_linenumber"), F.lit("<fcel>P|"), F.col("l_partkey"), F.when(F.col("l_returnflag") == "R", "<lcel>").otherwise(F.concat(F.lit("<fcel> "), F.col("l_quantity").cast("long"), F.lit(" "))), F.lit("<nl>"))
-    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", row.alias("row")))), lambda x: x["row"]), "")
+    rows = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", row.alias("row")))), lambda x: x["row"]), "")
     d = li.groupBy("l_orderkey").agg(rows.alias("rows"), F.count("*").alias("n"))
     key = F.col("l_orderkey").cast("string")
     one = F.concat(F.lit("<doctag><page_header>x</page_header><title><loc_50><loc_10><loc_450><loc_40>Order  "), key, F.lit("</title>\n<text>"), F.col("n"), F.lit(" lines</text><otsl><loc_1><loc_2><loc_3><loc_4><ched>line<ched>part<ched>qty<nl>"), F.col("rows"), F.lit("</otsl></doctag>"))

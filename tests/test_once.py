@@ -27,3 +27,8 @@ def test_a_formula_is_stripped_once_and_a_table_measured_once(spark):
     d = spark.createDataFrame([(" {a & b ", [["x", "y"], ["z"]]), (None, [])], "t string, g array<array<string>>").select(formulas.fix(F.col("t")).alias("t"), doctags.table_markdown(F.col("g")).alias("g"))
     assert plan(d.select("t")).count("\\uFEFF]+$") == 1 and plan(d.select("g")).count("array_max") == 1
     assert [tuple(r) for r in d.collect()] == [("\\begin{aligned}{a & b}\\end{aligned}", "| x | y |\n| --- | --- |\n| z |  |"), (None, None)]
+
+
+def test_lists_are_sorted_without_a_comparison_in_sql(spark):
+    found = doctags.blocks(spark.createDataFrame(PAGES, "doc_id long, page int, doc_tags string"))
+    assert "lambda left" not in plan(doctags.parsed_pages(found))
