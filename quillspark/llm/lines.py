@@ -6,9 +6,10 @@ hash, so that lines of one length choose alike. Bands of minima give candidates,
 are likely to be similar, whole shingle sets verify those, and distributed union-find joins verified lines; of each
 component the first line, by document and place, stays.
 
-A band that many lines share isn't expanded into pairs: its lines are held against one of them first, and then against one
-of another component. After that only those pairs of different components are verified whose sketches agree and whose
-parity sketches differ by no more bits than the sets of similar lines may differ by elements.
+A band that many lines share isn't expanded into pairs: in two turns its lines are held against a few neighbours and one
+pivot, the second time only where components differ. Small bands then have had all their pairs. Of the larger ones only
+lines go on that have a partner of another component whose sketch agrees; of their pairs those are verified whose parity
+sketches differ by no more bits than the sets of similar lines may differ by elements.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SAMPLE = 48
 DIFFER = 16
 #: The same for lines that are held against a pivot: they are likely to be similar, and what is missed here comes afterwards.
 LIKELY = 9
+#: Lines of a band that are all held against each other at once, and turns in which those of larger bands meet a few others.
+SMALL, TURNS = 8, 2
 #: A signature of a sample that has fewer different shingles, as a bitmap of 64 counts them, is made again of all of the line's.
 FEW = 12
 #: Minima are those of a hash turned by some bits and crossed with a number: of one order each. Low bits choose the sample.
@@ -117,6 +120,32 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("h"))
 
 
+def _neighbours(rows: DataFrame, turn: int) -> DataFrame:
+    """(a, b): pairs of lines of one band and different components that are likely to be similar, a few for each row of ``rows(key, h, c, degree, sketch)``, after the first turn with n too, the lines of the band.
+
+    A line meets those just before it, in an order by some of the minima that changes with band and turn, and one pivot. The
+    first turn, which joins most, takes few; in the others a band of SMALL lines has all its pairs, and there a pair that
+    may be similar at all is taken.
+    """
+    line = F.struct("h", "c", "sketch")
+    order = Window.partitionBy("key").orderBy(F.expr(f"sketch[cast(pmod(key + {turn}, {-(-len(ORDERS) // 16)}) AS int)]"), "h")
+    first = F.col("degree") if not turn else F.xxhash64("h", F.lit(turn))
+    pivot = F.max(F.struct(first.alias("by"), line.alias("line"))).over(Window.partitionBy("key"))["line"]
+    before = range(1, SMALL if turn else 2)
+    met = rows.select("h", "c", "sketch", *["n"] * bool(turn), F.array(pivot, *[F.lag(line, k).over(order) for k in before]).alias("others"))
+    met = met.withColumn("o", F.explode("others")).where("o.h <> h AND o.c <> c")
+    met = met.where(agree("sketch", "o.sketch", LIKELY) + (f" OR n <= {SMALL} AND {agree('sketch', 'o.sketch')}" if turn else ""))
+    return met.selectExpr("least(h, o.h) AS a", "greatest(h, o.h) AS b").distinct()
+
+
+def _linked(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` that are similar enough, written; only their own lines are fetched."""
+    texts = _texts(lines, _ends(pairs))
+    links = written(_verified(pairs, texts, percent), "links")
+    drop_written(texts)
+    return links
+
+
 def _width(share: str) -> str:
     """64-bit words of a parity sketch: about four bits for each shingle that similar lines of a share may differ by, 4 to 64 words."""
     return f"cast(greatest(4, least(64, shiftleft(1, least({share}, 6) + 1))) AS int)"
@@ -161,35 +190,39 @@ def linked(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     shared = keyed.select("key", "h", "share", F.lag("h").over(by_key).alias("before"), F.lead("h").over(by_key).alias("after")).where("before IS NOT NULL OR after IS NOT NULL").select("key", "h", "share")
     shared = written(shared, "shared")
     release(spark)
-    degree = shared.groupBy("h").agg(F.count("*").alias("degree"))
-    rows = written(shared.join(degree, "h").join(made.select("h", "share", "sketch"), ["h", "share"]).withColumn("c", F.col("h")), "rows")
+    # by h alone, so that counting a line's bands and fetching its sketch take one shuffle
+    sketches = made.selectExpr("h", "share AS its", "sketch")
+    rows = shared.withColumn("degree", F.count("*").over(Window.partitionBy("h"))).join(sketches, "h").where("share = its").drop("its")
+    rows = written(rows.withColumn("c", F.col("h")), "rows")
     for x in (shared, table, again):
         drop_written(x)
-    texts = _texts(lines, rows.select("h"))
     tested = links = None
-    # each turn holds the lines of a band against one of them, the pivot: the line of another component than the last one's that shares the most bands
-    for turn in range(2):
-        pivots = rows if tested is None else rows.join(used, "key").where("c <> last")  # noqa: F821
-        pivots = written(pivots.groupBy("key").agg(F.max(F.struct("degree", "h", "c", "sketch")).alias("p")).selectExpr("key", "p.h AS pivot", "p.c AS other", "p.sketch AS its"), "pivots")
-        pairs = rows.join(pivots, "key").where("h <> pivot" + " AND c <> other" * turn).where(agree("sketch", "its", LIKELY)).selectExpr("least(h, pivot) AS a", "greatest(h, pivot) AS b").distinct()
+    for turn in range(TURNS):
+        pairs = _neighbours(rows, turn)
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        new = written(_verified(pairs, texts, percent), "links")
+        new = _linked(pairs, lines, percent)
         tested, links = (pairs, new) if tested is None else (tested.unionByName(pairs), links.unionByName(new))
         comps = written(components(links), "components")
         release(spark)
         named = rows.drop("c").join(comps.withColumnRenamed("node", "h"), "h", "left").withColumn("c", F.coalesce("component", "h")).drop("component")
-        mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-        rows = written(named.join(mixed, "key"), "rows")
-        if not turn:
-            used = pivots.select("key", "pivot").join(comps.withColumnRenamed("node", "pivot"), "pivot", "left").select("key", F.coalesce("component", "pivot").alias("last"))
-    left = written(rows.join(parities(texts.join(rows.select("h").distinct(), "h", "left_semi")), "h").withColumn("parity", F.expr(_fold(_width("share")))), "left")
+        by_key = Window.partitionBy("key")
+        named = (named.where(f"n > {SMALL}") if turn else named.withColumn("n", F.count("*").over(by_key))).withColumn("low", F.min("c").over(by_key)).withColumn("high", F.max("c").over(by_key))
+        named = written(named.where("low <> high").drop("low", "high"), "rows")
+        drop_written(rows)
+        rows = named
+    # lines without a partner whose sketch agrees need no text: one row a line comes out, however large its band is
+    x, y = (rows.selectExpr("*", f"h AS h_{k}", f"c AS c_{k}", f"sketch AS sketch_{k}") for k in "ab")
+    rest = x.join(y.select("key", "h_b", "c_b", "sketch_b"), (x["key"] == y["key"]) & F.expr(f"h_a <> h_b AND c_a <> c_b AND {agree('sketch_a', 'sketch_b')}"), "left_semi")
+    rest = written(rest.select(*rows.columns), "rest")
+    texts = _texts(lines, rest.select("h"))
+    left = written(rest.join(parities(texts), "h").withColumn("parity", F.expr(_fold(_width("share")))), "left")
     x, y = (left.selectExpr("key", *[f"{n} AS {n}_{k}" for n in ("h", "c", "sketch", "size", "parity")]) for k in "ab")
     near = x.join(y, "key").where(f"h_a < h_b AND c_a <> c_b AND {agree('sketch_a', 'sketch_b')} AND {_near(percent)}")
     near = written(near.selectExpr("h_a AS a", "h_b AS b").distinct().join(tested, ["a", "b"], "left_anti"), "near")
     release(spark)
     more = written(_verified(near, texts, percent), "links")
     release(spark)
-    for x in (rows, left, texts):
+    for x in (rows, rest, left, texts):
         drop_written(x)
     return links.unionByName(more), firsts
 

@@ -30,3 +30,28 @@ def test_parities_spare_dissimilar_pairs_of_small_bands(spark, monkeypatch):
     _, firsts = lines.linked(spark.createDataFrame(enumerate(texts), "doc_id long, text string"))
     assert firsts.count() == 40
     assert max(rows.get("across", 0), rows["near"]) <= 1.2 * like, (rows, like)
+
+
+def test_lines_of_small_bands_need_no_parities(spark, monkeypatch):
+    """Dissimilar lines that share bands: their pairs are held against each other by their sketches, with no text fetched for the last join."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(5))
+    texts = []
+    for _ in range(30):
+        base = [word() for _ in range(40)]
+        for _ in range(4):
+            line = list(base)
+            for k in rng.sample(range(40), 8):
+                line[k] = word()
+            texts.append(" ".join(line))
+    rows, write = {}, lines.written
+
+    def counted(df, name):
+        out = write(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(lines, "written", counted)
+    links, firsts = lines.linked(spark.createDataFrame(enumerate(texts), "doc_id long, text string"))
+    assert links.count() == 0 and firsts.count() == len(texts)
+    assert rows["shared"] > 60 and rows["left"] == 0, rows
