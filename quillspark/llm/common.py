@@ -68,9 +68,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps that are over and whose tables are written."""
+def release(spark: SparkSession, wait: float = 0) -> None:
+    """Lets Spark delete the shuffle files of steps that are over and whose tables are written.
+
+    Py4J frees what Python has dropped from a thread that sleeps for a second at a time; a ``wait`` beyond that makes sure
+    that the last step's files go too.
+    """
     import gc
+    import time
 
     gc.collect()
+    time.sleep(wait)
     spark._jvm.System.gc()

@@ -6,10 +6,11 @@ hash, so that lines of one length choose alike. Bands of minima give candidates,
 are likely to be similar, whole shingle sets verify those, and distributed union-find joins verified lines; of each
 component the first line, by document and place, stays.
 
-A band that many lines share isn't expanded into pairs: in two turns its lines are held against a few neighbours and one
-pivot, the second time only where components differ. Small bands then have had all their pairs. Of the larger ones only
-lines go on that have a partner of another component whose sketch agrees; of their pairs those are verified whose parity
-sketches differ by no more bits than the sets of similar lines may differ by elements.
+Small bands give all their pairs. A band that many lines share isn't expanded into pairs: in two turns its lines are held
+against a few neighbours and one pivot. Of the pairs of the first turn each line's likeliest is verified; the others wait for
+the second, when most are of one component, and only those of different ones are verified. Of the larger bands only lines go
+on that have a partner of another component whose sketch agrees; of their pairs those are verified whose parity sketches
+differ by no more bits than the sets of similar lines may differ by elements.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE_RE, drop_written, only, release, written
+from .common import WHITE, drop_written, only, release, written
 from .graph import components
 
 #: Characters in a shingle, of the signature as of the verification.
@@ -32,8 +33,10 @@ SAMPLE = 48
 DIFFER = 16
 #: The same for lines that are held against a pivot: they are likely to be similar, and what is missed here comes afterwards.
 LIKELY = 9
-#: Lines of a band that are all held against each other at once, and turns in which those of larger bands meet a few others.
-SMALL, TURNS = 8, 2
+#: Lines of a band that are all held against each other at once; those of larger bands meet a few others in two turns.
+SMALL = 8
+#: Seconds until Spark's Python side has let go of a table: a thread of its looks once a second.
+WAIT = 1.2
 #: A signature of a sample that has fewer different shingles, as a bitmap of 64 counts them, is made again of all of the line's.
 FEW = 12
 #: Minima are those of a hash turned by some bits and crossed with a number: of one order each. Low bits choose the sample.
@@ -46,7 +49,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, h) of the lines that take part: every one with a word."""
     d = only(docs, "doc_id", "text").where("text IS NOT NULL AND doc_id IS NOT NULL")
     d = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return d.where(F.col("line").rlike(f"[^{WHITE_RE[1:-1]}]")).withColumn("h", F.xxhash64("line"))
+    # not by a regular expression, for which each line would be decoded
+    return d.where(F.ltrim("line", F.lit(WHITE)) != "").withColumn("h", F.xxhash64("line"))
 
 
 def _turned(x: str, bits: int) -> str:
@@ -64,47 +68,51 @@ def _once(df: DataFrame, *keep: str, **made: Column) -> DataFrame:
 
 
 def signatures(distinct: DataFrame, *keep: str, whole: bool = False) -> DataFrame:
-    """(h, share, bands, sketch, few, and what to ``keep``) per line of ``distinct(h, line)``, which must be partitioned by h, so that nothing is shuffled.
+    """(h, share, second, bands, sketch, few, and what to ``keep``) per line of ``distinct(h, line)``, which must be partitioned by h, so that nothing is shuffled.
 
-    A line near the end of its share has a signature in the next one too, where its longer partners are. ``bands`` are
+    A line near the end of its share has a ``second`` signature in the next one, where its longer partners are. ``bands`` are
     hashes of ROWS minima each, ``sketch`` holds four bits of each minimum. ``whole`` makes them of all shingles.
     """
-    n = f"greatest(1, length(line) - {SHINGLE - 1})"
     d = distinct.selectExpr("h", *keep, "encode(line, 'UTF-32') AS b", f"greatest(1, length(line) - {SHINGLE - 1}) AS n")
     d = d.selectExpr("h", *keep, "b", "n", *([f"{_share('n')} AS low", f"{_share('n * 1.25D')} AS high"] if not whole else ["0 AS low", "0 AS high"]))
     d = d.select("h", *keep, "b", "low", "high", F.explode(F.expr("sequence(0, n - 1)")).alias("i"))
     d = d.selectExpr("h", *keep, "low", "high", "i", f"xxhash64(substring(b, 4 * i + 1, {4 * SHINGLE})) AS x").where("i = 0 OR x & (shiftleft(1L, low) - 1) = 0")
     # the first shingle stands for a line of which none is in the share
-    d = d.select("h", *keep, F.expr("CASE WHEN x & (shiftleft(1L, low) - 1) = 0 THEN x END AS x"), F.explode(F.expr("CASE WHEN high > low AND x & (shiftleft(1L, high) - 1) = 0 THEN array(low, high) ELSE array(low) END")).alias("share"))
+    d = d.select("h", *keep, F.expr("CASE WHEN x & (shiftleft(1L, low) - 1) = 0 THEN x END AS x"), F.explode(F.expr("CASE WHEN high > low AND x & (shiftleft(1L, high) - 1) = 0 THEN array(2 * low, 2 * high + 1) ELSE array(2 * low) END")).alias("half"))
     mins = [F.min(F.expr(f"{_turned('x', turn)} ^ {number}L")).alias(f"m{k}") for k, (turn, number) in enumerate(ORDERS)]
-    mins = d.groupBy("h", "share", *keep).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(x, 58) AS int))")).alias("seen"), *mins)
+    mins = d.groupBy("h", "half", *keep).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(x, 58) AS int))")).alias("seen"), *mins)
     # one array first: a projection of all that follows over 40 columns is too much code for the compiler
-    mins = _once(mins, "h", "share", "seen", *keep, m=F.array(*[f"m{k}" for k in range(len(ORDERS))]))
+    mins = _once(mins.withColumn("share", F.expr("half div 2").cast("int")), "h", "share", "half", "seen", *keep, m=F.array(*[f"m{k}" for k in range(len(ORDERS))]))
     parts = ", ".join(f"m[{ROWS} * b + {r}]" for r in range(ROWS))
     bands = F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, share, {parts}))")
     sketch = F.expr(f"transform(sequence(0, {-(-len(ORDERS) // 16) - 1}), w -> aggregate(slice(m, 16 * w + 1, 16), 0L, (s, x) -> shiftleft(s, 4) | (xxhash64(x) & 15)))")
     few = F.expr(f"share > 0 AND coalesce(bit_count(seen), 0) < {FEW}")
-    return mins.select("h", "share", *keep, bands.alias("bands"), sketch.alias("sketch"), few.alias("few"))
+    return mins.select("h", "share", F.expr("half & 1 = 1").alias("second"), *keep, bands.alias("bands"), sketch.alias("sketch"), few.alias("few"))
 
 
-def agree(x: str, y: str, differ: int = DIFFER) -> str:
-    """SQL: two sketches differ in ``differ`` minima at most."""
+def differing(x: str, y: str) -> str:
+    """SQL: the number of minima in which two sketches differ."""
     word = lambda w: f"({x}[{w}] ^ {y}[{w}])"
     some = lambda w: f"bit_count(({word(w)} | shiftrightunsigned({word(w)}, 1) | shiftrightunsigned({word(w)}, 2) | shiftrightunsigned({word(w)}, 3)) & {NIBBLES}L)"
-    return " + ".join(some(w) for w in range(-(-len(ORDERS) // 16))) + f" <= {differ}"
+    return " + ".join(some(w) for w in range(-(-len(ORDERS) // 16)))
+
+
+def agree(x: str, y: str, differ: int = DIFFER) -> str:
+    """SQL: two sketches differ in ``differ`` minima at most."""
+    return f"{differing(x, y)} <= {differ}"
 
 
 def _shingles(line: str) -> Column:
     """The hash of every shingle of SHINGLE code points of a line; of a shorter one, of itself. They may repeat."""
-    return F.expr(f"transform(array(encode({line}, 'UTF-32')), b -> transform(sequence(0, greatest(0, cast(octet_length(b) div 4 AS int) - {SHINGLE})), i -> xxhash64(substring(b, 4 * i + 1, {4 * SHINGLE}))))[0]")
+    return F.expr(f"transform(array(encode({line}, 'UTF-32')), b -> transform(sequence(1, greatest(1, cast(octet_length(b) AS int) - {4 * SHINGLE - 1}), 4), i -> xxhash64(substring(b, i, {4 * SHINGLE}))))[0]")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The ``pairs(a, b)`` whose lines in ``texts(h, line)`` are similar enough, by whole shingle sets. Lines are joined, and their sets made here: a set is 20 times its line."""
     both = pairs.join(texts.selectExpr("h AS a", "line AS la"), "a").join(texts.selectExpr("h AS b", "line AS lb"), "b")
     both = _once(both, "a", "b", sa=_shingles("la"), sb=_shingles("lb"))
-    both = _once(both, "a", "b", common=F.size(F.array_intersect("sa", "sb")), total=F.size(F.array_distinct("sa")) + F.size(F.array_distinct("sb")))
-    return both.where(f"100 * common >= {percent} * (total - common)").select("a", "b")
+    both = _once(both, "a", "b", whole=F.size(F.array_union("sa", "sb")), total=F.size(F.array_distinct("sa")) + F.size(F.array_distinct("sb")))
+    return both.where(f"100 * (total - whole) >= {percent} * whole").select("a", "b")
 
 
 def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -121,21 +129,36 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _neighbours(rows: DataFrame, turn: int) -> DataFrame:
-    """(a, b): pairs of lines of one band and different components that are likely to be similar, a few for each row of ``rows(key, h, c, degree, sketch)``, after the first turn with n too, the lines of the band.
+    """(h, o, d): a few partners o for each line h of ``rows(key, h, c, degree, sketch)``, of one band and different components, that are likely to be similar, and in how many minima they differ.
 
     A line meets those just before it, in an order by some of the minima that changes with band and turn, and one pivot. The
-    first turn, which joins most, takes few; in the others a band of SMALL lines has all its pairs, and there a pair that
-    may be similar at all is taken.
+    first turn, which joins most, takes few.
     """
     line = F.struct("h", "c", "sketch")
     order = Window.partitionBy("key").orderBy(F.expr(f"sketch[cast(pmod(key + {turn}, {-(-len(ORDERS) // 16)}) AS int)]"), "h")
     first = F.col("degree") if not turn else F.xxhash64("h", F.lit(turn))
     pivot = F.max(F.struct(first.alias("by"), line.alias("line"))).over(Window.partitionBy("key"))["line"]
-    before = range(1, SMALL if turn else 2)
-    met = rows.select("h", "c", "sketch", *["n"] * bool(turn), F.array(pivot, *[F.lag(line, k).over(order) for k in before]).alias("others"))
+    met = rows.select("h", "c", "sketch", F.array(pivot, *[F.lag(line, k).over(order) for k in range(1, SMALL if turn else 2)]).alias("others"))
     met = met.withColumn("o", F.explode("others")).where("o.h <> h AND o.c <> c")
-    met = met.where(agree("sketch", "o.sketch", LIKELY) + (f" OR n <= {SMALL} AND {agree('sketch', 'o.sketch')}" if turn else ""))
-    return met.selectExpr("least(h, o.h) AS a", "greatest(h, o.h) AS b").distinct()
+    return met.where(agree("sketch", "o.sketch", LIKELY)).select("h", F.col("o.h").alias("o"), F.expr(differing("sketch", "o.sketch")).alias("d"))
+
+
+def _all_pairs(rows: DataFrame) -> DataFrame:
+    """(h, o, d) of all pairs in the bands of ``rows(key, h, sketch)`` that may be similar, and in how many minima they differ."""
+    other = rows.selectExpr("key", "h AS o", "sketch AS so")
+    return rows.select("key", "h", "sketch").join(other, "key").where(f"o < h AND {agree('sketch', 'so')}").select("h", "o", F.expr(differing("sketch", "so")).alias("d"))
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """(a, b) of ``met(h, o)``, each once, the smaller first."""
+    return met.selectExpr("least(h, o) AS a", "greatest(h, o) AS b").distinct()
+
+
+def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The ``pairs(a, b)`` of different components, with these as ca and cb; a line that ``comps(h, component)`` hasn't is one by itself."""
+    for end in "ab":
+        pairs = pairs.join(comps.selectExpr(f"h AS {end}", f"component AS c{end}"), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    return pairs.where("ca <> cb")
 
 
 def _linked(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
@@ -180,49 +203,65 @@ def linked(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     # equal lines meet once per task before the shuffle; what follows stays in the partitions that this makes
     classes = lines.groupBy("h").agg(F.first("line").alias("line"), F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n_rows")).select("h", "line", "at.doc_id", "at.line_no", "n_rows")
     made = written(signatures(classes, "doc_id", "line_no", "n_rows"), "signatures")
-    release(spark)
-    firsts = written(made.groupBy("h").agg(F.first("doc_id").alias("doc_id"), F.first("line_no").alias("line_no"), F.first("n_rows").alias("n")), "firsts")
+    del classes
+    release(spark, WAIT)
+    firsts = written(made.where("NOT second").selectExpr("h", "doc_id", "line_no", "n_rows AS n"), "firsts")
     again = _texts(lines, made.where("few").select("h"))
     again = written(signatures(again.groupBy("h").agg(F.first("line").alias("line")), whole=True), "signatures")
     table, made = made, made.drop("doc_id", "line_no", "n_rows").unionByName(again)
-    by_key = Window.partitionBy("key").orderBy("h")
+    by_key = Window.partitionBy("key")
     keyed = made.select("h", "share", F.explode("bands").alias("key"))
-    shared = keyed.select("key", "h", "share", F.lag("h").over(by_key).alias("before"), F.lead("h").over(by_key).alias("after")).where("before IS NOT NULL OR after IS NOT NULL").select("key", "h", "share")
-    shared = written(shared, "shared")
-    release(spark)
+    shared = written(keyed.withColumn("n", F.count("*").over(by_key)).where("n > 1"), "shared")
+    release(spark, WAIT)
     # by h alone, so that counting a line's bands and fetching its sketch take one shuffle
     sketches = made.selectExpr("h", "share AS its", "sketch")
     rows = shared.withColumn("degree", F.count("*").over(Window.partitionBy("h"))).join(sketches, "h").where("share = its").drop("its")
     rows = written(rows.withColumn("c", F.col("h")), "rows")
+    release(spark, WAIT)
     for x in (shared, table, again):
         drop_written(x)
-    tested = links = None
-    for turn in range(TURNS):
-        pairs = _neighbours(rows, turn)
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        new = _linked(pairs, lines, percent)
-        tested, links = (pairs, new) if tested is None else (tested.unionByName(pairs), links.unionByName(new))
-        comps = written(components(links), "components")
+
+    def apart(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The components of ``links``, and rows of larger bands that hold more than one."""
+        comps = written(components(links), "components").withColumnRenamed("node", "h")
         release(spark)
-        named = rows.drop("c").join(comps.withColumnRenamed("node", "h"), "h", "left").withColumn("c", F.coalesce("component", "h")).drop("component")
-        by_key = Window.partitionBy("key")
-        named = (named.where(f"n > {SMALL}") if turn else named.withColumn("n", F.count("*").over(by_key))).withColumn("low", F.min("c").over(by_key)).withColumn("high", F.max("c").over(by_key))
-        named = written(named.where("low <> high").drop("low", "high"), "rows")
-        drop_written(rows)
-        rows = named
+        named = rows.where(f"n > {SMALL}").drop("c").join(comps, "h", "left").withColumn("c", F.coalesce("component", "h")).drop("component")
+        named = named.withColumn("low", F.min("c").over(by_key)).withColumn("high", F.max("c").over(by_key))
+        return comps, written(named.where("low <> high").drop("low", "high"), "rows")
+
+    met = _all_pairs(rows.where(f"n <= {SMALL}")).unionByName(_neighbours(rows.where(f"n > {SMALL}"), 0))
+    met = written(met.distinct(), "met")
+    best = met.where(f"d <= {LIKELY}").groupBy("h").agg(F.min(F.struct("d", "o")).alias("best")).selectExpr("h", "best.o")
+    tested = written(_pairs(best), "pairs")
+    links = _linked(tested, lines, percent)
+    comps, left = apart(links)
+    drop_written(rows)
+    rows = left
+    # of the pairs of two components the likeliest; the others wait until it is known whether that has joined them
+    waiting = met.selectExpr("least(h, o) AS a", "greatest(h, o) AS b", "d").join(tested, ["a", "b"], "left_anti")
+    likeliest = _across(waiting, comps).groupBy(F.expr("least(ca, cb)"), F.expr("greatest(ca, cb)")).agg(F.min(F.struct("d", "a", "b")).alias("best")).select("best.a", "best.b")
+    pairs = _pairs(_neighbours(rows, 1)).unionByName(likeliest).distinct()
+    pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    tested = tested.unionByName(pairs)
+    links = links.unionByName(_linked(pairs, lines, percent))
+    comps, left = apart(links)
+    drop_written(rows)
+    rows = left
+    waiting = written(_across(waiting, comps).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "waiting")
+    drop_written(met)
     # lines without a partner whose sketch agrees need no text: one row a line comes out, however large its band is
     x, y = (rows.selectExpr("*", f"h AS h_{k}", f"c AS c_{k}", f"sketch AS sketch_{k}") for k in "ab")
     rest = x.join(y.select("key", "h_b", "c_b", "sketch_b"), (x["key"] == y["key"]) & F.expr(f"h_a <> h_b AND c_a <> c_b AND {agree('sketch_a', 'sketch_b')}"), "left_semi")
     rest = written(rest.select(*rows.columns), "rest")
-    texts = _texts(lines, rest.select("h"))
-    left = written(rest.join(parities(texts), "h").withColumn("parity", F.expr(_fold(_width("share")))), "left")
+    texts = _texts(lines, rest.select("h").unionByName(_ends(waiting)))
+    left = written(rest.join(parities(texts.join(rest, "h", "left_semi")), "h").withColumn("parity", F.expr(_fold(_width("share")))), "left")
     x, y = (left.selectExpr("key", *[f"{n} AS {n}_{k}" for n in ("h", "c", "sketch", "size", "parity")]) for k in "ab")
     near = x.join(y, "key").where(f"h_a < h_b AND c_a <> c_b AND {agree('sketch_a', 'sketch_b')} AND {_near(percent)}")
     near = written(near.selectExpr("h_a AS a", "h_b AS b").distinct().join(tested, ["a", "b"], "left_anti"), "near")
     release(spark)
-    more = written(_verified(near, texts, percent), "links")
+    more = written(_verified(near.unionByName(waiting).distinct(), texts, percent), "links")
     release(spark)
-    for x in (rows, rest, left, texts):
+    for x in (rows, rest, left, texts, waiting):
         drop_written(x)
     return links.unionByName(more), firsts
 
@@ -244,7 +283,7 @@ def _dropped(docs: DataFrame, percent: int) -> DataFrame:
     comps = written(components(links), "components")
     # each line's component, and the component's first line
     firsts = firsts.select("h", F.struct("doc_id", "line_no").alias("at"), "n")
-    named = firsts.join(comps.withColumnRenamed("node", "h"), "h", "left").select("h", "at", "n", F.coalesce("component", "h").alias("component"))
+    named = firsts.join(comps.withColumnRenamed("node", "h"), "h", "left").where("n > 1 OR component IS NOT NULL").select("h", "at", "n", F.coalesce("component", "h").alias("component"))
     named = written(named, "named")
     best = written(named.groupBy("component").agg(F.min(F.struct("at", "h")).alias("first"), F.sum("n").alias("n")).where("n > 1"), "best")
     repeated = written(named.select("h", "component").join(best.select("component", "first"), "component").select("h", "first"), "repeated")

@@ -55,3 +55,29 @@ def test_lines_of_small_bands_need_no_parities(spark, monkeypatch):
     links, firsts = lines.linked(spark.createDataFrame(enumerate(texts), "doc_id long, text string"))
     assert links.count() == 0 and firsts.count() == len(texts)
     assert rows["shared"] > 60 and rows["left"] == 0, rows
+
+
+def test_pairs_of_one_component_are_not_verified_again(spark, monkeypatch):
+    """Copies that differ a little: each line's likeliest partner joins most, and bands of few lines aren't written again for the second turn."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(6))
+    texts = []
+    for _ in range(25):
+        base = [word() for _ in range(30)]
+        for _ in range(6):
+            line = list(base)
+            line[rng.randrange(30)] = word()
+            texts.append(" ".join(line))
+    texts += ["\x0b \f\t\r", "  ", "f", "\u00a0"]
+    rows, write = {}, lines.written
+
+    def counted(df, name):
+        out = write(df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "written", counted)
+    got = sorted(r.doc_id for r in lines.dropped(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).collect())
+    assert got == [k for k in range(150) if k % 6]
+    assert rows["firsts"] == [152] and rows["rows"][1:] == [0, 0] and rows["named"] == [150]
+    assert sum(sum(rows[n]) for n in ("pairs", "near", "waiting")) <= 250, rows
