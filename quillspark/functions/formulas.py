@@ -48,10 +48,13 @@ def trivial_xhtml(tex: Column) -> Column:
     script = rf"^{WS}*([_^])\{{?([^{{}}$\\]{{1,12}})\}}?{WS}*$"
     tag = lambda mark, x: F.when(mark == "^", F.concat(F.lit("<sup>"), escape_xml(x), F.lit("</sup>"))).otherwise(F.concat(F.lit("<sub>"), escape_xml(x), F.lit("</sub>")))
     one = r"([_^])(?:\{([^{}$\\]{1,16})\}|([A-Za-z0-9]))"
-    dense = F.regexp_replace(tex, f"{WS}+", "")
     full = rf"^([A-Za-z][A-Za-z0-9]{{0,7}}){one}(?:{one})?$"
-    g = lambda k: F.regexp_extract(dense, full, k)
-    first, second = F.concat(g(3), g(4)), F.concat(g(6), g(7))
-    based = F.concat(F.lit("<em>"), g(1), F.lit("</em>"), tag(g(2), first), F.when(g(5) != "", tag(g(5), second)).otherwise(""))
+
+    def scripted(dense: Column) -> Column:
+        g = lambda k: F.regexp_extract(dense, full, k)
+        first, second = F.concat(g(3), g(4)), F.concat(g(6), g(7))
+        based = F.concat(F.lit("<em>"), g(1), F.lit("</em>"), tag(g(2), first), F.when(g(5) != "", tag(g(5), second)).otherwise(""))
+        return F.when(dense.rlike(full) & (g(2) != g(5)), based)
+
     ident = rf"^{WS}*([A-Za-z][A-Za-z0-9]{{0,3}}){WS}*$"
-    return F.when(tex.rlike(script), tag(F.regexp_extract(tex, script, 1), F.regexp_extract(tex, script, 2))).when(tex.rlike(ident), F.concat(F.lit("<em>"), F.regexp_extract(tex, ident, 1), F.lit("</em>"))).when(dense.rlike(full) & (g(2) != g(5)), based)
+    return F.when(tex.rlike(script), tag(F.regexp_extract(tex, script, 1), F.regexp_extract(tex, script, 2))).when(tex.rlike(ident), F.concat(F.lit("<em>"), F.regexp_extract(tex, ident, 1), F.lit("</em>"))).otherwise(let(F.regexp_replace(tex, f"{WS}+", ""), scripted))

@@ -6,10 +6,11 @@ import io
 import zipfile
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, front_fields, media_type
+from ..functions.formulas import trivial_xhtml
+from ..functions.text import WS, front_fields, let, media_type
 from . import xhtml
 
 IMAGE = r"!\[[^\]]*\]\(([^)\s]+)\)"
@@ -23,21 +24,31 @@ def body_of(md: Column) -> Column:
     return F.when(md.startswith("---\n") & (end > 0), F.when(line > 0, F.substr(rest, line + 1)).otherwise(md)).otherwise(md)
 
 
+def _chapters(md: Column) -> Column:
+    """An array of (title, body) of a note: one at each heading of the first two levels."""
+    blank = WS.replace(r"\n", "")
+    filled = lambda x: x.rlike(f"[^{WS[1:-1]}]")
+    part = lambda body, line: F.struct(body.alias("body"), F.substring_index(line, "\n", 1).alias("line"))
+
+    def parts(p: Column) -> Column:
+        # blank lines before the first heading are part of its chapter
+        one, two = F.get(p, F.lit(0)), F.get(p, F.lit(1))
+        joined = F.concat(F.array(part(F.concat(one, F.lit("\n"), two), two)), F.transform(F.slice(p, 3, F.size(p)), lambda x: part(x, x)))
+        return F.when((F.size(p) > 1) & ~filled(one), joined).otherwise(F.transform(p, lambda x: part(x, x)))
+
+    # a line break goes where a chapter ends
+    found = F.filter(let(F.split(body_of(md), rf"\n(?=#{{1,2}}{blank})", -1), parts), lambda x: filled(x["body"]))
+    title = lambda line: F.when(line.rlike(rf"^#{{1,2}}{WS}+"), F.regexp_extract(line, rf"^#{{1,2}}{WS}+(.*)$", 1))
+    return F.transform(found, lambda x: F.struct(title(x["line"]).alias("title"), x["body"].alias("body")))
+
+
 def chapters(notes: DataFrame) -> DataFrame:
     """(doc_id, chapter_no, title, n_lines, body) of ``notes(doc_id, markdown)``: one at each heading of the first two levels.
 
     A note is one row and is cut in it, so nothing is shuffled.
     """
-    blank = WS.replace(r"\n", "")
-    filled = lambda x: x.rlike(f"[^{WS[1:-1]}]")
-    part = lambda body, line: F.struct(body.alias("body"), F.substring_index(line, "\n", 1).alias("line"))
-    # a line break goes where a chapter ends; blank lines before the first heading are part of its chapter
-    d = notes.select("doc_id", F.split(body_of(F.col("markdown")), rf"\n(?=#{{1,2}}{blank})", -1).alias("p"))
-    one, two = F.get("p", F.lit(0)), F.get("p", F.lit(1))
-    p = F.when((F.size("p") > 1) & ~filled(one), F.concat(F.array(part(F.concat(one, F.lit("\n"), two), two)), F.transform(F.slice("p", 3, F.size("p")), lambda x: part(x, x)))).otherwise(F.transform("p", lambda x: part(x, x)))
-    d = d.select("doc_id", F.posexplode(F.filter(p, lambda x: filled(x["body"]))).alias("no", "c"))
-    title = F.when(F.col("c.line").rlike(rf"^#{{1,2}}{WS}+"), F.regexp_extract("c.line", rf"^#{{1,2}}{WS}+(.*)$", 1))
-    return d.select("doc_id", (F.col("no") + 1).alias("chapter_no"), title.alias("title"), F.size(F.split("c.body", "\n", -1)).cast("long").alias("n_lines"), F.col("c.body").alias("body"))
+    d = notes.select("doc_id", F.posexplode(_chapters(F.col("markdown"))).alias("no", "c"))
+    return d.select("doc_id", (F.col("no") + 1).alias("chapter_no"), "c.title", F.size(F.split("c.body", "\n", -1)).cast("long").alias("n_lines"), "c.body")
 
 
 def assets(notes: DataFrame) -> DataFrame:
@@ -140,21 +151,22 @@ def container(title: str, parts: list[tuple[str, str]], uuid: str = "", creators
 PART = 2**21
 
 
-def _dealt(notes: DataFrame) -> tuple[DataFrame, int]:
-    """``notes`` dealt out once by doc_id, in parts of about PART characters, and how deep their quotes are.
+def _dealt(notes: DataFrame) -> tuple[DataFrame, int, int]:
+    """``notes`` dealt out once by doc_id, in parts of about PART characters, how many, and how deep their quotes are.
 
-    All that follows is by document, so it stays in these parts: lines, blocks and rows aren't shuffled, and what a task sorts
-    doesn't grow with the input. One job measures the notes.
+    What a book is made of is cut in its row, so nothing else of the notes is shuffled, and what a task sorts doesn't grow with the
+    input. One job measures the notes.
     """
     size, deepest = notes.agg(F.sum(F.char_length("markdown")), F.max(xhtml.depth(F.col("markdown")))).first()
     parts = max(int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size or 0) // PART)
-    return notes.repartition(parts, "doc_id"), deepest or 0
+    return notes.repartition(parts, "doc_id"), parts, deepest or 0
 
 
 class Book:
     """The tables of which e-books of ``notes(doc_id, title, markdown)`` are made; ``title`` is used where a note has none.
 
-    ``sidecar(doc_id, ordinal, tex, id)`` are the crops of displayed formulas. All tables are lazy:
+    ``sidecar(doc_id, ordinal, tex, id)`` are the crops of displayed formulas. A row of ``rows`` holds a note with its chapters, displayed formulas and images;
+    all tables are lazy and come from it:
 
     * ``html``: doc_id, chapter_no, title, html
     * ``formulas``: doc_id, ordinal, path, tex, crop_id (null: shown as text)
@@ -163,29 +175,43 @@ class Book:
     """
 
     def __init__(self, notes: DataFrame, sidecar: DataFrame | None = None):
-        self.notes, deepest = _dealt(notes.select("doc_id", "title", "markdown"))
-        self.chapters = chapters(self.notes)
-        bodies = self.chapters.select("doc_id", F.array("chapter_no").alias("path"), "body")
+        notes, self.parts, deepest = _dealt(notes.select("doc_id", "title", "markdown"))
+        side = "array<struct<ordinal:int,sidecar_tex:string,crop:string>>"
         if sidecar is not None:
-            # one row for each document, so that joins by doc_id leave its blocks where they are
-            sides = sidecar.groupBy("doc_id").agg(F.collect_list(F.struct("ordinal", F.col("tex").alias("sidecar_tex"), F.col("id").alias("crop"))).alias("sides"))
-            b = xhtml.blocks(bodies, sides.select("doc_id"), deepest)
-            # a crop is taken if it shows the formula that has its place
-            b = b.join(sides, "doc_id", "left").withColumn("side", F.explode_outer(F.filter("sides", lambda x: x["ordinal"] == F.col("ordinal")))).drop("sides")
-            b = b.withColumn("crop_id", F.when(same_tex(F.col("source"), F.col("side.sidecar_tex")), F.col("side.crop"))).drop("side")
+            # one row for each document, dealt out as the notes are
+            sides = sidecar.repartition(self.parts, "doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", F.col("tex").alias("sidecar_tex"), F.col("id").alias("crop")))).alias("sides"))
+            notes = notes.join(sides, "doc_id", "left").withColumn("sides", F.col("sides").cast(side))
         else:
-            b = xhtml.blocks(bodies, None, deepest).withColumn("crop_id", F.lit(None).cast("string"))
-        self.formulas = xhtml.displayed(b).select("doc_id", "ordinal", "path", "tex", "crop_id")
-        self.inline = xhtml.inlined(b)
-        # a chapter of blank lines and dropped callouts has no blocks
-        heads = self.chapters.select("doc_id", "chapter_no", "title", F.lit("").alias("html"))
-        said = xhtml.rendered(b).select("doc_id", "chapter_no", F.lit(None).cast("string").alias("title"), "html")
-        self.html = heads.unionByName(said).groupBy("doc_id", "chapter_no").agg(F.max("title").alias("title"), F.max("html").alias("html"))
-        pictures = xhtml.shown(b).select("doc_id", F.lit(0).alias("k"), "seq", "href")
-        cropped = self.formulas.where("crop_id IS NOT NULL").select("doc_id", F.lit(1).alias("k"), F.col("ordinal").alias("seq"), F.concat(F.lit("images/"), "crop_id", F.lit(".png")).alias("href"))
-        each = pictures.unionByName(cropped).groupBy("doc_id", "href").agg(F.min(F.struct("k", "seq")).alias("at"))
-        name = F.concat(F.when(F.col("at.k") == 0, "img-").otherwise("math-"), F.regexp_replace("href", r"\W", "-"))
-        self.assets = each.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")).alias("seq"), "href", name.alias("id"), media_type(F.col("href")).alias("media_type"), (F.col("at.k") == 1).alias("crop"))
+            notes = notes.withColumn("sides", F.lit(None).cast(side))
+        d = notes.withColumn("chapters", F.coalesce(_chapters(F.col("markdown")), F.array().cast("array<struct<title:string,body:string>>")))
+        d = d.withColumn("blocks", xhtml.cut(F.transform("chapters", lambda x: x["body"]), deepest, F.col("sides").isNotNull()))
+
+        def crop(tex: Column, ordinal: Column) -> Column:
+            # a crop is taken if it shows the formula that has its place
+            return F.get(F.filter("sides", lambda x: (x["ordinal"] == ordinal) & same_tex(tex, x["sidecar_tex"])), F.lit(0))["crop"]
+
+        formulas = F.transform(xhtml.displayed(F.col("blocks")), lambda b, i: F.struct((i + 1).alias("ordinal"), b["path"].alias("path"), b["source"].alias("tex"), crop(b["source"], i + 1).alias("crop_id")))
+        self.rows = d.withColumn("formulas", formulas).withColumn("images", xhtml.shown(F.col("blocks")))
+        # outer, since for others Spark would make the array in a filter once more
+        self.formulas = self.rows.select("doc_id", F.inline_outer("formulas")).where("ordinal IS NOT NULL")
+        inline = self.rows.select("doc_id", F.posexplode_outer(xhtml.inlined(F.col("blocks"))).alias("pos", "tex")).where("pos IS NOT NULL")
+        self.inline = inline.select("doc_id", (F.col("pos") + 1).alias("index"), "tex", trivial_xhtml(F.col("tex")).alias("xhtml"))
+        self.html = self.rows.select("doc_id", F.posexplode_outer(self._parts()).alias("pos", "part")).where("pos IS NOT NULL").select("doc_id", (F.col("pos") + 1).cast("long").alias("chapter_no"), "part.title", "part.html")
+        a = self.rows.select("doc_id", F.size("images").alias("n"), F.posexplode_outer(self._hrefs()).alias("pos", "href")).where("pos IS NOT NULL").withColumn("crop", F.col("pos") >= F.col("n"))
+        name = F.concat(F.when(F.col("crop"), "math-").otherwise("img-"), F.regexp_replace("href", r"\W", "-"))
+        self.assets = a.select("doc_id", (F.col("pos") + 1).alias("seq"), "href", name.alias("id"), media_type(F.col("href")).alias("media_type"), "crop")
+
+    @staticmethod
+    def _parts() -> Column:
+        """The chapters of a row as an array of (title, html)."""
+        shown = xhtml.html(F.col("blocks"), F.transform("formulas", lambda x: xhtml.formula(x["tex"], x["crop_id"])))
+        return F.zip_with("chapters", shown, lambda x, html: F.struct(x["title"].alias("title"), html.alias("html")))
+
+    @staticmethod
+    def _hrefs() -> Column:
+        """The paths of a row's assets: images by first use, then crops that no image shows."""
+        crops = F.filter(F.transform("formulas", lambda x: F.concat(F.lit("images/"), x["crop_id"], F.lit(".png"))), lambda x: x.isNotNull())
+        return F.concat("images", F.array_except(crops, F.col("images")))
 
     def stats(self, files: DataFrame) -> DataFrame:
         """A row for each note: n_chapters, n_images, formulas_as_crop, formulas_as_text, inline_as_text, warnings.
@@ -193,36 +219,28 @@ class Book:
         ``files(doc_id, href)`` are the files that exist. Of images those count that exist and show no formula; of inline formulas the different
         ones that need no renderer.
         """
-        count = lambda x: F.count(F.when(x, 1))
-        there = files.select("doc_id", "href").distinct().withColumn("there", F.lit(True))
-        a = self.assets.join(there, ["doc_id", "href"], "left").withColumn("there", F.coalesce("there", F.lit(False)))
-        a = a.groupBy("doc_id").agg(count(F.col("there") & ~F.col("crop")).alias("n_images"), F.array_sort(F.collect_list(F.when(~F.col("there"), F.struct("seq", "href")))).alias("gone"))
-        f = self.formulas.groupBy("doc_id").agg(F.count("crop_id").alias("formulas_as_crop"), count(F.col("crop_id").isNull()).alias("formulas_as_text"))
-        i = self.inline.groupBy("doc_id").agg(F.count("xhtml").alias("inline_as_text"))
-        c = self.chapters.groupBy("doc_id").agg(F.count("*").alias("n_chapters"))
-        d = self.notes.select("doc_id")
-        for part in (c, a, f, i):
-            d = d.join(part, "doc_id", "left")
-        numbers = ["n_chapters", "n_images", "formulas_as_crop", "formulas_as_text", "inline_as_text"]
-        d = d.na.fill(0, numbers)
+        there = files.select("doc_id", "href").repartition(self.parts, "doc_id").groupBy("doc_id").agg(F.collect_set("href").alias("there"))
+        d = self.rows.join(there, "doc_id", "left").withColumn("there", F.coalesce("there", F.array().cast("array<string>")))
+        inline = F.filter(xhtml.inlined(F.col("blocks")), lambda x: trivial_xhtml(x).isNotNull())
+        numbers = {"n_chapters": F.size("chapters"), "n_images": F.size(F.array_intersect("images", "there")), "formulas_as_crop": F.size(F.filter("formulas", lambda x: x["crop_id"].isNotNull())), "formulas_as_text": F.size(F.filter("formulas", lambda x: x["crop_id"].isNull())), "inline_as_text": F.size(inline)}
+        gone = F.transform(F.array_except(self._hrefs(), F.col("there")), lambda x: F.concat(F.lit("missing image: "), x))
+        d = d.select("doc_id", *(n.cast("long").alias(name) for name, n in numbers.items()), gone.alias("gone"))
         # fixed sentence
         said = F.when(F.col("formulas_as_text") > 0, F.concat("formulas_as_text", F.when(F.col("formulas_as_text") > 1, " equations").otherwise(" equation"), F.lit(" could not be rendered and were exported as LaTeX source — no formula image was available. Converted papers get one by re-converting the PDF.")))
-        gone = F.transform(F.coalesce("gone", F.array().cast("array<struct<seq:int,href:string>>")), lambda x: F.concat(F.lit("missing image: "), x["href"]))
-        return d.select("doc_id", *numbers, F.concat(F.array_compact(F.array(said)), gone).alias("warnings"))
+        return d.select("doc_id", *numbers, F.concat(F.array_compact(F.array(said)), "gone").alias("warnings"))
 
     def epubs(self, files: DataFrame) -> DataFrame:
         """(doc_id, epub) of each note; ``files(doc_id, href, content)`` are the images' bytes.
 
         One row per document, so a task holds one book at a time. Only the container's bytes are made in Python.
         """
-        fields = self.notes.select("doc_id", F.col("title").alias("fallback"), front_fields(F.col("markdown")).alias("f"))
+        fields = self.rows.select("doc_id", F.col("title").alias("fallback"), front_fields(F.col("markdown")).alias("f"), self._parts().alias("parts"))
         value = lambda key: F.try_element_at(F.filter("f", lambda x: x["key"] == key), F.lit(-1))
         title = F.coalesce(F.nullif(value("title")["value"], F.lit("")), F.col("fallback"), F.lit(""))
         names = F.when(value("author")["value"].isNotNull(), F.array(value("author")["value"])).otherwise(value("author")["items"])
-        about = fields.select("doc_id", title.alias("title"), F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda x: x.rlike(f"[^{WS[1:-1]}]")).alias("creators"), value("source")["value"].alias("source"))
+        about = fields.select("doc_id", title.alias("title"), F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda x: x.rlike(f"[^{WS[1:-1]}]")).alias("creators"), value("source")["value"].alias("source"), "parts")
         about = about.withColumn("uuid", uuids(F.concat("title", F.coalesce("source", F.lit("")))))
-        parts = self.html.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chapter_no", "title", "html"))).alias("parts"))
-        held = self.assets.join(files.select("doc_id", "href", "content"), ["doc_id", "href"]).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "id", "href", "media_type", "content"))).alias("files"))
+        held = self.assets.join(files.select("doc_id", "href", "content"), ["doc_id", "href"]).repartition(self.parts, "doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "id", "href", "media_type", "content"))).alias("files"))
 
         @F.pandas_udf("binary")
         def pack(title: pd.Series, uuid: pd.Series, creators: pd.Series, source: pd.Series, parts: pd.Series, files: pd.Series) -> pd.Series:
@@ -231,5 +249,5 @@ class Book:
                 out.append(container(t, [(p["title"] or t, p["html"]) for p in (ps if ps is not None else ())], u, list(c), s, [(f["id"], f["href"], f["media_type"], f["content"]) for f in (fs if fs is not None else ())]))
             return pd.Series(out)
 
-        d = about.join(parts, "doc_id", "left").join(held, "doc_id", "left")
+        d = about.join(held, "doc_id", "left")
         return d.select("doc_id", pack("title", "uuid", "creators", "source", "parts", "files").alias("epub"))

@@ -1,25 +1,24 @@
-"""Notes to XHTML blocks, as joins and windows over their lines.
+"""Notes to XHTML blocks, as arrays in a note's row.
 
-A chapter is cut by one regular expression into fenced code, display formulas and single lines. Windows join lines to
-paragraphs, lists, tables and quotes; a quote's lines are chapters of the next level, as many levels as the notes have. Inline
-text is rendered by columns: what must not be touched (images, formulas, code, links) is lifted out into arrays, in this order,
-and put back in the reverse one. Formulas are resolved for whole documents: displayed ones by their ordinal, inline ones by first use.
+A body is cut by one regular expression into its blocks: fenced code, displayed formulas, headings, figures, tables, quotes, lists, texts
+and blank lines. A quote's text is cut in its place, one round for each level of quotes that the notes have, so a note's blocks are one
+array in reading order and nothing is shuffled or sorted. Inline text is rendered by columns: what must not be touched (images,
+formulas, code, links) is lifted out into arrays, in this order, and put back in the reverse one. Displayed formulas are keyed by their
+place among a document's, inline ones by first use.
 
-A block's ``path`` is its place: chapter, block in it, block in that quote and so on; paths sort in reading order.
+A block's ``path`` is its place: chapter, block in it, block in that quote and so on; blank lines count.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formulas import trivial_xhtml
-from ..functions.text import WS, escape_xml, strip
+from ..functions.text import WS, escape_xml, let, strip
 
 #: White space within a line.
 BLANK = WS.replace(r"\n", "")
-#: What a chapter is cut into: code up to its closing fence or the end, a formula up to a line that ends in $$ or the end, a line.
-PIECE = rf"(?dm)^{BLANK}*```[^\n]*(?:\n(?s:.*?)^{BLANK}*```[^\n]*$|(?s:.*))|^{BLANK}*\$\$(?:[^\n]*?\$\$$|[^\n]*?\$\${BLANK}+$|(?s:.*?)\n[^\n]*?\$\${BLANK}*$|(?s:.*))|^[^\n]*$"
 #: Patterns of the notes' Markdown: fixed values.
 IMAGE = rf"!\[([^\]]*)\]\(([^){WS[1:-1]}]+)\)"
 MATH = r"(?<!\$)\$([^$\n]+?)\$(?!\$)"
@@ -30,6 +29,18 @@ BULLET = rf"^{WS}*[-*]{WS}+(.*)\z"
 RULE = rf"^{WS}*\|[{WS[1:-1]}:|-]+\|{WS}*\z"
 CALLOUT = rf"^\[!(\w+)\][+-]?{WS}*(.*)\z"
 CROP = r"!\[[^\]]*\]\(images/formula-\d+\.png\)"
+#: Lines by what they begin with. A bar begins a table where the next line is a rule.
+_TO_END = r"[^\n\r\x85\u2028\u2029]*$"
+_HEADING = rf"#{{1,6}}{BLANK}+{_TO_END}"
+_FIGURE = rf"!\[[^\]\n]*\]\([^){WS[1:-1]}]+\){BLANK}*$"
+_BAR = rf"{BLANK}*+\|[^\n]*+"
+_TABLE = rf"{_BAR}\n{BLANK}*\|[{BLANK[1:-1]}:|-]+\|{BLANK}*$"
+_BULLET = rf"{BLANK}*+[-*]{BLANK}+{_TO_END}"
+_BLANK = rf"{BLANK}*+$"
+_SPECIAL = rf"{_BLANK}|{BLANK}*+(?:```|\$\$)|{_HEADING}|{_FIGURE}|{_TABLE}|>|{_BULLET}"
+#: What a body is cut into: code up to its closing fence or the end, a formula up to a line that ends in $$ or the end, a heading, a figure, lines of
+#: a table, a quote, a list, blank ones, and text. Runs of lines are possessive, so that they take no stack.
+BLOCK = rf"(?dm)^(?:{BLANK}*```[^\n]*(?:\n(?s:.*?)^{BLANK}*```[^\n]*$|(?s:.*))|{BLANK}*\$\$(?:[^\n]*?\$\$$|[^\n]*?\$\${BLANK}+$|(?s:.*?)\n[^\n]*?\$\${BLANK}*$|(?s:.*))|{_HEADING}|{_FIGURE}|{_TABLE}(?:\n{_BAR})*+|>[^\n]*+(?:\n>[^\n]*+)*+|{_BULLET}(?:\n{_BULLET})*+|(?:{BLANK}*+\n)++(?:{BLANK}++\z)?|{BLANK}++\z|[^\n]++(?:\n(?!{_SPECIAL})[^\n]++)*+)"
 #: What stands for an image, a formula, code and a link that were lifted out; no text holds these characters.
 HOLES = ("\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3")
 
@@ -61,20 +72,38 @@ def inline(text: Column) -> Column:
     """Inline Markdown as XHTML: images, formulas, code, links, strong and emphasis; all else is escaped.
 
     Lifted parts may hold earlier ones (a link's label an image, code a formula): they are filled from the last kind to the first,
-    which keeps the order of each kind's holes.
+    which keeps the order of each kind's holes. What begins no kind of part is passed over.
     """
-    found, s = [], lifted(text)
-    for pattern, hole in zip((IMAGE, MATH, CODE, LINK), HOLES, strict=True):
-        found.append(F.regexp_extract_all(s, F.lit(pattern), F.lit(0)))
-        s = F.regexp_replace(s, pattern, hole)
-    s = F.regexp_replace(escape_xml(s), r"\*\*([^*]+)\*\*", "<strong>$1</strong>")
-    s = F.regexp_replace(s, r"(?<![*\w])\*([^*\n]+)\*(?!\*)", "<em>$1</em>")
     part = lambda x, pattern, k: F.regexp_extract(x, f"(?s)^{pattern}$", k)
-    s = _filled(s, HOLES[3], F.transform(found[3], lambda x: F.concat(F.lit('<a href="'), escape_xml(part(x, LINK, 2)), F.lit('">'), escape_xml(part(x, LINK, 1)), F.lit("</a>"))))
-    s = _filled(s, HOLES[2], F.transform(found[2], lambda x: F.concat(F.lit("<code>"), escape_xml(part(x, CODE, 1)), F.lit("</code>"))))
-    tex = F.transform(found[1], lambda x: F.substr(x, F.lit(2), F.char_length(x) - 2))
-    s = _filled(s, HOLES[1], F.transform(tex, lambda x: F.coalesce(trivial_xhtml(x), as_code(x))))
-    return _filled(s, HOLES[0], F.transform(found[0], lambda x: image(part(x, IMAGE, 1), part(x, IMAGE, 2))))
+
+    def code(x: Column) -> Column:
+        return F.concat(F.lit("<code>"), escape_xml(part(x, CODE, 1)), F.lit("</code>"))
+
+    def link(x: Column) -> Column:
+        return F.concat(F.lit('<a href="'), escape_xml(part(x, LINK, 2)), F.lit('">'), escape_xml(part(x, LINK, 1)), F.lit("</a>"))
+
+    def formula_in(x: Column) -> Column:
+        return let(F.substr(x, F.lit(2), F.char_length(x) - 2), lambda tex: F.coalesce(trivial_xhtml(tex), as_code(tex)))
+
+    def picture(x: Column) -> Column:
+        return image(part(x, IMAGE, 1), part(x, IMAGE, 2))
+
+    kinds = list(zip((IMAGE, MATH, CODE, LINK), ("![", "$", "`", "["), HOLES, (picture, formula_in, code, link), strict=True))
+
+    def marked(s: Column) -> Column:
+        strong = F.regexp_replace(escape_xml(s), r"\*\*([^*]+)\*\*", "<strong>$1</strong>")
+        return F.when(s.contains("*"), F.regexp_replace(strong, r"(?<![*\w])\*([^*\n]+)\*(?!\*)", "<em>$1</em>")).otherwise(escape_xml(s))
+
+    def lift(s: Column, left: list) -> Column:
+        if not left:
+            return marked(s)
+        (pattern, begin, hole, made), *rest = left
+        none = F.struct(F.array().cast("array<string>").alias("found"), s.alias("s"))
+        some = F.struct(F.regexp_extract_all(s, F.lit(pattern), F.lit(0)).alias("found"), F.regexp_replace(s, pattern, hole).alias("s"))
+        filled = lambda x, html: F.when(F.size(x["found"]) > 0, _filled(html, hole, F.transform(x["found"], made))).otherwise(html)
+        return let(F.when(s.contains(begin), some).otherwise(none), lambda x: let(lift(x["s"], rest), lambda html: filled(x, html)))
+
+    return F.when(text.rlike('[!$`\\[*&<>"' + "".join(HOLES) + "]"), let(lifted(text), lambda s: lift(s, kinds))).otherwise(text)
 
 
 def _images(text: Column) -> Column:
@@ -85,22 +114,10 @@ def _formulas(text: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(lifted(text), IMAGE, HOLES[0]), F.lit(MATH), F.lit(1))
 
 
-def _pieces(bodies: DataFrame) -> DataFrame:
-    """A row for each piece of ``bodies(doc_id, path, body)``: its place n, its kind and whether it joins the piece before."""
-    d = bodies.select("doc_id", "path", F.posexplode(F.regexp_extract_all("body", F.lit(PIECE), F.lit(0))).alias("n", "piece"))
-    p = F.col("piece")
-    kind = F.when(p.rlike(f"^{BLANK}*\\z"), "blank").when(p.rlike(f"^{BLANK}*```"), "code").when(p.rlike(rf"^{BLANK}*\$\$"), "math").when(p.rlike(HEADING), "heading").when(p.rlike(f"^{IMAGE}{WS}*\\z"), "figure")
-    kind = kind.when(p.rlike(rf"^{WS}*\|"), "table").when(p.startswith(">"), "quote").when(p.rlike(BULLET), "list").otherwise("text")
-    unit = Window.partitionBy("doc_id", "path").orderBy("n")
-    sofar = unit.rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("kind", kind).withColumn("next", F.lead("piece").over(unit)).withColumn("was", F.lag("kind").over(unit))
-    # lines of bars are a table from the first on whose next line is a rule; those before it are text
-    run = F.max(F.when(F.coalesce(F.col("was") != F.col("kind"), F.lit(True)), F.col("n"))).over(sofar)
-    head = F.max(F.when((F.col("kind") == "table") & F.col("next").rlike(RULE), F.col("n"))).over(sofar)
-    d = d.withColumn("run", run).withColumn("head", head)
-    d = d.withColumn("kind", F.when((F.col("kind") == "table") & ~F.coalesce(F.col("head") >= F.col("run"), F.lit(False)), "text").otherwise(F.col("kind")))
-    fresh = F.col("kind").isin("code", "math", "heading", "figure") | F.coalesce(F.lag("kind").over(unit) != F.col("kind"), F.lit(True))
-    return d.withColumn("block", F.sum(fresh.cast("int")).over(sofar))
+def _kind(p: Column) -> Column:
+    """What a piece of BLOCK is; tested in this order."""
+    kind = F.when(p.rlike(rf"^{WS}*\z"), "blank").when(p.rlike(f"^{BLANK}*```"), "code").when(p.rlike(rf"^{BLANK}*\$\$"), "math").when(p.rlike(rf"(?d)\A{_HEADING}(?!\n)"), "heading").when(p.rlike(rf"(?d)\A{_FIGURE}(?!\n)"), "figure")
+    return kind.when(p.rlike(rf"(?dm)\A{_TABLE}"), "table").when(p.startswith(">"), "quote").when(p.rlike(rf"(?dm)\A{_BULLET}"), "list").otherwise("text")
 
 
 def _cells(line: Column) -> Column:
@@ -119,74 +136,81 @@ def _tex(piece: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(lines, r"^\$\$", ""), r"\$\$\z", "")
 
 
-def _blocks(bodies: DataFrame) -> DataFrame:
-    """The blocks of ``bodies``: doc_id, path, kind, lines, rows (the inline texts of its rows) and source (code, TeX or quoted lines)."""
-    b = _pieces(bodies).where("kind <> 'blank'").groupBy("doc_id", "path", "block", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "piece"))), lambda x: x["piece"]).alias("lines"))
-    first = F.get("lines", F.lit(0))
+def _block(path: Column, kind: Column, rows: Column | None = None, source: Column | None = None, callout: Column | None = None, first: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
+    rows = F.lit(None).cast("array<array<string>>") if rows is None else rows
+    return F.struct(path.alias("path"), kind.alias("kind"), rows.alias("rows"), (none if source is None else source).alias("source"), (none if callout is None else callout).alias("callout"), (F.lit(True) if first is None else first).alias("first"))
+
+
+def _made(path: Column, kind: Column, piece: Column) -> Column:
+    """A piece as a block: the inline texts of its rows, its source (code, TeX, quoted lines), a callout's kind."""
     one = lambda x: F.array(F.array(x))
-    table = F.concat(F.slice("lines", 1, 1), F.slice("lines", 3, F.size("lines")))
-    rows = F.when(F.col("kind") == "text", one(strip(F.array_join("lines", " ")))).when(F.col("kind") == "heading", one(F.regexp_extract(first, HEADING, 2)))
-    rows = rows.when(F.col("kind") == "list", F.transform("lines", lambda x: F.array(F.regexp_extract(x, BULLET, 1)))).when(F.col("kind") == "table", F.transform(table, _cells))
-    quoted = F.array_join(F.transform("lines", lambda x: F.regexp_replace(x, f"^>{WS}?", "")), "\n")
-    source = F.when(F.col("kind") == "code", _code(first)).when(F.col("kind") == "math", _tex(first)).when(F.col("kind") == "quote", quoted).when(F.col("kind") == "figure", first)
-    return b.select("doc_id", F.concat("path", F.array("block")).alias("path"), "kind", first.alias("first"), rows.alias("rows"), source.alias("source"))
-
-
-def _callouts(b: DataFrame, cropped: DataFrame | None) -> DataFrame:
-    """Quotes with the kind and the title of a callout. Those that only offer a formula's crop go where a document has crops."""
-    mark = F.regexp_extract("source", r"^([^\n]*)", 1)
-    name = F.regexp_extract(mark, CALLOUT, 1)
-    quote = F.col("kind") == "quote"
-    b = b.withColumn("callout", F.when(quote & (name != ""), F.lower(name)))
-    title = F.regexp_extract(mark, CALLOUT, 2)
-    b = b.withColumn("rows", F.when(F.col("callout").isNotNull(), F.array(F.array(F.when(title != "", title).otherwise(name)))).otherwise(F.col("rows")))
-    b = b.withColumn("source", F.when(F.col("callout").isNotNull(), F.regexp_replace("source", r"^[^\n]*\n?", "")).otherwise(F.col("source")))
-    if cropped is None:
-        return b
-    b = b.join(cropped.select(F.col("doc_id").alias("__d"), F.lit(True).alias("__cropped")), F.expr("doc_id = __d"), "left")
-    return b.where(~F.coalesce(F.col("callout").isNotNull() & F.col("__cropped") & F.col("source").rlike(CROP), F.lit(False))).drop("__d", "__cropped")
+    lines = F.split(piece, "\n", -1)
+    table = let(lines, lambda x: F.transform(F.concat(F.slice(x, 1, 1), F.slice(x, 3, F.size(x))), _cells))
+    rows = F.when(kind == "text", one(strip(F.replace(piece, F.lit("\n"), F.lit(" "))))).when(kind == "heading", one(F.regexp_extract(piece, HEADING, 2)))
+    rows = rows.when(kind == "list", F.transform(lines, lambda x: F.array(F.regexp_extract(x, BULLET, 1)))).when(kind == "table", table)
+    source = F.when(kind == "code", _code(piece)).when(kind == "math", _tex(piece)).when(kind == "figure", piece).when(kind == "heading", F.char_length(F.regexp_extract(piece, HEADING, 1)).cast("string"))
+
+    def quote(q: Column) -> Column:
+        mark = F.substring_index(q, "\n", 1)
+        title = lambda name: let(F.regexp_extract(mark, CALLOUT, 2), lambda x: F.when(x != "", x).otherwise(name))
+        return let(F.regexp_extract(mark, CALLOUT, 1), lambda name: F.when(name == "", _block(path, kind, source=q)).otherwise(_block(path, kind, one(title(name)), F.regexp_replace(q, r"^[^\n]*\n?", ""), F.lower(name))))
+
+    return F.when(kind == "quote", let(F.regexp_replace(piece, f"(?dm)^>{BLANK}?", ""), quote)).otherwise(_block(path, kind, rows, source))
+
+
+def _cut(body: Column, path: Column, cropped: Column | None = None) -> Column:
+    """The blocks of a body, quotes as they are. Callouts that only offer a formula's crop go where ``cropped`` holds."""
+    pieces = F.transform(F.regexp_extract_all(body, F.lit(BLOCK), F.lit(0)), lambda p, i: F.struct((i + 1).cast("long").alias("n"), _kind(p).alias("kind"), p.alias("piece")))
+    made = F.transform(F.filter(pieces, lambda x: x["kind"] != "blank"), lambda x: _made(F.concat(path, F.array(x["n"])), x["kind"], x["piece"]))
+    if cropped is not None:
+        made = F.filter(made, lambda b: ~F.coalesce(b["callout"].isNotNull() & cropped & b["source"].rlike(CROP), F.lit(False)))
+    return F.transform(made, lambda b, i: _block(b["path"], b["kind"], b["rows"], b["source"], b["callout"], i == 0))
 
 
 def depth(text: Column) -> Column:
-    """The most quote marks that a line of a text begins with."""
-    return F.array_max(F.transform(F.split(text, "\n", -1), lambda x: F.char_length(F.regexp_replace(F.regexp_extract(x, f"^((?:>{WS}?)*)", 1), f"{WS}", ""))))
+    """The most quote marks that a line of a text begins with; null for none."""
+    return F.array_max(F.transform(F.regexp_extract_all(text, F.lit(f"(?dm)^(?:>{BLANK}?)++"), F.lit(0)), lambda x: F.char_length(x) - F.char_length(F.replace(x, F.lit(">"), F.lit("")))))
 
 
-def blocks(bodies: DataFrame, cropped: DataFrame | None = None, deepest: int | None = None) -> DataFrame:
-    """All blocks of ``bodies(doc_id, path, body)`` and of their quotes: doc_id, path, kind, first, rows, source, callout, ordinal.
+def cut(bodies: Column, deepest: int, cropped: Column | None = None, path: Column | None = None) -> Column:
+    """All blocks of an array of bodies (null: none) and of their quotes, in reading order: path, kind, rows, source, callout, first.
 
-    ``cropped(doc_id)`` are the documents that have crops of formulas; callouts at the first level that show one are left out there.
-    ``deepest`` is how many levels of quotes there may be; where it isn't given, one job finds it. ``ordinal`` numbers a document's displayed formulas.
+    A block of the kind ``chapter`` stands before each body; a quote is ``open``, what it holds, and ``close``. ``first`` is for blocks that begin a body or
+    a quote. ``deepest`` is how many levels of quotes there may be. Where ``cropped`` holds, callouts of the first level that show a formula's crop are left out.
     """
-    if deepest is None:
-        deepest = bodies.agg(F.max(depth(F.col("body")))).first()[0] or 0
-    out = None
-    for level in range(deepest + 1):
-        b = _callouts(_blocks(bodies), None if level else cropped)
-        out = b if out is None else out.unionByName(b)
-        bodies = b.where("kind = 'quote'").select("doc_id", "path", F.col("source").alias("body"))
-    order = Window.partitionBy("doc_id").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn("ordinal", F.when(F.col("kind") == "math", F.count(F.when(F.col("kind") == "math", 1)).over(order)).cast("int"))
+    place = (lambda i: F.array((i + 1).cast("long"))) if path is None else lambda i: path.cast("array<long>")
+    found = F.flatten(F.transform(F.coalesce(bodies, F.array().cast("array<string>")), lambda body, i: F.concat(F.array(_block(place(i), F.lit("chapter"))), _cut(body, place(i), cropped))))
+
+    def opened(b: Column) -> Column:
+        begin = _block(b["path"], F.lit("open"), b["rows"], None, b["callout"], b["first"])
+        return F.concat(F.array(begin), _cut(b["source"], b["path"]), F.array(_block(b["path"], F.lit("close"), callout=b["callout"])))
 
+    for _ in range(deepest):
+        found = F.flatten(F.transform(found, lambda b: F.when(b["kind"] == "quote", opened(b)).otherwise(F.array(b))))
+    return found
 
-def displayed(b: DataFrame) -> DataFrame:
-    """The displayed formulas among ``blocks``, with their TeX: equal ones stay apart."""
-    return b.where("kind = 'math'").withColumnRenamed("source", "tex")
 
+def displayed(blocks: Column) -> Column:
+    """The displayed formulas of ``cut`` in reading order, ``source`` being their TeX: equal ones stay apart."""
+    return F.filter(blocks, lambda b: b["kind"] == "math")
 
-def inlined(b: DataFrame) -> DataFrame:
-    """(doc_id, index, tex, xhtml) of the different inline formulas, numbered by first use; xhtml is null for real maths."""
-    d = b.select("doc_id", "path", F.posexplode(F.flatten(F.transform(F.flatten("rows"), _formulas))).alias("pos", "tex"))
-    d = d.groupBy("doc_id", "tex").agg(F.min(F.struct("path", "pos")).alias("at"))
-    return d.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")).alias("index"), "tex", trivial_xhtml(F.col("tex")).alias("xhtml"))
 
+def _each(blocks: Column, found) -> Column:
+    """What ``found`` finds in blocks, each once, by first use."""
+    return F.array_distinct(F.flatten(F.transform(blocks, lambda b: F.coalesce(found(b), F.array().cast("array<string>")))))
 
-def shown(b: DataFrame) -> DataFrame:
-    """(doc_id, seq, href) of the images that the notes show, each once, by first use."""
-    rows = F.flatten(F.transform(F.flatten(F.coalesce("rows", F.array().cast("array<array<string>>"))), _images))
-    found = F.when(F.col("kind") == "figure", F.slice(_images(F.col("source")), 1, 1)).otherwise(rows)
-    d = b.select("doc_id", "path", F.posexplode(found).alias("pos", "href")).groupBy("doc_id", "href").agg(F.min(F.struct("path", "pos")).alias("at"))
-    return d.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")).alias("seq"), "href")
+
+def inlined(blocks: Column) -> Column:
+    """The different inline formulas of ``cut``, by first use."""
+    some = lambda x: F.when(x.contains("$"), _formulas(x)).otherwise(F.array().cast("array<string>"))
+    return _each(blocks, lambda b: F.flatten(F.transform(F.flatten(b["rows"]), some)))
+
+
+def shown(blocks: Column) -> Column:
+    """The images that the blocks of ``cut`` show, each once, by first use."""
+    some = lambda x: F.when(x.contains("!["), _images(x)).otherwise(F.array().cast("array<string>"))
+    return _each(blocks, lambda b: F.when(b["kind"] == "figure", F.slice(_images(b["source"]), 1, 1)).otherwise(F.flatten(F.transform(F.flatten(b["rows"]), some))))
 
 
 #: What takes the place of a formula without a picture: fixed value.
@@ -199,30 +223,44 @@ def formula(tex: Column, crop_id: Column) -> Column:
     return F.coalesce(picture, F.concat(F.lit(UNRENDERED), as_code(tex), F.lit("</p></aside>")))
 
 
-def rendered(b: DataFrame) -> DataFrame:
-    """(doc_id, chapter_no, html) of ``blocks`` with the ``crop_id`` of formulas.
+#: What stands for a displayed formula and for a body's begin while a note is put together: texts are escaped and hold no such tags.
+_FORMULA, _BODY = "<0>", "<1>"
 
-    A quote gives what stands before its blocks and what stands behind them. A chapter is all of that in the order of the paths,
-    a line break before each block but a body's or a quote's first.
-    """
-    b = b.withColumn("rows", F.transform("rows", lambda r: F.transform(r, inline)))
-    text = F.get(F.get("rows", F.lit(0)), F.lit(0))
+
+def _html(b: Column) -> Column:
+    """A block as XHTML: of a quote what stands before its blocks or behind them, of a formula its mark."""
+    kind, source, callout = b["kind"], b["source"], b["callout"].isNotNull()
     wrapped = lambda r, tag: F.array_join(F.transform(r, lambda x: F.concat(F.lit(f"<{tag}>"), x, F.lit(f"</{tag}>"))), "")
-    level = F.char_length(F.regexp_extract("first", HEADING, 1)).cast("string")
-    html = F.when(F.col("kind") == "text", F.concat(F.lit("<p>"), text, F.lit("</p>"))).when(F.col("kind") == "heading", F.concat(F.lit("<h"), level, F.lit(">"), text, F.lit("</h"), level, F.lit(">")))
-    html = html.when(F.col("kind") == "list", F.concat(F.lit("<ul>"), F.array_join(F.transform("rows", lambda r: wrapped(r, "li")), ""), F.lit("</ul>")))
-    body = F.array_join(F.transform(F.slice("rows", 2, F.size("rows")), lambda r: F.concat(F.lit("<tr>"), wrapped(r, "td"), F.lit("</tr>"))), "")
-    html = html.when(F.col("kind") == "table", F.concat(F.lit("<table><thead><tr>"), wrapped(F.get("rows", F.lit(0)), "th"), F.lit("</tr></thead><tbody>"), body, F.lit("</tbody></table>")))
-    html = html.when(F.col("kind") == "code", F.concat(F.lit("<pre><code>"), escape_xml(F.col("source")), F.lit("</code></pre>")))
-    part = lambda k: F.regexp_extract("source", f"^{IMAGE}", k)
-    html = html.when(F.col("kind") == "figure", F.concat(F.lit("<figure>"), image(part(1), part(2)), F.lit("</figure>")))
-    html = html.when(F.col("kind") == "math", formula(F.col("source"), F.col("crop_id")))
-    html = html.when(F.col("callout").isNotNull(), F.concat(F.lit('<aside class="callout callout-'), escape_xml(F.col("callout")), F.lit('"><p class="callout-title">'), text, F.lit("</p>"))).otherwise("<blockquote>")
-    behind = F.when(F.col("callout").isNotNull(), "</aside>").when(F.col("kind") == "quote", "</blockquote>")
-    siblings = Window.partitionBy("doc_id", F.slice("path", 1, F.size("path") - 1)).orderBy("path")
-    b = b.withColumn("gap", F.when(F.row_number().over(siblings) > 1, "\n").otherwise(""))
-    last = F.lit(2**31 - 1)
-    said = F.array_compact(F.array(F.struct("path", F.concat("gap", html).alias("html")), F.when(behind.isNotNull(), F.struct(F.concat("path", F.array(last)).alias("path"), behind.alias("html")))))
-    b = b.select("doc_id", F.get("path", F.lit(0)).alias("chapter_no"), said.alias("said"))
-    b = b.groupBy("doc_id", "chapter_no").agg(F.array_sort(F.flatten(F.collect_list("said"))).alias("said"))
-    return b.select("doc_id", "chapter_no", F.array_join(F.transform("said", lambda x: x["html"]), "").alias("html"))
+    part = lambda k: F.regexp_extract(source, f"^{IMAGE}", k)
+
+    def with_rows(rows: Column) -> Column:
+        text = F.get(F.get(rows, F.lit(0)), F.lit(0))
+        body = F.array_join(F.transform(F.slice(rows, 2, F.size(rows)), lambda r: F.concat(F.lit("<tr>"), wrapped(r, "td"), F.lit("</tr>"))), "")
+        html = F.when(kind == "text", F.concat(F.lit("<p>"), text, F.lit("</p>"))).when(kind == "heading", F.concat(F.lit("<h"), source, F.lit(">"), text, F.lit("</h"), source, F.lit(">")))
+        html = html.when(kind == "list", F.concat(F.lit("<ul>"), wrapped(F.flatten(rows), "li"), F.lit("</ul>")))
+        html = html.when(kind == "table", F.concat(F.lit("<table><thead><tr>"), wrapped(F.get(rows, F.lit(0)), "th"), F.lit("</tr></thead><tbody>"), body, F.lit("</tbody></table>")))
+        return html.otherwise(F.concat(F.lit('<aside class="callout callout-'), escape_xml(b["callout"]), F.lit('"><p class="callout-title">'), text, F.lit("</p>")))
+
+    html = F.when(b["rows"].isNotNull(), let(F.transform(b["rows"], lambda r: F.transform(r, inline)), with_rows)).when(kind == "math", _FORMULA).when(kind == "chapter", _BODY)
+    html = html.when(kind == "code", F.concat(F.lit("<pre><code>"), escape_xml(source), F.lit("</code></pre>"))).when(kind == "figure", F.concat(F.lit("<figure>"), image(part(1), part(2)), F.lit("</figure>")))
+    html = html.when(kind == "open", "<blockquote>").otherwise(F.when(callout, "</aside>").otherwise("</blockquote>"))
+    return F.when(b["first"], html).otherwise(F.concat(F.lit("\n"), html))
+
+
+def html(blocks: Column, formulas: Column) -> Column:
+    """An array of the bodies of ``cut`` as XHTML; ``formulas`` are what is shown for the displayed ones, in their order."""
+    whole = _filled(F.array_join(F.transform(blocks, _html), ""), _FORMULA, formulas)
+    return let(F.split(whole, _BODY, -1), lambda x: F.slice(x, 2, F.size(x)))
+
+
+def blocks(bodies: DataFrame, deepest: int | None = None) -> DataFrame:
+    """``bodies(doc_id, path, body)`` with their blocks as ``cut`` gives them; where ``deepest`` isn't given, one job finds it."""
+    if deepest is None:
+        deepest = bodies.agg(F.max(depth(F.col("body")))).first()[0] or 0
+    return bodies.select("doc_id", "path", cut(F.array("body"), deepest, path=F.col("path")).alias("blocks"))
+
+
+def rendered(b: DataFrame) -> DataFrame:
+    """(doc_id, chapter_no, html) of ``blocks``, formulas as texts; a body without blocks has no row."""
+    texts = F.transform(displayed(F.col("blocks")), lambda x: formula(x["source"], F.lit(None).cast("string")))
+    return b.where(F.size("blocks") > 1).select("doc_id", F.get("path", F.lit(0)).alias("chapter_no"), F.get(html(F.col("blocks"), texts), F.lit(0)).alias("html"))

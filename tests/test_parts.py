@@ -32,3 +32,22 @@ def test_lines_and_blocks_of_books_stay_in_their_part(spark):
     for d in (book.html, book.formulas, book.inline, book.assets):
         dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(d))
         assert dealt and all(re.fullmatch(r"doc_id#\d+L, \d+", x) for x in dealt), dealt
+
+
+QUOTED = "a $x$ ![](p.png)\n\n$$y$$\n> b ![](q.png)\n> > $$z$$\n\n\n$$y$$\n## C"
+
+
+def quoted(spark):
+    notes = spark.createDataFrame([(1, "t", QUOTED), (2, "t", "plain"), (3, "t", None)], "doc_id long, title string, markdown string")
+    sidecar = spark.createDataFrame([(1, 2, " z", "formula-2"), (1, 3, "x", "formula-3")], "doc_id long, ordinal int, tex string, id string")
+    return epub.Book(notes, sidecar)
+
+
+def test_assets_come_from_the_note_s_row(spark):
+    book = quoted(spark)
+    for d in (book.assets, book.formulas, book.inline):
+        # one cut for each level of quotes, and no window, union or group of lines or blocks
+        assert d._jdf.queryExecution().optimizedPlan().toString().count("(?dm)^(?:[") == 3
+        assert not re.search("Window|Union", plan(d)) and plan(d).count("Exchange hashpartitioning") == 2
+    assert sorted(tuple(r) for r in book.assets.select("seq", "href", "crop").collect()) == [(1, "p.png", False), (2, "q.png", False), (3, "images/formula-2.png", True)]
+    assert [tuple(r) for r in book.formulas.orderBy("ordinal").collect()] == [(1, 1, [1, 3], "y", None), (1, 2, [1, 4, 2, 1], "z", "formula-2"), (1, 3, [1, 6], "y", None)]
