@@ -51,3 +51,13 @@ def test_assets_come_from_the_note_s_row(spark):
         assert not re.search("Window|Union", plan(d)) and plan(d).count("Exchange hashpartitioning") == 2
     assert sorted(tuple(r) for r in book.assets.select("seq", "href", "crop").collect()) == [(1, "p.png", False), (2, "q.png", False), (3, "images/formula-2.png", True)]
     assert [tuple(r) for r in book.formulas.orderBy("ordinal").collect()] == [(1, 1, [1, 3], "y", None), (1, 2, [1, 4, 2, 1], "z", "formula-2"), (1, 3, [1, 6], "y", None)]
+
+
+def test_stats_come_from_the_note_s_row(spark):
+    files = spark.createDataFrame([(1, "q.png"), (1, "q.png"), (1, "images/formula-2.png"), (2, "q.png"), (9, "p.png")], "doc_id long, href string")
+    d = quoted(spark).stats(files)
+    # notes, crops and files are dealt out once each, and nothing is counted in rows of their own
+    assert plan(d).count("Exchange hashpartitioning") == 3 and not re.search("Window|Union|Generate", plan(d))
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("(?dm)^(?:[") == 3
+    assert sorted(tuple(r)[:6] for r in d.collect()) == [(1, 2, 1, 1, 2, 1), (2, 1, 0, 0, 0, 0), (3, 0, 0, 0, 0, 0)]
+    assert [r.warnings[1:] for r in d.where("doc_id = 1").collect()] == [["missing image: p.png"]]
