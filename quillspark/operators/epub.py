@@ -162,6 +162,11 @@ def _dealt(notes: DataFrame) -> tuple[DataFrame, int, int]:
     return notes.repartition(parts, "doc_id"), parts, deepest or 0
 
 
+def _id(href: Column, crop: Column) -> Column:
+    """An asset's id in the package."""
+    return F.concat(F.when(crop, "math-").otherwise("img-"), F.regexp_replace(href, r"\W", "-"))
+
+
 class Book:
     """The tables of which e-books of ``notes(doc_id, title, markdown)`` are made; ``title`` is used where a note has none.
 
@@ -175,6 +180,11 @@ class Book:
     """
 
     def __init__(self, notes: DataFrame, sidecar: DataFrame | None = None):
+        # what a note may show is found in its text, so that files need not wait for its blocks: all images are among these paths
+        links = F.regexp_extract_all("markdown", F.lit(rf"\](?=\(([^){WS[1:-1]}]+)\))"), F.lit(1))
+        self.named = notes.select("doc_id", F.explode_outer(F.array_distinct(F.transform(links, xhtml.relative))).alias("href"))
+        if sidecar is not None:
+            self.named = self.named.unionByName(sidecar.select("doc_id", F.concat(F.lit("images/"), "id", F.lit(".png")).alias("href")))
         notes, self.parts, deepest = _dealt(notes.select("doc_id", "title", "markdown"))
         side = "array<struct<ordinal:int,sidecar_tex:string,crop:string>>"
         if sidecar is not None:
@@ -198,8 +208,7 @@ class Book:
         self.inline = inline.select("doc_id", (F.col("pos") + 1).alias("index"), "tex", trivial_xhtml(F.col("tex")).alias("xhtml"))
         self.html = self.rows.select("doc_id", F.posexplode_outer(self._parts()).alias("pos", "part")).where("pos IS NOT NULL").select("doc_id", (F.col("pos") + 1).cast("long").alias("chapter_no"), "part.title", "part.html")
         a = self.rows.select("doc_id", F.size("images").alias("n"), F.posexplode_outer(self._hrefs()).alias("pos", "href")).where("pos IS NOT NULL").withColumn("crop", F.col("pos") >= F.col("n"))
-        name = F.concat(F.when(F.col("crop"), "math-").otherwise("img-"), F.regexp_replace("href", r"\W", "-"))
-        self.assets = a.select("doc_id", (F.col("pos") + 1).alias("seq"), "href", name.alias("id"), media_type(F.col("href")).alias("media_type"), "crop")
+        self.assets = a.select("doc_id", (F.col("pos") + 1).alias("seq"), "href", _id(F.col("href"), F.col("crop")).alias("id"), media_type(F.col("href")).alias("media_type"), "crop")
 
     @staticmethod
     def _parts() -> Column:
@@ -234,20 +243,22 @@ class Book:
 
         One row per document, so a task holds one book at a time. Only the container's bytes are made in Python.
         """
-        fields = self.rows.select("doc_id", F.col("title").alias("fallback"), front_fields(F.col("markdown")).alias("f"), self._parts().alias("parts"))
+        fields = self.rows.select("doc_id", F.col("title").alias("fallback"), front_fields(F.col("markdown")).alias("f"), self._parts().alias("parts"), self._hrefs().alias("hrefs"), F.size("images").alias("n"))
         value = lambda key: F.try_element_at(F.filter("f", lambda x: x["key"] == key), F.lit(-1))
         title = F.coalesce(F.nullif(value("title")["value"], F.lit("")), F.col("fallback"), F.lit(""))
         names = F.when(value("author")["value"].isNotNull(), F.array(value("author")["value"])).otherwise(value("author")["items"])
-        about = fields.select("doc_id", title.alias("title"), F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda x: x.rlike(f"[^{WS[1:-1]}]")).alias("creators"), value("source")["value"].alias("source"), "parts")
+        assets = F.transform("hrefs", lambda x, i: F.struct(_id(x, i >= F.col("n")).alias("id"), x.alias("href"), media_type(x).alias("media_type")))
+        about = fields.select("doc_id", title.alias("title"), F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda x: x.rlike(f"[^{WS[1:-1]}]")).alias("creators"), value("source")["value"].alias("source"), "parts", assets.alias("assets"))
         about = about.withColumn("uuid", uuids(F.concat("title", F.coalesce("source", F.lit("")))))
-        held = self.assets.join(files.select("doc_id", "href", "content"), ["doc_id", "href"]).repartition(self.parts, "doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "id", "href", "media_type", "content"))).alias("files"))
+        held = files.select("doc_id", "href", "content").join(self.named, ["doc_id", "href"], "left_semi").repartition(self.parts, "doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("href", "content"))).alias("files"))
 
         @F.pandas_udf("binary")
-        def pack(title: pd.Series, uuid: pd.Series, creators: pd.Series, source: pd.Series, parts: pd.Series, files: pd.Series) -> pd.Series:
+        def pack(title: pd.Series, uuid: pd.Series, creators: pd.Series, source: pd.Series, parts: pd.Series, assets: pd.Series, files: pd.Series) -> pd.Series:
             out = []
-            for t, u, c, s, ps, fs in zip(title, uuid, creators, source, parts, files, strict=True):
-                out.append(container(t, [(p["title"] or t, p["html"]) for p in (ps if ps is not None else ())], u, list(c), s, [(f["id"], f["href"], f["media_type"], f["content"]) for f in (fs if fs is not None else ())]))
+            for t, u, c, s, ps, shown, fs in zip(title, uuid, creators, source, parts, assets, files, strict=True):
+                there = {f["href"]: f["content"] for f in (fs if fs is not None else ())}
+                out.append(container(t, [(p["title"] or t, p["html"]) for p in ps], u, list(c), s, [(a["id"], a["href"], a["media_type"], there[a["href"]]) for a in shown if there.get(a["href"]) is not None]))
             return pd.Series(out)
 
         d = about.join(held, "doc_id", "left")
-        return d.select("doc_id", pack("title", "uuid", "creators", "source", "parts", "files").alias("epub"))
+        return d.select("doc_id", pack("title", "uuid", "creators", "source", "parts", "assets", "files").alias("epub"))

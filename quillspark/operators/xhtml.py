@@ -17,24 +17,26 @@ from pyspark.sql import functions as F
 from ..functions.formulas import trivial_xhtml
 from ..functions.text import WS, escape_xml, let, strip
 
-#: White space within a line.
-BLANK = WS.replace(r"\n", "")
+#: White space, that within a line, and what an image's path is made of; visible ASCII takes one comparison.
+SPACE = f"[[^!-~]&&{WS}]"
+_BLANKS = WS[1:-1].replace(r"\n", "")
+BLANK = f"[[^!-~]&&[{_BLANKS}]]"
+HREF = f"[[!-(*-~][^){WS[1:-1]}]]"
 #: Patterns of the notes' Markdown: fixed values.
-IMAGE = rf"!\[([^\]]*)\]\(([^){WS[1:-1]}]+)\)"
+IMAGE = rf"!\[([^\]]*)\]\(({HREF}+)\)"
 MATH = r"(?<!\$)\$([^$\n]+?)\$(?!\$)"
 CODE = r"`([^`]+)`"
-LINK = rf"\[([^\]]+)\]\(([^){WS[1:-1]}]+)\)"
-HEADING = rf"^(#{{1,6}}){WS}+(.*)\z"
-BULLET = rf"^{WS}*[-*]{WS}+(.*)\z"
-RULE = rf"^{WS}*\|[{WS[1:-1]}:|-]+\|{WS}*\z"
-CALLOUT = rf"^\[!(\w+)\][+-]?{WS}*(.*)\z"
+LINK = rf"\[([^\]]+)\]\(({HREF}+)\)"
+HEADING = rf"^(#{{1,6}}){SPACE}+(.*)\z"
+BULLET = rf"^{SPACE}*[-*]{SPACE}+(.*)\z"
+CALLOUT = rf"^\[!(\w+)\][+-]?{SPACE}*(.*)\z"
 CROP = r"!\[[^\]]*\]\(images/formula-\d+\.png\)"
 #: Lines by what they begin with. A bar begins a table where the next line is a rule.
 _TO_END = r"[^\n\r\x85\u2028\u2029]*$"
 _HEADING = rf"#{{1,6}}{BLANK}+{_TO_END}"
-_FIGURE = rf"!\[[^\]\n]*\]\([^){WS[1:-1]}]+\){BLANK}*$"
+_FIGURE = rf"!\[[^\]\n]*\]\({HREF}+\){BLANK}*$"
 _BAR = rf"{BLANK}*+\|[^\n]*+"
-_TABLE = rf"{_BAR}\n{BLANK}*\|[{BLANK[1:-1]}:|-]+\|{BLANK}*$"
+_TABLE = rf"{_BAR}\n{BLANK}*\|[{_BLANKS}:|-]+\|{BLANK}*$"
 _BULLET = rf"{BLANK}*+[-*]{BLANK}+{_TO_END}"
 _BLANK = rf"{BLANK}*+$"
 _SPECIAL = rf"{_BLANK}|{BLANK}*+(?:```|\$\$)|{_HEADING}|{_FIGURE}|{_TABLE}|>|{_BULLET}"
@@ -116,7 +118,7 @@ def _formulas(text: Column) -> Column:
 
 def _kind(p: Column) -> Column:
     """What a piece of BLOCK is; tested in this order."""
-    kind = F.when(p.rlike(rf"^{WS}*\z"), "blank").when(p.rlike(f"^{BLANK}*```"), "code").when(p.rlike(rf"^{BLANK}*\$\$"), "math").when(p.rlike(rf"(?d)\A{_HEADING}(?!\n)"), "heading").when(p.rlike(rf"(?d)\A{_FIGURE}(?!\n)"), "figure")
+    kind = F.when(p.rlike(rf"^{SPACE}*\z"), "blank").when(p.rlike(f"^{BLANK}*```"), "code").when(p.rlike(rf"^{BLANK}*\$\$"), "math").when(p.rlike(rf"(?d)\A{_HEADING}(?!\n)"), "heading").when(p.rlike(rf"(?d)\A{_FIGURE}(?!\n)"), "figure")
     return kind.when(p.rlike(rf"(?dm)\A{_TABLE}"), "table").when(p.startswith(">"), "quote").when(p.rlike(rf"(?dm)\A{_BULLET}"), "list").otherwise("text")
 
 

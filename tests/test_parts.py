@@ -1,10 +1,12 @@
 """What books shuffle: notes once, not their lines."""
 
+import io
 import re
+import zipfile
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import epub
+from quillspark.operators import epub, xhtml
 
 
 def plan(d):
@@ -61,3 +63,19 @@ def test_stats_come_from_the_note_s_row(spark):
     assert d._jdf.queryExecution().optimizedPlan().toString().count("(?dm)^(?:[") == 3
     assert sorted(tuple(r)[:6] for r in d.collect()) == [(1, 2, 1, 1, 2, 1), (2, 1, 0, 0, 0, 0), (3, 0, 0, 0, 0, 0)]
     assert [r.warnings[1:] for r in d.where("doc_id = 1").collect()] == [["missing image: p.png"]]
+
+
+def test_books_are_packed_from_the_note_s_row(spark):
+    files = spark.createDataFrame([(1, "q.png", b"q"), (1, "images/formula-2.png", b"z"), (1, "other.png", b"o"), (9, "p.png", b"p")], "doc_id long, href string, content binary")
+    d = quoted(spark).epubs(files)
+    # files are chosen by what a note's text names, so its blocks are cut once, for chapters and images alike
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("(?dm)^(?:[") == 3 and not re.search("Window", plan(d))
+    found = {r.doc_id: zipfile.ZipFile(io.BytesIO(bytes(r.epub))) for r in d.collect()}
+    assert sorted(found) == [1, 2, 3] and [x for x in found[1].namelist() if x.endswith("png")] == ["OEBPS/q.png", "OEBPS/images/formula-2.png"]
+    assert 'id="math-images-formula-2-png"' in found[1].read("OEBPS/package.opf").decode() and found[1].read("OEBPS/q.png") == b"q"
+
+
+def test_runs_of_blank_lines_and_lines_that_only_look_like_a_kind(spark):
+    body = "a\n\n\n\n#\nb\n# h\r\n| x\n| y |\n| - |\n- i\r\n  \n\t\n>q\n"
+    b = xhtml.blocks(spark.createDataFrame([(1, [1], body)], "doc_id long, path array<int>, body string"))
+    assert [(x.kind, x.path) for x in b.first().blocks] == [("chapter", [1]), ("text", [1, 1]), ("text", [1, 3]), ("table", [1, 4]), ("text", [1, 5]), ("open", [1, 7]), ("text", [1, 7, 1]), ("close", [1, 7])]
